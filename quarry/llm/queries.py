@@ -1,6 +1,6 @@
 """Queries of the corpus operators and the SQL that some of them can be held against."""
 
-from quarry.llm import bpe, embeddings, exact, packing, secrets, simhash, warc
+from quarry.llm import bpe, embeddings, exact, packing, quality, secrets, simhash, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,5 +10,6 @@ QUERIES = {
     "op7_embedding_near_dedup": embeddings.op7_embedding_near_dedup,
     "op8_warc": warc.op8_warc,
     "op9_simhash": simhash.op9_simhash,
+    "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {"op4_exact_dedup": exact.OP4_SQL}
