@@ -1,9 +1,10 @@
 """Queries of the corpus operators and the SQL that some of them can be held against."""
 
-from quarry.llm import bpe, embeddings, exact, packing, quality, secrets, simhash, warc
+from quarry.llm import bpe, embeddings, exact, packing, quality, secrets, simhash, urls, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op3_url_filter": urls.op3_url_filter,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op5_secrets": secrets.op5_secrets,
     "op6_packing": packing.op6_packing,
@@ -12,4 +13,4 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_quality": quality.op10_quality,
 }
-ORACLE_SQL = {"op4_exact_dedup": exact.OP4_SQL}
+ORACLE_SQL = {"op3_url_filter": urls.OP3_SQL, "op4_exact_dedup": exact.OP4_SQL}
