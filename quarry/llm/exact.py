@@ -28,7 +28,8 @@ def exact_classes(df: DataFrame, text: str = "text", key: str = "doc_id", salts:
     """
     rows = df.select(F.col(key).alias("k"), normalised(F.col(text)).alias("t")).withColumn("d", digest(F.col("t")))
     salted = rows.withColumn("s", F.pmod(F.spark_partition_id(), F.lit(salts))).groupBy("d", "s", "t").agg(F.min("k").alias("w"), F.count("*").alias("n"))
-    whole = salted.groupBy("d", "t").agg(F.min("w").alias("w"), F.sum("n").alias("n"))
+    # dealt by digest alone, so that the global groups and the count of texts of a digest need one shuffle
+    whole = salted.repartition("d").groupBy("d", "t").agg(F.min("w").alias("w"), F.sum("n").alias("n"))
     classes = whole.withColumn("c", F.count("*").over(Window.partitionBy("d"))).select("d", "w", "n", "c", F.when(F.col("c") > 1, F.col("t")).alias("ct"))
     classes = checkpointed(classes)
     single = classes.where("c = 1").select("d", "w", "n")
