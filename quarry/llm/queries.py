@@ -1,9 +1,10 @@
 """Queries of the corpus operators and the SQL that some of them can be held against."""
 
-from quarry.llm import bpe, embeddings, exact, packing, quality, secrets, simhash, urls, warc
+from quarry.llm import bpe, embeddings, exact, packing, quality, secrets, simhash, substrings, urls, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_suffix_dedup": substrings.op2_suffix_dedup,
     "op3_url_filter": urls.op3_url_filter,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op5_secrets": secrets.op5_secrets,
