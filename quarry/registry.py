@@ -1,4 +1,32 @@
 """All queries of the retrieval engine and the SQL that each is held against."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+import importlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function of (spark, sf_dir) under its name, with the equivalent SQL if there is one."""
+
+    def register(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+for _module in ("analytics", "text", "retrieval", "evaluation", "safety", "documents", "knowledge", "upkeep", "streams"):
+    importlib.import_module(f"quarry.plans.{_module}")
