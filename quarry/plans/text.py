@@ -1 +1,106 @@
-"""Queries."""
+"""Queries of the text functions over documents, conversations and pages."""
+
+from pyspark.sql import functions as F
+
+from quarry.functions import text as T
+from quarry.registry import query, table
+
+
+@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[\\t\\x0b\\f]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS clean FROM documents""")
+def clean_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
+
+
+@query("""WITH c AS (SELECT doc_id, text, length(text) AS n, len(regexp_extract_all(text, '�')) AS b FROM documents)
+SELECT doc_id, CASE WHEN n < 20 THEN 1 WHEN b / n > 0.02 OR n < 100 THEN 1 WHEN b / n > 0.005 OR n < 500 THEN 2 ELSE 3 END AS quality,
+len(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: trim(p, ' ' || chr(10) || chr(9)) <> '')) AS paragraphs,
+list_max(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: length(trim(p, ' ' || chr(10) || chr(9))))) AS longest FROM c""")
+def doc_profile_levels(spark, sf):
+    d = table(spark, sf, "documents")
+    c = F.col("text")
+    return d.select("doc_id", T.content_quality(c).alias("quality"), F.size(T.paragraphs(c)).alias("paragraphs"), T.longest_paragraph(c).alias("longest"))
+
+
+@query("""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: regexp_matches(w, '[A-Za-z]'))) + greatest(1, length(text) // 4) AS tokens,
+greatest(1, floor(len(regexp_extract_all(text, '[\\x00-\\x7f]')) / 4 + (length(text) - len(regexp_extract_all(text, '[\\x00-\\x7f]'))) / 2))::INT AS prompt_tokens FROM documents""")
+def token_estimate(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"), T.estimate_prompt_tokens(F.col("text")).alias("prompt_tokens"))
+
+
+@query("""SELECT doc_id, len(list_filter(regexp_split_to_array(text, chr(10)), lambda l: regexp_matches(trim(l), '^(#{1,6}\\s|\\d+(\\.\\d+)*\\s+\\S)'))) AS headings FROM documents""")
+def heading_counts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.count_headings(F.col("text")).alias("headings"))
+
+
+@query("""SELECT conv_id, turn, lower(regexp_replace(text, '[\\s>`*#_\\-,;:()]+', '', 'g')) AS normal, CASE WHEN length(text) > 30 THEN left(text, 29) || '…' ELSE text END AS head,
+CASE WHEN length(text) > 30 THEN '…' || right(text, 29) ELSE text END AS tail FROM conversations""")
+def normal_forms(spark, sf):
+    c = F.col("text")
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.normalize_text(c).alias("normal"), T.clip_head(c, 30).alias("head"), T.clip_tail(c, 30).alias("tail"))
+
+
+@query("""WITH s AS (SELECT item_id, lower(regexp_replace(text, '[^A-Za-z0-9_]', '', 'g')) AS s FROM benchmark)
+SELECT item_id, len(list_distinct(list_transform(range(1, length(s)), lambda i: s[i:i + 1]))) AS bigrams FROM s""")
+def bigram_counts(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", F.size(T.bigrams(F.col("text"))).alias("bigrams"))
+
+
+@query("""SELECT conv_id, turn, sha1('t1|' || lower(regexp_replace(text, '\\s+', '', 'g')) || '|RETRIEVAL|' || '1,2') AS key FROM conversations""")
+def response_cache_keys(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.cache_key(F.lit("t1"), F.col("text"), F.lit("RETRIEVAL"), F.array(F.lit("2"), F.lit("1"))).alias("key"))
+
+
+@query("""SELECT doc_id, 'c' || left(sha1(doc_id || ':child:0:' || text), 24) AS chunk_id FROM documents""")
+def stable_chunk_ids(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.chunk_id(F.col("doc_id"), "child", F.lit(0), F.col("text")).alias("chunk_id"))
+
+
+@query("""SELECT conv_id, turn, len(regexp_extract_all(text, '[?？]')) >= 2 OR regexp_matches(text, '[；;]') OR len(list_filter(regexp_split_to_array(text, chr(10)), lambda l: trim(l) <> '')) >= 2
+OR regexp_matches(trim(text), '(^|\\s)(\\d+[)\\.、]|[A-Za-z][)])') AS multi, length(text) < 8 OR multi AS rewrite FROM conversations""")
+def multi_questions(spark, sf):
+    q = F.col("text")
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.is_multi_question(q).alias("multi"), T.needs_rewrite(q, F.lit("")).alias("rewrite"))
+
+
+@query("""SELECT conv_id, turn, list_slice(list_distinct_ordered, 1, 4) AS parts FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[?？；;\\n]+'), lambda x: trim(x)), lambda x: x <> '') AS p,
+list_filter(p, lambda x, i: list_position(p, x) = i) AS list_distinct_ordered FROM conversations)""")
+def question_parts(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.split_questions(F.col("text")).alias("parts"))
+
+
+@query()
+def query_rules(spark, sf):
+    """Time, follow-up, decomposition and navigation rules of every turn."""
+    q = F.col("text")
+    return table(spark, sf, "conversations").select(
+        "conv_id", "turn", T.is_time_sensitive(q).alias("time"), T.needs_fresh_search(q).alias("fresh"), T.dated_query(q, F.lit("2024-01-15")).alias("dated"), T.is_short_follow_up(q).alias("follow_up"),
+        T.may_decompose(q).alias("decompose"), T.is_open_chat(q).alias("open_chat"), T.navigation_mode(q, F.lit(True)).alias("mode"), T.exact_tokens(q).alias("tokens"), T.keyword_terms(q).alias("keywords"),
+    )
+
+
+@query()
+def document_profiles(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", T.profile(F.col("text"), F.concat(F.col("source"), F.lit(".md"))).alias("p")).select("doc_id", "p.*")
+
+
+@query("""WITH u AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages), p AS (SELECT page_id, lower(regexp_extract(u, '^(https?)://', 1)) AS s, lower(regexp_extract(u, '^https?://([^/?]*)', 1)) AS h,
+regexp_extract(u, '^https?://[^/?]*([^?]*)', 1) AS p, list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|gclid|fbclid|spm|from|ref|source)(=|$)')) AS q FROM u)
+SELECT page_id, CASE WHEN s = '' OR h = '' THEN '' ELSE s || '://' || h || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS url, h AS host FROM p""")
+def url_normalize(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.normalize_url(F.col("url")).alias("url"), T.url_host(F.col("url")).alias("host"))
+
+
+@query()
+def extract_links(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.explode_outer(T.page_links(F.col("html"), F.col("url"))).alias("link"))
+
+
+@query()
+def page_texts(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.page_text(F.col("html")).alias("text"), T.url_slug(F.col("url")).alias("slug"))
+
+
+@query("""SELECT conv_id, turn, least(1.0, greatest(0.0, ((length(text) % 100) / 100 - 0.45) / 0.10)) AS weight FROM conversations""")
+def probability_weights(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.probability_weight((F.length("text") % 100) / 100).alias("weight"))
