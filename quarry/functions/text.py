@@ -109,18 +109,22 @@ def clip_tail(c: Column, most: int) -> Column:
     return F.when(F.length(c) > most, F.concat(F.lit("…"), F.right(c, F.lit(most - 1)))).otherwise(c)
 
 
+def _pairs(s: Column) -> Column:
+    """Distinct neighbouring characters, in linear time: substr would walk a long text from its start for each pair."""
+    chars = F.filter(F.split(s, ""), lambda x: x != "")
+    n = F.greatest(F.lit(0), F.size(chars) - 1)
+    return F.array_distinct(F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda x, y: F.concat(x, y)))
+
+
 def bigrams(c: Column) -> Column:
     """Distinct character pairs of the CJK and ASCII word characters, lower case; none below two characters."""
-    s = F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), "[^\\u4e00-\\u9fffA-Za-z0-9_]", ""))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substr(s, i, F.lit(2)))
-    return F.when(F.length(s) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    return _pairs(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), "[^\\u4e00-\\u9fffA-Za-z0-9_]", "")))
 
 
 def gold_bigrams(c: Column) -> Column:
     """Distinct character pairs of the matched form; a single character stands for itself."""
     s = normalize_for_match(c)
-    pairs = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substr(s, i, F.lit(2)))
-    return F.when(F.length(s) >= 2, F.array_distinct(pairs)).otherwise(F.array(s))
+    return F.when(F.length(s) >= 2, _pairs(s)).otherwise(F.array(s))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -22,20 +22,24 @@ def usage_trend(spark, sf):
     return A.daily_trend(table(spark, sf, "events"), "value").withColumn("cost", F.round("cost", 2))
 
 
-STATUS = F.when(F.col("event_type") == "error", "error").otherwise("ok")
-ROOT = F.col("event_type") == "view"
+def status():
+    return F.when(F.col("event_type") == "error", "error").otherwise("ok")
+
+
+def root():
+    return F.col("event_type") == "view"
 
 
 @query("""SELECT user_id, count(*) AS spans, min(value) FILTER (event_type = 'view') AS duration, max(CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END) AS span_status,
 bool_or(event_type = 'error') AS has_error FROM events GROUP BY user_id""")
 def span_stats(spark, sf):
-    return A.span_stats(table(spark, sf, "events"), "user_id", STATUS, "value", ROOT)
+    return A.span_stats(table(spark, sf, "events"), "user_id", status(), "value", root())
 
 
 @query(f"""SELECT count(DISTINCT user_id) AS traces, count(DISTINCT CASE WHEN ts::DATE = {DAY} THEN user_id END) AS traces_today,
 count(DISTINCT CASE WHEN event_type = 'error' THEN user_id END) AS error_traces, round(avg(CASE WHEN event_type = 'view' THEN value END), 1) AS avg_root_ms FROM events""")
 def trace_cards(spark, sf):
-    return A.trace_cards(table(spark, sf, "events"), "user_id", STATUS, "value", ROOT, F.lit("2024-01-15").cast("date"))
+    return A.trace_cards(table(spark, sf, "events"), "user_id", status(), "value", root(), F.lit("2024-01-15").cast("date"))
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1")

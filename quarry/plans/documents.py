@@ -1 +1,110 @@
-"""Queries."""
+"""Queries of structure and chunks over documents and pages."""
+
+from pyspark.sql import functions as F
+
+from quarry.functions import text as T
+from quarry.operators import structure as D
+from quarry.registry import query, table
+from quarry.sources import files
+
+
+def page_documents(spark, sf):
+    return table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), T.page_text(F.col("html")).alias("text"))
+
+
+def tree(spark, sf):
+    return D.build_tree(D.classify_lines(D.logical_lines(page_documents(spark, sf))))
+
+
+@query("SELECT doc_id AS doc, line, count(*) AS freq FROM (SELECT doc_id, unnest(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10))) AS raw, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS line FROM documents) WHERE line <> '' GROUP BY ALL")
+def line_frequency(spark, sf):
+    lines = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("raw"))
+    return D.line_frequency(lines.withColumn("line", T.strip(F.col("raw"))))
+
+
+@query()
+def line_signals(spark, sf):
+    return D.classify_lines(D.logical_lines(page_documents(spark, sf))).select("doc", "line_no", "kind", "code", "title", "level")
+
+
+@query()
+def document_tree(spark, sf):
+    return tree(spark, sf).select("doc", "node_no", "node_type", "parent_no", "prev_no", "next_no", "depth", "title", "section_path", "canonical_path")
+
+
+@query()
+def graph_edges(spark, sf):
+    return D.edges(tree(spark, sf))
+
+
+@query()
+def subtree_items(spark, sf):
+    nodes = tree(spark, sf)
+    return D.items_below(nodes, nodes.where("node_type = 'document'").select("doc", F.col("node_no").alias("root"))).select("doc", "root", "node_no", "item_index")
+
+
+@query()
+def node_contexts(spark, sf):
+    return D.node_context(tree(spark, sf))
+
+
+@query()
+def outlines(spark, sf):
+    return D.render_outline(tree(spark, sf))
+
+
+@query()
+def structure_chunks(spark, sf):
+    return D.structure_chunks(tree(spark, sf))
+
+
+@query()
+def chunk_sentences(spark, sf):
+    return D.sentence_chunks(table(spark, sf, "documents"))
+
+
+@query()
+def chunk_overlap(spark, sf):
+    return D.overlapped_chunks(D.sentence_chunks(table(spark, sf, "documents")))
+
+
+@query()
+def chunk_pipeline(spark, sf):
+    return D.chunk_pipeline(page_documents(spark, sf))
+
+
+@query()
+def merged_chunks(spark, sf):
+    from quarry.models import hashing_embedding
+
+    chunks = D.sentence_chunks(page_documents(spark, sf)).withColumn("parent", F.lit(0)).withColumn("vector", hashing_embedding(F.col("text")))
+    return D.merge_semantic(chunks)
+
+
+@query("""WITH RECURSIVE e(child, parent) AS (SELECT c_custkey, c_custkey // 3 FROM customer WHERE c_custkey > 0), d(root, node, distance) AS (SELECT 1::BIGINT, 1::BIGINT, 0 UNION ALL SELECT d.root, e.child, d.distance + 1 FROM d JOIN e ON e.parent = d.node)
+SELECT root, node, distance FROM d""")
+def tree_descend(spark, sf):
+    """Everything below node 1 of a tree whose parents are the keys' thirds."""
+    c = table(spark, sf, "customer").where("c_custkey > 0")
+    nodes = c.select(F.lit(0).alias("doc"), F.col("c_custkey").alias("node_no"), F.floor(F.col("c_custkey") / 3).alias("parent_no"))
+    roots = spark.range(1).select(F.lit(0).alias("doc"), F.lit(1).cast("long").alias("root"))
+    return D.subtree(nodes, roots).select("root", F.col("node_no").alias("node"), "distance")
+
+
+@query("SELECT doc_id, CASE WHEN p >= 5 AND n >= 2000 THEN ['recursive', 'semantic'] ELSE ['recursive'] END AS strategy FROM (SELECT doc_id, length(text) AS n, len(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: regexp_replace(x, '\\s+', '', 'g') <> '')) AS p FROM documents)")
+def chunk_strategies(spark, sf):
+    c = F.col("text")
+    p = F.size(T.paragraphs(c))
+    return table(spark, sf, "documents").select("doc_id", D.recommend_strategy(F.lit(0), F.lit(0), F.length(c), p).alias("strategy"))
+
+
+@query()
+def context_windows(spark, sf):
+    return D.context_window(D.sentence_chunks(table(spark, sf, "documents"))).select("doc", "chunk_no", F.length("before").alias("before"), F.length("after").alias("after"))
+
+
+@query()
+def crawl_pages(spark, sf):
+    """Urls within two links of the pages, on their hosts."""
+    pages = table(spark, sf, "pages")
+    return files.crawl(pages.select("url"), pages, 2)

@@ -1 +1,183 @@
-"""Queries."""
+"""Queries of evaluation: labels as judgements, embeddings' neighbours as ranked lists with equal labels as gold."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quarry import models
+from quarry.operators import evaluation as E
+from quarry.operators import ranking as R
+from quarry.plans.retrieval import V_SQL, by_vector
+from quarry.registry import query, table
+
+LISTS = f"""WITH {V_SQL}, g AS (SELECT query, list(chunk ORDER BY chunk) AS gold FROM vt WHERE chunk % 5 = query % 5 GROUP BY query),
+h AS (SELECT query, list(chunk ORDER BY rank) AS hits FROM vt GROUP BY query), l AS (SELECT query, hits, coalesce(gold, []) AS gold FROM h LEFT JOIN g USING (query)),
+r AS (SELECT query, list_filter(list_transform(hits[1:5], lambda x, i: CASE WHEN list_contains(gold, x) THEN i END), lambda x: x IS NOT NULL) AS early, list_filter(list_transform(hits, lambda x, i: CASE WHEN list_contains(gold, x) THEN i END), lambda x: x IS NOT NULL) AS places, gold, hits FROM l)
+"""
+
+
+def lists(spark, sf):
+    """Each question's 50 hits; its gold is those whose id has the question's remainder by 5."""
+    v = by_vector(spark, sf)
+    ordered = lambda x: F.transform(F.array_sort(F.collect_list(F.when(x, F.struct("rank", "chunk")))), lambda s: s["chunk"])
+    return v.groupBy("query").agg(ordered(F.lit(True)).alias("hits"), ordered(F.col("chunk") % 5 == F.col("query") % 5).alias("gold"))
+
+
+@query(LISTS + "SELECT query, CASE WHEN len(gold) > 0 THEN round(len(early) / len(gold), 6) END AS recall5, CASE WHEN len(gold) > 0 THEN round(coalesce(1.0 / places[1], 0), 6) END AS mrr, CASE WHEN len(gold) > 0 THEN round(coalesce(list_sum(list_transform(early, lambda i: 1 / log2(i + 1))), 0) / list_sum(list_transform(range(1, least(5, len(gold)) + 1), lambda i: 1 / log2(i + 1))), 6) END AS ndcg5, CASE WHEN len(gold) > 0 THEN (len(early) > 0)::INT::DOUBLE END AS any5 FROM r")
+def recall_mrr_ndcg(spark, sf):
+    h, g = F.col("hits"), F.col("gold")
+    return lists(spark, sf).select("query", F.round(E.recall_at(h, g, 5), 6).alias("recall5"), F.round(E.mrr(h, g), 6).alias("mrr"), F.round(E.ndcg_at(h, g, 5), 6).alias("ndcg5"), E.any_recall_at(h, g, 5).alias("any5"))
+
+
+@query(LISTS + "SELECT round(avg((len(hits) = 0)::INT), 6) AS zero_hit, round(avg(len(hits)), 6) AS avg_hits, round(avg(CASE WHEN len(gold) > 0 THEN (len(places) > 0)::INT END), 6) AS coverage, round(avg(CASE WHEN len(gold) > 0 THEN coalesce(1.0 / places[1], 0) END), 6) AS mrr FROM r")
+def channel_probe(spark, sf):
+    return E.probe_summary(lists(spark, sf)).select(*[F.round(c, 6).alias(c) for c in ("zero_hit", "avg_hits", "coverage", "mrr")])
+
+
+@query(f"WITH {V_SQL}, j AS (SELECT query, rank, chunk % 3 = 0 AS rel FROM vt), p AS (SELECT query, CASE WHEN rel THEN sum(rel::INT) OVER (PARTITION BY query ORDER BY rank) / rank END AS p FROM j) SELECT query, round(coalesce(avg(p), 0), 6) AS precision FROM p GROUP BY query")
+def context_precision(spark, sf):
+    return E.average_precision(by_vector(spark, sf).withColumn("relevant", F.col("chunk") % 3 == 0)).withColumn("precision", F.round("precision", 6))
+
+
+def judged(spark, sf):
+    """Labels with a probability derived from the document's id."""
+    return table(spark, sf, "labels").select("doc_id", "quality", "toxic", ((F.col("doc_id") * 37 % 101 + 40 * F.col("quality")) / 141).alias("p"))
+
+
+J_SQL = "j AS (SELECT doc_id, quality, toxic, (doc_id * 37 % 101 + 40 * quality) / 141 AS p FROM labels)"
+
+
+@query(f"WITH {J_SQL}, a AS (SELECT sum((x.p > y.p)::INT + 0.5 * (x.p = y.p)::INT) / count(*) AS auc FROM j x, j y WHERE x.quality = 1 AND y.quality = 0) SELECT round(auc, 9) AS auc FROM a")
+def auc(spark, sf):
+    return E.auc(judged(spark, sf), "p", "quality").select(F.round("auc", 9).alias("auc"))
+
+
+@query(f"WITH {J_SQL}, b AS (SELECT least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS c, avg(quality) AS a FROM j WHERE quality IS NOT NULL GROUP BY 1) SELECT round(sum(n * abs(c - a)) / sum(n), 9) AS ece FROM b")
+def ece(spark, sf):
+    return E.ece(judged(spark, sf).where("quality is not null"), "p", "quality").select(F.round("ece", 9).alias("ece"))
+
+
+@query(f"WITH {J_SQL}, t AS (SELECT DISTINCT p AS threshold FROM j), r AS (SELECT threshold, count(*) FILTER (quality = 1 AND p >= threshold) / nullif(count(*) FILTER (quality = 1), 0) AS recall, count(*) FILTER (quality = 0 AND p >= threshold) / nullif(count(*) FILTER (quality = 0), 0) AS false_pass FROM t, j GROUP BY threshold) SELECT round(threshold, 9) AS threshold, round(recall, 9) AS recall, round(false_pass, 9) AS false_pass FROM r WHERE false_pass <= 0.05 ORDER BY recall DESC, r.threshold DESC LIMIT 1")
+def choose_threshold(spark, sf):
+    best = E.choose_threshold(judged(spark, sf), "p", "quality")
+    return best.select(*[F.round(c, 9).alias(c) for c in best.columns])
+
+
+@query(f"WITH {J_SQL}, c AS (SELECT count(*) FILTER (quality = 1 AND p >= 0.5) AS tp, count(*) FILTER (quality = 0 AND p >= 0.5) AS fp, count(*) FILTER (quality = 1 AND p < 0.5) AS fn, count(*) FILTER (quality = 0 AND p < 0.5) AS tn FROM j) SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FROM c")
+def confusion(spark, sf):
+    c = E.confusion(judged(spark, sf), F.col("quality") == 1, F.col("p") >= 0.5)
+    return c.select("tp", "fp", "fn", "tn", *[F.round(x, 6).alias(x) for x in ("precision", "recall", "f1", "accuracy")])
+
+
+@query("""WITH d AS (SELECT lang AS t, CASE WHEN doc_id % 4 = 0 THEN 'en' ELSE lang END AS g FROM documents), l AS (SELECT DISTINCT t AS label FROM d UNION SELECT DISTINCT g FROM d),
+c AS (SELECT label, count(*) FILTER (t = label AND g = label) AS tp, count(*) FILTER (t <> label AND g = label) AS fp, count(*) FILTER (t = label AND g <> label) AS fn FROM l, d GROUP BY label)
+SELECT label, tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""")
+def class_metrics(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("lang").alias("t"), F.when(F.col("doc_id") % 4 == 0, "en").otherwise(F.col("lang")).alias("g"))
+    c = E.by_class(d, "t", "g")
+    return c.select("label", "tp", "fp", "fn", *[F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")])
+
+
+@query("""WITH r AS (SELECT quality = 1 AND doc_id % 3 <> 0 AS x, quality = 1 AND doc_id % 5 <> 0 AS y FROM labels) SELECT count(*) FILTER (x AND NOT y) AS b, count(*) FILTER (NOT x AND y) AS c FROM r""")
+def mcnemar(spark, sf):
+    q = F.col("quality") == 1
+    return E.mcnemar(table(spark, sf, "labels"), q & (F.col("doc_id") % 3 != 0), q & (F.col("doc_id") % 5 != 0)).select("b", "c")
+
+
+@query()
+def mcnemar_p(spark, sf):
+    q = F.col("quality") == 1
+    return E.mcnemar(table(spark, sf, "labels"), q & (F.col("doc_id") % 3 != 0), q & (F.col("doc_id") % 5 != 0))
+
+
+@query()
+def paired_bootstrap(spark, sf):
+    j = judged(spark, sf)
+    pairs = E.paired(j.select(F.col("doc_id").alias("question_id"), F.col("p").alias("m")), j.select(F.col("doc_id").alias("question_id"), (F.col("p") + 0.01 * F.col("quality")).alias("m")), "m")
+    return E.bootstrap(pairs.withColumn("metric", F.lit("p")), "metric", n=200)
+
+
+@query()
+def gold_align_bigram(spark, sf):
+    a = E.align_gold(table(spark, sf, "benchmark").select(F.col("item_id").alias("snippet"), "text"), table(spark, sf, "documents").select(F.col("doc_id").alias("chunk"), "text"))
+    return a.withColumn("ratio", F.round("ratio", 6))
+
+
+@query(f"WITH {J_SQL} SELECT doc_id % 7 AS query, round(sum(least(1.0, greatest(0.0, (p - 0.45) / 0.10))) / count(p), 6) AS faithfulness FROM j GROUP BY 1")
+def faithfulness(spark, sf):
+    return E.faithfulness(judged(spark, sf).withColumn("query", F.col("doc_id") % 7)).withColumn("faithfulness", F.round("faithfulness", 6))
+
+
+@query("SELECT conv_id, turn, CASE WHEN trim(text) <> '' THEN regexp_matches(lower(text), '无法回答|没有找到|未找到|暂无相关|不在知识库|抱歉|cannot answer|can''t answer|no relevant|not found|unable to') END AS refused FROM conversations WHERE role = 'assistant'")
+def refusals(spark, sf):
+    return table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", E.is_refusal(F.col("text")).alias("refused"))
+
+
+@query("""WITH m(metric, threshold) AS (VALUES ('error', 60.0), ('click', 0.0), ('view', 40.0), ('none', 5.0)), v AS (SELECT event_type AS metric, round(avg(value), 6) AS value FROM events GROUP BY 1) SELECT metric, value, threshold::DOUBLE AS threshold FROM m LEFT JOIN v USING (metric) WHERE threshold > 0 AND value < threshold""")
+def gate_violations(spark, sf):
+    gates = spark.createDataFrame([("error", 60.0), ("click", 0.0), ("view", 40.0), ("none", 5.0)], "metric string, threshold double")
+    v = table(spark, sf, "events").groupBy(F.col("event_type").alias("metric")).agg(F.round(F.avg("value"), 6).alias("value"))
+    return E.gate_violations(gates.join(v, "metric", "left")).select("metric", "value", "threshold")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'test' ELSE 'dev' END AS split FROM documents")
+def eval_splits(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", E.split_of(F.col("doc_id").cast("string")).alias("split"))
+
+
+@query("WITH s(k) AS (VALUES (4), (8), (16)) SELECT item_id, k FROM benchmark, s")
+def experiment_matrix(spark, sf):
+    return E.experiment_matrix(table(spark, sf, "benchmark").select("item_id"), spark.createDataFrame([(4,), (8,), (16,)], "k int"))
+
+
+@query(f"""WITH {V_SQL}, k(final_k) AS (VALUES (4), (8), (16)), a AS (SELECT final_k, query, count(*) FILTER (rank <= final_k AND chunk % 5 = query % 5) AS hit, count(*) FILTER (chunk % 5 = query % 5) AS gold FROM vt, k GROUP BY ALL) SELECT final_k, round(avg(CASE WHEN gold > 0 THEN hit / gold END), 6) AS recall FROM a GROUP BY 1""")
+def parameter_sweep(spark, sf):
+    runs = E.experiment_matrix(by_vector(spark, sf), spark.createDataFrame([(4,), (8,), (16,)], "final_k int"))
+    own = F.col("chunk") % 5 == F.col("query") % 5
+    per = runs.groupBy("final_k", "query").agg(F.count_if(own & (F.col("rank") <= F.col("final_k"))).alias("hit"), F.count_if(own).alias("gold"))
+    return per.groupBy("final_k").agg(F.round(F.avg(F.try_divide("hit", F.nullif("gold", F.lit(0)))), 6).alias("recall"))
+
+
+@query("SELECT min(item_id) AS id FROM benchmark GROUP BY regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g')")
+def distinct_questions(spark, sf):
+    return E.distinct_questions(table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"))).select("id")
+
+
+@query("""WITH j AS (SELECT doc_id, quality, toxic FROM labels) SELECT round(avg((quality IS NOT NULL)::INT), 6) AS quality, round(avg((nullif(toxic, 0) IS NOT NULL)::INT), 6) AS toxic, least(round(avg((quality IS NOT NULL)::INT), 6), round(avg((nullif(toxic, 0) IS NOT NULL)::INT), 6)) AS coverage FROM j""")
+def judge_coverage(spark, sf):
+    done = table(spark, sf, "labels").select("quality", F.nullif("toxic", F.lit(0)).alias("toxic"), F.lit("completed").alias("status"))
+    c = E.judge_coverage(done, "quality", "toxic")
+    return c.select(*[F.round(x, 6).alias(x) for x in c.columns])
+
+
+@query()
+def text_recall(spark, sf):
+    """Documents that hold at least half of a benchmark item's character pairs."""
+    o = E.overlap_pairs(table(spark, sf, "benchmark").select(F.col("item_id").alias("snippet"), "text"), table(spark, sf, "documents").select(F.col("doc_id").alias("chunk"), "text"), 0.5)
+    return o.withColumn("ratio", F.round("ratio", 6))
+
+
+@query()
+def loss_stages(spark, sf):
+    """Where each question's gold document was lost on its way through the channels, gate and cut."""
+    v = by_vector(spark, sf).withColumn("gold", F.col("chunk") % 5 == F.col("query") % 5)
+    gated = R.vector_gate(v)
+    seen = lambda d, n: d.where("gold").select("query").distinct().withColumn(n, F.lit(True))
+    out = v.select("query").distinct()
+    for d, n in ((v, "recalled"), (gated, "gated"), (gated.where("rank <= 30"), "fused"), (gated.where("rank <= 20"), "reranked"), (gated.where("rank <= 3"), "final")):
+        out = out.join(seen(d, n), "query", "left")
+    flags = [F.coalesce(n, F.lit(False)) for n in ("recalled", "gated", "fused", "reranked", "final")]
+    return out.select("query", E.attribute_stage(*flags).alias("stage")).groupBy("stage").count()
+
+
+@query()
+def perturbed_answers(spark, sf):
+    a = table(spark, sf, "conversations").where("role = 'assistant'")
+    return a.select("conv_id", "turn", *[E.perturb(F.col("text"), h).alias(h) for h in ("number", "polarity", "condition", "verbosity", "citation")])
+
+
+@query()
+def embedded_texts(spark, sf):
+    """Offline embeddings of the benchmark and their nearest other item."""
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("chunk"), models.checked_dimension(models.hashing_embedding(F.col("text")), 64).alias("vector"))
+    near = R.vector_channel(b.select(F.col("chunk").alias("query"), F.col("vector").alias("query_vector")), b, 2)
+    return near.where("query <> chunk").select("query", "chunk", F.round("score", 6).alias("score"), F.row_number().over(Window.partitionBy("query").orderBy("rank")).alias("rank")).where("rank = 1")

@@ -1 +1,100 @@
-"""Queries."""
+"""Queries of routing and plans over the star schema."""
+
+from pyspark.sql import functions as F
+
+from quarry.functions.vectors import cosine
+from quarry.operators import lexical as L
+from quarry.operators import ranking as R
+from quarry.operators import routing as G
+from quarry.registry import query, table
+
+S_SQL = """q AS (SELECT vec_id AS query, label, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query, vec_id AS code, list_cosine_similarity(qv, embedding::DOUBLE[]) AS sim, q.label = e.label AS same FROM q, embeddings e),
+r AS (SELECT query, code, round(CASE WHEN sim > 0.2 THEN (sim - 0.2) * 50 ELSE 0 END + least(10, (code % 5) * 1.6) + CASE WHEN same THEN 15 ELSE 0 END + (code % 10) / 10 * 20, 4) AS score FROM s),
+b AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, code) AS rank FROM r WHERE score > 0 QUALIFY rank <= 8)"""
+
+
+def routes(spark, sf):
+    e = table(spark, sf, "embeddings")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("l"), F.col("embedding").alias("qv"))
+    parts = []
+    for block in R.query_blocks(asked):
+        pairs = e.crossJoin(F.broadcast(block))
+        score = G.route_score(cosine(F.col("qv"), F.col("embedding")), F.col("vec_id") % 5, F.lit(0), F.lit(0.0), F.col("l") == F.col("label"), F.col("vec_id") % 10 / 10)
+        parts.append(G.best_routes(pairs.select("query", F.col("vec_id").alias("code"), score.alias("score")), G.TOPICS))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(f"WITH {S_SQL} SELECT query, code, round(score, 3) AS score FROM b WHERE rank <= 3")
+def topic_routes(spark, sf):
+    return routes(spark, sf).where("rank <= 3").select("query", "code", F.round("score", 3).alias("score"))
+
+
+@query(f"WITH {S_SQL}, c AS (SELECT query, max(score) FILTER (rank = 1) AS best, max(score) FILTER (rank = 2) AS second FROM b GROUP BY 1) SELECT query, round(best / greatest(10, best + second + 5), 3) AS confidence, CASE WHEN best / greatest(10, best + second + 5) >= 0.55 THEN 'SUCCESS' ELSE 'LOW_CONFIDENCE' END AS status FROM c")
+def route_confidence(spark, sf):
+    c = G.confidence(routes(spark, sf))
+    return c.select("query", F.round("confidence", 3).alias("confidence"), "status")
+
+
+@query(f"WITH {S_SQL}, c AS (SELECT query, max(score) FILTER (rank = 1) AS best, max(score) FILTER (rank = 2) AS second FROM b GROUP BY 1) SELECT query, best / greatest(10, best + second + 5) < 0.4 OR best - second <= 3 AS clarify FROM c")
+def clarify_decisions(spark, sf):
+    c = G.confidence(routes(spark, sf))
+    return c.select("query", G.must_clarify(F.col("best") / F.greatest(F.lit(10.0), F.col("best") + F.col("second") + 5), F.lit(False), F.col("best") - F.col("second"), F.lit(False)).alias("clarify"))
+
+
+@query()
+def route_traces(spark, sf):
+    r = routes(spark, sf)
+    return G.trace_rows(r, r.where("rank = 2").select("query", F.col("code").alias("selected")))
+
+
+@query("""SELECT p_partkey, (CASE WHEN lower(p_brand) = 'brand#11' THEN 2 ELSE 0 END + CASE WHEN starts_with(lower(p_brand), 'brand#11') THEN 1.5 ELSE 0 END + CASE WHEN contains('brand#11', lower(p_brand)) OR contains(lower(p_brand), 'brand#11') THEN 1 ELSE 0 END
++ CASE WHEN levenshtein('brand#11', lower(p_brand)) <= 2 THEN 0.5 ELSE 0 END)::DOUBLE AS score FROM part""")
+def lexical_routes(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", L.route_lexical(F.lit("Brand#11"), F.col("p_brand")).alias("score"))
+
+
+@query("""WITH w AS (SELECT p_partkey AS code, unnest(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+'))) AS term FROM part), q AS (SELECT n_nationkey AS query, unnest(list_distinct(regexp_extract_all(lower(n_name), '[a-z0-9]+') || ['part', '10'])) AS term FROM nation),
+s AS (SELECT query, code, sum(CASE WHEN length(term) >= 6 THEN 12 WHEN length(term) >= 4 THEN 8 WHEN length(term) >= 3 THEN 4 ELSE 2 END)::DOUBLE AS score FROM q JOIN w USING (term) GROUP BY ALL HAVING score >= 1)
+SELECT query, code, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, code) AS rank FROM s QUALIFY rank <= 5""")
+def fallback_routes(spark, sf):
+    from quarry.models import words
+
+    q = table(spark, sf, "nation").select(F.col("n_nationkey").alias("query"), F.lit("t").alias("tenant"), F.concat(words(F.col("n_name")), F.array(F.lit("part"), F.lit("10"))).alias("terms"))
+    return G.fallback_routes(q, table(spark, sf, "part").select(F.col("p_partkey").alias("code"), F.lit("t").alias("tenant"), F.col("p_name").alias("text")))
+
+
+@query("""SELECT page_id // 10 AS doc, page_id AS node_no, CASE WHEN contains(lower(url), 'en') THEN 2 ELSE 0 END + CASE WHEN contains(lower(url), 'org') THEN 1 ELSE 0 END AS score FROM pages WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY page_id // 10 ORDER BY score DESC, page_id) = 1""")
+def best_sections(spark, sf):
+    s = table(spark, sf, "pages").select(F.floor(F.col("page_id") / 10).alias("doc"), F.col("page_id").alias("node_no"), F.lit("").alias("title"), F.col("url").alias("section_path"))
+    return G.best_section(s, F.lit("en"), F.lit("org")).select("doc", "node_no", "score")
+
+
+@query("""WITH t(o, topics) AS (SELECT o_orderkey, [o_orderpriority, o_orderstatus] FROM orders) SELECT DISTINCT o AS doc, unnest(list_filter(topics, lambda x: x IN ('1-URGENT', 'F'))) AS topic FROM t""")
+def topic_documents(spark, sf):
+    p = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), F.to_json(F.array("o_orderpriority", "o_orderstatus")).alias("core_topics"))
+    return G.topic_documents(p, spark.createDataFrame([("1-URGENT",), ("F",)], "topic string"))
+
+
+STEPS = [(1, "a", []), (1, "b", ["a"]), (1, "c", ["a", "b"]), (2, "a", ["b"]), (2, "b", ["a"]), (2, "c", []), (3, "a", ["zz"]), (3, "a", [])]
+
+
+@query("SELECT * FROM (VALUES (1, 'a', 0), (1, 'b', 1), (1, 'c', 2), (2, 'a', -1), (2, 'b', -1), (2, 'c', 0), (3, 'a', 0)) t(plan, id, layer)")
+def topo_layers(spark, sf):
+    steps = spark.createDataFrame(STEPS, "plan int, id string, depends_on array<string>")
+    return G.layers(steps, steps.select("plan", "id", F.explode("depends_on").alias("needs")))
+
+
+@query("SELECT * FROM (VALUES (2, 'a', 'cycle'), (2, 'b', 'cycle'), (3, 'a', 'duplicate_id'), (3, 'a', 'unknown_dependency'), (1, 'c', 'empty_question')) t(plan, id, issue)")
+def subplan_issues(spark, sf):
+    steps = spark.createDataFrame(STEPS, "plan int, id string, depends_on array<string>").withColumn("mode", F.lit("RETRIEVAL"))
+    return G.plan_issues(steps.withColumn("question", F.when(F.concat("plan", "id") == "1c", " ").otherwise("q")))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'open' ELSE 'knowledge' END AS intent FROM conversations")
+def intents(spark, sf):
+    d = F.array(F.struct(F.lit("knowledge").alias("label"), F.when(F.col("turn") % 2 == 0, 0.3).otherwise(0.6).alias("p")), F.struct(F.lit("chat").alias("label"), F.when(F.col("turn") % 2 == 0, 0.7).otherwise(0.5).alias("p")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", G.resolve_intent(d, F.lit("other")).alias("intent"))

@@ -1 +1,202 @@
-"""Queries."""
+"""Queries of retrieval: benchmark items ask, documents and embeddings answer (a vector stands for the document of its id)."""
+
+from pyspark.sql import functions as F
+
+from quarry import models
+from quarry.functions import text as T
+from quarry.operators import lexical as L
+from quarry.operators import ranking as R
+from quarry.registry import query, table
+
+
+def vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk"), F.col("embedding").alias("vector"), "label")
+
+
+def questions(spark, sf):
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return b.join(vectors(spark, sf).select(F.col("chunk").alias("query"), F.col("vector").alias("query_vector")), "query")
+
+
+def by_vector(spark, sf):
+    return R.vector_channel(questions(spark, sf).select("query", "query_vector"), vectors(spark, sf))
+
+
+def by_keyword(spark, sf):
+    docs = table(spark, sf, "documents")
+    posts = L.sorted_postings(docs, "doc_id", "text")
+    scored = L.bm25(posts, L.query_terms(questions(spark, sf)), L.corpus_size(docs, "text"))
+    return R.top(scored, R.KEYWORD_TOP, F.round("score", 9).desc(), F.col("chunk"))
+
+
+V_SQL = """q AS (SELECT item_id AS query, text, embedding::DOUBLE[] AS qv FROM benchmark JOIN embeddings ON vec_id = item_id),
+v AS (SELECT query, vec_id AS chunk, list_cosine_similarity(qv, embedding::DOUBLE[]) AS score FROM q, embeddings),
+vt AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) AS rank FROM v QUALIFY rank <= 50)"""
+K_SQL = r"""w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+|[\x{4e00}-\x{9fff}]') AS w FROM documents),
+n AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w)) AS total FROM w),
+p AS (SELECT doc_id AS chunk, len(w) AS dl, unnest(w) AS term FROM w), tf AS (SELECT chunk, term, dl, count(*) AS tf FROM p GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+qt AS (SELECT query, len(t) AS n_terms, unnest(t) AS term FROM (SELECT query, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+|[\x{4e00}-\x{9fff}]')) AS t FROM q)),
+k AS (SELECT query, chunk, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * dl * n / total))) AS score, count(*) AS matched
+      FROM qt JOIN tf USING (term) JOIN df USING (term), n GROUP BY query, chunk, n_terms HAVING count(*) >= CASE WHEN n_terms <= 1 THEN n_terms ELSE greatest(1, floor(n_terms * 0.3)) END),
+kt AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, chunk) AS rank FROM k QUALIFY rank <= 100)"""
+VG_SQL = """vm AS (SELECT *, max(score) OVER (PARTITION BY query) * 0.35 AS floor FROM vt),
+vn AS (SELECT *, count(*) FILTER (score >= floor) OVER (PARTITION BY query) AS kept FROM vm),
+vg AS (SELECT query, chunk, score, rank FROM vn WHERE score >= floor OR (kept = 0 AND rank = 1 AND score >= floor * 0.85))"""
+KG_SQL = """kb AS (SELECT *, max(score) OVER (PARTITION BY query) AS b FROM kt), kg AS (SELECT query, chunk, score, rank FROM kb WHERE b <= 0 OR score >= b * 0.35)"""
+F_SQL = """u AS (SELECT query, chunk, 1.0::DOUBLE / (30 + rank) AS s, rank AS vr, NULL::BIGINT AS kr FROM vg UNION ALL SELECT query, chunk, 1.0::DOUBLE / (30 + rank), NULL, rank FROM kg),
+f AS (SELECT query, chunk, sum(s) AS s, min(vr) AS vector_rank, min(kr) AS keyword_rank FROM u GROUP BY ALL),
+ft AS (SELECT query, chunk, round(s, 6) AS rrf_score, CASE WHEN vector_rank IS NOT NULL AND keyword_rank IS NOT NULL THEN 'hybrid' WHEN vector_rank IS NOT NULL THEN 'vector' ELSE 'keyword' END AS channel, vector_rank, keyword_rank,
+       row_number() OVER (PARTITION BY query ORDER BY round(s, 12) DESC, vector_rank NULLS LAST, keyword_rank NULLS LAST, chunk) AS rank FROM f QUALIFY rank <= 50)"""
+
+
+@query(f"WITH {V_SQL} SELECT query, chunk, round(score, 6) AS score, rank FROM vt")
+def vector_topk(spark, sf):
+    return by_vector(spark, sf).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {V_SQL}, {VG_SQL} SELECT query, chunk, round(score, 6) AS score, rank FROM vg")
+def gate_vector(spark, sf):
+    return R.vector_gate(by_vector(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {V_SQL}, {K_SQL} SELECT query, chunk, round(score, 6) AS score, matched, rank FROM kt")
+def bm25_topk(spark, sf):
+    return by_keyword(spark, sf).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {V_SQL}, {K_SQL}, {KG_SQL} SELECT query, chunk, rank FROM kg")
+def gate_keyword(spark, sf):
+    return R.keyword_gate(by_keyword(spark, sf)).select("query", "chunk", "rank")
+
+
+@query(f"WITH {V_SQL}, m AS (SELECT *, max(score) OVER (PARTITION BY query) AS b FROM vt) SELECT query, chunk, rank FROM m WHERE rank <= 3 OR (b > 0 AND score >= b * 0.4 AND rank <= 20)")
+def adaptive_k(spark, sf):
+    return R.adaptive_k(by_vector(spark, sf)).select("query", "chunk", "rank")
+
+
+def fused(spark, sf):
+    return R.fuse(R.vector_gate(by_vector(spark, sf)), R.keyword_gate(by_keyword(spark, sf)))
+
+
+HYBRID = f"WITH {V_SQL}, {VG_SQL}, {K_SQL}, {KG_SQL}, {F_SQL} "
+
+
+@query(HYBRID + "SELECT * FROM ft")
+def rrf_fuse(spark, sf):
+    return fused(spark, sf)
+
+
+@query(HYBRID + "SELECT query, chunk, rrf_score, channel, rank, rank <= 16 AS is_selected, CASE WHEN rank <= 16 THEN rank END AS final_rank, CASE WHEN rank <= 16 THEN 'selected' ELSE 'beyond_top_k' END AS reason FROM ft")
+def hybrid_retrieval(spark, sf):
+    """Two channels, gates, rank fusion and the final cut."""
+    return R.select_final(fused(spark, sf)).select("query", "chunk", "rrf_score", "channel", "rank", "is_selected", "final_rank", "reason")
+
+
+@query(HYBRID + "SELECT query, chunk, row_number() OVER (PARTITION BY query ORDER BY CASE WHEN n < 3 OR rank % 2 = 1 THEN rank ELSE 2 * n - rank END) AS position FROM (SELECT *, count(*) OVER (PARTITION BY query) AS n FROM ft)")
+def long_context_order(spark, sf):
+    return R.long_context_order(fused(spark, sf)).select("query", "chunk", "position")
+
+
+@query()
+def reranked_evidence(spark, sf):
+    """Fused hits reranked by shared words, the leader guarded, filtered, lifted to their parents (the source) and cut."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk"), F.col("text").alias("content"), F.col("source").alias("parent"))
+    hits = fused(spark, sf).join(docs, "chunk").join(questions(spark, sf).select("query", F.col("text").alias("asked")), "query")
+    ranked = R.rerank_filter(R.guard_leader(R.rerank(hits, models.lexical_score(F.col("asked"), F.col("content")), head=30)))
+    parents = docs.groupBy("parent").agg(F.lit("sources").alias("path"), F.min_by("content", "chunk").alias("parent_text"))
+    lifted = R.elevate_parents(ranked.withColumnRenamed("rrf_score", "score"), parents)
+    again = R.rerank_parents(lifted, models.lexical_score(F.col("asked"), F.col("content")))
+    return R.select_final(again).select("query", "chunk", "parent", F.round("rerank_score", 6).alias("rerank_score"), "rank", "is_selected")
+
+
+@query()
+def assembled_prompts(spark, sf):
+    """Prompts from the final evidence of each question, repeats as pointers, within the budgets."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk"), F.col("text").alias("content"))
+    hits = R.select_final(fused(spark, sf), 8).where("is_selected").join(docs, "chunk")
+    keyed = hits.withColumn("sub_question", F.col("chunk") % 2).withColumn("key", F.sha2(F.coalesce("content", F.lit("")), 256))
+    return R.assemble_prompt(R.point_to_repeats(R.reference_ids(keyed)))
+
+
+LIKE_TERMS = ["the", "data", "model", "water", "people"]
+
+
+@query("""WITH t(term, i) AS (VALUES ('the', 0), ('data', 1), ('model', 2), ('water', 3), ('people', 4)), s AS (SELECT doc_id AS chunk, sum(((contains(lower(text), term))::INT * 1.0 + (contains(lower(source), term))::INT * 1.5) * greatest(1, 6 - i)) AS score FROM documents, t GROUP BY doc_id)
+SELECT chunk, score::DOUBLE AS score FROM s WHERE score > 0""")
+def lexical_like(spark, sf):
+    terms = F.array(*map(F.lit, LIKE_TERMS))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk"), L.like_score(terms, F.col("text"), F.col("source")).alias("score")).where("score > 0")
+
+
+@query(f"WITH {V_SQL}, a AS (SELECT * FROM vt WHERE rank <= 10), b AS (SELECT query, chunk + 1 AS chunk, score * 1.1 AS score, rank FROM vt WHERE rank <= 10), c AS (SELECT query, chunk, max(score) AS score FROM (SELECT query, chunk, score FROM a UNION ALL SELECT query, chunk, score FROM b) GROUP BY ALL) SELECT query, chunk, round(score, 6) AS score FROM c")
+def corrective_union(spark, sf):
+    a = by_vector(spark, sf).where("rank <= 10").withColumn("rerank_score", F.lit(0.0))
+    b = a.withColumn("chunk", F.col("chunk") + 1).withColumn("score", F.col("score") * 1.1)
+    return R.keep_best(a, b).select("query", "chunk", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {V_SQL}, a AS (SELECT query, chunk FROM vt WHERE rank <= 5), b AS (SELECT query, chunk FROM vt WHERE rank BETWEEN 3 AND 9) SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.query = b.query AND a.chunk = b.chunk)")
+def append_fresh(spark, sf):
+    v = by_vector(spark, sf).select("query", "chunk", "rank")
+    return R.append_fresh(v.where("rank <= 5"), v.where("rank between 3 and 9")).select("query", "chunk")
+
+
+@query(f"WITH {V_SQL}, u AS (SELECT query, chunk, rank, 0 AS p FROM vt WHERE rank BETWEEN 11 AND 14 UNION ALL SELECT query, chunk, rank, 1 FROM vt WHERE rank <= 12), d AS (SELECT *, row_number() OVER (PARTITION BY query, chunk ORDER BY p, rank) AS f FROM u) SELECT query, chunk, row_number() OVER (PARTITION BY query ORDER BY p, rank, chunk) AS rank FROM d WHERE f = 1 QUALIFY row_number() OVER (PARTITION BY query ORDER BY p, rank, chunk) <= 8")
+def primary_first(spark, sf):
+    v = by_vector(spark, sf)
+    return R.primary_first(v.where("rank between 11 and 14"), v.where("rank <= 12"), 8).select("query", "chunk", "rank")
+
+
+@query("""SELECT doc_id FROM documents WHERE coalesce(nullif(trim(source), ''), 'default') = 'forum' AND lang IN ('en', 'de') AND doc_id IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144)""")
+def scope_predicates(spark, sf):
+    where = R.scope_predicate(tenant=F.col("source"), want_tenant="forum", doc=F.col("doc_id"), doc_ids=["1", "2", "3", "5", "8", "13", "21", "34", "55", "89", "144", "x"], category=F.col("lang"), categories=["en", "de"])
+    return table(spark, sf, "documents").where(where).select("doc_id")
+
+
+@query("""WITH h(query, prefix) AS (VALUES (1, 'https://a'), (2, 'http'), (3, 'ftp://')) SELECT query, prefix FROM h WHERE EXISTS (SELECT 1 FROM pages WHERE starts_with(lower(url), lower(prefix)))""")
+def prefix_pushdown(spark, sf):
+    hints = spark.createDataFrame([(1, "https://a"), (2, "http"), (3, "ftp://")], "query int, prefix string")
+    return R.validated_prefixes(hints, table(spark, sf, "pages").select(F.col("url").alias("path")))
+
+
+@query("""WITH q AS (SELECT vec_id AS query, label AS usr, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0),
+d AS (SELECT query, vec_id AS fact, vec_id % 7 AS category, vec_id % 31 AS edited, 1 - list_cosine_similarity(qv, embedding::DOUBLE[]) AS distance FROM q JOIN embeddings ON label = usr),
+n AS (SELECT * FROM d WHERE distance <= 0.7 QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, fact) <= 50),
+l AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query, category ORDER BY edited DESC, distance, fact) = 1)
+SELECT query, fact, category, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query ORDER BY distance, fact) AS rank FROM l QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, fact) <= 5""")
+def fact_recall(spark, sf):
+    e = table(spark, sf, "embeddings")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("user"), F.col("embedding").alias("query_vector"))
+    facts = e.select(F.col("vec_id").alias("fact"), F.col("label").alias("user"), (F.col("vec_id") % 7).alias("category"), (F.col("vec_id") % 31).alias("edited"), F.col("embedding").alias("vector"))
+    return R.recall_facts(asked, facts).withColumn("distance", F.round("distance", 6))
+
+
+@query("SELECT vec_id AS fact, label AS usr FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id % 31, vec_id) <= 20")
+def fact_eviction(spark, sf):
+    facts = table(spark, sf, "embeddings").select(F.col("vec_id").alias("fact"), F.col("label").alias("user"), (F.col("vec_id") % 31).alias("edited"))
+    return R.evict_beyond(facts, 20).select("fact", F.col("user").alias("usr"))
+
+
+@query()
+def fact_insert(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return R.insert_facts(e.select(F.col("label").alias("user"), F.col("vec_id").alias("fact"), "embedding").withColumnRenamed("embedding", "vector")).select("user", "fact")
+
+
+@query()
+def section_search(spark, sf):
+    """Pages as sections of their host: the best ten for each benchmark item's words, met by shared words."""
+    pages = table(spark, sf, "pages").select("page_id", T.url_slug(F.col("url")).alias("title"), T.page_text(F.col("html")).alias("body"))
+    scored = L.bm25(L.sorted_postings(pages, "page_id", "body"), L.query_terms(table(spark, sf, "benchmark"), "item_id"), L.corpus_size(pages, "body"))
+    titled = L.bm25(L.sorted_postings(pages, "page_id", "title"), L.query_terms(table(spark, sf, "benchmark"), "item_id"), L.corpus_size(pages, "title"))
+    return R.top(L.best_fields({"chunk_text": scored, "section_path": titled}), 10, F.round("score", 9).desc(), F.col("chunk")).select("query", "chunk", "rank")
+
+
+@query()
+def query_augmentation(spark, sf):
+    """Keyword terms, exact tokens and adaptive weights of each turn, capped and without repeats."""
+    q = F.col("text")
+    hints = T.limit_distinct(F.concat(T.keyword_terms(q), T.exact_tokens(q)["doc_names"]), 8, 40)
+    v, k = R.adaptive_weights(q)
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.concat_ws(" ", q, F.array_join(hints, " ")).alias("augmented"), v.alias("vector_weight"), k.alias("keyword_weight"))

@@ -1 +1,96 @@
-"""Queries."""
+"""Queries of safety and grounding over documents and conversations."""
+
+from pyspark.sql import functions as F
+
+from quarry.operators import safety as S
+from quarry.registry import query, table
+
+EMAIL = S.PII["EMAIL"][0]
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{EMAIL}')) AS emails FROM documents")
+def pii_counts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", S.pii_counts(F.col("text"))["EMAIL"].alias("emails"))
+
+
+@query()
+def pii_anonymised(spark, sf):
+    """All kinds of personal data, overlaps resolved, redacted and masked."""
+    found = S.find_pii(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text")
+    hidden = lambda how: F.sha2(S.anonymise(F.col("text"), F.col("pii"), how), 256)
+    return found.select("doc_id", F.size("pii").alias("spans"), hidden("redact").alias("redacted_sha256"), hidden("mask").alias("masked_sha256"))
+
+
+def _rules() -> str:
+    cases = ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN {w} ELSE 0 END" for w, p in S.INJECTION)
+    return f"WITH t AS (SELECT conv_id, turn, lower(text) AS t FROM conversations) SELECT conv_id, turn, greatest({cases})::DOUBLE AS score FROM t"
+
+
+@query(_rules())
+def injection_scan(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", S.injection_score(F.col("text")).alias("score"))
+
+
+@query()
+def output_scan(spark, sf):
+    reason = S.output_reason(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", reason.alias("reason")).where("reason is not null")
+
+
+@query("""WITH c AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[0-9]{13,19}')) AS n FROM documents), d AS (SELECT doc_id, n, list_sum(list_transform(string_split(reverse(n), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN x::INT WHEN x::INT * 2 > 9 THEN x::INT * 2 - 9 ELSE x::INT * 2 END)) AS s FROM c)
+SELECT doc_id, n AS number FROM d WHERE s % 10 = 0""")
+def luhn_scan(spark, sf):
+    n = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]{13,19}"), F.lit(0))).alias("number")).distinct()
+    return n.where(S.luhn(F.col("number")))
+
+
+@query("SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(text, '\\[(\\d{1,3})\\]', 1), lambda x: x::INT), lambda x, i: list_position(list_transform(regexp_extract_all(text, '\\[(\\d{1,3})\\]', 1), lambda y: y::INT), x) = i) AS refs FROM conversations")
+def cited_references(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", S.citations(F.col("text")).alias("refs"))
+
+
+def answers(spark, sf):
+    """Assistant turns as answers over the user turn before as evidence [1]."""
+    c = table(spark, sf, "conversations")
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.concat(F.regexp_replace("text", r"([.!?。])", "[1]$1"), F.lit(" [9]")).alias("answer"))
+    e = c.where("role <> 'assistant'").select("conv_id", "turn", F.col("text").alias("evidence"))
+    return a.join(e, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "answer", F.array(F.lit(1)).alias("refs"), "evidence")
+
+
+@query()
+def grounding_audit(spark, sf):
+    return S.audit_answer(answers(spark, sf))
+
+
+@query()
+def citation_check(spark, sf):
+    """Fragments with their references; numbers that no cited text holds and missing scores escalate."""
+    a = answers(spark, sf)
+    fragments = S.cited_fragments(a)
+    evidence = a.select("answer_id", F.lit(1).alias("ref"), F.col("evidence").alias("content"))
+    scores = a.select("answer_id", F.lit(1).alias("ref"), (F.col("answer_id") % 100 / 100).alias("p"))
+    return S.verify_citations(fragments, scores, S.number_mismatches(fragments, evidence))
+
+
+@query()
+def polarity_flips(spark, sf):
+    a = answers(spark, sf)
+    return S.polarity_flips(S.cited_fragments(a), a.select("answer_id", F.lit(1).alias("ref"), F.col("evidence").alias("content")))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'low' WHEN 'error' THEN 'critical' ELSE 'high' END AS risk, CASE event_type WHEN 'view' THEN 'allow' WHEN 'error' THEN 'deny' ELSE CASE WHEN value < 50 THEN 'confirm' ELSE 'allow' END END AS decision FROM events WHERE value IS NOT NULL""")
+def tool_risk(spark, sf):
+    tool = F.when(F.col("event_type") == "view", "search").when(F.col("event_type") == "error", "shell").otherwise("code_executor")
+    e = table(spark, sf, "events").where("value is not null")
+    return e.select("event_id", S.tool_decision(tool, F.col("value") >= 50).alias("d")).select("event_id", "d.risk", "d.decision")
+
+
+@query("""SELECT doc_id, CASE WHEN toxic >= 1 THEN 'toxic' END AS threat, quality IS NULL OR (toxic * 0.9 BETWEEN 0.36 AND 0.64) AS uncertain FROM labels""")
+def guardrails(spark, sf):
+    risks = F.array(F.struct(F.lit("toxic").alias("category"), (F.col("toxic") * 0.9).alias("p")), F.struct(F.lit("quality").alias("category"), F.when(F.col("quality").isNotNull(), 0.1).alias("p")))
+    return table(spark, sf, "labels").select("doc_id", S.guardrail(risks, F.lit(0.0)).alias("g")).select("doc_id", "g.threat", "g.uncertain")
+
+
+@query()
+def sandbox_issues(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", S.code_issues(F.col("text")).alias("issues"))

@@ -1 +1,71 @@
-"""Queries."""
+"""Queries of stateful behaviours over events. The streaming forms of the same operators are in quarry.streaming."""
+
+from pyspark.sql import functions as F
+
+from quarry.registry import query, table
+from quarry.streaming import state as Z
+
+
+def events(spark, sf):
+    return table(spark, sf, "events").withColumn("second", F.unix_timestamp("ts"))
+
+
+@query()
+def rate_limit(spark, sf):
+    return Z.rate_limit(events(spark, sf).select("user_id", "event_id", "second"), 2, 86_400)
+
+
+@query()
+def lease_log(spark, sf):
+    action = F.when(F.col("event_type") == "error", "release").when(F.col("event_type") == "view", "renew").otherwise("acquire")
+    e = events(spark, sf).select((F.col("user_id") % 20).alias("resource"), "event_id", "second", F.col("user_id").cast("string").alias("owner"), action.alias("action"))
+    return Z.leases(e, 7200)
+
+
+@query()
+def circuit_breaker(spark, sf):
+    return Z.circuit(events(spark, sf).select("user_id", "event_id", "second", (F.col("event_type") == "error").alias("failed")), 2, 86_400)
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+SELECT event_id, before, before IS NULL OR (before, event_type) IN (('view', 'click'), ('click', 'purchase'), ('view', 'view')) AS legal FROM e""")
+def legal_transitions(spark, sf):
+    legal = spark.createDataFrame([("view", "click"), ("click", "purchase"), ("view", "view")], "before string, after string")
+    return Z.transitions(table(spark, sf, "events"), legal, "user_id", "event_type", ["ts", "event_id"]).select("event_id", "before", "legal")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def hourly_counters(spark, sf):
+    return Z.windowed_counters(table(spark, sf, "events"), "ts", "event_type", "value", "1 hour").withColumn("total", F.round("total", 2))
+
+
+@query("SELECT event_id, s AS subscriber FROM events, (VALUES ('all', '*'), ('views', 'view'), ('p', 'pur')) t(s, p) WHERE p = '*' OR p = event_type")
+def event_routing(spark, sf):
+    subs = spark.createDataFrame([("all", "*"), ("views", "view"), ("p", "pur")], "subscriber string, pattern string")
+    return Z.route_events(table(spark, sf, "events"), subs).select("event_id", "subscriber")
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 10 AND event_id >= 5000")
+def replay_buffer(spark, sf):
+    return Z.replay(table(spark, sf, "events"), "user_id", F.lit(5000), 10).select("user_id", "event_id")
+
+
+@query("""WITH c AS (SELECT user_id AS k, arg_max(event_id, ts) AS answer FROM (SELECT * FROM events WHERE ts > TIMESTAMP '2024-01-15' - INTERVAL 5 DAY AND user_id % 10 <> 3 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) GROUP BY 1)
+SELECT u AS key, answer FROM (SELECT DISTINCT user_id AS u FROM events) LEFT JOIN c ON k = u""")
+def response_cache(spark, sf):
+    e = table(spark, sf, "events")
+    cache = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("answer"), (F.col("user_id") % 10).alias("doc"), F.col("ts").alias("stored_at"))
+    invalid = spark.range(1).select(F.lit(3).cast("long").alias("doc"))
+    return Z.cached_answers(e.select(F.col("user_id").alias("key")).distinct(), cache, invalid, F.lit("2024-01-15").cast("timestamp"), "INTERVAL 5 DAYS")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
+def incremental_sync(spark, sf):
+    return Z.since(table(spark, sf, "events"), F.lit("2024-01-15").cast("timestamp"), "ts").select("event_id")
+
+
+@query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n > 4 AND turn > CASE WHEN conv_id % 2 = 0 THEN 1 ELSE -1 END")
+def memory_high_water(spark, sf):
+    c = table(spark, sf, "conversations")
+    marks = c.where("conv_id % 2 = 0").select("conv_id", F.lit(1).alias("covered")).distinct()
+    return Z.uncovered(c, marks).select("conv_id", "turn")
