@@ -33,7 +33,7 @@ def pii_counts(c: Column) -> dict[str, Column]:
 
 
 def find_pii(df: DataFrame, text: str, least: float = 0.5) -> DataFrame:
-    """df with `pii`: spans by start, the longest of those that begin together, overlaps out (the first one stays)."""
+    """df with `pii`: spans by start, the longest, then the surest of those that begin together, overlaps out (the first one stays)."""
     import re
 
     patterns = [(k, re.compile(p, re.A), s) for k, (p, s) in PII.items() if s >= least]
@@ -42,11 +42,11 @@ def find_pii(df: DataFrame, text: str, least: float = 0.5) -> DataFrame:
     def scan(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:
-            found = sorted(((m.start(), -m.end(), k, s, m[0]) for k, p, s in patterns for m in p.finditer(t or "")))
+            found = sorted(((m.start(), -m.end(), -s, k, m[0]) for k, p, s in patterns for m in p.finditer(t or "")))
             spans, at = [], 0
-            for a, b, k, s, v in found:
+            for a, b, s, k, v in found:
                 if a >= at:
-                    spans.append({"type": k, "start": a, "end": -b, "score": s, "value": v})
+                    spans.append({"type": k, "start": a, "end": -b, "score": -s, "value": v})
                     at = -b
             out.append(spans)
         return pd.Series(out)

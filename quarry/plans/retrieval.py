@@ -148,9 +148,9 @@ def primary_first(spark, sf):
     return R.primary_first(v.where("rank between 11 and 14"), v.where("rank <= 12"), 8).select("query", "chunk", "rank")
 
 
-@query("""SELECT doc_id FROM documents WHERE coalesce(nullif(trim(source), ''), 'default') = 'forum' AND lang IN ('en', 'de') AND doc_id IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144)""")
+@query("""SELECT doc_id FROM documents WHERE coalesce(nullif(trim(source), ''), 'default') = 'src3' AND lang IN ('en', 'de') AND doc_id IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144)""")
 def scope_predicates(spark, sf):
-    where = R.scope_predicate(tenant=F.col("source"), want_tenant="forum", doc=F.col("doc_id"), doc_ids=["1", "2", "3", "5", "8", "13", "21", "34", "55", "89", "144", "x"], category=F.col("lang"), categories=["en", "de"])
+    where = R.scope_predicate(tenant=F.col("source"), want_tenant="src3", doc=F.col("doc_id"), doc_ids=["1", "2", "3", "5", "8", "13", "21", "34", "55", "89", "144", "x"], category=F.col("lang"), categories=["en", "de"])
     return table(spark, sf, "documents").where(where).select("doc_id")
 
 
