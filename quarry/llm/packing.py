@@ -2,7 +2,8 @@
 
 Each document's token counts are projected to a few dimensions by hashed signs; the cell of that vector gets a Hilbert
 key, and the key orders all documents by a range sort, so neighbours on the curve, which talk alike, share sequences.
-Equal keys are ordered by a hash of the document, so a hot group of copies spreads over many ranges.
+Equal keys are ordered by a hash of the document, so a hot group of copies spreads over many ranges. Ids travel in
+chunks of bounded length, so ranges of about equally many rows are of about equal size though long documents lie together.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from quarry.llm._base import slices, written
 from quarry.llm.bpe import PRETOKENS, byte_letters
 
 DIMS, BITS = 4, 8
+#: Ids in one row of the shuffle at most; a longer document goes as several rows.
+CHUNK = 2048
 
 
 @lru_cache(maxsize=2)
@@ -82,17 +85,22 @@ def curve_keys(ids: list[np.ndarray], size: int) -> np.ndarray:
 
 
 def tokens(df: DataFrame, path: str, end_id: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """`doc`, `curve` (Hilbert key) and `ids` (little-endian unsigned 32-bit or, for small vocabularies, 16-bit ids in bytes)."""
+    """Chunks of all documents: `doc`, `curve` (Hilbert key), `start`, `doc_tokens` and `ids` (little-endian unsigned 32-bit or, for small vocabularies, 16-bit ids in bytes)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = fast_encoding(path)
         kind = "<u2" if enc.n_vocab <= 1 << 16 else "<u4"
         for batch in slices(batches, 1):
             ids = [np.array([*enc.encode(t, allowed_special="all"), end_id], dtype=kind) for t in batch.column(1).to_pylist()]
-            keys = curve_keys(ids, enc.n_vocab)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc", "curve", "ids"])
+            lengths = np.array([len(x) for x in ids], dtype=np.int64)
+            chunks = -(-lengths // CHUNK)
+            row = np.repeat(np.arange(len(ids)), chunks)
+            start = CHUNK * (np.arange(len(row)) - np.repeat(np.cumsum(chunks) - chunks, chunks))
+            raw = [ids[r][a : a + CHUNK].tobytes() for r, a in zip(row.tolist(), start.tolist(), strict=True)]
+            cols = [batch.column(0).take(pa.array(row)), pa.array(curve_keys(ids, enc.n_vocab)[row]), pa.array(start), pa.array(lengths[row]), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc", "curve", "start", "doc_tokens", "ids"])
 
-    return df.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(encode, f"doc {df.schema[key].dataType.simpleString()}, curve long, ids binary")
+    return df.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(encode, f"doc {df.schema[key].dataType.simpleString()}, curve long, start long, doc_tokens long, ids binary")
 
 
 def pack(df: DataFrame, path: str, length: int = 1024, end_id: int = 0, text: str = "text", key: str = "doc_id", target_mb: int = 16) -> DataFrame:
@@ -106,7 +114,7 @@ def pack(df: DataFrame, path: str, length: int = 1024, end_id: int = 0, text: st
     rows = written(tokens(df, path, end_id, text, key), "pack-tokens")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
     n = max(1, int(size) // (target_mb << 20) + 1)
-    ordered = rows.withColumn("tie", F.xxhash64("doc")).repartitionByRange(n, "curve", "tie").sortWithinPartitions("curve", "tie", "doc")
+    ordered = rows.withColumn("tie", F.xxhash64("doc")).repartitionByRange(n, "curve", "tie", "doc", "start").sortWithinPartitions("curve", "tie", "doc", "start")
     kind = df.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,14 +133,14 @@ def pack(df: DataFrame, path: str, length: int = 1024, end_id: int = 0, text: st
         doc_kind = None
         for batch in batches:
             doc_kind = batch.schema.field(1).type
-            for p, doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for p, doc, begin, total, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 part = p
                 ids = np.frombuffer(raw, dtype=width).astype("<u4")
-                start = 0
-                while start < len(ids):
-                    take = min(length - offset, len(ids) - start)
-                    open_rows.append([part, doc, start, ids[start : start + take].tobytes(), len(ids), sequence, offset])
-                    start, offset = start + take, offset + take
+                at = 0
+                while at < len(ids):
+                    take = min(length - offset, len(ids) - at)
+                    open_rows.append([part, doc, begin + at, ids[at : at + take].tobytes(), total, sequence, offset])
+                    at, offset = at + take, offset + take
                     if offset == length:
                         full.extend(open_rows)
                         open_rows, offset, sequence = [], 0, sequence + 1
@@ -143,7 +151,7 @@ def pack(df: DataFrame, path: str, length: int = 1024, end_id: int = 0, text: st
         if full:
             yield batch_of(full)
 
-    pieces = ordered.select(F.spark_partition_id().alias("part"), "doc", "ids").mapInArrow(cut, f"part int, doc {kind}, start long, ids binary, doc_tokens long, sequence long, offset long")
+    pieces = ordered.select(F.spark_partition_id().alias("part"), "doc", "start", "doc_tokens", "ids").mapInArrow(cut, f"part int, doc {kind}, start long, ids binary, doc_tokens long, sequence long, offset long")
     sequence_id = F.shiftleft(F.col("part").cast("long"), 40) + F.col("sequence")
     return pieces.select(F.col("doc").alias(key), "start", "ids", "doc_tokens", sequence_id.alias("sequence_id"), "offset")
 
