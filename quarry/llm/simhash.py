@@ -5,10 +5,15 @@ pigeonring principle gives a segment from which every chain of l consecutive seg
 bits: no bit in the first segment and at most one in the first two. Of the two halves of the second segment one is
 then equal too, so the pair shares a key made of one segment and half of the next, at one of 2 m places. Pairs that
 share a key are checked in full inside their group, vectorised, and only a spanning forest of the links leaves a task.
+
+near_classes and drop_near_copies don't take fingerprints: they join the texts' sets of shingles by exact Jaccard similarity.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +21,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm._base import groups, slices, split_hot, written
 from quarry.llm._components import components, forest
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
+#: Texts that the order of shingles is drawn from, and in how many of them a shingle is common.
+SAMPLE, COMMON = 4000, 5
+#: Groups of at most so many rows give all their pairs at once.
+SMALL = 64
+SLACK = 1e-9
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -147,28 +158,184 @@ def near_links(rows: DataFrame, tau: int, confirm: int | None = None, cap: int =
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def near_classes(df: DataFrame, size: int = 5, tau: int = 13, words: int = 8, confirm: int | None = 88, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """`key` (a long), fp (array of longs) and component: the smallest key that near-duplicate links reach.
+def print_classes(df: DataFrame, size: int = 4, tau: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """`key` (a long), fp (array of one long) and component: the smallest key that links of at most tau differing bits reach.
 
-    By default texts are near-duplicates at about 0.8 of common five-word shingles: a pair is found by at most tau = 13
-    of 64 differing bits and confirmed by at most 88 of 512 (at a similarity of exactly 0.8 the means are 9.7 and 78 bits). Texts with fewer words are one shingle; null, empty and
-    blank texts have a zero fingerprint and are linked like any other. Texts with one fingerprint are one node, so
-    copies cost nothing beyond their row. Repeated rows each get a row. Rows with a null key link with none.
+    Texts with fewer words are one shingle; null, empty and blank texts have a zero fingerprint and are linked like any
+    other. Texts with one fingerprint are one node, so copies cost nothing beyond their row. Repeated rows each get a row.
+    Rows with a null key link with none.
     """
-    prints = written(fingerprints(df, size, words, text, key).select(F.col("doc").cast("long").alias("doc"), "fp"), "simhash")
+    prints = written(fingerprints(df, size, 1, text, key).select(F.col("doc").cast("long").alias("doc"), "fp"), "simhash")
     nodes = prints.groupBy("fp").agg(F.min("doc").alias("id"))
-    found = components(near_links(nodes.where("id is not null"), tau, confirm))
+    found = components(near_links(nodes.where("id is not null"), tau))
     heads = nodes.join(found, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component"))
     return prints.join(heads, "fp").select(F.col("doc").alias(key), "fp", "component")
 
 
-def drop_near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """Rows of df whose key is the smallest of their near-duplicate class, all columns kept."""
-    keep = near_classes(df, text=text, key=key, **how).where(F.col(key) == F.col("component")).select(F.col(key).alias("_keep"))
-    return df.join(keep, df[key] == F.col("_keep"), "left_semi")
+def shingle_set(text: str, size: int) -> set[bytes]:
+    """The distinct shingles of `size` words themselves; a shorter text is one shingle, one without words none."""
+    words = text.encode("utf-8", "replace").translate(LOWER).split()
+    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def common_shingles(df: DataFrame, size: int, text: str) -> np.ndarray:
+    """Hashes of the shingles that are frequent in a sample of about SAMPLE texts, sorted.
+
+    They only go to the end of the order that prefixes are cut by, so the sample bears on the time and never on the result.
+    """
+    texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
+    m = max(1, texts.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, size)).view(np.int64))], names=["h"])
+
+    found = texts.where(F.pmod(F.xxhash64("t"), F.lit(m)) == 0).distinct().mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
+    return np.sort(np.array([r.h for r in found.select("h").collect()], dtype=np.int64).view(np.uint64))
+
+
+def with_prefixes(df: DataFrame, size: int, similarity: float, text: str) -> DataFrame:
+    """df with _row (a number of its own), _digest and _n of its set of shingles, and _prefix: the first of them in one order of all shingles."""
+    common = df.sparkSession.sparkContext.broadcast(common_shingles(df, size, text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, batch_at):
+            digests, counts, parts = [], [], []
+            for t in batch.column(batch_at).to_pylist():
+                h = np.unique(shingle_hashes(t or "", size))
+                digests.append(hashlib.sha256(h.tobytes()).digest()[:16])
+                counts.append(len(h))
+                parts.append(h[np.argsort(np.isin(h, common.value), kind="stable")][: len(h) - math.ceil(similarity * len(h) - SLACK) + 1].view(np.int64))
+            offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offsets, np.concatenate([np.empty(0, np.int64), *parts]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), lists], names=[*batch.schema.names, "_digest", "_n", "_prefix"])
+
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    batch_at = numbered.columns.index(text)
+    schema = T.StructType([*numbered.schema.fields, T.StructField("_digest", T.BinaryType()), T.StructField("_n", T.IntegerType()), T.StructField("_prefix", T.ArrayType(T.LongType()))])
+    return written(numbered.mapInArrow(run, schema), "shingles")
+
+
+def candidates(cells: DataFrame, shared_by: DataFrame, similarity: float, rest: bool) -> DataFrame:
+    """Pairs (a, b) of rows that share a shingle of their prefixes and may be similar by their sizes and the shingle's places.
+
+    cells: key, cell, node, n, pos and part (of a node's links so far). First (not rest) all pairs of small groups, and in
+    large ones a star for each range of sizes, so that pairs don't outnumber the rows by more than a constant; then (rest)
+    all pairs of large groups whose rows are not of one part yet. shared_by: how many keys of each node are in small (few)
+    and in large groups (many); pairs that can't have enough shingles in common by these numbers are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, 2):
+            key = table.column(0).to_numpy() * np.int64(1000003) + table.column(1).to_numpy()
+            node, n, pos, part = (table.column(i).to_numpy() for i in range(2, 6))
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(starts, len(key)))
+
+            def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                most = np.minimum(n[i] - pos[i], n[j] - pos[j])
+                return (most >= similarity / (1 + similarity) * (n[i] + n[j]) - SLACK) & (node[i] != node[j])
+
+            def pairs(i: np.ndarray, j: np.ndarray, counted: int = 0) -> pa.RecordBatch:
+                x, y = node[i], node[j]
+                return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array(np.full(len(x), counted))], names=["a", "b", "m"])
+
+            at = np.flatnonzero(np.repeat((sizes > SMALL) == rest, sizes))
+            d = 1
+            while len(at):
+                at = at[at + d < len(key)]
+                at = at[(key[at + d] == key[at]) & (n[at] >= similarity * n[at + d] - SLACK)]
+                i = at[part[at] != part[at + d]] if rest else at
+                i = i[may(i, i + d)] if rest else i[node[i] != node[i + d]]
+                if len(i):
+                    yield pairs(i, i + d, int(not rest))
+                d += 1
+            if rest:
+                continue
+            left, right = [], []
+            for s, k in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+                hub = s
+                while hub < s + k:
+                    end = s + int(np.searchsorted(n[s : s + k], n[hub] / similarity + SLACK, "right"))
+                    j = np.arange(hub + 1, end)
+                    j = j[may(np.full(len(j), hub), j)]
+                    left.append(np.full(len(j), hub))
+                    right.append(j)
+                    hub = end
+            if left:
+                yield pairs(np.concatenate(left), np.concatenate(right))
+
+    ordered = cells.select("key", "cell", "node", "n", "pos", "part").repartition("key", "cell").sortWithinPartitions("key", "cell", "n", "node")
+    met = ordered.mapInArrow(run, "a long, b long, m long").groupBy("a", "b").agg(F.sum("m").alias("m"))
+    # common shingles lie in both prefixes (in small groups, counted if not rest, or in large ones) or behind the end of one
+    x, y = (shared_by.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "few", "many")]) for k in "ab")
+    few = F.least("few_a", "few_b") if rest else F.col("m")
+    behind = F.ceil(similarity * F.greatest("n_a", "n_b") - SLACK) - 1
+    enough = few + F.least("many_a", "many_b") + behind >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - SLACK
+    return met.join(x, "a").join(y, "b").where(enough).select("a", "b")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose texts (node, t) have sets of shingles with at least that Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = functools.lru_cache(256)(lambda t: shingle_set(t, size))
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = get(x), get(y)
+                both = len(x & y)
+                ok.append(both / (len(x) + len(y) - both) >= similarity)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    pairs = written(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    held = written(texts.join(ends, "node", "left_semi"), "texts")
+    met = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
+    return written(met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+
+
+def _classed(df: DataFrame, size: int, similarity: float, text: str, key: str, cap: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """df with numbered rows (_row), and of each _row its key and the smallest key of its class (null: the class has none)."""
+    rows = with_prefixes(df, size, similarity, text)
+    copies = rows.groupBy("_digest").agg(F.min("_row").alias("node"), F.count("*").alias("c")).where("c > 1").drop("c")
+    noded = rows.join(copies, "_digest", "left").withColumn("node", F.coalesce("node", "_row"))
+    singles = noded.where("node = _row")
+    keyed = singles.select("node", F.col("_n").alias("n"), F.posexplode("_prefix").alias("pos", "key"))
+    shared = written(keyed.join(keyed.groupBy("key").count().where("count > 1"), "key"), "shared")
+    large = (F.col("count") > SMALL).cast("int")
+    shared_by = written(shared.groupBy("node").agg(F.max("n").alias("n"), F.sum(1 - large).alias("few"), F.sum(large).alias("many")), "shared-by")
+    cells = split_hot(shared.withColumnRenamed("count", "size"), ["key"], "node", cap)
+    texts = rows.select(F.col("_row").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    links = confirmed(candidates(cells.withColumn("part", F.col("node")), shared_by, similarity, False), texts, size, similarity)
+    parts = components(links)
+    parted = cells.where(F.col("size") > SMALL).join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    links = links.unionByName(confirmed(candidates(parted, shared_by, similarity, True), texts, size, similarity))
+    labels = noded.select("_row", F.col(key).alias("k"), "node").join(components(links), "node", "left").select("_row", "k", F.coalesce("component", "node").alias("c"))
+    labels = written(labels, "labels")
+    return rows, labels.join(labels.groupBy("c").agg(F.min("k").alias("component")), "c").select("_row", "k", "component")
+
+
+def near_classes(df: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """`key` and component: the smallest key that near-duplicate links reach, one row for each row of df.
+
+    Texts are linked when the Jaccard similarity of their sets of distinct shingles is at least `similarity`. The join is
+    exact: similar sets share an element of their prefixes (the first (1 - similarity) * n + 1 elements in one order of all),
+    and each pair found so is confirmed on the shingles themselves. A text with fewer words is one shingle; null, empty and
+    blank texts have none and form one class. Texts with equal sets are one node. Null keys never win against others; a
+    class of null keys only has a null component.
+    """
+    return _classed(df, size, similarity, text, key)[1].select(F.col("k").alias(key), "component")
+
+
+def drop_near_copies(df: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Rows of df whose key is the smallest of their near-duplicate class (all rows of a class without keys), all columns kept."""
+    rows, classes = _classed(df, size, similarity, text, key)
+    return rows.join(classes.where(~F.col("k").eqNullSafe(F.col("component"))).select("_row"), "_row", "left_anti").select(*df.columns)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     """Four-word shingles, links at 4 or fewer of 64 differing bits."""
-    found = near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4, tau=4, words=1, confirm=None)
+    found = print_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4, tau=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

@@ -126,6 +126,48 @@ def test_near_copies(spark):
     assert simhash.drop_near_copies(df.limit(0)).count() == 0
 
 
+def jaccard_brute(rows, size=5, least=0.8):
+    def shingles(text):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+        return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+    sets = {k: shingles(t) for k, t in rows}
+    keys = sorted(sets)
+    alike = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    return reachable(keys, [(a, b) for i, a in enumerate(keys) for b in keys[:i] if alike(sets[a], sets[b])])
+
+
+def test_near_classes_are_exact(spark, small):
+    rng = np.random.default_rng(11)
+    word = lambda: f"w{rng.integers(0, 5000)}"
+    rows = []
+    for i in range(60):
+        base = [word() for _ in range(rng.integers(5, 80))]
+        for j in range(8):
+            other = list(base)
+            for at in rng.choice(len(base), rng.integers(0, 1 + len(base) // 15), replace=False):
+                other[at] = word()
+            rows.append((100 * i + j, " ".join(other + [word() for _ in range(rng.integers(0, len(base) // 5 + 1))])))
+    line = " ".join(f"hot{i}" for i in range(40))
+    rows += [(10_000 + i, line + " " + " ".join(word() for _ in range(rng.integers(0, 16)))) for i in range(120)]
+    rows += [(20_000, "same line of words " * 200 + "one end of its own"), (20_001, "same line of words " * 200 + "and quite a different tail here")]
+    # exactly 0.8 (8 of 10 shingles), and just below
+    rows += [(30_000, " ".join(f"x{i}" for i in range(13))), (30_001, " ".join(f"x{i}" for i in range(12)) + " y"), (30_002, " ".join(f"x{i}" for i in range(11)) + " z q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component for r in simhash.near_classes(df).collect()}
+    assert got == jaccard_brute(rows)
+    assert got[20_001] == 20_001
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    want = jaccard_brute(docs)
+    kept = simhash.drop_near_copies(spark.read.parquet(f"{small}/documents.parquet"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k, c in want.items() if k == c)
+
+
+def test_near_copies_without_key(spark):
+    df = spark.createDataFrame([(None, "a text of its own without any key"), (1, "b c d e f"), (None, "B c d e f")], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.drop_near_copies(df).collect()) == ["a text of its own without any key", "b c d e f"]
+
+
 # --- embeddings
 
 
