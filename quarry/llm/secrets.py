@@ -12,6 +12,7 @@ import base64
 import binascii
 import bz2
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,8 +34,33 @@ ENCODED = re.compile(r"%[0-9A-Fa-f]{2}|\\[uUx][{0-9A-Fa-f]|&#[xX0-9]")
 #: The shortest secret, token=abcdef, has 16 characters in base64.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
-#: Bytes that one compressed passage may unpack to; a larger one is left closed, as a decompression bomb.
+#: Base64 that a line length wraps; line ends may be spelled out.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:(?:\r?\n[\x20\t]*|(?:\\r)?\\n)[A-Za-z0-9+/_-]+)+={0,2}")
+LINE_END = re.compile(r"\r?\n[\x20\t]*|(?:\\r)?\\n")
+#: As many characters as the shortest secret.
+READABLE = re.compile(r"[\x20-\x7e]{12}")
+#: A layer of more bytes is scanned in windows of that size that overlap, so that memory stays bounded.
 MOST_BYTES = 64 << 20
+OVERLAP = 1 << 20
+PIECE = 1 << 20
+C_ESCAPES = {"0": 0, "a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13, "\\": 92, "'": 39, '"': 34}
+NAMED = {"amp": 38, "lt": 60, "gt": 62, "quot": 34}
+
+
+def _starts(form: str) -> re.Pattern:
+    """Where gzip, zlib or bzip2 bytes may start, each byte as it is or in the form of a notation."""
+    one = lambda n: f"(?:{form.format(h=f'{n:02x}', d=n)}|{re.escape(chr(n))})" if form else re.escape(chr(n))
+    row = lambda *codes: "".join(map(one, codes))
+    return re.compile("|".join([row(0x1F, 0x8B, 8), row(*b"BZh") + "(?:" + "|".join(map(one, b"123456789")) + ")", one(0x78) + "(?:" + "|".join(map(one, (0x01, 0x5E, 0x9C, 0xDA))) + ")"]), re.I)
+
+
+#: Notations of bytes: name, a mark without which a text has none, where compressed bytes start, and the next byte.
+NOTATIONS = [
+    ("url", "%", _starts("%{h}"), re.compile(r"%(?P<hex>[0-9A-Fa-f]{2})|(?P<plus>\+)|(?P<char>[A-Za-z0-9_.~!*'()/-])")),
+    ("unicode", "\\", _starts(r"\\x{h}|\\u00{h}"), re.compile(r"\\x(?P<x>[0-9A-Fa-f]{2})|\\u00(?P<u>[0-9A-Fa-f]{2})|\\(?P<c>[0abfnrtv\\'\"])|(?P<char>[\x20-\x5b\x5d-\x7e])")),
+    ("unicode", "&#", _starts("&#0*{d};|&#x0*{h};"), re.compile(r"&#(?P<dec>[0-9]{1,7});|&#[xX](?P<hex>[0-9A-Fa-f]{1,6});|&(?P<named>amp|lt|gt|quot);|(?P<char>[\x00-\xff])")),
+    ("bytes", "", _starts(""), re.compile(r"(?P<char>[\x00-\xff])")),
+]
 
 Spans = list[tuple[int, int]]
 
@@ -69,17 +95,22 @@ def unescape(text: str, pattern: re.Pattern, decode) -> tuple[str, Spans] | None
     return "".join(parts), spans
 
 
-def percent(run: str) -> list[tuple[str, int, int]] | None:
-    """Characters of a run of percent escapes with their places in the run; None unless the bytes are UTF-8."""
-    try:
-        text = binascii.unhexlify(run.replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+def percent(run: str) -> list[tuple[str, int, int]]:
+    """Characters of a run of percent escapes with their places in the run; U+FFFD for bytes that are not UTF-8."""
+    raw = binascii.unhexlify(run.replace("%", ""))
     out, at = [], 0
-    for c in text:
-        n = 3 * len(c.encode())
-        out.append((c, at, at + n))
-        at += n
+    while at < len(raw):
+        try:
+            text, bad = raw[at:].decode(), 0
+        except UnicodeDecodeError as e:
+            text, bad = raw[at : at + e.start].decode(), e.end - e.start
+        for c in text:
+            n = len(c.encode())
+            out.append((c, 3 * at, 3 * (at + n)))
+            at += n
+        if bad:
+            out.append(("\ufffd", 3 * at, 3 * (at + bad)))
+            at += bad
     return out
 
 
@@ -93,42 +124,170 @@ def escapes(run: str) -> list[tuple[str, int, int]] | None:
         elif code <= 0x10FFFF:
             out.append((chr(code), m.start(), m.end()))
         else:
-            return None
-    return None if any(0xD800 <= ord(c) <= 0xDFFF for c, _, _ in out) else out
+            out.append(("\ufffd", m.start(), m.end()))
+    return [("\ufffd" if 0xD800 <= ord(c) <= 0xDFFF else c, a, b) for c, a, b in out]
 
 
-def unpacked(raw: bytes) -> bytes:
-    """Bytes behind gzip, zlib and bzip2 wrappings, unwrapped until none is left; broken or oversized ones stay closed."""
-    seen = set()
-    while (mark := hashlib.sha1(raw).digest()) not in seen:
-        seen.add(mark)
-        try:
-            if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0):
-                d = zlib.decompressobj(47)
-            elif raw[:3] == b"BZh":
-                d = bz2.BZ2Decompressor()
+def compressed(head: bytes) -> bool:
+    return head[:2] == b"\x1f\x8b" or head[:3] == b"BZh" or (len(head) > 2 and head[0] == 0x78 and (head[0] << 8 | head[1]) % 31 == 0)
+
+
+def members(chunks: Iterator[bytes], left: list[int]) -> Iterator[bytes]:
+    """What a stream of gzip, zlib or bzip2 members holds, piece by piece, then any bytes after them as they are.
+
+    Of a broken member the part before the break is given, and the bytes from there on. left: takes the number of bytes
+    behind the last member.
+    """
+    rest = b""
+    d = None
+    for chunk in chunks:
+        rest += chunk
+        while rest and (d or compressed(rest)):
+            if d is None:
+                d = bz2.BZ2Decompressor() if rest[:3] == b"BZh" else zlib.decompressobj(47)
+            packed = isinstance(d, bz2.BZ2Decompressor)
+            before = None if packed else d.copy()
+            try:
+                got = d.decompress(rest, PIECE)
+            except (zlib.error, OSError, EOFError):
+                got, at = b"", 0
+                while before and at < len(rest) and at < 2 * PIECE:
+                    try:
+                        got += before.decompress(rest[at : at + 1])
+                    except zlib.error:
+                        break
+                    at += 1
+                yield got
+                left.append(len(rest))
+                yield rest
+                yield from chunks
+                return
+            if got:
+                yield got
+            if d.eof:
+                rest, d = d.unused_data, None
+            elif packed:
+                rest = b""
+                while not d.needs_input and not d.eof:
+                    yield d.decompress(b"", PIECE)
+                rest, d = (d.unused_data, None) if d.eof else (b"", d)
             else:
-                return raw
-            got = d.decompress(raw, MOST_BYTES)
-        except (zlib.error, OSError, EOFError):
-            return raw
-        if not d.eof:
-            return raw
-        raw = got
-    return raw
-
-
-def from_base64(run: str) -> str | None:
-    """The printable text in a base64 run (either alphabet, with or without padding), unwrapped if compressed; else None."""
+                rest = d.unconsumed_tail
+        if rest and d is None:
+            left.append(len(rest))
+            yield rest
+            yield from chunks
+            return
+
+
+def unpacked(raw: bytes) -> tuple[Iterator[bytes], list[int]]:
+    """The bytes behind all wrappings that are nested around raw, piece by piece, and how many bytes stand behind the outermost."""
+    chunks: Iterator[bytes] = iter([raw])
+    first: list[int] = []
+    left, seen = first, set()
+    while True:
+        head = b""
+        for c in chunks:
+            head += c
+            if len(head) >= 1 << 16:
+                break
+        mark = hashlib.sha1(head[: 1 << 16]).digest()
+        chunks = itertools.chain([head], chunks)
+        if mark in seen or not compressed(head):
+            return chunks, first
+        seen.add(mark)
+        chunks, left = members(chunks, left), []
+
+
+def plain(raw: bytes) -> bool:
+    """Whether bytes are printable text throughout."""
+    try:
+        return not CONTROL.search(raw.decode())
+    except UnicodeDecodeError:
+        return False
+
+
+def readable(raw: bytes) -> list[str]:
+    """Texts of bytes that may hold a secret: as UTF-8 with replacements, and also without zeros (as in UTF-16)."""
+    out = [raw.decode("utf-8", "replace")]
+    if b"\0" in raw:
+        out.append(raw.replace(b"\0", b"").decode("utf-8", "replace"))
+    return [x for x in out if READABLE.search(x)]
+
+
+def windows(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
+    """All bytes at once if they are no more than MOST_BYTES (and True), else windows of that size that overlap."""
+    held, whole = bytearray(), True
+    for c in chunks:
+        held += c
+        while len(held) > MOST_BYTES:
+            yield bytes(held[:MOST_BYTES]), False
+            del held[: MOST_BYTES - OVERLAP]
+            whole = False
+    yield bytes(held), whole
+
+
+def from_base64(run: str) -> bytes | None:
+    """The bytes of a base64 run, either alphabet, with or without padding; a single character too many is left out."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
+    body = body[: len(body) - (len(body) % 4 == 1)]
     try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        text = unpacked(raw).decode()
+        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
-    return None if CONTROL.search(text) else text
+
+
+def unwrapped(passage: str) -> Iterator[tuple[str, int, int]]:
+    """Lines of one length and a last, shorter one joined, with their place in the passage; the very first may be shorter too."""
+    lines = []
+    at = 0
+    for m in [*LINE_END.finditer(passage), None]:
+        end = m.start() if m else len(passage)
+        lines.append((passage[at:end], at, end))
+        at = m.end() if m else end
+    i = 0
+    while i < len(lines) - 1:
+        n = len(lines[i + 1 if i == 0 and len(lines) > 2 else i][0].rstrip("="))
+        j = i + 1
+        while j < len(lines) - 1 and len(lines[j][0]) == n:
+            j += 1
+        j += len(lines[j][0].rstrip("=")) <= n
+        if j - i > 1:
+            yield "".join(x[0] for x in lines[i:j]), lines[i][1], lines[j - 1][2]
+        i = j
+
+
+def packed_runs(layer: str) -> Iterator[tuple[str, bytes, list[int]]]:
+    """Compressed bytes that a layer spells out: the notation's name, the bytes, and the places where each starts (and the last ends)."""
+    for name, mark, start, token in NOTATIONS:
+        if mark not in layer:
+            continue
+        at = 0
+        while m := start.search(layer, at):
+            at = m.start() + 1
+            raw, places = spelled(layer, m.start(), token, 64)
+            try:
+                (bz2.BZ2Decompressor() if raw[:3] == b"BZh" else zlib.decompressobj(47)).decompress(raw)
+            except (zlib.error, OSError):
+                continue
+            if compressed(raw):
+                raw, places = spelled(layer, m.start(), token, len(layer))
+                yield name, raw, places
+                at = places[-1]
+
+
+def spelled(layer: str, at: int, token: re.Pattern, most: int) -> tuple[bytes, list[int]]:
+    out, places = bytearray(), [at]
+    while len(out) < most and (m := token.match(layer, at)):
+        k = m.lastgroup
+        v = m[k]
+        code = ord(v) if k == "char" else 32 if k == "plus" else int(v) if k == "dec" else C_ESCAPES[v] if k == "c" else NAMED[v] if k == "named" else int(v, 16)
+        if code > 255:
+            break
+        out.append(code)
+        at = m.end()
+        places.append(at)
+    return bytes(out), places
 
 
 def scan(text: str) -> list[tuple[str, int, int, str]]:
@@ -162,13 +321,34 @@ def scan(text: str) -> list[tuple[str, int, int, str]]:
                 for name, pattern, decode in (("url", PERCENT, percent), ("unicode", ESCAPE, escapes)):
                     if got := unescape(layer, pattern, decode):
                         push(got[0], source if isinstance(source, tuple) else [place(a, b) for a, b in got[1]], name)
+            def open_bytes(raw: bytes | None, spans: tuple[int, int], name: str, path=path, push=push) -> bool:
+                """Layers of the bytes behind an encoding; whether they are text throughout."""
+                clean = bool(raw)
+                for part, whole in windows(unpacked(raw)[0]) if raw else ():
+                    for inner in readable(part):
+                        if whole:
+                            push(inner, spans, name)
+                            continue
+                        for kind, _, _, more in scan(inner):
+                            found.setdefault((kind, *spans), ">".join(filter(None, (path, name, more))))
+                    clean &= plain(part)
+                return clean
+
+            for name, raw, places in packed_runs(layer):
+                chunks, left = unpacked(raw)
+                for _ in chunks:
+                    pass
+                end = len(raw) - (left[0] if left else 0)
+                open_bytes(raw[:end] if end else raw, place(places[0], places[end or -1]), name)
+            for m in WRAPPED.finditer(layer):
+                for run, a, b in unwrapped(m[0]):
+                    open_bytes(from_base64(run), place(m.start() + a, m.start() + b), "base64")
             for m in BASE64.finditer(layer):
-                if inner := from_base64(m[0]):
-                    push(inner, place(*m.span()), "base64")
+                if open_bytes(from_base64(m[0]), place(*m.span()), "base64"):
                     continue
                 for p in re.finditer(r"[A-Za-z0-9]{16,}={0,2}", m[0]):
-                    if p[0] != m[0] and (inner := from_base64(p[0])):
-                        push(inner, place(m.start() + p.start(), m.start() + p.end()), "base64")
+                    if p[0] != m[0]:
+                        open_bytes(from_base64(p[0]), place(m.start() + p.start(), m.start() + p.end()), "base64")
         work = after
     return sorted(((k, a, b, path) for (k, a, b), path in found.items()), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

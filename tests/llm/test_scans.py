@@ -3,6 +3,7 @@ import bz2
 import gzip
 import hashlib
 import re
+import urllib.parse
 import zlib
 
 import pytest
@@ -61,6 +62,49 @@ def test_nested_secrets(hidden):
     assert secrets.masked(text, "[SECRET]").startswith("bonjour é ")
 
 
+REPEATED = bytes(range(1, 256)) * 2
+WRAP = base64.encodebytes(b"x" * 50 + SECRET.encode() + b" and some words more to fill another line of it").decode().strip()
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        base64.b64encode(gzip.compress(b"first") + gzip.compress(SECRET.encode())).decode(),
+        base64.b64encode(bz2.compress(b"first") + bz2.compress(b"second") + bz2.compress(SECRET.encode())).decode(),
+        base64.b64encode(gzip.compress(b"first") + SECRET.encode()).decode(),
+        base64.b64encode(gzip.compress(SECRET.encode() + b" " + REPEATED)[:-9]).decode(),
+        base64.b64encode(gzip.compress(gzip.compress(b"a") + gzip.compress(SECRET.encode()))).decode(),
+        "".join(f"%{b:02x}" for b in gzip.compress(SECRET.encode())),
+        urllib.parse.quote(zlib.compress(SECRET.encode())),
+        urllib.parse.quote_plus(bz2.compress(SECRET.encode() + b" " + REPEATED)),
+        "".join(f"\\x{b:02x}" for b in gzip.compress(SECRET.encode())),
+        repr(gzip.compress(SECRET.encode() + b" " + REPEATED))[2:-1],
+        "".join(f"&#{b};" for b in zlib.compress(SECRET.encode())),
+        base64.b64encode(SECRET.encode() + b"\x00").decode(),
+        base64.b64encode(b"\xff\xfe\x01" + SECRET.encode() + b"\xff").decode(),
+        base64.b64encode(SECRET.encode("utf-16")).decode(),
+        "%ff" + "".join(f"%{b:02x}" for b in SECRET.encode()),
+        WRAP, WRAP.replace("\n", "\r\n"), WRAP.replace("\n", "\\n"),
+    ],
+)
+def test_layers_are_opened_whole(hidden):
+    text = f"bonjour é {hidden} and more words"
+    found = [(k, a, b) for k, a, b, path in secrets.scan(text) if path and k == "assign"]
+    # the span takes in the passage but for its own edges
+    assert any(a <= 13 and b >= 10 + len(hidden) - 3 for _, a, b in found), secrets.scan(text)
+    masked = secrets.masked(text, "[SECRET]")
+    assert masked.startswith("bonjour é ") and masked.endswith(" and more words") and len(masked) < 60
+
+
+def test_large_layers_are_scanned_in_windows(monkeypatch):
+    monkeypatch.setattr(secrets, "MOST_BYTES", 1 << 16)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 10)
+    for at in (10, (1 << 16) - 8, 200_000):
+        hidden = base64.b64encode(gzip.compress(b"- " * (at // 2) + SECRET.encode() + b" -" * 150_000)).decode()
+        (found,) = secrets.scan(f"see {hidden} now")
+        assert found == ("assign", 4, 4 + len(hidden), "base64")
+
+
 def test_partly_encoded_secret_maps_to_its_source():
     text = "see pass%77ord%3Dabcdef123 now"
     (found,) = secrets.scan(text)
