@@ -46,10 +46,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 2_000_000
         lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for k, n in enumerate(lengths):
+            if held and held + int(n) > most:
+                yield batch.slice(start, k - start)
+                start, held = k, 0
             held += int(n)
-            if held >= most:
-                yield batch.slice(start, k + 1 - start)
-                start, held = k + 1, 0
         if start < batch.num_rows:
             yield batch.slice(start)
 

@@ -239,8 +239,8 @@ def test_substring_edges(spark):
         (15, "é" * 120), (16, "x" + "é" * 120), (17, a[1:] + b[:50]), (18, a + b),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash"))
-    for block in (200, 1 << 20):
-        found = substrings.repeated_spans(df, block_bytes=block)
+    for block, most in ((200, 200_000), (1 << 20, 200_000), (200, 2), (1 << 20, 5)):
+        found = substrings.repeated_spans(df, block_bytes=block, most=most)
         got = {r.doc_id: (r.n_bytes, sum(s["end"] - s["start"] for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in found.collect()}
         assert got == substring_brute(rows)
     assert substrings.repeated_spans(df.limit(0)).count() == 0
