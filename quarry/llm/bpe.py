@@ -25,6 +25,8 @@ from quarry.llm._base import slices
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of the longest pretokens that are merged many at a time.
 WIDE = 64
+#: Leaves of the trees that are merged at once at most.
+LEAVES = 1 << 18
 
 
 def byte_letters() -> list[str]:
@@ -198,10 +200,10 @@ def merge_many(words: list[bytes], width: int, vocab: Vocabulary) -> list[bytes]
 
 
 class Encoder:
-    """Encodes and decodes texts. Pretokens that were merged are kept, `most` at a time, so memory is bounded."""
+    """Encodes and decodes texts. Pretokens that were merged are kept up to about `most` bytes, so memory is bounded."""
 
-    def __init__(self, path: str, most: int = 600_000):
-        self.vocab, self.most = Vocabulary(path), most
+    def __init__(self, path: str, most: int = 48_000_000):
+        self.vocab, self.most, self.held = Vocabulary(path), most, 0
         self.find = regex.compile(PRETOKENS).findall
         added = sorted(self.vocab.added, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
@@ -215,10 +217,11 @@ class Encoder:
         return [w for k, part in enumerate(self.special.split(text)) for w in ([part] if k % 2 else self.find(part))]
 
     def learn(self, words: set[str]) -> None:
+        if self.held > self.most:
+            self.kept, self.held = dict(self.fixed), 0
         new = [w for w in words if w not in self.kept]
-        if len(self.kept) + len(new) > self.most:
-            self.kept = dict(self.fixed)
-            new = [w for w in words if w not in self.kept]
+        # a pretoken's string, its ids and their place in the dictionary
+        self.held += 200 * len(new) + 3 * sum(map(len, new))
         by_width: dict[int, list[tuple[str, bytes]]] = {}
         for w in new:
             b = w.encode("utf-8", "replace")
@@ -227,7 +230,8 @@ class Encoder:
             if width == 1:
                 packed = [self.vocab.of_byte[b[0]].astype(self.vocab.dtype).tobytes() for _, b in group]
             elif width <= WIDE and len(self.vocab.merged) * WIDE < 1 << 31:
-                packed = merge_many([b for _, b in group], width, self.vocab)
+                step = LEAVES // width
+                packed = [ids for a in range(0, len(group), step) for ids in merge_many([b for _, b in group[a : a + step]], width, self.vocab)]
             else:
                 packed = [np.array(merge_one(b, self.vocab), dtype=self.vocab.dtype).tobytes() for _, b in group]
             self.kept.update(zip((w for w, _ in group), packed, strict=True))
@@ -238,8 +242,12 @@ class Encoder:
         kept = self.kept.__getitem__
         return [np.frombuffer(b"".join(map(kept, words)), dtype=self.vocab.dtype) for words in split]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.vocab.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        return text_of(ids, self.vocab.bytes_of)
+
+
+def text_of(ids: np.ndarray, bytes_of: list[bytes]) -> str:
+    return b"".join(map(bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -248,24 +256,43 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def bpe_encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """`key` and token_ids (array<int>) of every whole text, as the vocabulary file's tokenizer gives without special tokens added.
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id: all that decoding needs of a vocabulary file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    of_letter = {c: b for b, c in enumerate(byte_letters())}
+    known = {i: bytes(of_letter[c] for c in t) for t, i in spec["model"]["vocab"].items()}
+    known.update({t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])})
+    return [known.get(i, b"") for i in range(1 + max(known))]
 
-    A null text counts as empty and an empty text has no ids; strings of added tokens in a text become their ids. Repeated
-    rows and keys stay as they are; other columns are left out, so names cannot clash. An empty table gives an empty table.
-    """
+
+def _encoded(df: DataFrame, path: str, text: str, key: str, decoded: bool) -> DataFrame:
+    """k, ids and, if asked for, t (their text again): slice by slice in one pass, so that one worker a core holds one vocabulary."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, 1_000_000):
             ids = enc.encode(batch.column(1).to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = np.concatenate([*ids, np.empty(0, enc.vocab.dtype)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["k", "ids"])
+            columns = [batch.column(0), pa.ListArray.from_arrays(offsets, flat)]
+            if decoded:
+                columns.append(pa.array([enc.decode(x) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "ids", "t"][: len(columns)])
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return rows.mapInArrow(encode, f"k {kind}, ids array<int>").select(F.col("k").alias(key), F.col("ids").alias("token_ids"))
+    return rows.mapInArrow(encode, f"k {kind}, ids array<int>" + ", t string" * decoded)
+
+
+def bpe_encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """`key` and token_ids (array<int>) of every whole text, as the vocabulary file's tokenizer gives without special tokens added.
+
+    A null text counts as empty and an empty text has no ids; strings of added tokens in a text become their ids. Repeated
+    rows and keys stay as they are; other columns are left out, so names cannot clash. An empty table gives an empty table.
+    """
+    return _encoded(df, path, text, key, False).select(F.col("k").alias(key), F.col("ids").alias("token_ids"))
 
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -276,23 +303,23 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "dec
 
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
-        enc = encoder(path)
-        texts = []
-        for one in column:
-            texts.append(None if not one.is_valid else enc.decode(one.values.to_numpy(zero_copy_only=False).tolist()))
-        return pa.array(texts, pa.string())
+        of = token_bytes(path)
+        return pa.array([text_of(one.values.to_numpy(zero_copy_only=False), of) if one.is_valid else None for one in column], pa.string())
 
     return df.withColumn(out, decode(F.col(ids)))
 
 
+def bpe_round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """What bpe_encode and then bpe_decode give (`key`, token_ids, decoded), by one pass of one worker over each slice of texts."""
+    return _encoded(df, path, text, key, True).select(F.col("k").alias(key), F.col("ids").alias("token_ids"), F.col("t").alias("decoded"))
+
+
 def op1_bpe(spark, sf_dir: str) -> DataFrame:
     """Round trip of all documents; digests derived from the operator's ids and texts."""
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    both = bpe_decode(bpe_encode(docs, path), path)
-    return both.select(
+    return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")).select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
