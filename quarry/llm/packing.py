@@ -38,6 +38,14 @@ def fast_encoding(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens=added)
 
 
+def id_kind(path: str) -> str:
+    """The NumPy type that ids travel as: 16 bits where the vocabulary allows."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    size = 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))])
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 @lru_cache(maxsize=2)
 def signs(size: int, dims: int = DIMS) -> np.ndarray:
     """Signs of each token id in each dimension, by hashing the id."""
@@ -87,10 +95,11 @@ def curve_keys(ids: list[np.ndarray], size: int) -> np.ndarray:
 def tokens(df: DataFrame, path: str, end_id: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Chunks of all documents: `doc`, `curve` (Hilbert key), `start`, `doc_tokens` and `ids` (little-endian unsigned 32-bit or, for small vocabularies, 16-bit ids in bytes)."""
 
+    kind = id_kind(path)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = fast_encoding(path)
-        kind = "<u2" if enc.n_vocab <= 1 << 16 else "<u4"
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, 1_000_000):
             ids = [np.array([*enc.encode(t, allowed_special="all"), end_id], dtype=kind) for t in batch.column(1).to_pylist()]
             lengths = np.array([len(x) for x in ids], dtype=np.int64)
             chunks = -(-lengths // CHUNK)
@@ -115,26 +124,22 @@ def pack(df: DataFrame, path: str, length: int = 1024, end_id: int = 0, text: st
     size = rows.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
     n = max(1, int(size) // (target_mb << 20) + 1)
     ordered = rows.withColumn("tie", F.xxhash64("doc")).repartitionByRange(n, "curve", "tie", "doc", "start").sortWithinPartitions("curve", "tie", "doc", "start")
-    kind = df.schema[key].dataType.simpleString()
+    kind, width = df.schema[key].dataType.simpleString(), id_kind(path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = "<u2" if fast_encoding(path).n_vocab <= 1 << 16 else "<u4"
         names = ["part", "doc", "start", "ids", "doc_tokens", "sequence", "offset"]
         sequence = offset = 0
         open_rows: list[list] = []
-        part = 0
+        full: list[list] = []
 
         def batch_of(pieces: list[list]) -> pa.RecordBatch:
             cols = list(zip(*pieces, strict=True))
-            kinds = [pa.int32(), None, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k or doc_kind) for c, k in zip(cols, kinds, strict=True)], names=names)
+            kinds = [pa.int32(), doc_kind, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-        full: list[list] = []
-        doc_kind = None
-        for batch in batches:
+        for batch in slices(batches, 4, 1_000_000):
             doc_kind = batch.schema.field(1).type
-            for p, doc, begin, total, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                part = p
+            for part, doc, begin, total, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 ids = np.frombuffer(raw, dtype=width).astype("<u4")
                 at = 0
                 while at < len(ids):
@@ -144,9 +149,9 @@ def pack(df: DataFrame, path: str, length: int = 1024, end_id: int = 0, text: st
                     if offset == length:
                         full.extend(open_rows)
                         open_rows, offset, sequence = [], 0, sequence + 1
-            if len(full) >= 2000:
-                yield batch_of(full)
-                full = []
+                if len(full) >= 500:
+                    yield batch_of(full)
+                    full = []
         full.extend(powers(open_rows, offset, sequence))
         if full:
             yield batch_of(full)
