@@ -133,7 +133,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def leaf_title(path: Column) -> Column:
-    parts = F.filter(F.transform(F.split(path, ">"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(path, ">"), lambda x: F.trim(x)), lambda p: p != "")
     return F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
 
 
@@ -394,7 +394,7 @@ def is_multi_question(q: Column) -> Column:
 
 
 def split_questions(q: Column, most: int = 4) -> Column:
-    parts = F.array_distinct(F.filter(F.transform(F.split(q, r"[?？；;\n]+"), F.trim), lambda x: x != ""))
+    parts = F.array_distinct(F.filter(F.transform(F.split(q, r"[?？；;\n]+"), lambda x: F.trim(x)), lambda x: x != ""))
     return F.when(F.size(parts) == 0, F.array(q)).otherwise(F.slice(parts, 1, most))
 
 

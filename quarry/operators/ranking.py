@@ -68,7 +68,7 @@ def scope_predicate(
     if category is not None and categories:
         conditions.append(category.isin(list(categories)))
     if tags is not None and want_tags:
-        conditions.append(F.arrays_overlap(F.transform(F.split(tags, ","), F.trim), F.array(*map(F.lit, want_tags))))
+        conditions.append(F.arrays_overlap(F.transform(F.split(tags, ","), lambda x: F.trim(x)), F.array(*map(F.lit, want_tags))))
     return F.coalesce(reduce(Column.__and__, conditions), F.lit(False))
 
 

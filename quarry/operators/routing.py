@@ -106,7 +106,7 @@ def resolve_intent(distribution: Column, rule: Column, least: float = 0.55, marg
 
 def reconcile_rewrite(model: Column, rules: Column, most: int = 4) -> Column:
     """Sub-questions: the model's list unless it is empty or merges what the rules split; `most` of them, blanks and repeats out."""
-    clean = lambda a: F.array_distinct(F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), F.trim), lambda x: x != ""))
+    clean = lambda a: F.array_distinct(F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""))
     m, r = clean(model), clean(rules)
     return F.slice(F.when((F.size(m) == 0) | ((F.size(m) == 1) & (F.size(r) > 1)), r).otherwise(m), 1, most)
 

@@ -240,11 +240,3 @@ def compare_runs(spark, sf):
     run = lambda k, n: e.where(F.col("user_id") % 2 == k).groupBy(F.col("event_type").alias("metric")).agg(F.avg("value").alias(n))
     d = F.col("y") - F.col("x")
     return run(0, "x").join(run(1, "y"), "metric", "full_outer").select("metric", F.round(d, 6).alias("delta"), F.when(d > 0.005, "up").when(d < -0.005, "down").otherwise("same").alias("trend"))
-
-
-@query("""SELECT conv_id, string_agg(role || ': ' || left(text, 40), chr(10) ORDER BY turn) AS transcript FROM conversations WHERE turn < 6 GROUP BY 1""")
-def transcripts(spark, sf):
-    """Early turns of each conversation as text; a conversation's turns below 6 are few."""
-    c = table(spark, sf, "conversations").where("turn < 6")
-    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", F.substring("text", 1, 40)).alias("line"))))
-    return c.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda s: s["line"]), "\n").alias("transcript"))
