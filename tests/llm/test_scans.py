@@ -165,6 +165,20 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert wrong.count() == 0
 
 
+def test_long_lists_are_joined(spark, small, monkeypatch):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    want = {tuple(r) for r in urls.judge_urls(pages, urls.rule_table(spark, urls.RULES)).collect()}
+    monkeypatch.setattr(urls, "MOST_BITS", 32)
+    assert {tuple(r) for r in urls.judge_urls(pages, urls.rule_table(spark, urls.RULES)).collect()} == want
+
+
+def test_no_level_has_more_keys_than_the_list(spark):
+    universe, listed = spark.range(200_000).selectExpr("'k' || id as key"), spark.range(0, 200_000, 4000).selectExpr("'k' || id as key")
+    levels = urls.build_cascade(listed, universe)
+    assert sum(len(level.words) for level in levels[1:]) <= 2 * len(levels[0].words)
+    assert universe.where(urls.is_listed(F.col("key"), levels)).count() == 50
+
+
 def test_url_query(spark, small):
     urls_of = {r.page_id: r.url for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.op3_url_filter(spark, small).collect()}
@@ -195,7 +209,7 @@ def test_warc_query(spark, small):
 
 @pytest.mark.parametrize("version", [1, 2])
 def test_archives(spark, tmp_path, version):
-    rows = [(1, "http://a.b/x y", "body\r\n\r\nWARC/1.0\r\n"), (2, None, None), (3, "http://c.d", ""), (4, "http://e", "body\r\n\r\nWARC/1.0\r\n"), (5, "http://é/", "\n\nü" * 5), (6, "u", "\n\nü" * 5), (7, "long", "q" * 400_000)]
+    rows = [(1, "http://a.b/x y", "body\r\n\r\nWARC/1.0\r\n"), (2, None, None), (3, "http://c.d", ""), (4, "http://e", "body\r\n\r\nWARC/1.0\r\n"), (5, "http://é/", "\n\nü" * 5), (6, "u", "\n\nü" * 5), (7, "long", "q" * 400_000), (8, "longer", "é" * 1_500_000), (9, "longer", "é" * 1_500_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("headers", F.lit(1))
     warc.write_arc(df, f"{tmp_path}/arc", version)
     warc.write_warc(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
@@ -217,3 +231,17 @@ def test_legacy_headers():
         assert block == b"plain block" and headers["WARC-Record-ID"] == h["WARC-Record-ID"]
     with pytest.raises(ValueError):
         list(warc.parse_arc(b"http://a 1.2.3.4 20010101000000 text/plain 50\nshort"))
+
+
+def test_one_gzip_member_for_each_record():
+    """As legacy archives have it; also a record over many pieces, and a member that is cut short."""
+    records = [warc.ArcRecord(f"http://a/{i}", "1.2.3.4", "20010203040506", "text/plain", bytes([97 + i]) * n) for i, n in enumerate((5, 0, 3 << 20, 70))]
+    parts = [warc.arc_version_block(1, "f.arc", "20010203040506") + b"\n", *(warc.arc_record(1, r) + b"\n" for r in records)]
+    data = b"".join(gzip.compress(p) for p in parts)
+    assert [r.block for r in warc.parse_arc(data)] == [r.block for r in records]
+    assert [r.block for r in warc.parse_arc(b"".join(parts))] == [r.block for r in records]
+    assert [r.block for r in warc.parse_arc(gzip.compress(b"".join(parts)))] == [r.block for r in records]
+    with pytest.raises(ValueError):
+        list(warc.parse_arc(data[:-20]))
+    archive = [warc.warc_bytes(warc.warc_headers(r).items(), r.block) + b"\r\n\r\n" for r in records]
+    assert [b for _, b in warc.parse_warc(b"".join(map(gzip.compress, archive)))] == [r.block for r in records]
