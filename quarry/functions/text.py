@@ -55,6 +55,11 @@ def estimate_prompt_tokens(c: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(cjk / 1.5 + ascii_chars / 4 + (F.length(c) - cjk - ascii_chars) / 2).cast("int"))
 
 
+def count_tokens(c: Column) -> Column:
+    """Tokens of a text for the chunkers: its characters, as no tokenizer of that vocabulary is at hand offline."""
+    return F.length(F.coalesce(c, F.lit("")))
+
+
 def truncate_tokens(c: Column, most: int) -> Column:
     """Two characters a token; nothing is cut for most <= 0."""
     return c if most <= 0 else F.substring(c, 1, 2 * most)
@@ -250,6 +255,17 @@ def digit(c: Column, default: int | None = None, two: bool = False) -> Column:
     return ladder.otherwise(F.lit(default))
 
 
+def normalize_steps(c: Column) -> Column:
+    """第三步 as 第3步: single numerals before the counted nouns; other numerals stay."""
+    digits = {**DIGITS, "〇": 0, "十": 10}
+    return reduce(lambda t, kv: F.regexp_replace(t, f"第{kv[0]}(步|个步骤|条|项|点)", f"第{kv[1]}$1"), digits.items(), c)
+
+
+def metadata_value(c: Column, key: str) -> Column:
+    """The text of a key of a JSON object; NULL if it is missing or the text is no object."""
+    return F.get_json_object(c, f"$.{key}")
+
+
 def cn_to_int(c: Column) -> Column:
     """Integers from digits or numerals up to 99; NULL otherwise."""
     v = F.trim(c)

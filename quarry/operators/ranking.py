@@ -5,9 +5,11 @@ Hits are rows (query, chunk, score, ...). All queries run in one plan, and every
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,19 +37,66 @@ def query_blocks(queries: DataFrame, key: str = "query", block: int = QUERY_BLOC
     return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
-def vector_channel(queries: DataFrame, corpus: DataFrame, k: int = VECTOR_TOP, where: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
-    """(query, chunk, score, rank) by cosine. queries: query, query_vector; corpus: chunk, vector. k <= 0 means 10.
+def vector_channel(queries: DataFrame, corpus: DataFrame, k: int = VECTOR_TOP, where: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(query, chunk, score, rank) by cosine. queries: query, query_vector; corpus: chunk (a long), vector. k <= 0 means 10.
 
-    `where` filters the paired rows (tenant, scope, section and other predicates).
+    Both sides are normalised once, scored by matrix products of Arrow batches, and each task keeps only its k best a query;
+    scores that agree to 12 decimals are ties, in the order of chunks. `where` filters paired rows (tenant, scope, section
+    and other predicates); then pairs are scored one by one.
     """
     k = k if k > 0 else 10
     parts = []
     for part in query_blocks(queries):
-        pairs = where(corpus.crossJoin(F.broadcast(part)))
-        parts.append(top(pairs.select("query", "chunk", cosine(F.col("query_vector"), F.col("vector")).alias("score")), k, F.desc("score"), F.col("chunk")))
+        if where is None:
+            pairs = nearest(part, corpus, k)
+        else:
+            pairs = where(corpus.crossJoin(F.broadcast(part))).select("query", "chunk", cosine(F.col("query_vector"), F.col("vector")).alias("score"))
+        parts.append(top(pairs, k, F.round("score", 12).desc(), F.col("chunk")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def unit_rows(vectors: list, dim: int) -> np.ndarray:
+    """Unit vectors as rows; vectors of another length, empty or zero ones are zero."""
+    out = np.zeros((len(vectors), dim))
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) == dim:
+            out[i] = v
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """query, chunk, score: of each task's chunks the k nearest to each query of one block (1024 at most, so they fit a closure)."""
+    asked = queries.select("query", "query_vector").collect()
+    names = [r["query"] for r in asked]
+    by_dim: dict[int, np.ndarray] = {}
+    for dim in {len(r["query_vector"] or []) for r in asked}:
+        by_dim[dim] = unit_rows([r["query_vector"] for r in asked], dim)
+    fields = {f.name: f.dataType for f in (*queries.schema, *corpus.schema)}
+    kind = f"query {fields['query'].simpleString()}, chunk {fields['chunk'].simpleString()}, score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.empty(0), np.empty(0, np.int64))] * len(names)
+        for batch in batches:
+            for part in (batch.slice(a, 2000) for a in range(0, batch.num_rows, 2000)):
+                chunks, vectors = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_pylist()
+                scores = np.zeros((len(vectors), len(names)))
+                for dim, q in by_dim.items():
+                    if dim:
+                        scores += unit_rows(vectors, dim) @ q.T
+                for i in range(len(names)):
+                    s, c = best[i]
+                    fresh = scores[:, i] >= (s[-1] - 1e-9 if len(s) == k else -2)
+                    s, c = np.concatenate([s, scores[fresh, i]]), np.concatenate([c, chunks[fresh]])
+                    keep = np.lexsort((c, -np.round(s, 12)))[:k]
+                    best[i] = s[keep], c[keep]
+        for i, (s, c) in enumerate(best):
+            if len(s):
+                yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(s)), pa.array(c), pa.array(s)], names=["query", "chunk", "score"])
+
+    return corpus.select("chunk", "vector").where("chunk is not null").mapInArrow(run, kind)
+
+
 # --- predicates -------------------------------------------------------------------------------------------------------
 
 
@@ -319,26 +368,31 @@ def evict_beyond(facts: DataFrame, n: int, oldest: bool = False) -> DataFrame:
     return top(facts, n, *order, key=("user",), name="_n").drop("_n")
 
 
-def insert_facts(facts: DataFrame, most_similar: float = 0.92) -> DataFrame:
+def insert_facts(facts: DataFrame, most_similar: float = 0.92, most: int = 100_000) -> DataFrame:
     """Facts taken one by one in their order, without those that are as similar to an earlier kept one of their user.
 
-    facts: user, fact, vector. A user's facts are bounded by evict_beyond, so a group is small.
+    facts: user, fact, vector. A user's facts are one task's work, read as a stream: only the kept ones are held, in one
+    growing matrix, and they are at most `most` (see evict_beyond); more raise an error rather than being left out.
     """
-    import numpy as np
-    import pandas as pd
-
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("fact")
-        kept: list[np.ndarray] = []
-        rows = []
-        for v in group["vector"]:
-            x = np.asarray(v, dtype=float)
-            n = np.linalg.norm(x)
-            x = x / n if n else x
-            new = not kept or float((np.stack(kept) @ x).max()) <= most_similar
-            rows.append(new)
-            if new:
-                kept.append(x)
-        return group[rows]
-
-    return facts.groupBy("user").applyInPandas(keep, facts.schema)
+    order = [f.name for f in facts.schema]
+    u, v = order.index("user"), order.index("vector")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, held, n = None, np.empty((0, 0)), 0
+        for batch in batches:
+            users, vectors, on = batch.column(u).to_pylist(), batch.column(v).to_pylist(), []
+            for name, vector in zip(users, vectors, strict=True):
+                if name != user:
+                    user, held, n = name, np.empty((64, len(vector or []))), 0
+                x = unit_rows([vector], held.shape[1])[0]
+                on.append(not n or float((held[:n] @ x).max()) <= most_similar)
+                if on[-1]:
+                    if n == most:
+                        raise ValueError(f"user {user!r} keeps more than {most} facts; evict some first")
+                    if n == len(held):
+                        held = np.concatenate([held, np.empty_like(held)])
+                    held[n] = x
+                    n += 1
+            yield batch.filter(pa.array(on, pa.bool_()))
+
+    return facts.repartition("user").sortWithinPartitions("user", "fact").mapInArrow(keep, facts.schema)

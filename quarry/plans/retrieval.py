@@ -24,8 +24,8 @@ def by_vector(spark, sf):
 
 def by_keyword(spark, sf):
     docs = table(spark, sf, "documents")
-    posts = L.sorted_postings(docs, "doc_id", "text")
-    scored = L.bm25(posts, L.query_terms(questions(spark, sf)), L.corpus_size(docs, "text"))
+    terms = L.query_terms(questions(spark, sf))
+    scored = L.bm25(L.sorted_postings(docs, "doc_id", "text", terms), terms, L.corpus_size(docs, "text"))
     return R.top(scored, R.KEYWORD_TOP, F.round("score", 9).desc(), F.col("chunk"))
 
 

@@ -104,3 +104,89 @@ def page_texts(spark, sf):
 @query("""SELECT conv_id, turn, least(1.0, greatest(0.0, ((length(text) % 100) / 100 - 0.45) / 0.10)) AS weight FROM conversations""")
 def probability_weights(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.probability_weight((F.length("text") % 100) / 100).alias("weight"))
+
+
+@query("""SELECT doc_id, length(coalesce(text, '')) AS tokens, left(text, 60) AS truncated, CASE WHEN length(text) > 100 THEN left(text, 70) || right(text, 30) ELSE text END AS ends FROM documents""")
+def token_cuts(spark, sf):
+    c = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", T.count_tokens(c).alias("tokens"), T.truncate_tokens(c, 30).alias("truncated"), T.head_and_tail(c, 100).alias("ends"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.missing') AS missing FROM events")
+def metadata_values(spark, sf):
+    return table(spark, sf, "events").select("event_id", T.metadata_value(F.col("props"), "k").alias("k"), T.metadata_value(F.col("props"), "missing").alias("missing"))
+
+
+N_SQL = """WITH n AS (SELECT o_orderkey, o_orderkey % 99 + 1 AS n, ['', '一', '二', '三', '四', '五', '六', '七', '八', '九'] AS d FROM orders),
+w AS (SELECT *, CASE WHEN n >= 20 THEN d[n // 10 + 1] ELSE '' END || CASE WHEN n >= 10 THEN '十' ELSE '' END || d[n % 10 + 1] AS word FROM n) """
+
+
+def numerals(spark, sf):
+    """Numbers of 1 to 99 in Chinese numerals."""
+    n = F.col("o_orderkey") % 99 + 1
+    digit = lambda x: F.element_at(F.array(*[F.lit(c) for c in ["", *"一二三四五六七八九"]]), (x + 1).cast("int"))
+    word = F.concat(F.when(n >= 20, digit(F.floor(n / 10))).otherwise(""), F.when(n >= 10, "十").otherwise(""), digit(n % 10))
+    return table(spark, sf, "orders").select("o_orderkey", word.alias("word"))
+
+
+@query(N_SQL + """SELECT o_orderkey, n::INT AS whole, n::INT AS loose, (1200 + n)::DOUBLE AS thousands, CASE WHEN n <= 10 THEN '第' || n || '步和第' || word || '章' ELSE '第' || word || '步和第' || word || '章' END AS step FROM w""")
+def chinese_numbers(spark, sf):
+    c = F.col("word")
+    big = F.concat(F.lit("一千二百"), F.when(F.startswith(c, F.lit("十")), F.concat(F.lit("一"), c)).otherwise(c))
+    return numerals(spark, sf).select("o_orderkey", T.cn_to_int(c).alias("whole"), T.loose_number(c).alias("loose"), T.cn_to_number(big).alias("thousands"), T.normalize_steps(F.concat(F.lit("第"), c, F.lit("步和第"), c, F.lit("章"))).alias("step"))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w, list_distinct(regexp_extract_all(lower(left(text, 40)), '[a-z]+')) AS v FROM conversations)
+SELECT conv_id, turn, CASE WHEN len(w) + len(v) = 0 THEN 1 ELSE len(list_intersect(w, v)) / len(list_distinct(list_concat(w, v))) END AS jaccard FROM w""")
+def word_overlap(spark, sf):
+    w = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), F.lit(1)))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.jaccard(w(F.col("text")), w(F.substring("text", 1, 40))).alias("jaccard"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE l_shipmode END AS title, l_shipmode || CASE WHEN l_linenumber % 2 = 0 THEN ' > ' || l_returnflag ELSE '' END AS joined,
+CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE l_shipmode END AS first_known, coalesce('PARENT:' || CASE WHEN l_linenumber = 1 THEN l_orderkey END, 'DOCUMENT:' || CASE WHEN l_linenumber = 2 THEN l_suppkey END, CASE WHEN l_linenumber = 3 THEN 'WEB:http://x' END, 'DOCUMENT:' || l_shipmode) AS evidence_key,
+'正文' || chr(10) || '文档：《' || l_shipmode || '》' || chr(10) || CASE WHEN l_linenumber % 2 = 0 THEN '章节：' || l_returnflag || chr(10) ELSE '' END || 'text' AS embedded
+FROM (SELECT *, 'mode' || (l_suppkey % 7) AS l_shipmode FROM lineitem)""")
+def evidence_labels(spark, sf):
+    """Leaf titles of paths, first and joined non-blank values, keys of evidence, and what is embedded for a chunk."""
+    n, mode, own = F.col("l_linenumber"), F.concat(F.lit("mode"), (F.col("l_suppkey") % 7).cast("string")), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).otherwise(" ")
+    key = T.evidence_key(F.when(n == 1, F.col("l_orderkey")), F.when(n == 2, F.col("l_suppkey")), F.when(n == 3, "http://x"), F.lit(None).cast("string"), F.lit("t"), F.lit("c"))
+    named = F.when(n > 3, F.concat(F.lit("DOCUMENT:"), mode)).otherwise(key)
+    return table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", T.leaf_title(F.concat(mode, F.lit(" > "), own, F.lit(" > "))).alias("title"), T.join_non_blank(" > ", mode, own).alias("joined"), T.first_non_blank(own, mode).alias("first_known"),
+        named.alias("evidence_key"), T.context_text(F.lit("正文"), mode, own, F.lit("text")).alias("embedded"),
+    )
+
+
+@query("""SELECT o_orderkey, o_custkey % 101 / 100 AS written, o_custkey % 10 / 100 AS bare, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey END AS parsed FROM orders""")
+def model_replies(spark, sf):
+    """Scores and objects in what a model wrote: with words and bars around, in fences, or broken."""
+    k = F.col("o_custkey")
+    fenced = F.concat(F.lit("Sure:\n```json\n{\"score\": "), k.cast("string"), F.lit("}\n```"))
+    reply = F.when(F.col("o_orderkey") % 4 == 0, "no object").when(F.col("o_orderkey") % 4 == 1, fenced).otherwise(F.format_string('the result {"score": %d} as asked', k))
+    return table(spark, sf, "orders").select(
+        "o_orderkey", T.score_from_text(F.format_string("of 7 points, Score: %d", k % 101)).alias("written"), T.score_from_text(F.format_string("I say %d", k % 10)).alias("bare"), T.json_from_reply(reply, "score long")["score"].alias("parsed")
+    )
+
+
+@query("""WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations WHERE text IS NOT NULL GROUP BY 1), s AS (SELECT conv_id, t, list_transform(range(1, len(t) + 1), lambda i: list_sum(list_transform(t[1:i], lambda x: length(x)))) AS n FROM c)
+SELECT conv_id, len(list_filter(n, lambda x: x <= 500)) AS whole FROM s""")
+def bounded_contexts(spark, sf):
+    """Whole turns from the front while they fit: the first that doesn't ends it."""
+    c = table(spark, sf, "conversations").where("text is not null").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("t"))
+    return c.select("conv_id", F.size(T.bounded_context(F.col("t"), 500)).alias("whole"))
+
+
+@query("""WITH a AS (SELECT doc_id, text, length(text) AS n, CASE WHEN length(text) > 300 THEN greatest(1, 201 - 45) ELSE 1 END AS lead, substr(text, 201, 10) AS anchor FROM documents WHERE text IS NOT NULL),
+b AS (SELECT *, CASE WHEN anchor <> '' THEN strpos(text, anchor) ELSE 0 END AS pos FROM a), c AS (SELECT *, least(CASE WHEN pos > 0 THEN greatest(1, pos - (100 - length(anchor)) // 2) ELSE 1 END, greatest(1, n - 99)) AS start FROM b)
+SELECT doc_id, CASE WHEN n <= 100 THEN text ELSE CASE WHEN start > 1 THEN '…' ELSE '' END || substr(text, start, 100) || CASE WHEN start + 99 < n THEN '…' ELSE '' END END AS snippet FROM c""")
+def soft_windows(spark, sf):
+    d = table(spark, sf, "documents").where("text is not null")
+    return d.select("doc_id", T.soft_window(F.col("text"), F.substring("text", 201, 10), 100).alias("snippet"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(left(text, 60), '[\\s、，,；;：:（）()\\-]+'), lambda x: length(x) >= 2) AS s FROM conversations),
+g AS (SELECT conv_id, turn, flatten(list_transform(s, lambda x: list_concat([x], CASE WHEN length(x) >= 4 THEN flatten(list_transform(range(2, least(6, length(x)) + 1), lambda n: list_transform(range(1, length(x) - n + 2), lambda i: substr(x, i, n)))) ELSE [] END))) AS g FROM s)
+SELECT conv_id, turn, list_filter(g, lambda x, i: list_position(g, x) = i)[1:40] AS terms FROM g""")
+def route_terms(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.query_terms(F.substring("text", 1, 60)).alias("terms"))
