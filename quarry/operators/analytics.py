@@ -117,10 +117,113 @@ def histogram_quantile(buckets: DataFrame, key: Sequence[str], q: float, bound:
     return buckets.select(*key).distinct().join(found, list(key), "left")
 
 
-def nearest_rank(values: Column, q: float = 0.95) -> Column:
-    """Element at round(q * (n - 1)), half to even, of an array; NULL if empty."""
-    ordered = F.array_sort(values)
-    return F.get(ordered, F.bround(F.lit(q) * (F.size(ordered) - 1)).cast("int"))
+def at_ranks(df: DataFrame, key: str, value: str, ranks: dict[str, Column]) -> DataFrame:
+    """key, n and for each name the value at that rank (from 0, an expression over n) in the key's order of values; nulls out.
+
+    Equal values are counted first, and the counts are summed over ranges of (key, value), so no task holds a key's values.
+    """
+    from quarry.operators.evaluation import running
+
+    steps = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    placed = running(steps, ["k", "v"], ["c"])
+    keys = placed.groupBy("k").agg(F.min("c_before").alias("base"), F.sum("c").alias("n"))
+    own = placed.join(keys, "k").withColumn("low", F.col("c_before") - F.col("base"))
+    here = {name: F.max(F.when((rank >= F.col("low")) & (rank < F.col("low") + F.col("c")), F.col("v"))).alias(name) for name, rank in ranks.items()}
+    return own.groupBy("k", "n").agg(*here.values()).withColumnRenamed("k", key)
+
+
+def percentiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """key and for each name its percentile, linear between ranks. Keys without values are left out."""
+    place = {name: F.lit(q) * (F.col("n") - 1) for name, q in shares.items()}
+    ranks = {f"{name}_{end}": fn(p) for name, p in place.items() for end, fn in (("low", F.floor), ("high", F.ceil))}
+    found = at_ranks(df, key, value, ranks)
+    return found.select(key, *[(F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (p - F.floor(p))).alias(name) for name, p in place.items()])
+
+
+def nearest_rank(df: DataFrame, key: str, value: str, q: float = 0.95) -> DataFrame:
+    """key, value at round(q * (n - 1)), half to even."""
+    return at_ranks(df, key, value, {"value": F.bround(F.lit(q) * (F.col("n") - 1))}).select(key, "value")
+
+
+def channel_summary(hits: DataFrame) -> DataFrame:
+    """channel, recalled, accepted, avg_score (4 decimals). hits: channel, accepted (boolean), score."""
+    return hits.groupBy("channel").agg(F.count("*").alias("recalled"), F.count_if("accepted").alias("accepted"), F.round(F.avg("score"), 4).alias("avg_score"))
+
+
+def completed_means(runs: DataFrame, *metrics: str, digits: int = 4) -> DataFrame:
+    """completed and the mean of each metric over completed runs; a mean of exactly 0, or of nothing, shows as NULL."""
+    done = runs.where("status = 'completed'")
+    return done.agg(F.count("*").alias("completed"), *[F.nullif(F.round(F.avg(m), digits), F.lit(0.0)).alias(m) for m in metrics])
+
+
+def retrieval_phase(hits: DataFrame) -> DataFrame:
+    """hits with `phase`, the last stage that a hit reached, and `shown`, its first score that isn't 0. hits: selected, rerank_score, rrf_score, score."""
+    known = lambda c: F.coalesce(F.col(c), F.lit(0.0)) != 0
+    phase = F.when(F.col("selected"), "final").when(known("rerank_score"), "rerank").when(known("rrf_score"), "fusion").otherwise("recall")
+    return hits.withColumn("phase", phase).withColumn("shown", F.coalesce(F.nullif("rerank_score", F.lit(0.0)), F.nullif("rrf_score", F.lit(0.0)), "score"))
+
+
+def display_rank(final: Column, rrf: Column, channel: Column) -> Column:
+    """The rank to show: the latest that is known; 999 if none is."""
+    return F.coalesce(final, rrf, channel, F.lit(999))
+
+
+def structure_stats(nodes: DataFrame, doc: str = "doc") -> DataFrame:
+    """doc, nodes, depth: how many nodes a document has and how deep they go."""
+    return nodes.groupBy(doc).agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"))
+
+
+def decision_coverage(decisions: DataFrame) -> DataFrame:
+    """flag, decisions, coverage (share with an answer), p50 of the latencies. decisions: flag, answered, latency."""
+    counted = decisions.groupBy("flag").agg(F.count("*").alias("decisions"), F.avg(F.col("answered").cast("double")).alias("coverage"))
+    return counted.join(percentiles(decisions, "flag", "latency", {"p50": 0.5}), "flag", "left")
+
+
+def feedback(events: DataFrame, key: str) -> DataFrame:
+    """key, up, down: ratings of both kinds. events: key, rating (1 up, -1 down)."""
+    return events.groupBy(key).agg(F.count_if(F.col("rating") == 1).alias("up"), F.count_if(F.col("rating") == -1).alias("down"))
+
+
+def by_category(results: DataFrame, category: str, metric: str, digits: int = 4) -> DataFrame:
+    """category, n, mean of each category, and of all (category NULL)."""
+    return results.rollup(category).agg(F.count("*").alias("n"), F.round(F.avg(metric), digits).alias("mean"))
+
+
+def compare_runs(a: DataFrame, b: DataFrame, band: float = 0.005) -> DataFrame:
+    """metric, a, b, delta and its direction beyond a band. a, b: metric, value, one row a metric; metrics of one run only have no delta."""
+    d = F.col("b") - F.col("a")
+    both = a.select("metric", F.col("value").alias("a")).join(b.select("metric", F.col("value").alias("b")), "metric", "full_outer")
+    return both.withColumn("delta", d).withColumn("trend", F.when(d > band, "up").when(d < -band, "down").otherwise("same"))
+
+
+def stage_counts(questions: DataFrame, stages: Sequence[str], key: str = "run") -> DataFrame:
+    """key and how many of its questions were lost at each stage. questions: key, stage."""
+    return questions.groupBy(key).pivot("stage", list(stages)).count().na.fill(0)
+
+
+def term_counts(df: DataFrame, term: str, size: int = 10_000) -> DataFrame:
+    """term, n of the most frequent terms, ties by the term; `size` is the aggregation's own limit."""
+    return df.where(F.col(term).isNotNull()).groupBy(term).agg(F.count("*").alias("n")).orderBy(F.desc("n"), term).limit(size)
+
+
+def waterfall(spans: DataFrame, most_depth: int = 64) -> DataFrame:
+    """spans (trace, span, parent, start) with depth and path, roots first: what a trace's detail shows. Spans whose parent is missing are roots.
+
+    One join a level; spans on a cycle, or deeper than most_depth, raise an error.
+    """
+    known = spans.select("trace", F.col("span").alias("parent"), F.lit(True).alias("_known"))
+    marked = spans.join(known, ["trace", "parent"], "left")
+    own = F.concat_ws("/", F.date_format("start", "yyyyMMddHHmmssSSSSSS"), F.col("span").cast("string"))
+    level = marked.where("_known is null").select("trace", "span", F.lit(0).alias("depth"), own.alias("path"))
+    found, links = level, marked.where("_known").select("trace", "parent", F.col("span").alias("child"), own.alias("own"))
+    for d in range(1, most_depth + 2):
+        level = level.join(links, (level["trace"] == links["trace"]) & (level["span"] == links["parent"])).select(level["trace"], F.col("child").alias("span"), F.lit(d).alias("depth"), F.concat_ws(" ", "path", "own").alias("path"))
+        if level.isEmpty():
+            break
+        if d > most_depth:
+            raise ValueError(f"spans deeper than {most_depth} levels")
+        found = found.unionByName(level)
+    return spans.join(found, ["trace", "span"])
 
 
 def soft_delete(df: DataFrame, gone: Column) -> DataFrame:

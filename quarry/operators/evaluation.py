@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-import random
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +75,52 @@ def prefilter(candidates: DataFrame, k: int = 25) -> DataFrame:
     return top(candidates.withColumn("score", 2 * F.col("best") + F.col("own")), k, F.desc("score"), F.col("chunk"))
 
 
+# --- ranked texts against gold texts, by character pairs ---------------------------------------------------------------
+
+
+def covers(text: Column, gold: Column, least: float = 0.5) -> Column:
+    """Whether a text holds enough of a gold text's character pairs; one too short for pairs must stand in it."""
+    pairs = T.bigrams(gold)
+    share = F.size(F.array_intersect(pairs, T.bigrams(text))) / F.size(pairs)
+    inside = F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lower(F.trim(gold)))
+    return F.when(F.trim(gold) == "", False).when(F.size(pairs) == 0, inside).otherwise(share >= least)
+
+
+def text_recall_at(hits: Column, gold: Column, k: int) -> Column:
+    """Share of the gold texts that one of the first k hits covers; 0 without gold or hits."""
+    found = F.filter(gold, lambda g: F.exists(F.slice(hits, 1, k), lambda h: covers(h, g)))
+    return F.when((F.size(gold) > 0) & (F.size(hits) > 0), F.size(found) / F.size(gold)).otherwise(0.0)
+
+
+def text_mrr(hits: Column, gold: Column) -> Column:
+    """1 / position of the first hit that covers a gold text, 4 decimals; 0 if there is none."""
+    first = F.array_position(F.transform(hits, lambda h: F.exists(gold, lambda g: covers(h, g))), True)
+    return F.when(first > 0, F.round(F.try_divide(F.lit(1.0), first), 4)).otherwise(0.0)
+
+
+def text_ndcg_at(hits: Column, gold: Column, k: int) -> Column:
+    """Binary gains, each gold text counted once, by the first hit that covers it; 4 decimals."""
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("used"), F.lit(0.0).alias("gain"))
+
+    def add(acc: Column, hit: Column) -> Column:
+        free = F.filter(F.sequence(F.lit(0), F.size(gold) - 1), lambda i: ~F.array_contains(acc["used"], i) & covers(hit, F.get(gold, i)))
+        got = F.get(free, F.lit(0))
+        return F.struct(
+            (acc["at"] + 1).alias("at"), F.when(got.isNotNull(), F.concat(acc["used"], F.array(got))).otherwise(acc["used"]).alias("used"),
+            (acc["gain"] + F.when(got.isNotNull(), 1 / F.log2(acc["at"] + 1.0)).otherwise(0.0)).alias("gain"),
+        )
+
+    best = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.size(gold))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+    gain = F.aggregate(F.slice(hits, 1, k), start, add, lambda acc: acc["gain"])
+    return F.when((F.size(gold) > 0) & (F.size(hits) > 0), F.round(gain / best, 4)).otherwise(0.0)
+
+
+def lexical_recall(hits: Column, gold: Column, least: float = 0.35) -> Column:
+    """Share of the gold texts that some hit covers at the lower share; blank ones count as covered."""
+    found = F.filter(gold, lambda g: (F.trim(g) == "") | F.exists(hits, lambda h: covers(h, g, least)))
+    return F.when((F.size(gold) > 0) & (F.size(hits) > 0), F.size(found) / F.size(gold)).otherwise(0.0)
+
+
 # --- judges -----------------------------------------------------------------------------------------------------------
 
 
@@ -88,6 +135,36 @@ def expected_level(levels: Column) -> Column:
     return F.try_divide(total(lambda x: x["level"] * x["p"]), total(lambda x: x["p"]))
 
 
+#: Values of a judge's levels of correctness (fixed values); unknown levels count as the middle one.
+CORRECTNESS = {"完全不一致": 0.0, "大部分不一致": 0.25, "部分一致": 0.50, "基本一致": 0.75, "完全一致": 1.0}
+
+
+def correctness(level: Column) -> Column:
+    return reduce(lambda w, kv: w.when(level == kv[0], kv[1]), CORRECTNESS.items(), F.when(F.lit(False), 0.0)).otherwise(0.50)
+
+
+def context_recall(statements: DataFrame, questions: DataFrame) -> DataFrame:
+    """query, recall: share of a question's statements that the context covers (probability from 0.5 on); 1 without statements."""
+    share_ = statements.groupBy("query").agg(F.avg((F.coalesce("p", F.lit(0.0)) >= 0.5).cast("double")).alias("recall"))
+    return questions.select("query").join(share_, "query", "left").select("query", F.coalesce("recall", F.lit(1.0)).alias("recall"))
+
+
+def citation_accuracy(answer: Column, bad: Column) -> Column:
+    """Share of the references that an answer cites which are not bad; NULL where it cites none."""
+    from quarry.operators.safety import citations
+
+    cited = citations(answer)
+    return F.try_divide(F.size(F.array_except(cited, F.coalesce(bad, F.array().cast("array<int>")))), F.nullif(F.size(cited), F.lit(0)))
+
+
+def compare_yardsticks(results: DataFrame, gold: DataFrame, metrics: dict[str, tuple[str, str]]) -> DataFrame:
+    """metric, old, new, delta: means of two yardsticks over the questions that have gold (query). metrics: name -> (old, new) column."""
+    kept = results.join(gold.select("query").distinct(), "query", "left_semi")
+    means = kept.agg(*[F.avg(c).alias(f"{name}_{k}") for name, pair in metrics.items() for k, c in enumerate(pair)])
+    rows = F.array(*[F.struct(F.lit(name).alias("metric"), F.col(f"{name}_0").alias("old"), F.col(f"{name}_1").alias("new")) for name in metrics])
+    return means.select(F.inline(rows)).withColumn("delta", F.col("new") - F.col("old"))
+
+
 def quality_pass(*criteria: Column, least: float = 6.5) -> Column:
     mean = sum(criteria[1:], criteria[0]) / len(criteria)
     return F.struct(mean.alias("score"), (mean >= least).alias("passed"))
@@ -132,13 +209,14 @@ def auc(df: DataFrame, p: str, label: str) -> DataFrame:
     return ordered.agg((F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
-def running(df: DataFrame, order: str, counts: Sequence[str]) -> DataFrame:
+def running(df: DataFrame, order: str | Sequence[str], counts: Sequence[str]) -> DataFrame:
     """df with `<count>_before`: the sum over all rows before in the order (its values are distinct).
 
     Ranges are summed in parallel, and only the ranges' totals meet in one place.
     """
-    ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    order = [order] if isinstance(order, str) else list(order)
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_{c}") for c in counts])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_part", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in counts])
@@ -193,19 +271,42 @@ def mcnemar(pairs: DataFrame, x: Column, y: Column) -> DataFrame:
 
 
 def bootstrap(pairs: DataFrame, metric: str, n: int = 2000, seed: int = 42) -> DataFrame:
-    """metric, delta, low, high, p_value of mean(y - x) for each metric, by resampling questions with a seeded generator.
+    """metric, delta, low, high, p_value of mean(y - x) for each metric, from n resamples. pairs: metric, question_id, x, y.
 
-    pairs: metric, question_id, x, y. One group a metric: a run's questions (hundreds), not corpus rows.
+    A question's weight in a resample is drawn from a Poisson distribution by a hash of its id, so no task sees more than
+    its own questions, and the result doesn't depend on their partitions. Only n sums a metric meet.
     """
-
-    def resample(group: pd.DataFrame) -> pd.DataFrame:
-        d = (group.sort_values("question_id")["y"] - group.sort_values("question_id")["x"]).tolist()
-        draw = random.Random(seed)
-        means = sorted(sum(d[draw.randrange(len(d))] for _ in d) / len(d) for _ in range(n))
-        worse = sum(m <= 0 for m in means) / n
-        return pd.DataFrame({"metric": [group[metric].iloc[0]], "delta": [sum(d) / len(d)], "low": [means[int(0.025 * n)]], "high": [means[min(n - 1, int(0.975 * n))]], "p_value": [min(1.0, 2 * min(worse, 1 - worse))]})
-
-    return pairs.groupBy(metric).applyInPandas(resample, "metric string, delta double, low double, high double, p_value double")
+    chances = np.exp(-1.0 - np.array([math.lgamma(i + 1) for i in range(20)]))
+    steps, resample = np.cumsum(chances), np.arange(n, dtype=np.uint64) + np.uint64(seed) * np.uint64(1_000_003)
+
+    def weights(ids: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            x = ids.view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + resample[None, :] * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return np.searchsorted(steps, ((x ^ x >> np.uint64(31)) >> np.uint64(11)) / float(1 << 53))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names = np.array(batch.column(0).to_pylist(), dtype=object)
+            ids, d = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for name in set(names.tolist()):
+                at = np.flatnonzero(names == name)
+                total = held.setdefault(name, np.zeros((2, n)))
+                for k in range(0, len(at), 500):
+                    w = weights(ids[at[k : k + 500]])
+                    total += np.stack([d[at[k : k + 500]] @ w, w.sum(axis=0)])
+        for name, total in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(n, dtype=np.int32)), pa.array(total[0]), pa.array(total[1])], names=["metric", "resample", "d", "w"])
+
+    rows = pairs.select(F.col(metric).cast("string").alias("metric"), F.xxhash64("question_id").alias("id"), (F.col("y") - F.col("x")).cast("double").alias("d"))
+    drawn = rows.mapInArrow(sums, "metric string, resample int, d double, w double").groupBy("metric", "resample").agg((F.sum("d") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
+    ordered = drawn.groupBy("metric").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    worse = F.size(F.filter("m", lambda x: x <= 0)) / F.size("m")
+    at = lambda share: F.get("m", F.least(F.floor(F.size("m") * share), F.size("m") - 1).cast("int"))
+    known = rows.groupBy("metric").agg(F.avg("d").alias("delta")).join(ordered, "metric")
+    return known.select(F.col("metric").alias(metric), "delta", at(0.025).alias("low"), at(0.975).alias("high"), F.least(F.lit(1.0), 2 * F.least(worse, 1 - worse)).alias("p_value"))
 
 
 # --- reports ----------------------------------------------------------------------------------------------------------

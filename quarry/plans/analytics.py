@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quarry.operators import analytics as A
+from quarry.operators import evaluation as E
 from quarry.registry import query, table
 
 DAY = "DATE '2024-01-15'"
@@ -135,16 +136,13 @@ def derived_scope_max(spark, sf):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events WHERE value > 0 GROUP BY 1")
 def percentile_latency(spark, sf):
-    p = lambda q: F.round(F.percentile("value", F.lit(q)), 6)
-    return table(spark, sf, "events").where("value > 0").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"))
+    found = A.percentiles(table(spark, sf, "events").where("value > 0"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
+    return found.select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p95")])
 
 
 @query("""SELECT event_type, list_sort(list(value))[round_even(0.95 * (count(*) - 1), 0)::INT + 1] AS p95 FROM events GROUP BY 1""")
 def nearest_rank_p95(spark, sf):
-    """Exact nearest rank by position in each key's order, without gathering a key's values."""
-    w = Window.partitionBy("event_type")
-    ranked = table(spark, sf, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("i"), F.count("*").over(w).alias("n"))
-    return ranked.where(F.col("i") == F.bround(F.lit(0.95) * (F.col("n") - 1)) + 1).select("event_type", F.col("value").alias("p95"))
+    return A.nearest_rank(table(spark, sf, "events"), "event_type", "value").withColumnRenamed("value", "p95")
 
 
 @query("""WITH b(le) AS (VALUES (10.0), (25.0), (50.0), (100.0), ('inf'::DOUBLE)),
@@ -161,7 +159,7 @@ def histogram_p90(spark, sf):
 
 @query("""SELECT l_returnflag AS channel, count(*) AS recalled, count(*) FILTER (l_discount <= 0.05) AS accepted, round(avg(l_tax), 4) AS avg_score FROM lineitem GROUP BY 1""")
 def channel_summary(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("channel")).agg(F.count("*").alias("recalled"), F.count_if(F.col("l_discount") <= 0.05).alias("accepted"), F.round(F.avg("l_tax"), 4).alias("avg_score"))
+    return A.channel_summary(table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("channel"), (F.col("l_discount") <= 0.05).alias("accepted"), F.col("l_tax").alias("score")))
 
 
 @query("""WITH p(model, i, o) AS (VALUES ('Brand#11', 2.0, 6.0), ('Brand#12', 1.5, 3.0))
@@ -181,45 +179,48 @@ def prompt_cache_ratio(spark, sf):
 @query("""SELECT o_orderpriority AS category, count(*) AS n, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY ROLLUP(o_orderpriority)""")
 def category_rollup(spark, sf):
     """Means by category with the total, as of keyword recall by category."""
-    return table(spark, sf, "orders").rollup(F.col("o_orderpriority").alias("category")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean"))
+    return A.by_category(table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "category"), "category", "o_totalprice", 2)
 
 
 @query("""SELECT l_orderkey, max(l_linenumber) AS depth, count(*) AS nodes FROM lineitem GROUP BY 1""")
 def structure_stats(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("depth"), F.count("*").alias("nodes"))
+    return A.structure_stats(table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("depth")), "l_orderkey")
 
 
 @query("""SELECT count(*) AS completed, round(avg(o_totalprice), 2) AS avg_a, nullif(round(avg(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END), 2), 0) AS avg_b FROM orders WHERE o_orderstatus = 'F'""")
 def evaluation_summary(spark, sf):
     """Count and means of completed runs; a mean of exactly 0 shows as NULL."""
-    done = table(spark, sf, "orders").where("o_orderstatus = 'F'")
-    mean = lambda c: F.nullif(F.round(F.avg(c), 2), F.lit(0.0))
-    return done.agg(F.count("*").alias("completed"), mean(F.col("o_totalprice")).alias("avg_a"), mean(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice"))).alias("avg_b"))
+    o = table(spark, sf, "orders")
+    runs = o.select(F.when(F.col("o_orderstatus") == "F", "completed").alias("status"), F.col("o_totalprice").alias("avg_a"), F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice")).alias("avg_b"))
+    return A.completed_means(runs, "avg_a", "avg_b", digits=2)
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'F' THEN 'final' WHEN l_returnflag = 'R' THEN 'rerank' WHEN l_discount > 0 THEN 'fusion' ELSE 'recall' END AS phase,
-coalesce(nullif(l_discount, 0), nullif(l_tax, 0), l_quantity) AS score FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'F' THEN 'final' WHEN l_discount > 0 THEN 'rerank' WHEN l_tax > 0 THEN 'fusion' ELSE 'recall' END AS phase, coalesce(nullif(l_discount, 0), nullif(l_tax, 0), l_quantity) AS shown FROM lineitem""")
 def retrieval_phase(spark, sf):
     li = table(spark, sf, "lineitem")
-    phase = F.when(F.col("l_linestatus") == "F", "final").when(F.col("l_returnflag") == "R", "rerank").when(F.col("l_discount") > 0, "fusion").otherwise("recall")
-    return li.select("l_orderkey", "l_linenumber", phase.alias("phase"), F.coalesce(F.nullif("l_discount", F.lit(0.0)), F.nullif("l_tax", F.lit(0.0)), "l_quantity").alias("score"))
+    hits = li.select("l_orderkey", "l_linenumber", (F.col("l_linestatus") == "F").alias("selected"), F.col("l_discount").alias("rerank_score"), F.col("l_tax").alias("rrf_score"), F.col("l_quantity").alias("score"))
+    return A.retrieval_phase(hits).select("l_orderkey", "l_linenumber", "phase", "shown")
 
 
-@query("""SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_returnflag = 'A' THEN l_linenumber END, CASE WHEN l_returnflag = 'R' THEN l_suppkey END, 999) AS display_rank FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_returnflag = 'A' THEN l_linenumber END, CASE WHEN l_returnflag = 'R' THEN l_suppkey END, CASE WHEN l_linenumber > 2 THEN l_partkey END, 999) AS display_rank FROM lineitem""")
 def display_rank(spark, sf):
-    li = table(spark, sf, "lineitem")
-    rank = F.coalesce(F.when(F.col("l_returnflag") == "A", F.col("l_linenumber")), F.when(F.col("l_returnflag") == "R", F.col("l_suppkey")), F.lit(999))
-    return li.select("l_orderkey", "l_linenumber", rank.cast("long").alias("display_rank"))
+    final, rrf = F.when(F.col("l_returnflag") == "A", F.col("l_linenumber")), F.when(F.col("l_returnflag") == "R", F.col("l_suppkey"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", A.display_rank(final, rrf, F.when(F.col("l_linenumber") > 2, F.col("l_partkey"))).cast("long").alias("display_rank"))
 
 
-@query("""SELECT o_orderstatus, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority = '5-LOW') AS low FROM orders GROUP BY 1""")
+@query("""WITH q AS (SELECT o_orderstatus AS run, CASE WHEN o_orderkey % 7 = 0 THEN 'ok' WHEN o_orderkey % 2 = 0 THEN 'recall' WHEN o_orderkey % 3 = 0 THEN 'gate' WHEN o_orderkey % 5 = 0 THEN 'fusion' WHEN o_orderkey % 11 = 0 THEN 'rerank' ELSE 'final_cut' END AS stage FROM orders)
+SELECT run, count(*) FILTER (stage = 'ok') AS ok, count(*) FILTER (stage = 'recall') AS recall, count(*) FILTER (stage = 'gate') AS gate, count(*) FILTER (stage = 'fusion') AS fusion, count(*) FILTER (stage = 'rerank') AS rerank, count(*) FILTER (stage = 'final_cut') AS final_cut FROM q GROUP BY 1""")
 def stage_attribution(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.count_if(F.col("o_orderpriority") == "5-LOW").alias("low"))
+    """Where the questions of each run lost their gold."""
+    k = F.col("o_orderkey")
+    stage = E.attribute_stage(k % 2 != 0, k % 3 != 0, k % 5 != 0, k % 11 != 0, k % 7 == 0)
+    return A.stage_counts(table(spark, sf, "orders").select(F.col("o_orderstatus").alias("run"), stage.alias("stage")), ["ok", "recall", "gate", "fusion", "rerank", "final_cut"])
 
 
 @query("""SELECT event_type, round(avg((value > 50)::INT), 6) AS coverage, count(*) AS decisions, round(quantile_cont(value, 0.5), 6) AS p50 FROM events GROUP BY 1""")
 def decision_coverage(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg((F.col("value") > 50).cast("int")), 6).alias("coverage"), F.count("*").alias("decisions"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"))
+    d = A.decision_coverage(table(spark, sf, "events").select(F.col("event_type").alias("flag"), (F.col("value") > 50).alias("answered"), F.col("value").alias("latency")))
+    return d.select(F.col("flag").alias("event_type"), F.round("coverage", 6).alias("coverage"), "decisions", F.round("p50", 6).alias("p50"))
 
 
 @query("SELECT user_id, arg_max(event_id, ts) AS event_id FROM (SELECT user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) GROUP BY 1")
@@ -229,7 +230,8 @@ def latest_task(spark, sf):
 
 @query("SELECT user_id, count(*) FILTER (event_type IN ('click', 'view')) AS up, count(*) FILTER (event_type = 'error') AS down FROM events GROUP BY 1")
 def feedback_counts(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.count_if(F.col("event_type").isin("click", "view")).alias("up"), F.count_if(F.col("event_type") == "error").alias("down"))
+    rating = F.when(F.col("event_type").isin("click", "view"), 1).when(F.col("event_type") == "error", -1)
+    return A.feedback(table(spark, sf, "events").select("user_id", rating.alias("rating")), "user_id")
 
 
 @query("""WITH a AS (SELECT event_type AS metric, avg(value) AS x FROM events WHERE user_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type AS metric, avg(value) AS y FROM events WHERE user_id % 2 = 1 GROUP BY 1)
@@ -237,6 +239,57 @@ SELECT metric, round(y - x, 6) AS delta, CASE WHEN y - x > 0.005 THEN 'up' WHEN
 def compare_runs(spark, sf):
     """Means of two runs by metric: delta and its direction beyond a band of 0.005."""
     e = table(spark, sf, "events")
-    run = lambda k, n: e.where(F.col("user_id") % 2 == k).groupBy(F.col("event_type").alias("metric")).agg(F.avg("value").alias(n))
-    d = F.col("y") - F.col("x")
-    return run(0, "x").join(run(1, "y"), "metric", "full_outer").select("metric", F.round(d, 6).alias("delta"), F.when(d > 0.005, "up").when(d < -0.005, "down").otherwise("same").alias("trend"))
+    run = lambda k: e.where(F.col("user_id") % 2 == k).groupBy(F.col("event_type").alias("metric")).agg(F.avg("value").alias("value"))
+    return A.compare_runs(run(0), run(1)).select("metric", F.round("delta", 6).alias("delta"), "trend")
+
+
+@query("SELECT event_type AS term, count(*) AS n FROM events GROUP BY 1")
+def term_counts(spark, sf):
+    return A.term_counts(table(spark, sf, "events").withColumnRenamed("event_type", "term"), "term")
+
+
+@query("""WITH RECURSIVE s AS (SELECT l_orderkey AS trace, l_linenumber AS span, CASE WHEN l_linenumber > 1 THEN l_linenumber // 2 END AS parent FROM lineitem GROUP BY ALL), k AS (SELECT s.*, p.span IS NOT NULL AS known FROM s LEFT JOIN s p ON p.trace = s.trace AND p.span = s.parent),
+d AS (SELECT trace, span, 0 AS depth, span::VARCHAR AS path FROM k WHERE NOT known UNION ALL SELECT k.trace, k.span, d.depth + 1, d.path || ' ' || k.span FROM k JOIN d ON k.trace = d.trace AND k.parent = d.span WHERE k.known) SELECT * FROM d""")
+def span_waterfall(spark, sf):
+    """The lines of an order as spans whose parent is the line of half their number."""
+    n = F.col("l_linenumber")
+    spans = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("trace"), n.alias("span"), F.when(n > 1, F.floor(n / 2).cast("int")).alias("parent"), F.lit("2024-01-01").cast("timestamp").alias("start")).distinct()
+    return A.waterfall(spans).select("trace", "span", "depth", F.regexp_replace("path", "[0-9]{20}/", "").alias("path"))
+
+
+@query("SELECT c_custkey, c_name, NULL::INT AS status FROM customer WHERE false UNION ALL SELECT c_custkey, c_name, CASE WHEN c_acctbal < 0 THEN 0 ELSE 1 END FROM customer")
+def soft_deletes(spark, sf):
+    return A.soft_delete(table(spark, sf, "customer").select("c_custkey", "c_name", F.lit(None).cast("int").alias("status"), "c_acctbal"), F.col("c_acctbal") < 0).drop("c_acctbal")
+
+
+@query("SELECT o_orderkey, l_linenumber AS node_no, o_orderpriority AS document FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def node_documents(spark, sf):
+    """Structure nodes with their documents."""
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("node_no")).join(table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("document")), "o_orderkey")
+
+
+@query("SELECT l.doc_id, quality, toxic, d.source, d.lang FROM labels l JOIN documents d USING (doc_id)")
+def profile_documents(spark, sf):
+    """Profiles with their documents."""
+    return table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source", "lang"), "doc_id").select("doc_id", "quality", "toxic", "source", "lang")
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE event_type IN ('error', 'click') AND value >= 10 ORDER BY ts DESC, event_id DESC LIMIT 25 OFFSET 25")
+def route_trace_page(spark, sf):
+    """The second page of traces by status and score, the latest first."""
+    e = table(spark, sf, "events").where(F.col("event_type").isin("error", "click") & (F.col("value") >= 10))
+    return A.page(e, [F.desc("ts"), F.desc("event_id")], 2, 25).select("event_id", "event_type", "value")
+
+
+@query("""(SELECT 'documents' AS listing, doc_id AS id FROM documents ORDER BY doc_id DESC LIMIT 10) UNION ALL (SELECT 'chunks', l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL ORDER BY 2 LIMIT 10 OFFSET 10) UNION ALL
+(SELECT 'evaluations', doc_id FROM labels WHERE quality = 1 ORDER BY doc_id LIMIT 10 OFFSET 20) UNION ALL (SELECT 'traces', event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 10)""")
+def listing_pages(spark, sf):
+    """Pages of the four listings."""
+    chunks = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).distinct()
+    parts = {
+        "documents": A.page(table(spark, sf, "documents").select(F.col("doc_id").alias("id")), [F.desc("id")], 1, 10), "chunks": A.page(chunks, [F.col("id")], 2, 10),
+        "evaluations": A.page(table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("id")), [F.col("id")], 3, 10),
+        "traces": A.page(table(spark, sf, "events"), [F.desc("ts"), F.desc("event_id")], 1, 10).select(F.col("event_id").alias("id")),
+    }
+    rows = [d.select(F.lit(k).alias("listing"), "id") for k, d in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])

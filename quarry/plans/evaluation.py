@@ -83,7 +83,8 @@ def mcnemar(spark, sf):
     return E.mcnemar(table(spark, sf, "labels"), q & (F.col("doc_id") % 3 != 0), q & (F.col("doc_id") % 5 != 0)).select("b", "c")
 
 
-@query()
+@query("""WITH r AS (SELECT quality = 1 AND doc_id % 3 <> 0 AS x, quality = 1 AND doc_id % 5 <> 0 AS y FROM labels), c AS (SELECT count(*) FILTER (x AND NOT y) AS b, count(*) FILTER (NOT x AND y) AS c FROM r),
+t AS (SELECT b, c, unnest(range(0, least(b, c) + 1)) AS i FROM c) SELECT b, c, least(1.0, 2 * sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))) AS p FROM t GROUP BY ALL""")
 def mcnemar_p(spark, sf):
     q = F.col("quality") == 1
     return E.mcnemar(table(spark, sf, "labels"), q & (F.col("doc_id") % 3 != 0), q & (F.col("doc_id") % 5 != 0))
@@ -91,9 +92,10 @@ def mcnemar_p(spark, sf):
 
 @query()
 def paired_bootstrap(spark, sf):
-    j = judged(spark, sf)
-    pairs = E.paired(j.select(F.col("doc_id").alias("question_id"), F.col("p").alias("m")), j.select(F.col("doc_id").alias("question_id"), (F.col("p") + 0.01 * F.col("quality")).alias("m")), "m")
-    return E.bootstrap(pairs.withColumn("metric", F.lit("p")), "metric", n=200)
+    """Two metrics of two runs, 2000 resamples each; held against a plain bootstrap in the tests."""
+    j = judged(spark, sf).select(F.col("doc_id").alias("question_id"), "p", "quality")
+    pairs = j.select("question_id", F.inline(F.array(F.struct(F.lit("p").alias("metric"), F.col("p").alias("x"), (F.col("p") + 0.01 * F.col("quality")).alias("y")), F.struct(F.lit("q").alias("metric"), F.col("p").alias("x"), (1 - F.col("p")).alias("y")))))
+    return E.bootstrap(pairs.where("x is not null and y is not null"), "metric")
 
 
 @query()
@@ -181,3 +183,89 @@ def embedded_texts(spark, sf):
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("chunk"), models.checked_dimension(models.hashing_embedding(F.col("text")), 64).alias("vector"))
     near = R.vector_channel(b.select(F.col("chunk").alias("query"), F.col("vector").alias("query_vector")), b, 2)
     return near.where("query <> chunk").select("query", "chunk", F.round("score", 6).alias("score"), F.row_number().over(Window.partitionBy("query").orderBy("rank")).alias("rank")).where("rank = 1")
+
+
+#: Turns as hits of their conversation; gold: the first half of the third turn, a short word, and a text of its own.
+G_SQL = r"""h AS (SELECT conv_id, list(coalesce(text, '') ORDER BY turn) AS hits FROM conversations GROUP BY 1), g AS (SELECT conv_id, hits, [left(hits[3], 60), 'x', 'zq' || conv_id || 'jx qzj vxq'] AS gold FROM h WHERE len(hits) >= 3),
+p AS (SELECT conv_id, hits, unnest(gold) AS gold, unnest(range(1, 4)) AS n FROM g), b AS (SELECT conv_id, n, gold, hits, lower(regexp_replace(gold, '[^A-Za-z0-9_]', '', 'g')) AS s FROM p),
+e AS (SELECT conv_id, n, gold, list_distinct(list_transform(range(1, length(s)), lambda i: s[i:i + 1])) AS s, unnest(hits) AS hit, unnest(range(1, len(hits) + 1)) AS i FROM b),
+f AS (SELECT *, lower(regexp_replace(hit, '[^A-Za-z0-9_]', '', 'g')) AS t FROM e), r AS (SELECT conv_id, n, i, CASE WHEN len(s) = 0 THEN contains(lower(hit), lower(gold))::INT ELSE len(list_intersect(s, list_transform(range(1, length(t)), lambda i: t[i:i + 1]))) / len(s) END AS share FROM f)"""
+
+
+def texts(spark, sf):
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("hits")).where(F.size("hits") >= 3)
+    return c.withColumn("gold", F.array(F.substring(F.get("hits", F.lit(2)), 1, 60), F.lit("x"), F.format_string("zq%djx qzj vxq", "conv_id")))
+
+
+@query(f"WITH {G_SQL} SELECT conv_id, count(DISTINCT n) FILTER (share >= 0.5 AND i <= 5) / 3 AS recall5, coalesce(round(1.0 / min(i) FILTER (share >= 0.5), 4), 0) AS mrr, count(DISTINCT n) FILTER (share >= 0.35) / 3 AS lexical FROM r GROUP BY 1")
+def text_metrics(spark, sf):
+    """Recall, reciprocal rank and lexical recall of ranked texts against gold texts, by character pairs."""
+    h, g = F.col("hits"), F.col("gold")
+    return texts(spark, sf).select("conv_id", E.text_recall_at(h, g, 5).alias("recall5"), E.text_mrr(h, g).alias("mrr"), E.lexical_recall(h, g).alias("lexical"))
+
+
+@query()
+def text_ndcg(spark, sf):
+    """Each gold text counts once, by the first hit that covers it; held against brute force in the tests."""
+    return texts(spark, sf).select("conv_id", E.text_ndcg_at(F.col("hits"), F.col("gold"), 5).alias("ndcg5"))
+
+
+@query(f"WITH {J_SQL} SELECT doc_id % 50 AS query, avg((p >= 0.5)::INT) AS recall FROM j WHERE doc_id % 50 < 40 GROUP BY 1 UNION ALL SELECT DISTINCT doc_id % 50, 1.0 FROM labels WHERE doc_id % 50 >= 40")
+def judged_context_recall(spark, sf):
+    j = judged(spark, sf).withColumn("query", F.col("doc_id") % 50)
+    return E.context_recall(j.where("query < 40").select("query", "p"), j.select("query").distinct())
+
+
+@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 0.0 WHEN 1 THEN 0.25 WHEN 2 THEN 0.5 WHEN 3 THEN 0.75 WHEN 4 THEN 1.0 ELSE 0.5 END AS correctness FROM labels")
+def judged_correctness(spark, sf):
+    level = F.element_at(F.array(*[F.lit(x) for x in ("完全不一致", "大部分不一致", "部分一致", "基本一致", "完全一致", "说不清")]), (F.col("doc_id") % 6 + 1).cast("int"))
+    return table(spark, sf, "labels").select("doc_id", E.correctness(level).alias("correctness"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN 0.5 ELSE (CASE WHEN o_orderkey % 5 = 2 THEN 1 ELSE 2 END) / 2 END AS accuracy FROM orders")
+def citation_accuracy(spark, sf):
+    """Answers that cite nothing, two references of which the second is bad, or may be."""
+    k = F.col("o_orderkey") % 4
+    answer = F.when(k == 0, "none").when(k == 1, "a [1] b [2] c [1]").otherwise(F.concat(F.lit("a [1], b ["), (F.col("o_orderkey") % 5 + 2).cast("string"), F.lit("]")))
+    return table(spark, sf, "orders").select("o_orderkey", E.citation_accuracy(answer, F.when(k == 1, F.array(F.lit(2), F.lit(7))).otherwise(F.array(F.lit(4)))).alias("accuracy"))
+
+
+@query(f"WITH {J_SQL}, k AS (SELECT * FROM j WHERE doc_id % 3 = 0) SELECT 'quality' AS metric, round(avg(quality), 9) AS old, round(avg(p), 9) AS new, round(avg(p) - avg(quality), 9) AS delta FROM k UNION ALL SELECT 'toxic', round(avg(toxic), 9), round(avg(1 - p), 9), round(avg(1 - p) - avg(toxic), 9) FROM k")
+def yardsticks(spark, sf):
+    j = judged(spark, sf).withColumn("query", F.col("doc_id")).withColumn("r", 1 - F.col("p"))
+    found = E.compare_yardsticks(j, j.where("query % 3 = 0"), {"quality": ("quality", "p"), "toxic": ("toxic", "r")})
+    return found.select("metric", *[F.round(c, 9).alias(c) for c in ("old", "new", "delta")])
+
+
+@query("""SELECT avg(CASE WHEN NOT a THEN r END) AS refused, avg(CASE WHEN a THEN r END) AS over_refused FROM (SELECT conv_id % 3 <> 0 AS a, (CASE WHEN turn % 4 = 1 THEN 1 WHEN text IS NULL THEN NULL ELSE regexp_matches(lower(text), 'cannot answer|can''t answer|no relevant|not found|unable to')::INT END)::DOUBLE AS r
+FROM conversations WHERE role = 'assistant')""")
+def refusal_rates(spark, sf):
+    a = table(spark, sf, "conversations").where("role = 'assistant'")
+    answer = F.when(F.col("turn") % 4 == 1, "抱歉，没有找到").otherwise(F.col("text"))
+    return E.refusal_rates(a.select((F.col("conv_id") % 3 != 0).alias("answerable"), answer.alias("answer")))
+
+
+@query("""WITH d AS (SELECT lang AS t, CASE WHEN doc_id % 4 = 0 THEN 'en' ELSE lang END AS g FROM documents), l AS (SELECT DISTINCT t AS label FROM d UNION SELECT DISTINCT g FROM d),
+c AS (SELECT label, count(*) FILTER (t = label AND g = label) AS tp, count(*) FILTER (t <> label AND g = label) AS fp, count(*) FILTER (t = label AND g <> label) AS fn FROM l, d GROUP BY label)
+SELECT round(avg(tp / (tp + fp)), 6) AS precision, round(avg(tp / (tp + fn)), 6) AS recall, round(avg(2 * tp / (2 * tp + fp + fn)), 6) AS f1 FROM c""")
+def macro_metrics(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("lang").alias("t"), F.when(F.col("doc_id") % 4 == 0, "en").otherwise(F.col("lang")).alias("g"))
+    m = E.macro(E.by_class(d, "t", "g"))
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+
+
+@query("SELECT o_custkey AS query, o_orderkey AS chunk, row_number() OVER w AS rank FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY 2 * (o_orderkey % 10 / 10) + o_orderkey % 7 / 7 DESC, o_orderkey) QUALIFY row_number() OVER w <= 5")
+def prefiltered_gold(spark, sf):
+    k = F.col("o_orderkey")
+    return E.prefilter(table(spark, sf, "orders").select(F.col("o_custkey").alias("query"), k.alias("chunk"), (k % 10 / 10).alias("best"), (k % 7 / 7).alias("own")), 5).select("query", "chunk", "rank")
+
+
+@query("SELECT doc_id, (quality * 10 + toxic * 10 + doc_id % 11 + 7) / 4 AS score, (quality * 10 + toxic * 10 + doc_id % 11 + 7) / 4 >= 6.5 AS passed FROM labels")
+def quality_passes(spark, sf):
+    p = E.quality_pass(F.col("quality") * 10, F.col("toxic") * 10, F.col("doc_id") % 11, F.lit(7))
+    return table(spark, sf, "labels").select("doc_id", p.alias("p")).select("doc_id", "p.score", "p.passed")
+
+
+@query("SELECT doc_id, (doc_id % 20) / 20 >= 0.85 AND (doc_id % 7) / 40 <= 0.10 AS usable FROM labels")
+def usable_judges(spark, sf):
+    return table(spark, sf, "labels").select("doc_id", E.usable(F.col("doc_id") % 20 / 20, F.col("doc_id") % 7 / 40).alias("usable"))

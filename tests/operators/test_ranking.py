@@ -1,3 +1,6 @@
+import itertools
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.operators import evaluation as E
@@ -77,3 +80,42 @@ def test_mcnemar_and_auc(spark):
     assert (row.b, row.c) == (8, 1) and abs(row.p - 0.0390625) < 1e-9
     p = spark.createDataFrame([(0.9, 1), (0.5, 1), (0.5, 0), (0.1, 0)], "p double, label int")
     assert E.auc(p, "p", "label").first().auc == 0.875
+
+
+def test_bootstrap_agrees_with_plain_resampling(spark):
+    from quarry.operators import evaluation as E
+
+    rng = np.random.default_rng(3)
+    d = rng.normal(0.05, 0.5, 400)
+    df = spark.createDataFrame([("m", i, 0.0, float(x)) for i, x in enumerate(d)] + [("n", i, 0.0, -1.0) for i in range(5)], "metric string, question_id long, x double, y double")
+    rows = {r.metric: r for r in E.bootstrap(df, "metric").collect()}
+    means = np.sort([rng.choice(d, len(d)).mean() for _ in range(4000)])
+    m = rows["m"]
+    assert abs(m.delta - d.mean()) < 1e-12 and abs(m.low - means[100]) < 0.012 and abs(m.high - means[3900]) < 0.012
+    assert abs(m.p_value - 2 * min((means <= 0).mean(), (means > 0).mean())) < 0.05
+    assert (rows["n"].delta, rows["n"].low, rows["n"].high, rows["n"].p_value) == (-1.0, -1.0, -1.0, 0.0)
+    again = {r.metric: r for r in E.bootstrap(df.repartition(7), "metric").collect()}["m"]
+    assert np.allclose(again[1:], m[1:])
+
+
+def test_text_ndcg(spark):
+    from quarry.operators import evaluation as E
+
+    rows = [(["alpha beta", "gamma delta", "alpha beta"], ["alpha beta", "alpha", "gamma"], 0), (["nothing"], ["alpha"], 1), ([], ["alpha"], 2), (["alpha"], [], 3)]
+    df = spark.createDataFrame(rows, "hits array<string>, gold array<string>, n int")
+    got = {r.n: r.x for r in df.select("n", E.text_ndcg_at(F.col("hits"), F.col("gold"), 2).alias("x")).collect()}
+    assert got == {0: 1.0, 1: 0.0, 2: 0.0, 3: 0.0}
+
+
+def test_keyword_channel(spark):
+    from quarry.operators import lexical as L
+
+    chunks = spark.createDataFrame(
+        [(1, "制度 > 第5条", "差旅办法", "hr", "住宿标准 A类城市 M3 每晚"), (2, "制度 > 第6条", "差旅办法", "hr", "报销流程 **5.1 说明"), (3, "其他", "考勤", "hr", "travel rules for all"), (4, "其他", "考勤", "hr", "nothing here")],
+        "chunk long, section_path string, document_name string, scope_name string, chunk_text string",
+    )
+    queries = spark.createDataFrame([(1, "第五条", []), (2, "M3 在A类城市的标准", []), (3, "travel", ["rules"]), (4, "5.1 是什么", []), (5, "《差旅办法》说", [])], "query int, text string, hints array<string>")
+    got = {q: [r.chunk for r in rows] for q, rows in itertools.groupby(L.keyword_channel(queries, chunks).orderBy("query", "rank").collect(), lambda r: r.query)}
+    assert got[1][0] == 1 and got[2][0] == 1 and got[3][0] == 3 and got[4][0] == 2 and set(got[5]) >= {1, 2}
+    scores = {(r.query, r.chunk): r.score for r in L.keyword_channel(queries, chunks).collect()}
+    assert scores[5, 1] >= 5.0 + 6.0 and scores[4, 2] >= 6.0 + 8.0
