@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._base import groups, shuffle_partitions, slices, written
+from quarry.llm._base import LEAST_ID, batch_of, by_bucket, shuffle_partitions, spread_ascending, spread_out, squeezed, squeezed_ascending, text_blocks, written
 
 #: A perfect difference set mod 73: the powers of two.
 PERIOD, COVER = 73, np.array(sorted(pow(2, k, 73) for k in range(9)))
@@ -39,7 +39,6 @@ CHUNK = 1 << 20
 #: Samples of a block whose suffixes are sorted and combined together before they are sent, and entries of a suffix bucket.
 PART, BUCKET = 100_000, 100_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-LEAST_ID = -(1 << 63)
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -51,14 +50,6 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
-def squeezed(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
-
-
-def spread_out(b: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
-
-
 class Block:
     """Concatenated texts and what the sieve says about their samples."""
 
@@ -98,7 +89,7 @@ class Block:
         cuts = np.searchsorted(bucket, np.arange(self.n_buckets + 1))
         for k in np.flatnonzero(np.diff(cuts)):
             part = slice(cuts[k], cuts[k + 1])
-            yield int(k), (names[sent[part]] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), squeezed(counts[part].astype("<u4"))
+            yield int(k), squeezed_ascending(names[sent[part]] & np.uint64(0xFFFFFFFF)), squeezed(counts[part].astype("<u4"))
 
     def sieve_order(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Entries in the order in which they are sent, their counts and buckets; repeats, and which entry they repeat."""
@@ -106,7 +97,7 @@ class Block:
         counts = np.bincount(first[again], minlength=len(names)) + 1
         sent = np.flatnonzero(~again)
         bucket = ((names[sent] >> np.uint64(40)) % np.uint64(self.n_buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket << 32 | (names[sent] & np.uint64(0xFFFFFFFF)).astype(np.int64), kind="stable")
         sent = sent[order]
         return sent, counts[sent], bucket[order], again, first
 
@@ -156,7 +147,7 @@ class Block:
         ids = self.ids[self.doc_of(at)]
         for k in np.flatnonzero(np.diff(cuts)):
             part = slice(cuts[k], cuts[k + 1])
-            yield int(k), squeezed(keys[part]), squeezed(at[part].astype("<u4")), squeezed(ids[part].astype("<i8"))
+            yield int(k), squeezed(text_order(keys[part], self.length), 3), squeezed(at[part].astype("<u4")), squeezed(ids[part].astype("<i8"))
 
     def hot_strings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the strings around hot samples: those whose bytes stand in the block for the first time, and repeats."""
@@ -188,6 +179,13 @@ class Block:
         return spread(at, at + self.length, self.n)
 
 
+def text_order(keys: np.ndarray, length: int) -> np.ndarray:
+    """Keys with the bytes before the suffix read forwards, which compresses better, or backwards again."""
+    out = keys.copy()
+    out[:, length : length + LEFT] = keys[:, length : length + LEFT][:, ::-1]
+    return out
+
+
 def as_strings(rows: np.ndarray) -> np.ndarray:
     """Rows of bytes as fixed-length strings, which NumPy orders by bytes."""
     return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
@@ -272,32 +270,6 @@ def settled(keys: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
     return flags
 
 
-def blocks(df: DataFrame, text: str, key: str, block_bytes: int) -> DataFrame:
-    """block, ids, sizes and payload: texts in compressed blocks, each in the order of its keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes]] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            rows = sorted(held, key=lambda r: r[0])
-            payload = zstandard.ZstdCompressor(level=3).compress(b"".join(b for _, b in rows))
-            return pa.RecordBatch.from_arrays([pa.array([[i for i, _ in rows]], pa.list_(pa.int64())), pa.array([[len(b) for _, b in rows]], pa.list_(pa.int32())), pa.array([payload], pa.binary())], names=["ids", "sizes", "payload"])
-
-        for batch in slices(batches, 1):
-            for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append((i, b))
-                size += len(b)
-                if size >= block_bytes:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
-
-    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(LEAST_ID)).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "ids array<long>, sizes array<int>, payload binary").select(F.monotonically_increasing_id().alias("block"), "ids", "sizes", "payload")
-
-
 def opened(batches: Iterator[pa.RecordBatch], length: int, n_buckets: int) -> Iterator[tuple[int, Block, list[dict]]]:
     """Blocks of rows (block, ids, sizes, payload and, if there, answers), one at a time."""
     for batch in batches:
@@ -322,10 +294,6 @@ def splitters_of(table: DataFrame, length: int, n_buckets: int, most: int = 64)
     return np.unique(found[np.linspace(0, len(found) - 1, n_buckets + 1).astype(int)[1:-1]]) if len(found) else found
 
 
-def batch_of(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-
 def repeated_spans(df: DataFrame, length: int = 100, text: str = "text", key: str = "doc_id", block_bytes: int | None = None, most: int = 200_000) -> DataFrame:
     """key, n_bytes, spans (array of start, end: maximal removed runs, in bytes) and kept (binary) of every whole text.
 
@@ -341,7 +309,7 @@ def repeated_spans(df: DataFrame, length: int = 100, text: str = "text", key: st
     block_bytes = block_bytes or int(4e6 * min(4.0, max(1.0, math.sqrt(total / 1e9))))
     n_buckets = int(max(128, total / 8e6))
     n_parts = max(shuffle_partitions(df), int(total / 16e6) + 1)
-    table = written(blocks(df, text, key, block_bytes), "blocks")
+    table = written(text_blocks(df, text, key, block_bytes), "blocks")
 
     def with_answers(answers: DataFrame) -> DataFrame:
         of_block = answers.repartition(n_parts, "block").groupBy("block").agg(F.collect_list(F.struct(*[c for c in answers.columns if c != "block"])).alias("answers"))
@@ -354,7 +322,7 @@ def repeated_spans(df: DataFrame, length: int = 100, text: str = "text", key: st
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_bucket(batches):
-            names = [np.frombuffer(b, "<u4") for b in part.column(2).to_pylist()]
+            names = [spread_ascending(b) for b in part.column(2).to_pylist()]
             name, cuts = np.concatenate(names), np.cumsum([len(x) for x in names])[:-1]
             order = np.argsort(name, kind="stable")
             heads = np.flatnonzero(np.concatenate([[True], np.diff(name[order]) != 0]))
@@ -390,7 +358,7 @@ def repeated_spans(df: DataFrame, length: int = 100, text: str = "text", key: st
                 continue
             places, ids = [spread_out(r["places"], "<u4") for r in rows], np.concatenate([spread_out(r["ids"], "<i8") for r in rows])
             cuts, block = np.cumsum([len(p) for p in places])[:-1], np.repeat([r["block"] for r in rows], [len(p) for p in places])
-            keys = np.concatenate([spread_out(r.pop("keys"), np.uint8) for r in rows]).reshape(len(ids), -1)
+            keys = text_order(np.concatenate([spread_out(r.pop("keys"), np.uint8) for r in rows]).reshape(len(ids), -1), length)
             rank = np.empty(len(ids), np.int64)
             rank[np.lexsort((np.concatenate(places), block, ids))] = np.arange(len(ids))
             bits = np.packbits(settled(keys, rank, length), axis=1)
@@ -445,15 +413,6 @@ def repeated_spans(df: DataFrame, length: int = 100, text: str = "text", key: st
     return with_answers(answers).mapInArrow(finish, "k long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary").withColumnRenamed("k", key)
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of one bucket (the first column) at a time, from batches sorted by it."""
-    for table in groups(batches, 1, 1):
-        of = table.column(0).to_numpy()
-        cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
-        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            yield table.slice(a, z - a)
-
-
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes over all documents; counts and digest derived from the operator's spans and kept bytes."""
     found = repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
