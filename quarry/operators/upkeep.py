@@ -64,6 +64,11 @@ def stale(documents: DataFrame, now: Column, low: int, high: int, most: int = 10
     return documents.where(F.col("stage").between(low, high) & (F.col("status") == 1) & (F.col("updated_at") < now - F.expr("INTERVAL 2 HOURS"))).orderBy(F.desc("id")).limit(most)
 
 
+def section_rows(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows of the section index: sections with their document's name; items are not indexed."""
+    return nodes.where("node_type = 'section'").join(documents.select("doc", "document_name"), "doc")
+
+
 def delete_documents(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return table.join(gone.select(key).distinct(), key, "left_anti")
 

@@ -10,21 +10,41 @@ def events(spark, sf):
     return table(spark, sf, "events").withColumn("second", F.unix_timestamp("ts"))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, event_id, epoch(ts)::BIGINT AS t FROM (SELECT user_id, event_id, date_trunc('second', ts) AS ts FROM events)), r AS (SELECT user_id, list(event_id ORDER BY t, event_id) AS ids,
+list_reduce(list({'t': t, 'log': []::BIGINT[], 'ok': []::BOOLEAN[]} ORDER BY t, event_id), lambda a, x: {'t': x.t, 'log': CASE WHEN len(list_filter(a.log, lambda v: v > x.t - 86400)) < 2 THEN list_append(list_filter(a.log, lambda v: v > x.t - 86400), x.t) ELSE list_filter(a.log, lambda v: v > x.t - 86400) END,
+'ok': list_append(a.ok, len(list_filter(a.log, lambda v: v > x.t - 86400)) < 2)}, {'t': 0::BIGINT, 'log': []::BIGINT[], 'ok': []::BOOLEAN[]}) AS s FROM e GROUP BY 1)
+SELECT user_id, unnest(ids) AS event_id, unnest(s.ok) AS admitted FROM r""")
 def rate_limit(spark, sf):
-    return Z.rate_limit(events(spark, sf).select("user_id", "event_id", "second"), 2, 86_400)
+    return Z.rate_limit(events(spark, sf).select("user_id", "event_id", "second"), 2, 86_400).drop("second")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id % 20 AS resource, event_id, epoch(date_trunc('second', ts))::BIGINT AS t, user_id::VARCHAR AS o, CASE event_type WHEN 'error' THEN 'release' WHEN 'view' THEN 'renew' ELSE 'acquire' END AS act FROM events),
+r AS (SELECT resource, list(event_id ORDER BY t, event_id) AS ids, list_reduce(list({'t': t, 'o': o, 'act': act, 'ends': 0::BIGINT, 'ok': []::BOOLEAN[]} ORDER BY t, event_id), lambda a, x: CASE
+WHEN a.o <> '' AND a.ends > x.t AND a.o <> x.o THEN {'t': x.t, 'o': a.o, 'act': '', 'ends': a.ends, 'ok': list_append(a.ok, false)} WHEN x.act = 'acquire' OR (x.act = 'renew' AND a.o = x.o AND a.ends > x.t) THEN {'t': x.t, 'o': x.o, 'act': '', 'ends': x.t + 7200, 'ok': list_append(a.ok, true)}
+WHEN x.act = 'renew' THEN {'t': x.t, 'o': '', 'act': '', 'ends': 0::BIGINT, 'ok': list_append(a.ok, false)} ELSE {'t': x.t, 'o': '', 'act': '', 'ends': 0::BIGINT, 'ok': list_append(a.ok, a.o = x.o AND a.ends > x.t)} END, {'t': 0::BIGINT, 'o': '', 'act': '', 'ends': 0::BIGINT, 'ok': []::BOOLEAN[]}) AS s FROM e GROUP BY 1)
+SELECT resource, unnest(ids) AS event_id, unnest(s.ok) AS granted FROM r""")
 def lease_log(spark, sf):
     action = F.when(F.col("event_type") == "error", "release").when(F.col("event_type") == "view", "renew").otherwise("acquire")
     e = events(spark, sf).select((F.col("user_id") % 20).alias("resource"), "event_id", "second", F.col("user_id").cast("string").alias("owner"), action.alias("action"))
-    return Z.leases(e, 7200)
+    return Z.leases(e, 7200).select("resource", "event_id", "granted")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, event_id, epoch(date_trunc('second', ts))::BIGINT AS t, event_type = 'error' AS f FROM events), r AS (SELECT user_id, list(event_id ORDER BY t, event_id) AS ids,
+list_reduce(list({'t': t, 'f': f, 'n': 0, 'since': -1::BIGINT, 'met': []::VARCHAR[]} ORDER BY t, event_id), lambda a, x: CASE WHEN a.since >= 0 AND x.t < a.since + 86400 THEN {'t': x.t, 'f': false, 'n': a.n, 'since': a.since, 'met': list_append(a.met, 'rejected')}
+WHEN NOT x.f THEN {'t': x.t, 'f': false, 'n': 0, 'since': -1::BIGINT, 'met': list_append(a.met, CASE WHEN a.since >= 0 THEN 'half_open' ELSE 'closed' END)} WHEN a.since >= 0 OR a.n + 1 >= 2 THEN {'t': x.t, 'f': false, 'n': a.n + 1, 'since': x.t, 'met': list_append(a.met, CASE WHEN a.since >= 0 THEN 'half_open' ELSE 'closed' END)}
+ELSE {'t': x.t, 'f': false, 'n': a.n + 1, 'since': -1::BIGINT, 'met': list_append(a.met, 'closed')} END, {'t': 0::BIGINT, 'f': false, 'n': 0, 'since': -1::BIGINT, 'met': []::VARCHAR[]}) AS s FROM e GROUP BY 1)
+SELECT user_id, unnest(ids) AS event_id, unnest(s.met) AS met FROM r""")
 def circuit_breaker(spark, sf):
-    return Z.circuit(events(spark, sf).select("user_id", "event_id", "second", (F.col("event_type") == "error").alias("failed")), 2, 86_400)
+    return Z.circuit(events(spark, sf).select("user_id", "event_id", "second", (F.col("event_type") == "error").alias("failed")), 2, 86_400).select("user_id", "event_id", "met")
+
+
+@query("""WITH e AS (SELECT user_id % 5 AS model, event_id, epoch(date_trunc('second', ts))::BIGINT AS t FROM events), r AS (SELECT model, list(event_id ORDER BY t, event_id) AS ids, list_reduce(list({'t': t, 'since': 0::BIGINT, 'n': 0, 'b': []::INT[]} ORDER BY t, event_id),
+lambda a, x: CASE WHEN a.n > 0 AND x.t < a.since + 3600 AND a.n < 4 THEN {'t': x.t, 'since': a.since, 'n': a.n + 1, 'b': list_append(a.b, a.b[-1])} ELSE {'t': x.t, 'since': x.t, 'n': 1, 'b': list_append(a.b, coalesce(a.b[-1], 0) + 1)} END, {'t': 0::BIGINT, 'since': 0::BIGINT, 'n': 0, 'b': []::INT[]}) AS s FROM e GROUP BY 1)
+SELECT model, unnest(ids) AS event_id, unnest(s.b) AS batch FROM r""")
+def micro_batches(spark, sf):
+    """Requests to five models in batches of four at most within an hour from their first."""
+    e = events(spark, sf).select((F.col("user_id") % 5).alias("model"), "event_id", F.col("second").alias("ms"))
+    return Z.micro_batches(e, 3600, 4).select("model", "event_id", "batch")
 
 
 @query("""WITH e AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)

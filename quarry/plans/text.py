@@ -91,7 +91,7 @@ def url_normalize(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.normalize_url(F.col("url")).alias("url"), T.url_host(F.col("url")).alias("host"))
 
 
-@query()
+@query("""WITH l AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]*', 0, 'i') AS site, list_distinct(regexp_extract_all(html, '<a[^>]*?href="(/[^"]*)"', 1)) AS h FROM pages) SELECT page_id, site || unnest(CASE WHEN len(h) > 0 THEN h ELSE [NULL] END) AS link FROM l""")
 def extract_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode_outer(T.page_links(F.col("html"), F.col("url"))).alias("link"))
 

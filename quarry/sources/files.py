@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -19,6 +21,22 @@ TEXTS, PAGES, TABLES, SHEETS = {"txt", "md", "markdown", "log"}, {"html", "htm"}
 ADAPTERS: dict[str, Callable[[bytes], str]] = {}
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the cluster's shared one (spark.checkpoint.dir), or in local mode below a temporary one."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='files-')}"
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def read_index(spark: SparkSession, path: str, schema: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """All rows of a stored index, with a declared schema; of the columns asked for only."""
+    rows = spark.read.schema(schema).parquet(path)
+    return rows if columns is None else rows.select(*columns)
+
+
 def decoded(raw: bytes) -> str:
     for e in ENCODINGS:
         try:
@@ -111,10 +129,10 @@ def csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("header", "true").schema(schema).csv(path)
 
 
-def eval_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation sets in JSON (an array or lines)."""
+def eval_questions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Evaluation sets in JSON: one array a file, or an object a line."""
     schema = "id string, question string, ground_truth_answer string, relevant_contexts array<string>, relevant_chunk_ids array<string>, relevant_parent_ids array<string>, answerable boolean, expected_refusal boolean, gold_mode string, metadata map<string,string>"
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+    return spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path)
 
 
 def crawl(seeds: DataFrame, pages: DataFrame, depth: int = 2, disallow: DataFrame | None = None, most: int | None = None) -> DataFrame:

@@ -47,8 +47,17 @@ def breaker(state: tuple[str, int, int], at: int, failed: bool, threshold: int,
     return name, ("closed", 0, 0)
 
 
-def _fold(events: DataFrame, key: str, order: Sequence[str], out: str, kind: str, step: Callable[[object, dict], tuple[object, object]], start: object) -> DataFrame:
-    """events with `out`: step's answer at each event of a key in their order.
+def batched(state: tuple[int, int, int], at: int, window: int, most: int) -> tuple[int, tuple[int, int, int]]:
+    """Micro-batches (number, begun at, size): a request joins the open batch within the window from its first one, up to `most`."""
+    number, begun, size = state
+    if size and at < begun + window and size < most:
+        return number, (number, begun, size + 1)
+    number += 1
+    return number, (number, at, 1)
+
+
+def _fold(events: DataFrame, key: str, order: Sequence[str], out: str, kind: str, needed: Sequence[str], step: Callable[..., tuple[object, object]], start: object) -> DataFrame:
+    """events with `out`: step's answer at each event of a key in their order, from the state and the needed columns' values.
 
     Keys are dealt by hash and sorted, and a task walks its rows once with one key's state in hand, so a hot key costs
     its rows' time but no memory.
@@ -59,10 +68,10 @@ def _fold(events: DataFrame, key: str, order: Sequence[str], out: str, kind: str
         now, state = None, start
         for frame in frames:
             answers = []
-            for row in frame.to_dict("records"):
-                if row[key] != now:
-                    now, state = row[key], start
-                answer, state = step(state, row)
+            for own, *values in zip(frame[key].tolist(), *(frame[c].tolist() for c in needed), strict=True):
+                if own != now:
+                    now, state = own, start
+                answer, state = step(state, *values)
                 answers.append(answer)
             frame[out] = answers
             yield frame
@@ -73,17 +82,22 @@ def _fold(events: DataFrame, key: str, order: Sequence[str], out: str, kind: str
 
 def rate_limit(events: DataFrame, limit: int = 5, window: int = 60, key: str = "user_id", ts: str = "second", order: Sequence[str] = ("second", "event_id")) -> DataFrame:
     """events with `admitted`; ts in whole seconds."""
-    return _fold(events, key, order, "admitted", "boolean", lambda s, r: admit(s, int(r[ts]), limit, window), [])
+    return _fold(events, key, order, "admitted", "boolean", [ts], lambda s, at: admit(s, int(at), limit, window), [])
 
 
 def leases(events: DataFrame, ttl: int = 30, key: str = "resource", order: Sequence[str] = ("second", "event_id")) -> DataFrame:
     """events (resource, second, owner, action) with `granted`."""
-    return _fold(events, key, order, "granted", "boolean", lambda s, r: lease(s, int(r["second"]), r["owner"], r["action"], ttl), None)
+    return _fold(events, key, order, "granted", "boolean", ["second", "owner", "action"], lambda s, at, owner, action: lease(s, int(at), owner, action, ttl), None)
 
 
 def circuit(events: DataFrame, threshold: int = 3, cooldown: int = 60, key: str = "user_id", order: Sequence[str] = ("second", "event_id")) -> DataFrame:
     """events (second, failed) with `met`."""
-    return _fold(events, key, order, "met", "string", lambda s, r: breaker(s, int(r["second"]), bool(r["failed"]), threshold, cooldown), ("closed", 0, 0))
+    return _fold(events, key, order, "met", "string", ["second", "failed"], lambda s, at, failed: breaker(s, int(at), bool(failed), threshold, cooldown), ("closed", 0, 0))
+
+
+def micro_batches(events: DataFrame, window: int = 20, most: int = 4, key: str = "model", ts: str = "ms", order: Sequence[str] = ("ms", "event_id")) -> DataFrame:
+    """events with `batch`, the number of the batch that each request runs in (from 1 for each key)."""
+    return _fold(events, key, order, "batch", "int", [ts], lambda s, at: batched(s, int(at), window, most), (0, 0, 0))
 
 
 #: Legal moves of an exchange (fixed values).
@@ -133,8 +147,9 @@ def route_events(events: DataFrame, subscriptions: DataFrame, name: str = "event
     return events.join(F.broadcast(subscriptions), fits)
 
 
-def replay(log: DataFrame, stream: str, offset: Column, last: int = 500, order: str = "event_id") -> DataFrame:
-    """The last events of each stream from an offset on."""
+def replay(log: DataFrame, stream: str, offset: Column, last: int = 500, order: str = "event_id", alive: Column | None = None) -> DataFrame:
+    """The last events of each stream from an offset on. alive: a condition that events outside their time to live don't meet."""
+    log = log if alive is None else log.where(alive)
     n = F.row_number().over(Window.partitionBy(stream).orderBy(F.desc(order)))
     return log.withColumn("_n", n).where((F.col("_n") <= last) & (F.col(order) >= offset)).drop("_n")
 
