@@ -114,27 +114,28 @@ def reconcile_rewrite(model: Column, rules: Column, most: int = 4) -> Column:
 # --- plans of several steps -------------------------------------------------------------------------------------------
 
 
-def layers(nodes: DataFrame, edges: DataFrame, most_depth: int = 64) -> DataFrame:
+def layers(nodes: DataFrame, edges: DataFrame, most_depth: int = 1000) -> DataFrame:
     """plan, id, layer: the longest chain of dependencies before a step; -1 for steps on or behind a cycle.
 
-    nodes: plan, id; edges: plan, id, needs. One join a layer; plans are shallow, and most_depth bounds the loop.
+    nodes: plan, id; edges: plan, id, needs. One join a layer until no further step is ready; plans deeper than most_depth raise an error.
     """
+    from quarry.operators.structure import settled
+
     edges = edges.join(nodes.select("plan", F.col("id").alias("needs")), ["plan", "needs"], "left_semi").select("plan", "id", "needs").distinct()
-    waiting = nodes.select("plan", "id").distinct()
-    done = None
-    for depth in range(most_depth):
-        if done is None:
-            ready = waiting.join(edges.select("plan", "id"), ["plan", "id"], "left_anti")
-        else:
-            open_edges = edges.join(done.select("plan", F.col("id").alias("needs")), ["plan", "needs"], "left_anti")
-            ready = waiting.join(open_edges.select("plan", "id"), ["plan", "id"], "left_anti")
-        ready = ready.withColumn("layer", F.lit(depth)).persist()
+    waiting, open_edges, done = nodes.select("plan", "id").distinct(), edges, []
+    for depth in range(most_depth + 1):
+        ready = settled(waiting.join(open_edges.select("plan", "id"), ["plan", "id"], "left_anti").withColumn("layer", F.lit(depth)))
         if ready.isEmpty():
             break
-        done = ready if done is None else done.unionByName(ready)
-        waiting = waiting.join(ready.select("plan", "id"), ["plan", "id"], "left_anti")
-    rest = waiting.withColumn("layer", F.lit(-1))
-    return rest if done is None else done.unionByName(rest)
+        done.append(ready)
+        waiting = settled(waiting.join(ready.select("plan", "id"), ["plan", "id"], "left_anti"))
+        open_edges = settled(open_edges.join(ready.select("plan", F.col("id").alias("needs")), ["plan", "needs"], "left_anti"))
+    else:
+        raise ValueError(f"a plan deeper than {most_depth} layers")
+    out = waiting.withColumn("layer", F.lit(-1))
+    for ready in done:
+        out = out.unionByName(ready)
+    return out
 
 
 def plan_issues(steps: DataFrame) -> DataFrame:

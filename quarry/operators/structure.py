@@ -6,6 +6,8 @@ nesting, overlaps, merges) runs as one pass over a document at a time; a documen
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +30,11 @@ LINE_KINDS = [
     ("digit", r"^(\d{1,3})[.)、）]\s*(\S.*)$"),
     ("cn_outline", r"^[（(]?([一二三四五六七八九十]+)[)）、.]\s*(\S.*)$"),
 ]
-NOISE = r"^(第\s*\d+\s*页.*|page\s+\d+(\s+of\s+\d+)?|\d+\s*/\s*\d+|copyright\b.*|©.*|版权所有.*|v?\d+\.\d+(\.\d+)?)$"
+#: Page marks, and lines that are noise when they repeat: twice for notices, three times for footers (fixed values).
+NOISE = r"^(?:第\s*\d+\s*页|page\s*\d+|\d+\s*/\s*\d+)$"
+NOTICE = r"版权所有|未经授权|内部使用|copyright|all rights reserved|保密"
+FOOTER = r"\bv\d+(?:\.\d+)*\b|版本|修订|rev\.?\s*\d+|\|"
+FOOTER_LENGTH = 120
 LIST_KINDS = ["step", "checkbox", "bullet", "digit", "cn_outline"]
 
 
@@ -56,14 +62,28 @@ def with_neighbours(lines: DataFrame) -> DataFrame:
     )
 
 
-def classify_lines(lines: DataFrame, repeated: int = 3) -> DataFrame:
+def comparable_title(c: Column) -> Column:
+    """A title without heading marks, file suffix, white space and case."""
+    return F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(T.strip(c), r"^#+\s*", ""), r"\.[A-Za-z0-9]{1,6}$", ""), r"(?U)\s+", ""))
+
+
+def repeated_noise(line: Column, freq: Column, title: Column | None = None) -> Column:
+    """Lines that repeat: the document's title or a notice from twice on, a footer or a row of cells from three times on."""
+    low = F.lower(line)
+    same = F.lit(False) if title is None else (comparable_title(title) != "") & (comparable_title(title) == comparable_title(line))
+    twice = (freq >= 2) & (same | F.regexp(low, F.lit(NOTICE)))
+    return F.coalesce((line != "") & (twice | ((freq >= 3) & (F.length(line) <= FOOTER_LENGTH) & F.regexp(low, F.lit(FOOTER)))), F.lit(False))
+
+
+def classify_lines(lines: DataFrame, title: Column | None = None) -> DataFrame:
     """kind, code, title, level and confidence of each line (with_neighbours and freq as inputs are added here).
 
-    Repeated short lines and page marks are noise. A short line on its own without end punctuation is a plain heading.
+    Page marks and repeated notices, footers and titles are noise; `title` is the document's title, as a column of lines. A
+    short line on its own without end punctuation is a plain heading.
     """
     full = with_neighbours(lines).join(line_frequency(lines), ["doc", "line"], "left")
     line = F.col("line")
-    noise = F.regexp(F.lower(line), F.lit(NOISE)) | ((F.col("freq") >= repeated) & (F.length(line) <= 40) & ~F.regexp(line, F.lit(r"^(\||[-*+•·]\s|>)")))
+    noise = F.regexp(F.lower(line), F.lit(NOISE)) | repeated_noise(line, F.col("freq"), title)
     kind = F.when(line == "", "blank").when(F.coalesce(noise, F.lit(False)), "noise")
     for name, pattern in LINE_KINDS:
         kind = kind.when(F.regexp(line, F.lit(pattern)), name)
@@ -100,12 +120,59 @@ NODES = (
 )
 
 
+def repaired_parents(nodes: list[tuple[str, str, int | None]]) -> list[int | None]:
+    """Parents of the nodes (type, code, parent) of one document, the root first.
+
+    A section with one number goes below the root; with several, below the first section that has its prefix, or else its
+    first number. A parent that doesn't exist gives way to the root, and a section never hangs below an item.
+    """
+    numeric = [tuple(c.split(".")) if t == "section" and re.fullmatch(r"\d+(\.\d+)*", c or "") else () for t, c, _ in nodes]
+    first: dict[tuple, int] = {}
+    for k, path in enumerate(numeric):
+        if path:
+            first.setdefault(path, k)
+    out: list[int | None] = []
+    for k, ((kind, _, parent), path) in enumerate(zip(nodes, numeric, strict=True)):
+        if k == 0:
+            out.append(None)
+            continue
+        known = first.get(path[:-1], first.get(path[:1])) if len(path) > 1 else 0 if path else None
+        parent = known if known is not None and known != k else parent
+        parent = parent if parent is not None and 0 <= parent < len(nodes) and parent != k else 0
+        while kind == "section" and nodes[parent][0] in ("list_item", "step"):
+            parent = nodes[parent][2] or 0
+        out.append(parent)
+    return out
+
+
+def below_root(parents: list[int | None]) -> list[int]:
+    """All nodes but the root, each behind its parent; nodes that only hang on each other are hung below the root first."""
+    children: dict[int | None, list[int]] = {}
+    for k, p in enumerate(parents):
+        children.setdefault(p, []).append(k)
+    order, queue, seen = [], [0], {0}
+    while len(order) < len(parents) - 1 or queue:
+        if not queue:
+            lost = next(k for k in range(len(parents)) if k not in seen)
+            children[parents[lost]].remove(lost)
+            parents[lost] = 0
+            queue, order = [lost], [*order, lost]
+            seen.add(lost)
+        at = queue.pop(0)
+        for k in children.get(at, []):
+            if k not in seen:
+                seen.add(k)
+                order.append(k)
+                queue.append(k)
+    return order
+
+
 def build_tree(signals: DataFrame) -> DataFrame:
     """The node rows of each document from its classified lines.
 
     A heading closes deeper levels; list items nest by indent; a blank line ends a list; a list line's text belongs to its
-    item and to the section. A lone first heading equal to the document's title stays the root's child. Parents, depths,
-    paths and siblings come out consistent by construction.
+    item and to the section. A lone first heading equal to the document's title stays the root's child. Then sections with
+    numeric codes go below the section of their prefix (see repaired_parents); depths, paths and siblings follow.
     """
     kind = signals.schema["doc"].dataType.simpleString()
 
@@ -144,15 +211,20 @@ def build_tree(signals: DataFrame) -> DataFrame:
                 items.append((int(indent), no))
             elif items:
                 nodes[items[-1][1]]["body"].append(line)
+        repair = repaired_parents([(n["node_type"], n["node_code"], n["parent_no"]) for n in nodes])
+        for n, parent in zip(nodes, repair, strict=True):
+            n["parent_no"] = parent
+        for n in below_root(repair):
+            nodes[n]["depth"] = nodes[repair[n]]["depth"] + 1
         children: dict[int, list[int]] = {}
-        for n in nodes[1:]:
+        for n in (nodes[k] for k in below_root(repair)):
             children.setdefault(n["parent_no"], []).append(n["node_no"])
             above = nodes[n["parent_no"]]
             name = f"{n['node_code']} {n['title']}".strip()
             n["section_path"] = " > ".join(filter(None, [above.get("section_path", ""), name]))
             slug = "".join(c if c.isalnum() or c in "._-" else "-" for c in name.lower()).strip("-") or "node"
             n["canonical_path"] = f"{above.get('canonical_path', '')}/{slug}"
-        for own in children.values():
+        for own in map(sorted, children.values()):
             for a, b in zip(own, own[1:], strict=False):
                 nodes[a]["next_no"], nodes[b]["prev_no"] = b, a
         out = pd.DataFrame(nodes)
@@ -177,17 +249,30 @@ def edges(nodes: DataFrame) -> DataFrame:
     return down.unionByName(nodes.where("next_no is not null").select("doc", F.col("node_no").alias("source"), F.col("next_no").alias("target"), F.lit("NEXT").alias("type")))
 
 
-def subtree(nodes: DataFrame, roots: DataFrame, most_depth: int = 32) -> DataFrame:
-    """doc, root, node_no, distance: everything below the roots (doc, root), by one join a level until none is left."""
+def subtree(nodes: DataFrame, roots: DataFrame, most_depth: int = 1000) -> DataFrame:
+    """doc, root, node_no, distance: everything below the roots (doc, root), by one join a level until none is left.
+
+    Each level is checkpointed where a folder for that is set, so lineage stays short. A tree that is deeper than most_depth
+    (or has a cycle) raises an error.
+    """
     level = roots.select("doc", "root", F.col("root").alias("node_no"), F.lit(0).alias("distance"))
     found = level
     links = nodes.where("parent_no is not null").select("doc", F.col("parent_no").alias("node_no"), F.col("node_no").alias("child"))
-    for d in range(1, most_depth + 1):
-        level = level.select("doc", "root", "node_no").join(links, ["doc", "node_no"]).select("doc", "root", F.col("child").alias("node_no"), F.lit(d).alias("distance")).persist()
+    for d in range(1, most_depth + 2):
+        level = settled(level.select("doc", "root", "node_no").join(links, ["doc", "node_no"]).select("doc", "root", F.col("child").alias("node_no"), F.lit(d).alias("distance")))
         if level.isEmpty():
-            break
+            return found
         found = found.unionByName(level)
-    return found
+    raise ValueError(f"a tree deeper than {most_depth} levels, or a cycle")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, checkpointed if the session names a folder for that."""
+    context = df.sparkSession.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir")
+    if where and not context.getCheckpointDir():
+        context.setCheckpointDir(where)
+    return df.checkpoint() if context.getCheckpointDir() else df
 
 
 def items_below(nodes: DataFrame, roots: DataFrame, word: str | None = None, index: int | None = None) -> DataFrame:
@@ -207,6 +292,44 @@ def node_context(nodes: DataFrame) -> DataFrame:
     return out.join(children, ["doc", "node_no"], "left").select("doc", "node_no", "title", "parent_title", "prev_title", "next_title", F.coalesce("children", F.array().cast("array<string>")).alias("children"))
 
 
+def find_nodes(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """query, doc, node_no, how: the nodes that a question names. wanted: query, doc, code, title, path (NULL: not asked for).
+
+    By code first, then by title, then by the canonical path; of several the first in the order of nodes.
+    """
+    same = lambda a, b: F.lower(F.trim(a)) == F.lower(F.trim(b))
+    by = {"code": same("code", "node_code"), "title": same("wanted_title", "title"), "path": F.startswith("canonical_path", F.col("path"))}
+    asked = wanted.withColumnRenamed("title", "wanted_title")
+    met = asked.join(nodes.select("doc", "node_no", "node_code", "title", "canonical_path"), "doc")
+    how = F.coalesce(*[F.when(c, F.struct(F.lit(i).alias("i"), F.lit(k).alias("how"))) for i, (k, c) in enumerate(by.items())])
+    best = met.withColumn("h", how).where("h is not null").groupBy("query", "doc").agg(F.min(F.struct("h.i", "node_no", "h.how")).alias("b"))
+    return best.select("query", "doc", "b.node_no", "b.how")
+
+
+def adjacency_text(title: Column, parent: Column, prev: Column, next_: Column) -> Column:
+    """What a question for a section's neighbours is answered with."""
+    named = lambda c: F.when(c.isNull(), "未找到相邻章节").otherwise(F.concat(F.lit('"'), c, F.lit('"')))
+    return F.concat_ws(
+        "\n", F.concat(F.lit('目标章节是："'), title, F.lit('"。')), F.when(parent.isNotNull(), F.concat(F.lit('它属于："'), parent, F.lit('"。'))),
+        F.concat(F.lit("上一节："), named(prev)), F.concat(F.lit("下一节："), named(next_)),
+    )
+
+
+def children_text(title: Column, children: Column) -> Column:
+    head = F.concat(F.lit("“"), title, F.lit("”包含以下章节：\n"))
+    return F.concat(head, F.when(F.size(children) > 0, F.array_join(F.transform(children, lambda c: F.concat(F.lit("- "), c)), "\n")).otherwise("未找到直接子章节。"))
+
+
+def tree_text(title: Column, doc: Column, sections: Column) -> Column:
+    named = F.transform(sections, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), F.coalesce(F.nullif(s, F.lit("")), F.lit("未命名章节"))))
+    return F.array_join(F.concat(F.array(F.concat(F.lit("【"), title, F.lit("】(ID: "), doc.cast("string"), F.lit(") 的结构如下："))), named), "\n")
+
+
+def path_text(titles: Column) -> Column:
+    named = F.transform(titles, lambda t: F.concat(F.lit(" - "), F.coalesce(F.nullif(t, F.lit("")), F.lit("未命名章节"))))
+    return F.when(F.size(titles) > 0, F.array_join(F.concat(F.array(F.lit("关联的章节节点有：")), named), "\n")).otherwise("未找到相关联的路径节点。")
+
+
 def render_outline(nodes: DataFrame) -> DataFrame:
     """doc, outline: titles of sections, two spaces a level. A document's sections are bounded by its lines."""
     line = F.concat(F.repeat(F.lit("  "), F.col("depth") - 1), F.lit("- "), F.concat_ws(" ", F.nullif("node_code", F.lit("")), "title"))
@@ -224,6 +347,34 @@ def structure_chunks(nodes: DataFrame, least: int = 50) -> DataFrame:
     return kept.select("doc", "node_no", n.alias("chunk_no"), "section_path", F.col("content").alias("text"))
 
 
+def merge_groups(sizes: Column, target: int = 320, most: int = 512) -> Column:
+    """Group numbers (from 0) of neighbouring pieces by their sizes: a group ends at the target, or before it would pass `most`."""
+    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("group"), F.lit(0).alias("n"))
+
+    def add(acc: Column, size: Column) -> Column:
+        full = (acc["n"] > 0) & (acc["n"] + size > most)
+        group = acc["group"] + full.cast("int")
+        held = F.when(full, size).otherwise(acc["n"] + size)
+        done = held >= target
+        return F.struct(F.concat(acc["out"], F.array(group)).alias("out"), (group + done.cast("int")).alias("group"), F.when(done, 0).otherwise(held).cast("int").alias("n"))
+
+    return F.aggregate(sizes, start, add, lambda acc: acc["out"])
+
+
+def merged_sections(nodes: DataFrame, least: int = 50, target: int = 320, most: int = 512) -> DataFrame:
+    """doc, node_no (of the first node), chunk_no, section_path, text: neighbouring nodes merged up to a size in tokens.
+
+    A document's nodes are bounded by its lines, so its fold is one row's work.
+    """
+    text = T.strip(F.coalesce("content", F.lit("")))
+    rows = nodes.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("node_no", "section_path", text.alias("text")))).alias("n"))
+    grouped = rows.withColumn("g", merge_groups(F.transform("n", lambda x: T.count_tokens(x["text"])), target, most))
+    pieces = grouped.select("doc", F.explode(F.zip_with("n", "g", lambda n, g: F.struct(g.alias("g"), n["node_no"].alias("node_no"), n["section_path"].alias("section_path"), n["text"].alias("text")))).alias("p")).select("doc", "p.*")
+    whole = pieces.groupBy("doc", "g").agg(F.min(F.struct("node_no", "section_path")).alias("head"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("node_no", "text")))), lambda x: x["text"]), "\n").alias("text"))
+    kept = whole.where(F.length("text") >= least)
+    return kept.select("doc", "head.node_no", F.row_number().over(Window.partitionBy("doc").orderBy("g")).alias("chunk_no"), "head.section_path", "text")
+
+
 def sentence_chunks(docs: DataFrame, size: int = 512, least: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, chunk_no (from 1), text: sentences packed up to `size` characters; shorter rests than `least` drop out."""
     parts = F.filter(T.pack_sentences(T.sentences(F.coalesce(F.col(text), F.lit(""))), size), lambda x: F.length(x) >= least)
