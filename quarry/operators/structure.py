@@ -349,14 +349,14 @@ def structure_chunks(nodes: DataFrame, least: int = 50) -> DataFrame:
 
 def merge_groups(sizes: Column, target: int = 320, most: int = 512) -> Column:
     """Group numbers (from 0) of neighbouring pieces by their sizes: a group ends at the target, or before it would pass `most`."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("group"), F.lit(0).alias("n"))
+    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("group"), F.lit(0).alias("n"), F.lit(False).alias("begun"))
 
     def add(acc: Column, size: Column) -> Column:
-        full = (acc["n"] > 0) & (acc["n"] + size > most)
+        full = acc["begun"] & (acc["n"] + size > most)
         group = acc["group"] + full.cast("int")
         held = F.when(full, size).otherwise(acc["n"] + size)
         done = held >= target
-        return F.struct(F.concat(acc["out"], F.array(group)).alias("out"), (group + done.cast("int")).alias("group"), F.when(done, 0).otherwise(held).cast("int").alias("n"))
+        return F.struct(F.concat(acc["out"], F.array(group)).alias("out"), (group + done.cast("int")).alias("group"), F.when(done, 0).otherwise(held).cast("int").alias("n"), (~done).alias("begun"))
 
     return F.aggregate(sizes, start, add, lambda acc: acc["out"])
 

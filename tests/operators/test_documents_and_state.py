@@ -1,3 +1,4 @@
+import numpy as np
 import zipfile
 
 from pyspark.sql import functions as F
@@ -103,3 +104,68 @@ def test_crawl(spark):
     rules = spark.createDataFrame([("a.x", "/no")], "host string, prefix string")
     got = {r.url: r.depth for r in files.crawl(pages.limit(1).select("url"), pages, 2, rules).collect()}
     assert got == {"http://a.x/": 0, "http://a.x/b": 1, "http://a.x/c": 2}
+
+
+def test_merged_sections(spark):
+    rng = np.random.default_rng(4)
+    rows = [(d, i, f"s{i}", "x" * int(rng.choice([0, 10, 100, 300, 330, 600]))) for d in range(20) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc int, node_no int, section_path string, content string")
+    want = []
+    for d in range(20):
+        groups, held, n = [], [], 0
+        for _, no, _, text in (r for r in rows if r[0] == d):
+            if held and n + len(text) > 512:
+                groups.append(held)
+                held, n = [], 0
+            held.append((no, text))
+            n += len(text)
+            if n >= 320:
+                groups.append(held)
+                held, n = [], 0
+        groups.append(held)
+        texts = [(g[0][0], "\n".join(t for _, t in g if t)) for g in groups if g]
+        want += [(d, no, k, f"s{no}", t) for k, (no, t) in enumerate([x for x in texts if len(x[1]) >= 50], 1)]
+    assert sorted(tuple(r) for r in D.merged_sections(df).collect()) == sorted(want)
+
+
+def test_paragraph_segments(spark):
+    text = "\n\n".join(["a" * 50, "b" * 60, "c" * 200, "d" * 10, "e" * 10])
+    got = spark.createDataFrame([(text,)], "t string").select(D.paragraph_segments(F.col("t"), 120)).first()[0]
+    assert got == ["a" * 50 + "\n\n" + "b" * 60, "c" * 200, "d" * 10 + "\n\n" + "e" * 10]
+
+
+def test_repaired_parents():
+    nodes = [("document", "", None), ("section", "1", 7), ("section", "1.2", 0), ("section", "2.1", 0), ("section", "2", 1), ("list_item", "", 4), ("section", "", 5), ("section", "3.4.5", 99)]
+    parents = D.repaired_parents(nodes)
+    assert parents == [None, 0, 1, 4, 0, 4, 4, 0]
+    order = D.below_root(parents)
+    assert sorted(order) == list(range(1, 8)) and all(parents[k] == 0 or order.index(parents[k]) < order.index(k) for k in order)
+    assert sorted(D.below_root([None, 2, 1])) == [1, 2]
+
+
+def test_noise_and_titles(spark):
+    df = spark.createDataFrame([(1, "Guide\nText one.\nCopyright X\nGuide\nCopyright X\nsame\nsame\nsame\nv1.2 | a\nv1.2 | a\nv1.2 | a")], "doc_id int, text string")
+    kinds = {r.line: r.kind for r in D.classify_lines(D.logical_lines(df), F.lit("guide.md")).collect()}
+    assert kinds["Guide"] == kinds["Copyright X"] == kinds["v1.2 | a"] == "noise" and kinds["same"] != "noise"
+
+
+def test_stages_with_retries(spark):
+    tried, dead, out = [], [], []
+
+    def flaky(df):
+        tried.append(1)
+        if len(tried) < 3:
+            raise RuntimeError("again")
+        return df.withColumn("y", F.col("id") + 1)
+
+    Z.staged([("parse", flaky), ("store", lambda df: out.extend(r.y for r in df.collect()) or df)], lambda name, e: dead.append(name))(spark.range(2), 0)
+    assert out == [1, 2] and not dead and len(tried) == 3
+    Z.staged([("parse", lambda df: 1 / 0)], lambda name, e: dead.append(name), 1)(spark.range(2), 0)
+    assert dead == ["parse"]
+
+
+def test_sinks_by_pattern(spark):
+    got = {}
+    df = spark.createDataFrame([("a.x",), ("a.y",), ("b",)], "event_type string")
+    Z.sink_by_pattern({p: lambda d, p=p: got.__setitem__(p, sorted(r[0] for r in d.collect())) for p in ("*", "a.*", "b")})(df, 0)
+    assert got == {"*": ["a.x", "a.y", "b"], "a.*": ["a.x", "a.y"], "b": ["b"]}
