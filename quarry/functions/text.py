@@ -358,6 +358,31 @@ def keyword_terms(c: Column, most: int = 8) -> Column:
     return F.slice(ordered, 1, most)
 
 
+def meaningful_terms(c: Column, most: int = 6) -> Column:
+    """Distinct segments of two characters or more, in order."""
+    return F.slice(F.array_distinct(F.filter(F.split(F.coalesce(c, F.lit("")), TERM_SPLIT), lambda s: F.length(s) >= 2)), 1, most)
+
+
+def augmented_query(question: Column, keywords: Column, navigation: Column, history: Column) -> Column:
+    """struct<text, hints>: the question with its hints behind, and what a keyword search weighs up: all hints, then the question's terms.
+
+    Five keywords, four navigation and four history hints at most, without blanks and repeats; history only counts for
+    short questions that refer back. Eight hints at most; without any, the question's terms alone.
+    """
+    clean = lambda c, n: F.slice(F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")), 1, n)
+    past = F.when(is_short_follow_up(F.trim(question)), clean(history, 4)).otherwise(F.array().cast("array<string>"))
+    hints = F.concat(clean(keywords, 5), past, clean(navigation, 4))
+    text = F.when(F.size(hints) > 0, F.concat(question, F.lit(" "), F.array_join(hints, " "))).otherwise(question)
+    terms = meaningful_terms(question)
+    return F.struct(text.alias("text"), F.when(F.size(hints) > 0, F.slice(F.array_distinct(F.concat(hints, terms)), 1, 8)).otherwise(terms).alias("hints"))
+
+
+def safe_int(c: Column, default: int | None = 0) -> Column:
+    """Whole numbers in text, spaces around them aside; the default for anything else."""
+    value = F.trim(c.cast("string")).try_cast("bigint")
+    return value if default is None else F.coalesce(value, F.lit(default))
+
+
 def _any(words: Sequence[str], c: Column) -> Column:
     return F.regexp(F.lower(F.coalesce(c, F.lit(""))), F.lit("|".join(words)))
 
@@ -422,8 +447,26 @@ def is_follow_up(q: Column) -> Column:
     return F.regexp(F.coalesce(q, F.lit("")), F.lit(FOLLOW_UP))
 
 
+#: Words without which a short question means nothing on its own (fixed values), and the length that counts as short.
+SHORT_FOLLOW_UP, SHORT = ["它", "这个", "那个", "刚才", "前面", "上面", "上述", "这些", "那些"], 20
+
+
 def is_short_follow_up(q: Column) -> Column:
-    return (F.length(q) <= 20) & is_follow_up(q)
+    t = F.trim(F.coalesce(q, F.lit("")))
+    return (t != "") & (F.length(t) <= SHORT) & F.regexp(t, F.lit("|".join(SHORT_FOLLOW_UP)))
+
+
+#: Kinds of documents that a question may name (fixed values), years and section marks.
+DOCUMENT_KINDS = ["部署手册", "配置手册", "操作手册", "用户手册", "快速开始", "接入指南", "FAQ", "常见问题", "说明文档", "说明书", "规范", "指南", "手册", "文档"]
+YEAR, SECTION = r"\b(20\d{2})\b", r"(第\s*[一二三四五六七八九十百\d]+\s*[章节条部分]|附录\s*[A-Za-z一二三四五六七八九十\d]+)"
+
+
+def query_filters(q: Column) -> Column:
+    """struct<years, sections, names>: what a question says about where to look; sections without spaces."""
+    t = F.coalesce(q, F.lit(""))
+    named = F.filter(F.array(*map(F.lit, DOCUMENT_KINDS)), lambda n: F.contains(F.lower(t), F.lower(n)))
+    sections = F.transform(F.regexp_extract_all(t, F.lit(SECTION), F.lit(1)), lambda s: F.replace(s, F.lit(" "), F.lit("")))
+    return F.struct(F.regexp_extract_all(t, F.lit(YEAR), F.lit(1)).alias("years"), sections.alias("sections"), named.alias("names"))
 
 
 def needs_rewrite(q: Column, history: Column) -> Column:

@@ -1,5 +1,6 @@
 """Queries of routing and plans over the star schema."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import cosine
@@ -57,13 +58,13 @@ def lexical_routes(spark, sf):
     return table(spark, sf, "part").select("p_partkey", L.route_lexical(F.lit("Brand#11"), F.col("p_brand")).alias("score"))
 
 
-@query("""WITH w AS (SELECT p_partkey AS code, unnest(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+'))) AS term FROM part), q AS (SELECT n_nationkey AS query, unnest(list_distinct(regexp_extract_all(lower(n_name), '[a-z0-9]+') || ['part', '10'])) AS term FROM nation),
+@query("""WITH w AS (SELECT p_partkey AS code, unnest(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+'))) AS term FROM part), q AS (SELECT n_nationkey AS query, unnest(list_distinct(regexp_extract_all(lower(n_name), '[a-z0-9]+') || ['widget', 'cold'])) AS term FROM nation),
 s AS (SELECT query, code, sum(CASE WHEN length(term) >= 6 THEN 12 WHEN length(term) >= 4 THEN 8 WHEN length(term) >= 3 THEN 4 ELSE 2 END)::DOUBLE AS score FROM q JOIN w USING (term) GROUP BY ALL HAVING score >= 1)
 SELECT query, code, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, code) AS rank FROM s QUALIFY rank <= 5""")
 def fallback_routes(spark, sf):
     from quarry.models import words
 
-    q = table(spark, sf, "nation").select(F.col("n_nationkey").alias("query"), F.lit("t").alias("tenant"), F.concat(words(F.col("n_name")), F.array(F.lit("part"), F.lit("10"))).alias("terms"))
+    q = table(spark, sf, "nation").select(F.col("n_nationkey").alias("query"), F.lit("t").alias("tenant"), F.concat(words(F.col("n_name")), F.array(F.lit("widget"), F.lit("cold"))).alias("terms"))
     return G.fallback_routes(q, table(spark, sf, "part").select(F.col("p_partkey").alias("code"), F.lit("t").alias("tenant"), F.col("p_name").alias("text")))
 
 
@@ -79,19 +80,45 @@ def topic_documents(spark, sf):
     return G.topic_documents(p, spark.createDataFrame([("1-URGENT",), ("F",)], "topic string"))
 
 
-STEPS = [(1, "a", []), (1, "b", ["a"]), (1, "c", ["a", "b"]), (2, "a", ["b"]), (2, "b", ["a"]), (2, "c", []), (3, "a", ["zz"]), (3, "a", [])]
+def steps(spark, sf):
+    """The lines of an order as steps that each need the line before. In every fifth order the first one needs the last: a cycle."""
+    li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("plan"), F.col("l_linenumber").alias("id")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("plan")
+    before, last = F.lag("id").over(w.orderBy("id")), F.max("id").over(w)
+    needs = F.filter(F.array(before, F.when(before.isNull() & (F.col("plan") % 5 == 0), last)), lambda x: x.isNotNull())
+    return li.select("plan", "id", "n", needs.alias("depends_on"))
 
 
-@query("SELECT * FROM (VALUES (1, 'a', 0), (1, 'b', 1), (1, 'c', 2), (2, 'a', -1), (2, 'b', -1), (2, 'c', 0), (3, 'a', 0)) t(plan, id, layer)")
+@query("SELECT l_orderkey AS plan, l_linenumber AS id, CASE WHEN l_orderkey % 5 = 0 THEN -1 ELSE row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 END AS layer FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)")
 def topo_layers(spark, sf):
-    steps = spark.createDataFrame(STEPS, "plan int, id string, depends_on array<string>")
-    return G.layers(steps, steps.select("plan", "id", F.explode("depends_on").alias("needs")))
+    s = steps(spark, sf)
+    return G.layers(s, s.select("plan", "id", F.explode("depends_on").alias("needs")))
 
 
-@query("SELECT * FROM (VALUES (2, 'a', 'cycle'), (2, 'b', 'cycle'), (3, 'a', 'duplicate_id'), (3, 'a', 'unknown_dependency'), (1, 'c', 'empty_question')) t(plan, id, issue)")
+@query("""WITH l AS (SELECT l_orderkey AS plan, l_linenumber AS id, count(*) AS n FROM lineitem GROUP BY ALL) SELECT plan, id, 'cycle' AS issue FROM l WHERE plan % 5 = 0 UNION ALL SELECT plan, id, 'duplicate_id' FROM l WHERE n > 1
+UNION ALL SELECT plan, id, 'empty_question' FROM l WHERE id = 4 UNION ALL SELECT plan, id, 'unknown_dependency' FROM l WHERE id = 6""")
 def subplan_issues(spark, sf):
-    steps = spark.createDataFrame(STEPS, "plan int, id string, depends_on array<string>").withColumn("mode", F.lit("RETRIEVAL"))
-    return G.plan_issues(steps.withColumn("question", F.when(F.concat("plan", "id") == "1c", " ").otherwise("q")))
+    """Lines that stand twice in an order, blank questions, a step that isn't there, and the cycles of steps()."""
+    s = steps(spark, sf).withColumn("mode", F.lit("RETRIEVAL")).withColumn("question", F.when(F.col("id") == 4, " ").otherwise("q"))
+    s = s.withColumn("depends_on", F.when(F.col("id") == 6, F.concat("depends_on", F.array(F.lit(99)))).otherwise(F.col("depends_on")))
+    return G.plan_issues(s.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(2))))).drop("copy", "n"))
+
+
+@query("SELECT o_orderkey, 12.0 + CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN o_orderkey % 3 = 0 THEN 4 ELSE 0 END AS hits FROM orders")
+def name_hits(spark, sf):
+    """Terms in a text by their length; parts of a counted term don't count, and terms that the text lacks neither."""
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("abcdefgh "), F.when(k % 2 == 0, "xy ").otherwise(""), F.when(k % 3 == 0, "pqr").otherwise(""))
+    return table(spark, sf, "orders").select(k, G.name_hits(text, F.array(*map(F.lit, ["abcdef", "abcd", "xy", "pqr", "missing"]))).alias("hits"))
+
+
+@query("""WITH r AS (SELECT o_custkey AS query, o_orderkey AS code, o_totalprice AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders)
+SELECT 'scope' AS level, query, code, rank FROM r WHERE rank <= 5 UNION ALL SELECT 'topic', query, code, rank FROM r WHERE rank <= 8 UNION ALL SELECT 'document', query, code, rank FROM r WHERE rank <= 5""")
+def route_caps(spark, sf):
+    """The best five scopes, eight topics and five documents of each question."""
+    r = table(spark, sf, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("code"), F.col("o_totalprice").alias("score"))
+    parts = [G.best_routes(r, k).select(F.lit(n).alias("level"), "query", "code", "rank") for n, k in (("scope", G.SCOPES), ("topic", G.TOPICS), ("document", G.DOCUMENTS))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'open' ELSE 'knowledge' END AS intent FROM conversations")

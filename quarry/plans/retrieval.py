@@ -148,10 +148,75 @@ def primary_first(spark, sf):
     return R.primary_first(v.where("rank between 11 and 14"), v.where("rank <= 12"), 8).select("query", "chunk", "rank")
 
 
-@query("""SELECT doc_id FROM documents WHERE coalesce(nullif(trim(source), ''), 'default') = 'src3' AND lang IN ('en', 'de') AND doc_id IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144)""")
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'N' AND l_suppkey IN (1, 2, 3, 5, 8) AND starts_with('/' || l_linestatus || '/' || l_linenumber, '/O') AND (contains('brand ' || l_partkey, '1') OR contains('brand ' || l_partkey, '7')) AND l_linenumber <> 2 AND l_tax > 0.02""")
 def scope_predicates(spark, sf):
-    where = R.scope_predicate(tenant=F.col("source"), want_tenant="src3", doc=F.col("doc_id"), doc_ids=["1", "2", "3", "5", "8", "13", "21", "34", "55", "89", "144", "x"], category=F.col("lang"), categories=["en", "de"])
-    return table(spark, sf, "documents").where(where).select("doc_id")
+    """Tenant, documents, path, name, category and tag filters together; an id that can't be read drops out."""
+    c = table(spark, sf, "lineitem")
+    where = R.scope_predicate(
+        tenant=F.when(F.col("l_returnflag") == "N", " ").otherwise(F.col("l_returnflag")), want_tenant="", doc=F.col("l_suppkey"), doc_ids=["1", "2", "3", "5", "8", "x"], path=F.concat(F.lit("/"), "l_linestatus", F.lit("/"), F.col("l_linenumber").cast("string")), prefix="/O",
+        name=F.concat(F.lit("Brand "), F.col("l_partkey").cast("string")), names=["1", "7"], category=F.when(F.col("l_linenumber") == 2, "b").otherwise("a"), categories=["a"], tags=F.when(F.col("l_tax") > 0.02, "x, y").otherwise("x"), want_tags=["y"],
+    )
+    return c.where(where).select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT 'all' AS filters, l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey IN (1, 2, 3, 5, 8) AND l_linestatus = 'F' AND l_partkey % 10 = 1 AND l_linenumber IN (1, 3, 4) AND l_tax > 0.02
+UNION ALL SELECT 'node', l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag NOT IN ('A', 'R') AND l_partkey = 7 AND l_linenumber = 3""")
+def keyword_predicates(spark, sf):
+    """The keyword channel's own filters: section and names as phrases, a list of unreadable ids matches nothing."""
+    c = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_returnflag")).alias("tenant"), F.col("l_suppkey").alias("document_id"), F.col("l_partkey").alias("node_id"), F.concat(F.lit("top > State "), "l_linestatus").alias("section_path"), F.concat(F.lit("/d"), (F.col("l_partkey") % 10).cast("string")).alias("canonical_path"),
+        F.col("l_linenumber").alias("item_index"), F.concat(F.lit("Guide "), F.col("l_linenumber").cast("string"), F.lit(".md")).alias("document_name"), F.when(F.col("l_linenumber") < 5, "low").otherwise("high").alias("category"), F.when(F.col("l_tax") > 0.02, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("x"))).alias("tags"),
+    )
+    every = L.keyword_predicate(c, "A", ["1", "2", "3", "5", "8", "zz"], section="state f", canonical="/d1", names=["guide 1", "guide 3", "guide 4", "guide 7"], categories=["low"], tags=["y"])
+    node, none = L.keyword_predicate(c, None, node=7, item=3), L.keyword_predicate(c, "A", ["zz"])
+    parts = [d.select(F.lit(k).alias("filters"), "l_orderkey", "l_linenumber") for k, d in (("all", every), ("node", node), ("none", none))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query()
+def keyword_channel(spark, sf):
+    """Questions over documents with path, name and exact fields; held against a fixture in the tests."""
+    d = table(spark, sf, "documents")
+    k = (F.col("doc_id") % 20 + 1).cast("string")
+    chunks = d.select(F.col("doc_id").alias("chunk"), F.concat(F.lit("制度 > 第"), k, F.lit("条")).alias("section_path"), F.col("source").alias("document_name"), F.col("lang").alias("scope_name"), F.col("text").alias("chunk_text"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.concat(F.substring("text", 1, 80), F.lit(" 第"), (F.col("item_id") % 20 + 1).cast("string"), F.lit("条")).alias("text"), F.array(F.substring("text", 81, 20)).alias("hints"))
+    return L.keyword_channel(asked, chunks, 20).select("query", "chunk", F.round("score", 6).alias("score"), "rank")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN 'channel_failed' WHEN l_linenumber = 1 THEN 'no_recall' WHEN l_linenumber = 2 THEN 'gate_rejected' WHEN l_linenumber = 3 THEN 'rerank_rejected' END AS reason FROM lineitem""")
+def empty_reasons(spark, sf):
+    n = F.col("l_linenumber")
+    return table(spark, sf, "lineitem").select("l_orderkey", n, R.empty_reason(F.when(n == 1, 0).otherwise(5), F.when(n <= 2, 0).otherwise(3), F.when(n <= 3, 0).otherwise(2), n == 7).alias("reason"))
+
+
+@query("""WITH o AS (SELECT n_nationkey AS query, 'own' AS term, 1.0::DOUBLE AS boost FROM nation), x AS (SELECT c_nationkey AS query, 'w' || (c_custkey % 30) AS term FROM customer WHERE c_custkey % 30 <> 0 GROUP BY ALL)
+SELECT * FROM o UNION ALL (SELECT query, term, 1.5 FROM x QUALIFY row_number() OVER (PARTITION BY query ORDER BY length(term) DESC, term) <= 9)""")
+def expanded_terms(spark, sf):
+    terms = table(spark, sf, "nation").select(F.col("n_nationkey").alias("query"), F.lit("own").alias("term"))
+    k = F.col("c_custkey") % 30
+    extra = table(spark, sf, "customer").select(F.col("c_nationkey").alias("query"), F.when(k == 0, "own").otherwise(F.concat(F.lit("w"), k.cast("string"))).alias("term"))
+    return L.expand_terms(terms, extra)
+
+
+@query("""SELECT p_partkey, (CASE WHEN p_name = 'small widget' THEN 35.0 ELSE 0 END + s * 23)::DOUBLE AS score FROM (SELECT p_partkey, p_name, len(list_intersect(string_split(p_name, ' '), ['small', 'widget'])) / 2 AS s FROM part)""")
+def section_scores(spark, sf):
+    name = F.col("p_name")
+    return table(spark, sf, "part").select("p_partkey", L.section_score(F.lit("Small Widget"), name, F.concat(F.lit("top > "), name), F.concat(F.lit("/top/"), name)).alias("score"))
+
+
+@query("SELECT o_custkey AS query, o_orderkey AS chunk FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT c_custkey, -1 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def keyword_fallback(spark, sf):
+    found = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("chunk"))
+    return L.keyword_with_fallback(found, table(spark, sf, "customer").select(F.col("c_custkey").alias("query"), F.lit(-1).cast("long").alias("chunk")))
+
+
+@query("""SELECT vec_id, list_transform(v, lambda x: round(exp(x) / list_sum(list_transform(v, lambda y: exp(y))), 9)) AS p, round(1 - list_cosine_similarity(v, w), 9) AS distance FROM (SELECT vec_id, embedding[1:4]::DOUBLE[] AS v, embedding[5:8]::DOUBLE[] AS w FROM embeddings)""")
+def judge_probabilities(spark, sf):
+    """Softmax of four logits, and the distance of two vectors."""
+    from quarry.functions import vectors as V
+
+    v, w = F.slice(F.col("embedding").cast("array<double>"), 1, 4), F.slice(F.col("embedding").cast("array<double>"), 5, 4)
+    return table(spark, sf, "embeddings").select("vec_id", F.transform(V.softmax(v), lambda x: F.round(x, 9)).alias("p"), F.round(V.cosine_distance(v, w), 9).alias("distance"))
 
 
 @query("""WITH h(query, prefix) AS (VALUES (1, 'https://a'), (2, 'http'), (3, 'ftp://')) SELECT query, prefix FROM h WHERE EXISTS (SELECT 1 FROM pages WHERE starts_with(lower(url), lower(prefix)))""")
@@ -200,3 +265,23 @@ def query_augmentation(spark, sf):
     hints = T.limit_distinct(F.concat(T.keyword_terms(q), T.exact_tokens(q)["doc_names"]), 8, 40)
     v, k = R.adaptive_weights(q)
     return table(spark, sf, "conversations").select("conv_id", "turn", F.concat_ws(" ", q, F.array_join(hints, " ")).alias("augmented"), v.alias("vector_weight"), k.alias("keyword_weight"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '上面第' || o_orderkey % 50 || '条呢' ELSE '请说明order和' || o_orderpriority END AS q, list_distinct_ordered AS h FROM (SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN [] ELSE ['a', 'b'] END AS kw, CASE WHEN o_orderkey % 2 = 0 THEN ['第3步'] ELSE [] END AS nav,
+list_concat(list_concat(kw, CASE WHEN o_orderkey % 3 = 0 THEN ['old', 'b2'] ELSE [] END), nav) AS list_distinct_ordered FROM orders)), t AS (SELECT *, list_filter(regexp_split_to_array(q, '[\\s、，,；;：:（）()\\-的和及与或]+'), lambda s: length(s) >= 2) AS terms FROM o)
+SELECT o_orderkey, CASE WHEN len(h) > 0 THEN q || ' ' || array_to_string(h, ' ') ELSE q END AS text, CASE WHEN len(h) > 0 THEN list_concat(h, terms)[1:8] ELSE terms[1:6] END AS hints FROM t""")
+def augmented_queries(spark, sf):
+    """Keywords, navigation and, for short questions that refer back, history."""
+    k = F.col("o_orderkey")
+    empty = F.array().cast("array<string>")
+    q = F.when(k % 3 == 0, F.concat(F.lit("上面第"), (k % 50).cast("string"), F.lit("条呢"))).otherwise(F.concat(F.lit("请说明order和"), F.col("o_orderpriority")))
+    keywords = F.when(k % 4 == 0, empty).otherwise(F.array(F.lit("a"), F.lit(" b"), F.lit("a"), F.lit("")))
+    a = T.augmented_query(q, keywords, F.when(k % 2 == 0, F.array(F.lit("第3步"))).otherwise(empty), F.array(F.lit("old"), F.lit("b2")))
+    return table(spark, sf, "orders").select(k, a.alias("a")).select("o_orderkey", "a.text", "a.hints")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id ELSE 0 END AS value, CASE WHEN event_id % 3 = 0 THEN event_id END AS known FROM events")
+def safe_ints(spark, sf):
+    k = F.col("event_id")
+    text = F.when(k % 3 == 0, F.concat(F.lit(" "), k.cast("string"), F.lit(" "))).when(k % 3 == 1, F.concat(k.cast("string"), F.lit("x")))
+    return table(spark, sf, "events").select(k, T.safe_int(text).alias("value"), T.safe_int(text, None).alias("known"))

@@ -190,3 +190,11 @@ g AS (SELECT conv_id, turn, flatten(list_transform(s, lambda x: list_concat([x],
 SELECT conv_id, turn, list_filter(g, lambda x, i: list_position(g, x) = i)[1:40] AS terms FROM g""")
 def route_terms(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.query_terms(F.substring("text", 1, 60)).alias("terms"))
+
+
+@query("""SELECT o_orderkey, [year(o_orderdate)::VARCHAR] AS years, ['第' || o_orderkey % 30 || '条', '附录B'] AS sections, CASE WHEN o_orderkey % 2 = 0 THEN ['操作手册', 'FAQ', '手册'] ELSE [] END AS names FROM orders WHERE year(o_orderdate) >= 2000""")
+def query_filters(spark, sf):
+    """Years, sections and kinds of documents that a question names."""
+    k = F.col("o_orderkey")
+    q = F.concat(F.year("o_orderdate").cast("string"), F.lit(" 年的第 "), (k % 30).cast("string"), F.lit(" 条和附录 B"), F.when(k % 2 == 0, "，见操作手册与faq").otherwise(""))
+    return table(spark, sf, "orders").where(F.year("o_orderdate") >= 2000).select(k, T.query_filters(q).alias("f")).select("o_orderkey", "f.years", "f.sections", "f.names")

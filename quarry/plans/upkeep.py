@@ -60,9 +60,11 @@ def route_index(spark, sf):
     return U.route_rows(scopes, topics, docs, F.lit("2023-01-01").cast("timestamp")).select("code", "kind", "parent")
 
 
-@query("SELECT * FROM (VALUES ('parse', 'parse'), ('index', 'index,vectorize,chunk,parse'), ('other', '')) t(stage, undo)")
+@query("SELECT o_orderkey, ['', 'parse', 'chunk,parse', 'vectorize,chunk,parse', 'index,vectorize,chunk,parse', 'profile,index,vectorize,chunk,parse'][o_orderkey % 6 + 1] AS undo FROM orders")
 def stage_compensation(spark, sf):
-    return spark.createDataFrame([("parse",), ("index",), ("other",)], "stage string").select("stage", F.array_join(U.compensation(F.col("stage")), ",").alias("undo"))
+    """What a failure in each stage undoes; an unknown stage undoes nothing."""
+    stage = F.element_at(F.array(*map(F.lit, ["other", *U.STAGES])), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(U.compensation(stage), ",").alias("undo"))
 
 
 @query()
