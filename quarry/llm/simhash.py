@@ -4,7 +4,8 @@ A 64-bit fingerprint is cut into a ring of m = tau + 1 segments. If two fingerpr
 pigeonring principle gives a segment from which every chain of l consecutive segments differs in at most l * tau / m
 bits: no bit in the first segment and at most one in the first two. Of the two halves of the second segment one is
 then equal too, so the pair shares a key made of one segment and half of the next, at one of 2 m places. Pairs that
-share a key are checked in full inside their group, vectorised, and only a spanning forest of the links leaves a task.
+share a key are tested inside their group, vectorised: chain by chain from the key's segment on, each against its budget,
+and what is left by the whole distance (the chain of all segments). Only a spanning forest of the links leaves a task.
 
 near_classes and drop_near_copies don't take fingerprints: they join the texts' sets of shingles by exact Jaccard similarity.
 """
@@ -90,8 +91,7 @@ def fingerprints(df: DataFrame, size: int, words: int = 1, text: str = "text", k
 
 def ring_keys(fp: F.Column, tau: int) -> F.Column:
     """The keys of a fingerprint: each segment of the ring with either half of the next one, and which of them it is."""
-    m = tau + 1
-    cuts = [round(64 * i / m) for i in range(m + 1)]
+    m, cuts = tau + 1, segment_cuts(tau)
     take = lambda a, b: F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
     keys = []
     for i in range(m):
@@ -104,50 +104,64 @@ def ring_keys(fp: F.Column, tau: int) -> F.Column:
     return F.array(*keys)
 
 
-def near_links(rows: DataFrame, tau: int, confirm: int | None = None, cap: int = 4096) -> DataFrame:
+def segment_cuts(tau: int) -> list[int]:
+    return [round(64 * i / (tau + 1)) for i in range(tau + 2)]
+
+
+def chain_masks(tau: int) -> np.ndarray:
+    """The bits of each chain: row i, column l - 1 for the l segments from segment i on."""
+    cuts, m = segment_cuts(tau), tau + 1
+    segments = [((1 << cuts[i + 1]) - (1 << cuts[i])) for i in range(m)]
+    return np.array([[sum(segments[(i + k) % m] for k in range(n)) for n in range(1, m + 1)] for i in range(m)], dtype=np.uint64)
+
+
+def chained(differ: np.ndarray, start: np.ndarray | int, masks: np.ndarray, tau: int) -> np.ndarray:
+    """Which of the differences (xor of two fingerprints) keep the budget of every chain from segment `start` on."""
+    ok = np.arange(len(differ))
+    for n in range(2, tau + 2):
+        own = masks[start if np.isscalar(start) else start[ok], n - 1]
+        ok = ok[np.bitwise_count(differ[ok] & own) <= n * tau // (tau + 1)]
+    return ok
+
+
+def near_links(rows: DataFrame, tau: int, cap: int = 4096) -> DataFrame:
     """Links (a, b) that join all of rows (id, fp) whose first words differ in at most tau bits.
 
-    confirm: the most bits in which the whole arrays may differ, else only the first words count. A forest of each group
-    is given, so links never outnumber the rows of the groups. Hot groups are split (see split_hot).
+    A forest of each group is given, so links never outnumber the rows of the groups. Hot groups are split (see split_hot).
     """
     keyed = rows.select("id", "fp", F.explode(ring_keys(F.col("fp")[0], tau)).alias("key"))
     cells = split_hot(keyed, ["key"], "id", cap)
+    masks = chain_masks(tau)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, 2):
             n = table.num_rows
+            place = (table.column(0).to_numpy() & 0xFF) // 2
             key = table.column(0).to_numpy() * np.int64(1000003) + table.column(1).to_numpy()
             ids = table.column(2).to_numpy()
-            fp = table.column(3).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, -1)
-            first = fp[:, 0]
+            first = table.column(3).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, -1)[:, 0]
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.append(starts, n))
             left, right = [], []
             # small groups, all at once: each row with the one d rows on
-            small = np.repeat(sizes <= 24, sizes)
-            at = np.flatnonzero(small)
+            at = np.flatnonzero(np.repeat(sizes <= 24, sizes))
             d = 1
             while len(at):
                 at = at[at + d < n]
                 at = at[key[at + d] == key[at]]
-                hit = np.bitwise_count(first[at] ^ first[at + d]) <= tau
-                pairs = at[hit]
-                if confirm is not None and len(pairs):
-                    pairs = pairs[np.bitwise_count(fp[pairs] ^ fp[pairs + d]).sum(axis=1, dtype=np.int64) <= confirm]
+                pairs = at[chained(first[at] ^ first[at + d], place[at], masks, tau)]
                 left.append(pairs)
                 right.append(pairs + d)
                 d += 1
-            for s, k in zip(starts[sizes > 24], sizes[sizes > 24], strict=True):
-                own, whole = first[s : s + k], fp[s : s + k]
-
-                def near(i: int, rest: np.ndarray, own=own, whole=whole) -> np.ndarray:
-                    hit = np.bitwise_count(own[rest] ^ own[i]) <= tau
-                    if confirm is not None and hit.any():
-                        got = rest[hit]
-                        hit[np.flatnonzero(hit)] = np.bitwise_count(whole[got] ^ whole[i]).sum(axis=1, dtype=np.int64) <= confirm
+            for s, k in zip(starts[sizes > 24].tolist(), sizes[sizes > 24].tolist(), strict=True):
+                own, segment = first[s : s + k], int(place[s])
+
+                def near(i: int, rest: np.ndarray, own=own, segment=segment) -> np.ndarray:
+                    hit = np.zeros(len(rest), bool)
+                    hit[chained(own[rest] ^ own[i], segment, masks, tau)] = True
                     return hit
 
-                a, b = forest(near, int(k))
+                a, b = forest(near, k)
                 left.append(a + s)
                 right.append(b + s)
             x = np.concatenate([np.empty(0, np.int64), *left]).astype(np.int64)
