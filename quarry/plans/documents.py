@@ -59,12 +59,19 @@ def structure_chunks(spark, sf):
     return D.structure_chunks(tree(spark, sf))
 
 
-@query()
+#: Sentences packed up to 512 characters, by a fold.
+CHUNKS = r"""c AS (SELECT doc_id AS doc, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^。！？.!?\n]*[。！？.!?\n]|[^。！？.!?\n]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents),
+p AS (SELECT doc, list_reduce(list_transform(s, lambda x: {'done': []::VARCHAR[], 'open': x}), lambda a, x: CASE WHEN a.open <> '' AND length(a.open) + length(x.open) > 512 THEN {'done': list_append(a.done, a.open), 'open': x.open} ELSE {'done': a.done, 'open': a.open || x.open} END, {'done': []::VARCHAR[], 'open': ''}) AS r FROM c),
+k AS (SELECT doc, list_filter(CASE WHEN r.open <> '' THEN list_append(r.done, r.open) ELSE r.done END, lambda x: length(x) >= 50) AS t FROM p)"""
+
+
+@query(f"WITH {CHUNKS} SELECT doc, unnest(range(1, len(t) + 1)) AS chunk_no, unnest(t) AS text FROM k")
 def chunk_sentences(spark, sf):
     return D.sentence_chunks(table(spark, sf, "documents"))
 
 
-@query()
+@query(f"""WITH {CHUNKS}, o AS (SELECT doc, list_reduce(list_transform(t, lambda x: {{'last': x, 'done': []::VARCHAR[]}}), lambda a, x: CASE WHEN a.last = '' OR starts_with(x.last, right(a.last, 128)) THEN {{'last': x.last, 'done': list_append(a.done, x.last)}}
+ELSE {{'last': right(a.last, 128) || chr(10) || x.last, 'done': list_append(a.done, right(a.last, 128) || chr(10) || x.last)}} END, {{'last': '', 'done': []::VARCHAR[]}}) AS r FROM k) SELECT doc, unnest(range(1, len(r.done) + 1)) AS chunk_no, unnest(r.done) AS text FROM o""")
 def chunk_overlap(spark, sf):
     return D.overlapped_chunks(D.sentence_chunks(table(spark, sf, "documents")))
 
@@ -92,7 +99,7 @@ def tree_descend(spark, sf):
     return D.subtree(nodes, roots).select("root", F.col("node_no").alias("node"), "distance")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 5 >= 3 AND h >= 2 THEN ['structure', 'recursive'] WHEN p >= 5 AND n >= 2000 THEN ['recursive', 'semantic'] ELSE ['recursive'] END AS strategy FROM (SELECT doc_id, length(text) AS n, doc_id % 5 + (p >= 3)::INT AS h, p
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 5 >= 3 AND h >= 2 THEN ['structure', 'recursive'] WHEN p >= 5 AND n >= 2000 THEN ['recursive', 'semantic'] ELSE ['recursive'] END AS strategy FROM (SELECT doc_id, length(text) AS n, doc_id % 5 + (p >= 3)::INT AS h, p
 FROM (SELECT doc_id, text, len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_replace(x, '\s+', '', 'g') <> '')) AS p FROM documents))""")
 def chunk_strategies(spark, sf):
     """Headings are the id's remainder; a document's level follows from them and its paragraphs."""
@@ -115,7 +122,11 @@ def context_windows(spark, sf):
     return D.context_window(c.select("doc", "chunk_no", F.expr("repeat(f, 3 + chunk_no)").alias("text")), 5).select("doc", "chunk_no", "before", "after")
 
 
-@query()
+@query(r"""WITH u AS (SELECT page_id, html, regexp_replace(trim(url), '#.*$', '') AS u FROM pages), n AS (SELECT page_id, html, lower(regexp_extract(u, '^(https?)://', 1)) AS s, lower(regexp_extract(u, '^https?://([^/?]*)', 1)) AS h, regexp_extract(u, '^https?://[^/?]*([^?]*)', 1) AS p,
+list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|gclid|fbclid|spm|from|ref|source)(=|$)')) AS q FROM u),
+k AS (SELECT s, h, html, s || '://' || h || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM n WHERE s <> '' AND h <> ''),
+l AS (SELECT DISTINCT url AS source, s || '://' || h || unnest(regexp_extract_all(html, '<a[^>]*?href="(/[^"]*)"', 1)) AS url FROM k), a AS (SELECT DISTINCT url, 0 AS depth FROM k), b AS (SELECT DISTINCT url, 1 AS depth FROM l WHERE url NOT IN (SELECT url FROM a)),
+c AS (SELECT DISTINCT l.url, 2 AS depth FROM l JOIN b ON l.source = b.url WHERE l.url NOT IN (SELECT url FROM a) AND l.url NOT IN (SELECT url FROM b)) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
 def crawl_pages(spark, sf):
     """Urls within two links of the pages, on their hosts."""
     pages = table(spark, sf, "pages")

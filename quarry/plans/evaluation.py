@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quarry import models
 from quarry.operators import evaluation as E
 from quarry.operators import ranking as R
-from quarry.plans.retrieval import V_SQL, by_vector
+from quarry.plans.retrieval import V_SQL, VG_SQL, by_vector
 from quarry.registry import query, table
 
 LISTS = f"""WITH {V_SQL}, g AS (SELECT query, list(chunk ORDER BY chunk) AS gold FROM vt WHERE chunk % 5 = query % 5 GROUP BY query),
@@ -158,7 +158,8 @@ def text_recall(spark, sf):
     return o.withColumn("ratio", F.round("ratio", 6))
 
 
-@query()
+@query(f"""WITH {V_SQL}, {VG_SQL}, g AS (SELECT query, min(rank) AS first FROM vg WHERE chunk % 5 = query % 5 GROUP BY 1), r AS (SELECT query, count(*) FILTER (chunk % 5 = query % 5) AS n FROM vt GROUP BY 1)
+SELECT CASE WHEN first <= 3 THEN 'ok' WHEN n = 0 THEN 'recall' WHEN first IS NULL THEN 'gate' WHEN first > 30 THEN 'fusion' WHEN first > 20 THEN 'rerank' ELSE 'final_cut' END AS stage, count(*) AS count FROM r LEFT JOIN g USING (query) GROUP BY 1""")
 def loss_stages(spark, sf):
     """Where each question's gold document was lost on its way through the channels, gate and cut."""
     v = by_vector(spark, sf).withColumn("gold", F.col("chunk") % 5 == F.col("query") % 5)
@@ -171,10 +172,21 @@ def loss_stages(spark, sf):
     return out.select("query", E.attribute_stage(*flags).alias("stage")).groupBy("stage").count()
 
 
-@query()
+@query(r"""WITH a AS (SELECT conv_id, turn, 'At ' || conv_id || ', if so, [' || turn || '] it is fine. ' || text AS t FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, regexp_replace(t, '([0-9]*)[0-9]', '\17', 'g') AS number,
+regexp_replace(t, '(如果|若|除非|if|unless)[^，,。.]*[，,]', '', 'g') AS condition, t || chr(10) || t AS verbosity, regexp_replace(t, '\[([0-9]+)\]', '（来源\1）', 'g') AS citation FROM a""")
 def perturbed_answers(spark, sf):
+    """Damaged copies of answers: each number's last digit, conditions out, said twice, another style of citation."""
     a = table(spark, sf, "conversations").where("role = 'assistant'")
-    return a.select("conv_id", "turn", *[E.perturb(F.col("text"), h).alias(h) for h in ("number", "polarity", "condition", "verbosity", "citation")])
+    text = F.concat(F.lit("At "), F.col("conv_id").cast("string"), F.lit(", if so, ["), F.col("turn").cast("string"), F.lit("] it is fine. "), F.col("text"))
+    return a.select("conv_id", "turn", *[E.perturb(text, h).alias(h) for h in ("number", "condition", "verbosity", "citation")])
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '可以转让' WHEN 1 THEN 'this is allowed' ELSE '允许' END AS polarity FROM orders")
+def flipped_answers(spark, sf):
+    """Denials lose their word."""
+    k = F.col("o_orderkey") % 3
+    text = F.when(k == 0, "不可以转让").when(k == 1, "this is not allowed").otherwise("不允许")
+    return table(spark, sf, "orders").select("o_orderkey", E.perturb(text, "polarity").alias("polarity"))
 
 
 @query()

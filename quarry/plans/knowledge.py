@@ -46,10 +46,14 @@ def clarify_decisions(spark, sf):
     return c.select("query", G.must_clarify(F.col("best") / F.greatest(F.lit(10.0), F.col("best") + F.col("second") + 5), F.lit(False), F.col("best") - F.col("second"), F.lit(False)).alias("clarify"))
 
 
-@query()
+@query(f"WITH {S_SQL}, f AS (SELECT query, list(code ORDER BY rank) AS codes, list(round(score, 3) ORDER BY rank) AS scores FROM b WHERE rank <= 5 GROUP BY 1) SELECT query, codes, scores, CASE query // 100 % 3 WHEN 0 THEN true WHEN 1 THEN false END AS hit FROM f")
 def route_traces(spark, sf):
+    """The first routes of each question as JSON, and whether the selected one is among them: the second, none of them, or none selected."""
     r = routes(spark, sf)
-    return G.trace_rows(r, r.where("rank = 2").select("query", F.col("code").alias("selected")))
+    k = F.floor(F.col("query") / 100) % 3
+    selected = r.where("rank = 2").select("query", F.when(k == 0, F.col("code")).when(k == 1, F.lit(-1)).alias("selected"))
+    rows = G.trace_rows(r, selected).withColumn("r", F.from_json("routes", "array<struct<rank:int,code:bigint,score:double>>"))
+    return rows.select("query", F.col("r")["code"].alias("codes"), F.transform(F.col("r")["score"], lambda x: F.round(x, 3)).alias("scores"), "hit")
 
 
 @query("""SELECT p_partkey, (CASE WHEN lower(p_brand) = 'brand#11' THEN 2 ELSE 0 END + CASE WHEN starts_with(lower(p_brand), 'brand#11') THEN 1.5 ELSE 0 END + CASE WHEN contains('brand#11', lower(p_brand)) OR contains(lower(p_brand), 'brand#11') THEN 1 ELSE 0 END

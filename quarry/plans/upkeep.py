@@ -67,7 +67,12 @@ def stage_compensation(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.array_join(U.compensation(stage), ",").alias("undo"))
 
 
-@query()
+@query("""SELECT o_orderkey AS chunk_id, [(o_orderkey % 30 + 1)::VARCHAR] AS clause_number, CASE WHEN o_orderkey % 3 = 0 THEN ['5.' || o_orderkey % 9 + 1] ELSE ['7.' || o_orderkey % 9 + 1, '8.2'] END AS sub_clause_numbers, CASE WHEN o_orderkey % 2 = 0 THEN ['M3', 'P6-2'] ELSE [] END AS grade_codes, ['A', 'C'] AS city_classes FROM orders""")
 def enriched_chunks(spark, sf):
-    c = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit("").alias("section_path"), F.col("text").alias("content"))
+    """Exact fields of chunks: bold subclauses hide plain ones, repeats go, grades and city classes come from the text."""
+    k = F.col("o_orderkey")
+    n = (k % 9 + 1).cast("string")
+    plain = F.concat(F.lit("7."), n, F.lit(" 与 8.2，重复 8.2。"))
+    body = F.concat(F.when(k % 3 == 0, F.concat(F.lit("**5."), n, F.lit(" 标题** "), plain)).otherwise(plain), F.when(k % 2 == 0, "职级 M3、P6-2；").otherwise("XM3 "), F.lit("A 类城市、C类城市、A类城市"))
+    c = table(spark, sf, "orders").select(k.alias("chunk_id"), F.concat(F.lit("制度 > 第 "), (k % 30 + 1).cast("string"), F.lit(" 条")).alias("section_path"), body.alias("content"))
     return U.enrich_chunks(c).drop("content", "section_path")
