@@ -14,11 +14,14 @@ from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._base import written
 
+#: Labelled rows of one partition of the fit.
+PART_ROWS = 50_000
 Condition = tuple[str, str, float]
 
 
@@ -88,16 +91,17 @@ def fit(rows: DataFrame, label: str = "label", trees: int = 8, depth: int = 3, l
     flat = RuleEnsemble(math.log(share / (1 - share)), [])
     if not 0 < ones < n:
         return flat
-    vectors = VectorAssembler(inputCols=STATISTICS, outputCol="x").transform(rows).select("x", "y", *STATISTICS).cache()
+    vectors = VectorAssembler(inputCols=STATISTICS, outputCol="x").transform(rows.repartition(max(1, n // PART_ROWS))).select("x", "y", *STATISTICS).cache()
     try:
         forest = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", seed=seed).fit(vectors)
         rules = paths(forest.toDebugString)
         if not rules:
             return flat
-        names = [f"r{i}" for i in range(len(rules))]
-        hits = vectors.select("y", *[condition(r).cast("double").alias(c) for r, c in zip(rules, names, strict=True)])
-        assembled = VectorAssembler(inputCols=names, outputCol="r").transform(hits).select("r", "y")
-        model = LogisticRegression(featuresCol="r", labelCol="y", regParam=lasso, elasticNetParam=1.0, maxIter=60, standardization=False).fit(assembled)
+        # rows that fulfil the same rules are one row with a weight, so the lasso's passes don't grow with the labels
+        hits = vectors.select("y", F.array(*[condition(r).cast("double") for r in rules]).alias("r")).groupBy("y", "r").agg(F.count("*").cast("double").alias("w"))
+        weighted = hits.coalesce(max(1, n // PART_ROWS)).select("y", "w", array_to_vector("r").alias("r")).cache()
+        model = LogisticRegression(featuresCol="r", labelCol="y", weightCol="w", regParam=lasso, elasticNetParam=1.0, maxIter=60, standardization=False).fit(weighted)
+        weighted.unpersist()
     finally:
         vectors.unpersist()
     weights = model.coefficients.toArray().tolist()
