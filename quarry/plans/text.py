@@ -96,9 +96,13 @@ def extract_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode_outer(T.page_links(F.col("html"), F.col("url"))).alias("link"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script\b.*?</script|style\b.*?</style|noscript\b.*?</noscript|template\b.*?</template)\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?is)<head\b.*?</head\s*>', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)<h1\b[^>]*>', chr(10) || chr(10) || '# ', 'g'), '(?i)<h2\b[^>]*>', chr(10) || chr(10) || '## ', 'g'), '(?i)<h3\b[^>]*>', chr(10) || chr(10) || '### ', 'g'), '(?i)<h4\b[^>]*>', chr(10) || chr(10) || '#### ', 'g'), '(?i)<h5\b[^>]*>', chr(10) || chr(10) || '##### ', 'g'), '(?i)<h6\b[^>]*>', chr(10) || chr(10) || '###### ', 'g') AS t FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)<li\b[^>]*>', chr(10) || '- ', 'g'), '(?i)<br\s*/?>|</(p|div|li|tr|h[1-6]|section|article|table|ul|ol)\s*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g') AS t FROM b),
+d AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;', '&'), ' *\n *', chr(10), 'g') AS t FROM c)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '[\t\x0b\f]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM d""")
 def page_texts(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.page_text(F.col("html")).alias("text"), T.url_slug(F.col("url")).alias("slug"))
+    return table(spark, sf, "pages").select("page_id", T.page_text(F.col("html")).alias("text"))
 
 
 @query("""SELECT conv_id, turn, least(1.0, greatest(0.0, ((length(text) % 100) / 100 - 0.45) / 0.10)) AS weight FROM conversations""")
