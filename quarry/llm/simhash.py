@@ -8,11 +8,12 @@ share a key are tested inside their group, vectorised: chain by chain from the k
 and what is left by the whole distance (the chain of all segments). Only a spanning forest of the links leaves a task.
 
 near_classes and drop_near_copies don't take fingerprints: they join the texts' sets of shingles by exact Jaccard similarity.
+Fingerprints can't give right results there, for at a similarity of 0.8 they differ in about 10 of 64 bits, and in
+8 to 12 as easily.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -20,25 +21,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quarry.llm._base import groups, slices, split_hot, written
+from quarry.llm._base import batch_of, by_bucket, groups, shuffle_partitions, slices, split_hot, spread_out, squeezed, text_blocks, written
 from quarry.llm._components import components, forest
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
-#: Texts that the order of shingles is drawn from, and in how many of them a shingle is common.
-SAMPLE, COMMON = 4000, 5
-#: Groups of at most so many rows give all their pairs at once.
-SMALL = 64
+#: Shingles of this many texts and more are not told apart by their number.
+MANY = 255
 SLACK = 1e-9
 
 
-def shingle_hashes(text: str, size: int) -> np.ndarray:
+def shingle_hashes(text: str | bytes, size: int) -> np.ndarray:
     """XXH64 (seed 42) of all shingles of `size` words, repeats included; a shorter text is one shingle, one without words none."""
-    words = text.encode("utf-8", "replace").translate(LOWER).split()
+    words = (text if isinstance(text, bytes) else text.encode("utf-8", "replace")).translate(LOWER).split()
     if not words:
         return np.empty(0, dtype=np.uint64)
     joined = b" ".join(words)
@@ -186,166 +185,163 @@ def print_classes(df: DataFrame, size: int = 4, tau: int = 4, text: str = "text"
     return prints.join(heads, "fp").select(F.col("doc").alias(key), "fp", "component")
 
 
-def shingle_set(text: str, size: int) -> set[bytes]:
-    """The distinct shingles of `size` words themselves; a shorter text is one shingle, one without words none."""
-    words = text.encode("utf-8", "replace").translate(LOWER).split()
-    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+def marked(rows: DataFrame, size: int, similarity: float, text: str) -> DataFrame:
+    """Of those rows that may have a similar one: _row, digest and n of the set of shingles, and `prefix`, its rarest shared shingles.
 
-
-def common_shingles(df: DataFrame, size: int, text: str) -> np.ndarray:
-    """Hashes of the shingles that are frequent in a sample of about SAMPLE texts, sorted.
-
-    They only go to the end of the order that prefixes are cut by, so the sample bears on the time and never on the result.
+    Similar sets of n shingles at most share ceil(similarity * n) of them. So in one order of all shingles, by the number of
+    texts that hold them, each has a shared one among its first n - ceil(similarity * n) + 1; and a text with as many
+    shingles of its own has no similar one. The numbers are counted over all texts: each block of texts sends its distinct
+    hashes to buckets, packed, and gets their counts back. Hashes that fall together there are counted together, which
+    changes the order but not the result.
     """
-    texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
-    m = max(1, texts.count() // SAMPLE)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0):
-            for t in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, size)).view(np.int64))], names=["h"])
-
-    found = texts.where(F.pmod(F.xxhash64("t"), F.lit(m)) == 0).distinct().mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
-    return np.sort(np.array([r.h for r in found.select("h").collect()], dtype=np.int64).view(np.uint64))
-
+    total = rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    table = written(text_blocks(rows, text, "_row", 4_000_000), "shingle-blocks")
+    n_buckets = max(shuffle_partitions(rows), int(total / 32e6) + 1)
+    n_parts = max(shuffle_partitions(rows), int(total / 16e6) + 1)
 
-def with_prefixes(df: DataFrame, size: int, similarity: float, text: str) -> DataFrame:
-    """df with _row (a number of its own), _digest and _n of its set of shingles, and _prefix: the first of them in one order of all shingles."""
-    common = df.sparkSession.sparkContext.broadcast(common_shingles(df, size, text))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, batch_at):
-            digests, counts, parts = [], [], []
-            for t in batch.column(batch_at).to_pylist():
-                h = np.unique(shingle_hashes(t or "", size))
-                digests.append(hashlib.sha256(h.tobytes()).digest()[:16])
-                counts.append(len(h))
-                parts.append(h[np.argsort(np.isin(h, common.value), kind="stable")][: len(h) - math.ceil(similarity * len(h) - SLACK) + 1].view(np.int64))
-            offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(offsets, np.concatenate([np.empty(0, np.int64), *parts]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), lists], names=[*batch.schema.names, "_digest", "_n", "_prefix"])
-
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())
-    batch_at = numbered.columns.index(text)
-    schema = T.StructType([*numbered.schema.fields, T.StructField("_digest", T.BinaryType()), T.StructField("_n", T.IntegerType()), T.StructField("_prefix", T.ArrayType(T.LongType()))])
-    return written(numbered.mapInArrow(run, schema), "shingles")
-
-
-def candidates(cells: DataFrame, shared_by: DataFrame, similarity: float, rest: bool) -> DataFrame:
-    """Pairs (a, b) of rows that share a shingle of their prefixes and may be similar by their sizes and the shingle's places.
-
-    cells: key, cell, node, n, pos and part (of a node's links so far). First (not rest) all pairs of small groups, and in
-    large ones a star for each range of sizes, so that pairs don't outnumber the rows by more than a constant; then (rest)
-    all pairs of large groups whose rows are not of one part yet. shared_by: how many keys of each node are in small (few)
-    and in large groups (many); pairs that can't have enough shingles in common by these numbers are left out.
-    """
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[np.ndarray], list[dict]]]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                raw = zstandard.ZstdDecompressor().decompress(batch.column(3)[k].as_py(), max_output_size=1 << 31) if len(batch.column(3)[k].as_py()) else b""
+                ends = np.cumsum(batch.column(2)[k].values.to_numpy())
+                own = [np.unique(shingle_hashes(raw[e - n : e], size)) for e, n in zip(ends.tolist(), batch.column(2)[k].values.to_pylist(), strict=True)]
+                yield batch.column(0)[k].as_py(), batch.column(1)[k].values.to_pylist(), own, batch.column(4)[k].as_py() if batch.num_columns > 4 else None
+
+    def distinct(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All hashes of a block in ascending order, in how many of its texts they are, and where their buckets begin."""
+        names, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *own]), return_counts=True)
+        bucket = (names >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
+        return names, np.minimum(counts, MANY).astype(np.uint8), np.searchsorted(bucket, np.arange(n_buckets + 1))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, own, _ in sets(batches):
+            names, counts, cuts = distinct(own)
+            low = (names & np.uint64(0xFFFFFFFF)).astype("<u4")
+            found = [(int(k), block, low[cuts[k] : cuts[k + 1]].tobytes(), squeezed(counts[cuts[k] : cuts[k + 1]])) for k in np.flatnonzero(np.diff(cuts))]
+            if found:
+                yield batch_of(found, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], ["bucket", "block", "names", "counts"])
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_bucket(batches):
+            names = [np.frombuffer(b, "<u4") for b in part.column(2).to_pylist()]
+            counts = np.concatenate([spread_out(b, np.uint8) for b in part.column(3).to_pylist()])
+            _, which = np.unique(np.concatenate(names), return_inverse=True)
+            sums = np.minimum(np.bincount(which, counts), MANY).astype(np.uint8)[which]
+            found = [(block, k, squeezed(x)) for block, k, x in zip(part.column(1).to_pylist(), part.column(0).to_pylist(), np.split(sums, np.cumsum([len(x) for x in names])[:-1]), strict=True)]
+            yield batch_of(found, [pa.int64(), pa.int32(), pa.binary()], ["block", "bucket", "counts"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, fields = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64())], ["_row", "digest", "n", "prefix"]
+        for _, ids, own, answers in sets(batches):
+            names, _, _ = distinct(own)
+            counts = np.concatenate([np.empty(0, np.uint8), *(spread_out(a["counts"], np.uint8) for a in sorted(answers or [], key=lambda a: a["bucket"]))])
+            found = []
+            for row, h in zip(ids, own, strict=True):
+                first = len(h) - math.ceil(similarity * len(h) - SLACK) + 1
+                held = counts[np.searchsorted(names, h)]
+                alone = int((held == 1).sum())
+                if alone < first:
+                    order = np.argsort(held, kind="stable")[alone:first]
+                    found.append((row, hashlib.sha256(h.tobytes()).digest()[:16], len(h), h[order].view(np.int64)))
+            for k in range(0, len(found), 1000):
+                yield batch_of(found[k : k + 1000], kinds, fields)
+
+    sent = table.mapInArrow(send, "bucket int, block long, names binary, counts binary").repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "block")
+    answers = written(sent.mapInArrow(reply, "block long, bucket int, counts binary"), "shingle-counts")
+    of_block = answers.repartition(n_parts, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "counts")).alias("answers"))
+    whole = table.join(of_block.hint("shuffle_hash"), "block", "left").select("block", "ids", "sizes", "payload", "answers")
+    return written(whole.mapInArrow(mark, "_row long, digest binary, n int, prefix array<long>"), "shingles")
+
+
+def similar(nodes: list[int], sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of sets with at least that Jaccard similarity: exact overlaps, by an index of the sets."""
+    size = np.array([len(s) for s in sets])
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    holder = np.repeat(np.arange(len(sets)), size)[order]
+    begin = np.searchsorted(token[order], np.arange(token.max(initial=-1) + 2))
+    starts = np.cumsum(size) - size
+
+    def near(i: int, rest: np.ndarray) -> np.ndarray:
+        own = token[starts[i] : starts[i] + size[i]]
+        own = own[begin[own + 1] - begin[own] > 1]
+        if not len(own):
+            return np.zeros(len(rest), bool)
+        both = np.bincount(np.concatenate([holder[begin[t] : begin[t + 1]] for t in own]), minlength=len(sets))[rest]
+        return both >= similarity * (size[i] + size[rest] - both) - SLACK
+
+    a, b = forest(near, len(sets))
+    ids = np.array(nodes)
+    return ids[a], ids[b]
+
+
+def set_links(texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join all texts (cluster, cell, node, t) of a cell with that Jaccard similarity, a forest of each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, 2):
-            key = table.column(0).to_numpy() * np.int64(1000003) + table.column(1).to_numpy()
-            node, n, pos, part = (table.column(i).to_numpy() for i in range(2, 6))
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sizes = np.diff(np.append(starts, len(key)))
-
-            def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                most = np.minimum(n[i] - pos[i], n[j] - pos[j])
-                return (most >= similarity / (1 + similarity) * (n[i] + n[j]) - SLACK) & (node[i] != node[j])
-
-            def pairs(i: np.ndarray, j: np.ndarray, counted: int = 0) -> pa.RecordBatch:
-                x, y = node[i], node[j]
-                return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array(np.full(len(x), counted))], names=["a", "b", "m"])
-
-            at = np.flatnonzero(np.repeat((sizes > SMALL) == rest, sizes))
-            d = 1
-            while len(at):
-                at = at[at + d < len(key)]
-                at = at[(key[at + d] == key[at]) & (n[at] >= similarity * n[at + d] - SLACK)]
-                i = at[part[at] != part[at + d]] if rest else at
-                i = i[may(i, i + d)] if rest else i[node[i] != node[i + d]]
-                if len(i):
-                    yield pairs(i, i + d, int(not rest))
-                d += 1
-            if rest:
-                continue
+        place, nodes, sets = None, [], []
+        left: list[np.ndarray] = []
+        right: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (left, right)], names=["a", "b"])
+
+        def close() -> None:
+            if len(nodes) > 1:
+                a, b = similar(nodes, sets, similarity)
+                left.append(a)
+                right.append(b)
+
+        for batch in slices(batches, 3, 1_000_000):
+            for cluster, cell, node, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place != (cluster, cell):
+                    close()
+                    place, nodes, sets = (cluster, cell), [], []
+                nodes.append(node)
+                sets.append(np.unique(shingle_hashes(t, size)))
+            yield out()
             left, right = [], []
-            for s, k in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-                hub = s
-                while hub < s + k:
-                    end = s + int(np.searchsorted(n[s : s + k], n[hub] / similarity + SLACK, "right"))
-                    j = np.arange(hub + 1, end)
-                    j = j[may(np.full(len(j), hub), j)]
-                    left.append(np.full(len(j), hub))
-                    right.append(j)
-                    hub = end
-            if left:
-                yield pairs(np.concatenate(left), np.concatenate(right))
-
-    ordered = cells.select("key", "cell", "node", "n", "pos", "part").repartition("key", "cell").sortWithinPartitions("key", "cell", "n", "node")
-    met = ordered.mapInArrow(run, "a long, b long, m long").groupBy("a", "b").agg(F.sum("m").alias("m"))
-    # common shingles lie in both prefixes (in small groups, counted if not rest, or in large ones) or behind the end of one
-    x, y = (shared_by.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "few", "many")]) for k in "ab")
-    few = F.least("few_a", "few_b") if rest else F.col("m")
-    behind = F.ceil(similarity * F.greatest("n_a", "n_b") - SLACK) - 1
-    enough = few + F.least("many_a", "many_b") + behind >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - SLACK
-    return met.join(x, "a").join(y, "b").where(enough).select("a", "b")
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those of pairs (a, b) whose texts (node, t) have sets of shingles with at least that Jaccard similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = functools.lru_cache(256)(lambda t: shingle_set(t, size))
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = get(x), get(y)
-                both = len(x & y)
-                ok.append(both / (len(x) + len(y) - both) >= similarity)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
-    pairs = written(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    held = written(texts.join(ends, "node", "left_semi"), "texts")
-    met = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
-    return written(met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
-
-
-def _classed(df: DataFrame, size: int, similarity: float, text: str, key: str, cap: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """df with numbered rows (_row), and of each _row its key and the smallest key of its class (null: the class has none)."""
-    rows = with_prefixes(df, size, similarity, text)
-    copies = rows.groupBy("_digest").agg(F.min("_row").alias("node"), F.count("*").alias("c")).where("c > 1").drop("c")
-    noded = rows.join(copies, "_digest", "left").withColumn("node", F.coalesce("node", "_row"))
-    singles = noded.where("node = _row")
-    keyed = singles.select("node", F.col("_n").alias("n"), F.posexplode("_prefix").alias("pos", "key"))
-    shared = written(keyed.join(keyed.groupBy("key").count().where("count > 1"), "key"), "shared")
-    large = (F.col("count") > SMALL).cast("int")
-    shared_by = written(shared.groupBy("node").agg(F.max("n").alias("n"), F.sum(1 - large).alias("few"), F.sum(large).alias("many")), "shared-by")
-    cells = split_hot(shared.withColumnRenamed("count", "size"), ["key"], "node", cap)
-    texts = rows.select(F.col("_row").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    links = confirmed(candidates(cells.withColumn("part", F.col("node")), shared_by, similarity, False), texts, size, similarity)
-    parts = components(links)
-    parted = cells.where(F.col("size") > SMALL).join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    links = links.unionByName(confirmed(candidates(parted, shared_by, similarity, True), texts, size, similarity))
-    labels = noded.select("_row", F.col(key).alias("k"), "node").join(components(links), "node", "left").select("_row", "k", F.coalesce("component", "node").alias("c"))
+        close()
+        yield out()
+
+    return texts.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell").mapInArrow(run, "a long, b long")
+
+
+def _classed(df: DataFrame, size: int, similarity: float, text: str, key: str, cap: int) -> tuple[DataFrame, DataFrame]:
+    """df with numbered rows (_row), and for each _row that links with others its key and the smallest key of its class (null: the class has none)."""
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = marked(rows.select("_row", text), size, similarity, text)
+    copies = found.groupBy("digest").agg(F.min("_row").alias("node"), F.count("*").alias("c")).where("c > 1").drop("c")
+    noded = written(found.join(copies, "digest", "left").select("_row", F.coalesce("node", "_row").alias("node"), "prefix"), "nodes")
+    tokens = noded.where("node = _row").select("node", F.explode("prefix").alias("key"))
+    hubs = tokens.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
+    clusters = components(tokens.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    texts = rows.select(F.col("_row").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(clusters, "node").withColumnRenamed("component", "cluster")
+    cells = split_hot(texts, ["cluster"], "node", cap, F.octet_length("t") + 64)
+    links = written(set_links(cells.select("cluster", "cell", "node", "t"), size, similarity), "links")
+    keys = rows.select("_row", F.col(key).alias("k"))
+    labels = noded.select("_row", "node").join(components(links), "node", "left").select("_row", F.coalesce("component", "node").alias("c")).join(keys, "_row")
     labels = written(labels, "labels")
     return rows, labels.join(labels.groupBy("c").agg(F.min("k").alias("component")), "c").select("_row", "k", "component")
 
 
-def near_classes(df: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_classes(df: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id", cap: int = 4_000_000) -> DataFrame:
     """`key` and component: the smallest key that near-duplicate links reach, one row for each row of df.
 
-    Texts are linked when the Jaccard similarity of their sets of distinct shingles is at least `similarity`. The join is
-    exact: similar sets share an element of their prefixes (the first (1 - similarity) * n + 1 elements in one order of all),
-    and each pair found so is confirmed on the shingles themselves. A text with fewer words is one shingle; null, empty and
-    blank texts have none and form one class. Texts with equal sets are one node. Null keys never win against others; a
-    class of null keys only has a null component.
+    Texts are linked when the Jaccard similarity of their sets of distinct shingles is at least `similarity`, shingles being
+    taken by their 64-bit hashes. No pair is missed: similar texts share one of their rarest shingles (see marked), texts that
+    do form clusters, and inside a cluster all overlaps are exact. Clusters of more than `cap` bytes are split (see
+    split_hot). A text with fewer words is one shingle; null, empty and blank texts have none and form one class. Texts with
+    equal sets are one node. Null keys never win against others; a class of null keys only has a null component.
     """
-    return _classed(df, size, similarity, text, key)[1].select(F.col("k").alias(key), "component")
+    rows, classes = _classed(df, size, similarity, text, key, cap)
+    known = classes.select("_row", "component", F.lit(True).alias("known"))
+    return rows.select("_row", F.col(key).alias("k")).join(known, "_row", "left").select(F.col("k").alias(key), F.when(F.col("known"), F.col("component")).otherwise(F.col("k")).alias("component"))
 
 
-def drop_near_copies(df: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+def drop_near_copies(df: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id", cap: int = 4_000_000) -> DataFrame:
     """Rows of df whose key is the smallest of their near-duplicate class (all rows of a class without keys), all columns kept."""
-    rows, classes = _classed(df, size, similarity, text, key)
+    rows, classes = _classed(df, size, similarity, text, key, cap)
     return rows.join(classes.where(~F.col("k").eqNullSafe(F.col("component"))).select("_row"), "_row", "left_anti").select(*df.columns)
 
 

@@ -154,9 +154,10 @@ def test_near_classes_are_exact(spark, small):
     # exactly 0.8 (8 of 10 shingles), and just below
     rows += [(30_000, " ".join(f"x{i}" for i in range(13))), (30_001, " ".join(f"x{i}" for i in range(12)) + " y"), (30_002, " ".join(f"x{i}" for i in range(11)) + " z q")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component for r in simhash.near_classes(df).collect()}
-    assert got == jaccard_brute(rows)
-    assert got[20_001] == 20_001
+    for cap in (4_000_000, 2_000):
+        got = {r.doc_id: r.component for r in simhash.near_classes(df, cap=cap).collect()}
+        assert got == jaccard_brute(rows)
+        assert got[20_001] == 20_001
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     want = jaccard_brute(docs)
     kept = simhash.drop_near_copies(spark.read.parquet(f"{small}/documents.parquet"))
@@ -192,8 +193,7 @@ def test_embedding_query(spark, small):
     assert got == cosine_brute(rows, 0.98)
 
 
-def test_embedding_links(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "CELL_ROWS", 20)
+def test_embedding_links(spark):
     centres = rng.standard_normal((40, 16))
     rows = []
     for i in range(700):
@@ -202,8 +202,9 @@ def test_embedding_links(spark, monkeypatch):
     rows += [(1000 + i, rows[0][1], 0) for i in range(50)]
     rows += [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [float("nan")] * 16, 1), (2003, [float("inf")] + [1.0] * 15, 1), (2004, rows[0][1], None), (2005, [], 0), (2006, [1.0, 2.0], 0), (2007, [2.0, 4.0], 0), (2008, [None] + [1.0] * 15, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("n_links", F.lit(1))
-    got = {r.vec_id: (r.n_links, r.component, r.kept) for r in embeddings.cosine_links(df, cap=30).collect()}
-    assert got == cosine_brute(rows, 0.98)
+    for cap, cell_rows in ((30, 20), (4000, 20), (30, 4000)):
+        got = {r.vec_id: (r.n_links, r.component, r.kept) for r in embeddings.cosine_links(df, cap=cap, cell_rows=cell_rows).collect()}
+        assert got == cosine_brute(rows, 0.98)
     assert embeddings.cosine_links(df.limit(0)).count() == 0
 
 
