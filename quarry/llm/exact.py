@@ -42,7 +42,11 @@ def exact_classes(df: DataFrame, text: str = "text", key: str = "doc_id", salts:
 
 
 def drop_exact_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows of df whose key is their class's smallest, all columns kept."""
+    """Rows of df whose key is the smallest of a class, all columns kept.
+
+    Rows are told apart by their key: those that share one are kept or dropped together, so keys should be unique. An empty
+    table gives an empty table; texts of any length are compared whole.
+    """
     keep = exact_classes(df, text, key).where("kept").select(F.col(key).alias("_keep"))
     return df.join(keep, df[key].eqNullSafe(F.col("_keep")), "left_semi")
 

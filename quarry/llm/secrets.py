@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import bz2
 import hashlib
 import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +39,8 @@ CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 #: Base64 that a line length wraps; line ends may be spelled out.
 WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:(?:\r?\n[\x20\t]*|(?:\\r)?\\n)[A-Za-z0-9+/_-]+)+={0,2}")
 LINE_END = re.compile(r"\r?\n[\x20\t]*|(?:\\r)?\\n")
+#: What stands for bytes that are not UTF-8.
+LONE = re.compile("[\udc80-\udcff]")
 #: As many characters as the shortest secret.
 READABLE = re.compile(r"[\x20-\x7e]{12}")
 #: A layer of more bytes is scanned in windows of that size that overlap, so that memory stays bounded.
@@ -62,7 +66,30 @@ NOTATIONS = [
     ("bytes", "", _starts(""), re.compile(r"(?P<char>[\x00-\xff])")),
 ]
 
-Spans = list[tuple[int, int]]
+Place = Callable[[int, int], tuple[int, int]]
+
+
+class Runs:
+    """Where the characters of a layer come from in the layer around it: runs of characters of one width there each.
+
+    A text with few escapes has few runs, so the map stays small whatever the text's length.
+    """
+
+    def __init__(self) -> None:
+        self.at, self.source, self.width, self.n = array("q"), array("q"), array("q"), 0
+
+    def add(self, count: int, source: int, width: int) -> None:
+        if not count:
+            return
+        if not (self.at and self.width[-1] == width and self.source[-1] + (self.n - self.at[-1]) * width == source):
+            self.at.append(self.n)
+            self.source.append(source)
+            self.width.append(width)
+        self.n += count
+
+    def place(self, a: int, b: int) -> tuple[int, int]:
+        i, j = bisect.bisect_right(self.at, a) - 1, bisect.bisect_right(self.at, b - 1) - 1
+        return self.source[i] + (a - self.at[i]) * self.width[i], self.source[j] + (b - self.at[j]) * self.width[j]
 
 
 def base_matches(text: str) -> list[tuple[str, int, int]]:
@@ -73,59 +100,56 @@ def base_matches(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def unescape(text: str, pattern: re.Pattern, decode) -> tuple[str, Spans] | None:
-    """The whole text with each match of pattern decoded, and each character's source span; None if nothing changes."""
+def unescape(text: str, pattern: re.Pattern, decode: Callable[[str, int, Runs], str]) -> tuple[str, Runs] | None:
+    """The whole text with each match of pattern decoded, and where its characters come from; None if nothing changes."""
     parts: list[str] = []
-    spans: Spans = []
-    at = 0
+    runs, at = Runs(), 0
     for m in pattern.finditer(text):
-        got = decode(m[0])
-        if got is None:
-            continue
         parts.append(text[at : m.start()])
-        spans += [(i, i + 1) for i in range(at, m.start())]
-        for chars, a, b in got:
-            parts.append(chars)
-            spans += [(m.start() + a, m.start() + b)] * len(chars)
+        runs.add(m.start() - at, at, 1)
+        parts.append(decode(m[0], m.start(), runs))
         at = m.end()
-    if not spans and not parts:
+    if not parts:
         return None
     parts.append(text[at:])
-    spans += [(i, i + 1) for i in range(at, len(text))]
-    return "".join(parts), spans
-
-
-def percent(run: str) -> list[tuple[str, int, int]]:
-    """Characters of a run of percent escapes with their places in the run; U+FFFD for bytes that are not UTF-8."""
-    raw = binascii.unhexlify(run.replace("%", ""))
-    out, at = [], 0
-    while at < len(raw):
-        try:
-            text, bad = raw[at:].decode(), 0
-        except UnicodeDecodeError as e:
-            text, bad = raw[at : at + e.start].decode(), e.end - e.start
-        for c in text:
-            n = len(c.encode())
-            out.append((c, 3 * at, 3 * (at + n)))
-            at += n
-        if bad:
-            out.append(("\ufffd", 3 * at, 3 * (at + bad)))
-            at += bad
-    return out
-
-
-def escapes(run: str) -> list[tuple[str, int, int]] | None:
-    out: list[tuple[str, int, int]] = []
+    runs.add(len(text) - at, at, 1)
+    return "".join(parts), runs
+
+
+def percent(run: str, base: int, runs: Runs) -> str:
+    """The text of percent escapes that begin at `base`; U+FFFD for each byte that is not UTF-8."""
+    text = binascii.unhexlify(run.replace("%", "")).decode("utf-8", "surrogateescape")
+    if text.isascii():
+        runs.add(len(text), base, 3)
+        return text
+    at = base
+    for c in text:
+        width = 3 * (1 if "\udc80" <= c <= "\udcff" else len(c.encode()))
+        runs.add(1, at, width)
+        at += width
+    return LONE.sub("\ufffd", text)
+
+
+def escapes(run: str, base: int, runs: Runs) -> str:
+    """The text of Unicode escapes that begin at `base`; two surrogates are one character, a lone one U+FFFD."""
+    out: list[str] = []
+    high: tuple[int, int] | None = None
     for m in ONE_ESCAPE.finditer(run):
         code = int(m[5]) if m[5] else int(m[1] or m[2] or m[3] or m[4] or m[6], 16)
-        if 0xDC00 <= code <= 0xDFFF and out and 0xD800 <= ord(out[-1][0]) <= 0xDBFF:
-            high, a, _ = out.pop()
-            out.append((chr(0x10000 + ((ord(high) - 0xD800) << 10) + code - 0xDC00), a, m.end()))
-        elif code <= 0x10FFFF:
-            out.append((chr(code), m.start(), m.end()))
-        else:
-            out.append(("\ufffd", m.start(), m.end()))
-    return [("\ufffd" if 0xD800 <= ord(c) <= 0xDFFF else c, a, b) for c, a, b in out]
+        if high and 0xDC00 <= code <= 0xDFFF:
+            out[-1] = chr(0x10000 + ((high[0] - 0xD800) << 10) + code - 0xDC00)
+            runs.add(1, base + high[1], m.end() - high[1])
+            high = None
+            continue
+        if high:
+            runs.add(1, base + high[1], m.start() - high[1])
+        high = (code, m.start()) if 0xD800 <= code <= 0xDBFF else None
+        out.append("\ufffd" if high or code > 0x10FFFF or 0xDC00 <= code <= 0xDFFF else chr(code))
+        if not high:
+            runs.add(1, base + m.start(), m.end() - m.start())
+    if high:
+        runs.add(1, base + high[1], len(run) - high[1])
+    return "".join(out)
 
 
 def compressed(head: bytes) -> bool:
@@ -207,12 +231,22 @@ def plain(raw: bytes) -> bool:
         return False
 
 
-def readable(raw: bytes) -> list[str]:
-    """Texts of bytes that may hold a secret: as UTF-8 with replacements, and also without zeros (as in UTF-16)."""
-    out = [raw.decode("utf-8", "replace")]
-    if b"\0" in raw:
-        out.append(raw.replace(b"\0", b"").decode("utf-8", "replace"))
-    return [x for x in out if READABLE.search(x)]
+def readable(raw: bytes) -> Iterator[tuple[str, Place]]:
+    """Texts of bytes that may hold a secret: as UTF-8, and also without zeros (as in UTF-16); each with the bytes of its characters."""
+    for kept in (raw, raw.replace(b"\0", b"")) if b"\0" in raw else (raw,):
+        text = kept.decode("utf-8", "surrogateescape")
+        if not READABLE.search(text):
+            continue
+
+        def place(a: int, b: int, kept=kept, text=text) -> tuple[int, int]:
+            if len(text) != len(kept):
+                a, b = (len(text[:x].encode("utf-8", "surrogateescape")) for x in (a, b))
+            if len(kept) != len(raw):
+                whole = [i for i, c in enumerate(raw) if c]
+                a, b = whole[a], whole[b - 1] + 1
+            return a, b
+
+        yield LONE.sub("\ufffd", text), place
 
 
 def windows(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
@@ -237,13 +271,13 @@ def from_base64(run: str) -> bytes | None:
         return None
 
 
-def unwrapped(passage: str) -> Iterator[tuple[str, int, int]]:
-    """Lines of one length and a last, shorter one joined, with their place in the passage; the very first may be shorter too."""
+def unwrapped(passage: str) -> Iterator[tuple[str, Runs]]:
+    """Lines of one length and a last, shorter one joined, with their places in the passage; the very first may be shorter too."""
     lines = []
     at = 0
     for m in [*LINE_END.finditer(passage), None]:
         end = m.start() if m else len(passage)
-        lines.append((passage[at:end], at, end))
+        lines.append((passage[at:end], at))
         at = m.end() if m else end
     i = 0
     while i < len(lines) - 1:
@@ -253,7 +287,10 @@ def unwrapped(passage: str) -> Iterator[tuple[str, int, int]]:
             j += 1
         j += len(lines[j][0].rstrip("=")) <= n
         if j - i > 1:
-            yield "".join(x[0] for x in lines[i:j]), lines[i][1], lines[j - 1][2]
+            runs = Runs()
+            for line, place in lines[i:j]:
+                runs.add(len(line), place, 1)
+            yield "".join(x[0] for x in lines[i:j]), runs
         i = j
 
 
@@ -290,65 +327,74 @@ def spelled(layer: str, at: int, token: re.Pattern, most: int) -> tuple[bytes, l
     return bytes(out), places
 
 
+def shifted(at: int) -> Place:
+    return lambda a, b: (at + a, at + b)
+
+
 def scan(text: str) -> list[tuple[str, int, int, str]]:
     """All secrets of a text as (kind, start, end, layers): spans in the text's own characters, by start and kind.
 
-    layers names the encodings around a secret, outermost first ("" for one that stands as it is). A span that several
+    layers names the encodings around a secret, outermost first ("" for one that stands as it is). A secret behind escapes
+    is placed at the characters that spell it, one behind base64 at its groups of four, one in compressed bytes at the whole passage. A span that several
     layers give for one kind is reported once, under the fewest layers.
     """
     found: dict[tuple[str, int, int], str] = {}
     seen: set = set()
-    work: list[tuple[str, Spans | tuple[int, int] | None, str, frozenset]] = [(text, None, "", frozenset([text]))]
+    work: list[tuple[str, Place, str, frozenset]] = [(text, lambda a, b: (a, b), "", frozenset([text]))]
     while work:
-        after: list[tuple[str, Spans | tuple[int, int] | None, str, frozenset]] = []
-        for layer, source, path, above in work:
-
-            def place(a: int, b: int, source=source) -> tuple[int, int]:
-                if source is None:
-                    return a, b
-                return source if isinstance(source, tuple) else (source[a][0], source[b - 1][1])
+        after: list[tuple[str, Place, str, frozenset]] = []
+        for layer, place, path, above in work:
 
-            def push(inner: str, spans: Spans | tuple[int, int], name: str, path=path, above=above) -> None:
+            def push(inner: str, inside: Place, name: str, place=place, path=path, above=above) -> None:
                 """A new layer, unless it encloses itself or the same text came from the same characters before."""
-                mark = (inner, spans if isinstance(spans, tuple) else tuple(spans))
-                if inner not in above and mark not in seen:
+                if not inner or inner in above:
+                    return
+                mark = (inner, place(*inside(0, len(inner))))
+                if mark not in seen:
                     seen.add(mark)
-                    after.append((inner, spans, f"{path}>{name}".lstrip(">"), above | {inner}))
-
-            for kind, a, b in base_matches(layer):
-                found.setdefault((kind, *place(a, b)), path)
-            if ENCODED.search(layer):
-                for name, pattern, decode in (("url", PERCENT, percent), ("unicode", ESCAPE, escapes)):
-                    if got := unescape(layer, pattern, decode):
-                        push(got[0], source if isinstance(source, tuple) else [place(a, b) for a, b in got[1]], name)
-            def open_bytes(raw: bytes | None, spans: tuple[int, int], name: str, path=path, push=push) -> bool:
-                """Layers of the bytes behind an encoding; whether they are text throughout."""
-                clean = bool(raw)
-                for part, whole in windows(unpacked(raw)[0]) if raw else ():
-                    for inner in readable(part):
+                    after.append((inner, lambda a, b: place(*inside(a, b)), f"{path}>{name}".lstrip(">"), above | {inner}))
+
+            def open_bytes(raw: bytes | None, inside: Place, name: str, place=place, path=path, push=push) -> bool:
+                """Layers of the bytes behind an encoding (inside: the layer's characters of bytes a to b); whether they are text throughout."""
+                if not raw:
+                    return False
+                clean, packed = True, compressed(raw)
+                whole_passage = inside(0, len(raw))
+                for part, whole in windows(unpacked(raw)[0]):
+                    for inner, bytes_of in readable(part):
                         if whole:
-                            push(inner, spans, name)
+                            push(inner, (lambda a, b: whole_passage) if packed else (lambda a, b, bytes_of=bytes_of: inside(*bytes_of(a, b))), name)
                             continue
                         for kind, _, _, more in scan(inner):
-                            found.setdefault((kind, *spans), ">".join(filter(None, (path, name, more))))
+                            found.setdefault((kind, *place(*whole_passage)), ">".join(filter(None, (path, name, more))))
                     clean &= plain(part)
                 return clean
 
+            def in_base64(run: str, inside: Place, open_bytes=open_bytes) -> bool:
+                """Open a run of base64, four characters to three bytes (inside: where the run's characters are in the layer)."""
+                return open_bytes(from_base64(run), lambda a, b: inside(a // 3 * 4, min(len(run), -(-b // 3) * 4)), "base64")
+
+            for kind, a, b in base_matches(layer):
+                found.setdefault((kind, *place(a, b)), path)
+            if ENCODED.search(layer):
+                for name, pattern, decode in (("url", PERCENT, percent), ("unicode", ESCAPE, escapes)):
+                    if got := unescape(layer, pattern, decode):
+                        push(got[0], got[1].place, name)
             for name, raw, places in packed_runs(layer):
                 chunks, left = unpacked(raw)
                 for _ in chunks:
                     pass
                 end = len(raw) - (left[0] if left else 0)
-                open_bytes(raw[:end] if end else raw, place(places[0], places[end or -1]), name)
+                open_bytes(raw[:end] if end else raw, lambda a, b, places=places, end=end: (places[0], places[end or -1]), name)
             for m in WRAPPED.finditer(layer):
-                for run, a, b in unwrapped(m[0]):
-                    open_bytes(from_base64(run), place(m.start() + a, m.start() + b), "base64")
+                for run, runs in unwrapped(m[0]):
+                    in_base64(run, lambda a, b, at=m.start(), runs=runs: shifted(at)(*runs.place(a, b)))
             for m in BASE64.finditer(layer):
-                if open_bytes(from_base64(m[0]), place(*m.span()), "base64"):
+                if in_base64(m[0], shifted(m.start())):
                     continue
                 for p in re.finditer(r"[A-Za-z0-9]{16,}={0,2}", m[0]):
                     if p[0] != m[0]:
-                        open_bytes(from_base64(p[0]), place(m.start() + p.start(), m.start() + p.end()), "base64")
+                        in_base64(p[0], shifted(m.start() + p.start()))
         work = after
     return sorted(((k, a, b, path) for (k, a, b), path in found.items()), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
@@ -384,7 +430,11 @@ def masked(text: str, mask: str) -> str:
 
 
 def mask_secrets(df: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """df with every secret of `text` (nested ones by the passage that hides them) replaced by a mask; null texts stay null."""
+    """df with every secret of `text` (nested ones by the passage that spells them) replaced by a mask; null texts stay null.
+
+    Overlapping secrets get one mask. Each row is masked by itself, so repeated rows, ties and other columns don't matter,
+    an empty table stays empty, and a long text is one row's work.
+    """
 
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:

@@ -114,3 +114,26 @@ def test_curve_neighbours_talk_alike(spark, small):
     order = [langs[r.doc] for r in packing.tokens(docs, PATH).orderBy("curve", "doc").select("doc").collect()]
     same = lambda x: sum(a == b for a, b in zip(x, x[1:], strict=False))
     assert same(order) > 1.2 * same([langs[k] for k in sorted(langs)])
+
+
+@pytest.mark.parametrize("n", [1, 40, 300])
+def test_packing_is_the_plain_cut_of_the_curve(spark, small, n):
+    """One range, held against a brute-force pack: all ids along the curve, cut every 1024 and the rest at powers of two."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").where(F.col("doc_id") < n)
+    rows = sorted(packing.tokens(docs, PATH).withColumn("tie", F.xxhash64("doc")).collect(), key=lambda r: (r.curve, r.tie, r.doc, r.start))
+    sizes = [len(r.ids) // np.dtype(packing.id_kind(PATH)).itemsize for r in rows]
+    total = sum(sizes)
+    cuts = list(range(0, total - total % 1024 + 1, 1024))
+    cuts += [cuts[-1] + x for x in np.cumsum([1 << b for b in range(10, -1, -1) if total % 1024 >> b & 1]).tolist()]
+    want, at = [], 0
+    for r, size in zip(rows, sizes, strict=True):
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            x, y = max(a, at), min(b, at + size)
+            if x < y:
+                want.append((k, x - a, r.doc, r.start + x - at, y - x))
+        at += size
+    got = packing.pack(docs, PATH, target_mb=1024).select("sequence_id", "offset", "doc_id", "start", (F.octet_length("ids") / 4).cast("int").alias("n")).collect()
+    number = {s: k for k, s in enumerate(sorted({r.sequence_id for r in got}))}
+    assert sorted((number[r.sequence_id], r.offset, r.doc_id, r.start, r.n) for r in got) == sorted(want)
