@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,6 +118,12 @@ def histogram_quantile(buckets: DataFrame, key: Sequence[str], q: float, bound:
     return buckets.select(*key).distinct().join(found, list(key), "left")
 
 
+def quantile_rows(buckets: DataFrame, key: Sequence[str], quantiles: Sequence[float]) -> DataFrame:
+    """key, q, value: several quantiles of each histogram, as a dashboard lists them."""
+    parts = [histogram_quantile(buckets, key, q).withColumn("q", F.lit(q)) for q in quantiles]
+    return reduce(DataFrame.unionByName, parts).select(*key, "q", "value")
+
+
 def at_ranks(df: DataFrame, key: str, value: str, ranks: dict[str, Column]) -> DataFrame:
     """key, n and for each name the value at that rank (from 0, an expression over n) in the key's order of values; nulls out.
 

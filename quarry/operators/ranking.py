@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.functions.vectors import cosine
 
@@ -74,6 +75,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
         by_dim[dim] = unit_rows([r["query_vector"] for r in asked], dim)
     fields = {f.name: f.dataType for f in (*queries.schema, *corpus.schema)}
     kind = f"query {fields['query'].simpleString()}, chunk {fields['chunk'].simpleString()}, score double"
+    of_query, of_chunk = to_arrow_type(fields["query"]), to_arrow_type(fields["chunk"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [(np.empty(0), np.empty(0, np.int64))] * len(names)
@@ -92,7 +94,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
                     best[i] = s[keep], c[keep]
         for i, (s, c) in enumerate(best):
             if len(s):
-                yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(s)), pa.array(c), pa.array(s)], names=["query", "chunk", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(s), of_query), pa.array(c, of_chunk), pa.array(s)], names=["query", "chunk", "score"])
 
     return corpus.select("chunk", "vector").where("chunk is not null").mapInArrow(run, kind)
 

@@ -81,7 +81,9 @@ def classify_lines(lines: DataFrame, title: Column | None = None) -> DataFrame:
     Page marks and repeated notices, footers and titles are noise; `title` is the document's title, as a column of lines. A
     short line on its own without end punctuation is a plain heading.
     """
-    full = with_neighbours(lines).join(line_frequency(lines), ["doc", "line"], "left")
+    # counts by (doc, line) and neighbours by doc need one shuffle by doc, which also serves the tree behind
+    counted = lines.repartition("doc").withColumn("freq", F.when(F.col("line") != "", F.count("*").over(Window.partitionBy("doc", "line"))))
+    full = with_neighbours(counted)
     line = F.col("line")
     noise = F.regexp(F.lower(line), F.lit(NOISE)) | repeated_noise(line, F.col("freq"), title)
     kind = F.when(line == "", "blank").when(F.coalesce(noise, F.lit(False)), "noise")

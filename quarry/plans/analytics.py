@@ -158,6 +158,18 @@ def histogram_p90(spark, sf):
     return A.histogram_quantile(buckets, ["event_type"], 0.9).withColumn("value", F.round("value", 6))
 
 
+@query("""WITH b(le) AS (VALUES (10.0), (25.0), (50.0), (100.0), ('inf'::DOUBLE)), q(q) AS (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)), c AS (SELECT event_type, le, count(*) FILTER (value <= le) AS n FROM events, b WHERE event_type IN ('view', 'click', 'purchase', 'error') GROUP BY ALL),
+w AS (SELECT *, max(n) OVER (PARTITION BY event_type) AS t, max(CASE WHEN le < 'inf'::DOUBLE THEN le END) OVER (PARTITION BY event_type) AS f, coalesce(lag(le) OVER o, 0) AS low, coalesce(lag(n) OVER o, 0) AS below FROM c WINDOW o AS (PARTITION BY event_type ORDER BY le))
+SELECT event_type, q, round(min(CASE WHEN le = 'inf'::DOUBLE THEN f ELSE low + (le - low) * (q * t - below) / (n - below) END), 6) AS value FROM w, q WHERE n >= q * t AND below < q * t GROUP BY ALL""")
+def stage_quantiles(spark, sf):
+    """p50, p90 and p99 of four histograms."""
+    bounds = [10.0, 25.0, 50.0, 100.0, float("inf")]
+    e = table(spark, sf, "events").where(F.col("event_type").isin("view", "click", "purchase", "error"))
+    counts = e.groupBy("event_type").agg(*[F.count_if(F.col("value") <= b).alias(f"b{i}") for i, b in enumerate(bounds)])
+    buckets = counts.select("event_type", F.inline(F.array(*[F.struct(F.lit(b).alias("le"), F.col(f"b{i}").alias("count")) for i, b in enumerate(bounds)])))
+    return A.quantile_rows(buckets, ["event_type"], [0.5, 0.9, 0.99]).withColumn("value", F.round("value", 6))
+
+
 @query("""SELECT l_returnflag AS channel, count(*) AS recalled, count(*) FILTER (l_discount <= 0.05) AS accepted, round(avg(l_tax), 4) AS avg_score FROM lineitem GROUP BY 1""")
 def channel_summary(spark, sf):
     return A.channel_summary(table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("channel"), (F.col("l_discount") <= 0.05).alias("accepted"), F.col("l_tax").alias("score")))

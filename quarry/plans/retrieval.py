@@ -136,6 +136,32 @@ def corrective_union(spark, sf):
     return R.keep_best(a, b).select("query", "chunk", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {V_SQL}, a AS (SELECT query, chunk, score FROM vt WHERE rank <= 5), p AS (SELECT query FROM a GROUP BY 1 HAVING max(score) < 0.9 OR query % 2 = 0), b AS (SELECT query, chunk, score + 1 AS score FROM vt JOIN p USING (query) WHERE rank BETWEEN 4 AND 8), u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT query, chunk, round(max(score), 6) AS score FROM u GROUP BY ALL")
+def corrected_hits(spark, sf):
+    """Questions whose hits don't suffice are asked once more, and both rounds are merged."""
+    v = by_vector(spark, sf)
+    first = v.where("rank <= 5").withColumn("rerank_score", F.lit(0.0))
+    sufficient = F.when(F.col("query") % 2 == 0, False).otherwise(F.col("score") >= 0.9)
+    again = lambda poor: v.where("rank between 4 and 8").join(poor, "query", "left_semi").select("query", "chunk", (F.col("score") + 1).alias("score"), F.lit(0.0).alias("rerank_score"))
+    return R.corrected(first, sufficient, again).select("query", "chunk", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {V_SQL}, h AS (SELECT query, chunk FROM vt WHERE rank <= 3), f AS (SELECT query, chunk AS hop FROM vt WHERE rank = 2 AND query % 2 = 0), n AS (SELECT f.query, e.vec_id AS chunk FROM f JOIN embeddings e ON e.vec_id BETWEEN f.hop + 1 AND f.hop + 2) SELECT * FROM h UNION SELECT * FROM n")
+def hopped_hits(spark, sf):
+    """A second hop for every other question, to the chunks that follow its second hit; what is known isn't repeated."""
+    v = by_vector(spark, sf)
+    every = vectors(spark, sf).select("chunk")
+    firsts = v.where("rank <= 3").select("query", "chunk", F.lit("first").alias("text"))
+    second = v.where("rank = 2 and query % 2 = 0").select("query", F.col("chunk").alias("hop"))
+
+    def search(asked):
+        own = asked.where("text <> 'first'").select("query", F.explode(F.sequence(F.col("text").cast("long") + 1, F.col("text").cast("long") + 2)).alias("chunk")).join(every, "chunk", "left_semi").select("query", "chunk")
+        return firsts.join(asked.where("text = 'first'").select("query"), "query", "left_semi").select("query", "chunk").unionByName(own)
+
+    follow = lambda asked, hits: second.select("query", F.col("hop").cast("string").alias("text"))
+    return R.multi_hop(v.select("query", F.lit("first").alias("text")).distinct(), search, follow)
+
+
 @query(f"WITH {V_SQL}, a AS (SELECT query, chunk FROM vt WHERE rank <= 5), b AS (SELECT query, chunk FROM vt WHERE rank BETWEEN 3 AND 9) SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.query = b.query AND a.chunk = b.chunk)")
 def append_fresh(spark, sf):
     v = by_vector(spark, sf).select("query", "chunk", "rank")

@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.sources import formats
+from quarry.sources.formats import table_markdown
 
 #: Encodings that are tried in this order (fixed values); the last resort replaces what is broken.
 ENCODINGS = ("utf-8-sig", "utf-8", "gb18030", "gbk", "big5")
-TEXTS, PAGES, TABLES, SHEETS = {"txt", "md", "markdown", "log"}, {"html", "htm"}, {"csv"}, {"xlsx", "xls"}
-#: Adapters of formats that need a library: suffix -> bytes to text. Empty here; register what a cluster has.
-ADAPTERS: dict[str, Callable[[bytes], str]] = {}
+TEXTS, PAGES, TABLES = {"txt", "md", "markdown", "log"}, {"html", "htm"}, {"csv"}
+#: Adapters of formats: suffix -> bytes to text. The plain ones here; register what else a cluster has.
+ADAPTERS: dict[str, Callable[[bytes], str]] = {"docx": formats.docx_text, "pptx": formats.pptx_text, "xlsx": formats.xlsx_text, "pdf": formats.pdf_text}
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -59,19 +61,10 @@ def read_folder(spark: SparkSession, path: str, suffixes: Sequence[str] | None =
     return out if most is None else out.orderBy("path").limit(most)
 
 
-def table_markdown(rows: list[list[str]]) -> str:
-    """Header and rows as a Markdown table, padded or cut to the header's width, bars escaped."""
-    if not rows:
-        return ""
-    width = len(rows[0])
-    line = lambda r: "| " + " | ".join(c.replace("|", "\\|").replace("\n", " ") for c in [*r, *[""] * width][:width]) + " |"
-    return "\n".join([line(rows[0]), "|" + " --- |" * width, *map(line, rows[1:])])
-
-
-def parse_files(files: DataFrame, most_rows: int = 1000, sheet_rows: int = 500) -> DataFrame:
+def parse_files(files: DataFrame, most_rows: int = 1000) -> DataFrame:
     """path, name, text, error: the text of each file by its suffix, cleaned; what fails or has no adapter is read as plain text.
 
-    CSV keeps a header and most_rows - 1 rows, as the reader's feature; sheets sheet_rows each.
+    CSV keeps a header and most_rows - 1 rows, as the reader's feature, and the adapter of sheets 500 rows each.
     """
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,9 +82,6 @@ def parse_files(files: DataFrame, most_rows: int = 1000, sheet_rows: int = 500)
                             if len(rows) == most_rows:
                                 break
                         text = table_markdown(rows)
-                    elif suffix in SHEETS:
-                        sheets = pd.read_excel(io.BytesIO(raw), sheet_name=None, header=None, nrows=sheet_rows, dtype=str)
-                        text = "\n\n".join(f"## {k}\n" + table_markdown(v.fillna("").values.tolist()) for k, v in sheets.items())
                     elif suffix in ADAPTERS:
                         text = ADAPTERS[suffix](raw)
                     else:

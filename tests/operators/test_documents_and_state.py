@@ -1,12 +1,15 @@
-import numpy as np
+import io
 import zipfile
+import zlib
+
+import numpy as np
 
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import safety as S
 from quarry.operators import structure as D
-from quarry.sources import files
+from quarry.sources import files, formats
 from quarry.streaming import state as Z
 
 OUTLINE = "# Guide\nIntro text here.\n\n## Setup\n1. First\n2. Second\n   - inner\n\n## Use\nBody line.\n第三章 规则\n第九条 内容"
@@ -169,3 +172,36 @@ def test_sinks_by_pattern(spark):
     df = spark.createDataFrame([("a.x",), ("a.y",), ("b",)], "event_type string")
     Z.sink_by_pattern({p: lambda d, p=p: got.__setitem__(p, sorted(r[0] for r in d.collect())) for p in ("*", "a.*", "b")})(df, 0)
     assert got == {"*": ["a.x", "a.y", "b"], "a.*": ["a.x", "a.y"], "b": ["b"]}
+
+
+def zipped(members):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in members.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def test_office_files_and_pdf(spark, tmp_path):
+    w, a, s = formats.W[1:-1], formats.A[1:-1], formats.S[1:-1]
+    cell = lambda t: f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    docx = f'<w:document xmlns:w="{w}"><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Title</w:t></w:r></w:p><w:p><w:r><w:t>a </w:t></w:r><w:r><w:t>b</w:t></w:r></w:p><w:tbl><w:tr>{cell("x")}{cell("y|z")}</w:tr><w:tr>{cell("1")}</w:tr></w:tbl></w:body></w:document>'
+    slide = lambda t: f'<p:sld xmlns:p="p" xmlns:a="{a}"><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:sld>'
+    sheet = f'<worksheet xmlns="{s}"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>5</v></c></row><row><c r="B2" t="inlineStr"><is><t>in</t></is></c></row></sheetData></worksheet>'
+    book = f'<workbook xmlns="{s}" xmlns:r="{formats.REL[1:-1]}"><sheets><sheet name="One" r:id="r1"/></sheets></workbook>'
+    content = zlib.compress(b"BT (Hello \\(you\\)) Tj 0 -12 Td [(sp) -20 (lit)] TJ T* <4142> Tj ET")
+    kinds = {
+        "a.docx": zipped({"word/document.xml": docx}),
+        "b.pptx": zipped({"ppt/slides/slide10.xml": slide("ten"), "ppt/slides/slide2.xml": slide("two")}),
+        "c.xlsx": zipped({"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": '<R><R Id="r1" Target="worksheets/sheet1.xml"/></R>', "xl/worksheets/sheet1.xml": sheet, "xl/sharedStrings.xml": f'<sst xmlns="{s}"><si><t>head</t></si></sst>'}),
+        "d.pdf": b"%PDF-1.4\n1 0 obj << /Length 9 /Filter /FlateDecode >> stream\n" + content + b"\nendstream endobj",
+        "e.pdf": b"%PDF-1.4 nothing to read", "f.docx": b"no archive",
+    }
+    for name, raw in kinds.items():
+        (tmp_path / name).write_bytes(raw)
+    got = {r.name: (r.text, r.error) for r in files.parse_files(files.read_folder(spark, str(tmp_path))).collect()}
+    assert got["a.docx"] == ("## Title\n\na b\n\n| x | y\\|z |\n| --- | --- |\n| 1 | |", None)
+    assert got["b.pptx"] == ("## Slide 1\ntwo\n\n## Slide 2\nten", None)
+    assert got["c.xlsx"] == ("## One\n| head | | 5 |\n| --- | --- | --- |\n| | in | |", None)
+    assert got["d.pdf"] == ("Hello (you)\nsplit\nAB", None)
+    assert got["e.pdf"][0].startswith("%PDF") and got["e.pdf"][1] and got["f.docx"][1]

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import evaluation as E
@@ -119,3 +120,47 @@ def test_keyword_channel(spark):
     assert got[1][0] == 1 and got[2][0] == 1 and got[3][0] == 3 and got[4][0] == 2 and set(got[5]) >= {1, 2}
     scores = {(r.query, r.chunk): r.score for r in L.keyword_channel(queries, chunks).collect()}
     assert scores[5, 1] >= 5.0 + 6.0 and scores[4, 2] >= 6.0 + 8.0
+
+
+def test_character_pairs_are_exact(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdeé 字"), n))
+    snippets, texts = [(i, word(rng.integers(0, 30))) for i in range(40)], [(i, word(rng.integers(0, 400))) for i in range(60)]
+
+    def pairs(t):
+        t = "".join(c for c in t.lower() if c in "字" or (c.isascii() and (c.isalnum() or c == "_")))
+        return {t[i : i + 2] for i in range(len(t) - 1)}
+
+    want = {(i, j) for i, s in snippets for j, t in texts if pairs(s) and len(pairs(s) & pairs(t)) / len(pairs(s)) >= 0.5}
+    found = E.overlap_pairs(spark.createDataFrame(snippets, "snippet long, text string"), spark.createDataFrame(texts, "chunk long, text string"), 0.5)
+    assert {(r.snippet, r.chunk) for r in found.collect()} == want
+    contained = spark.createDataFrame([(1, texts[3][1][:20] or "a")], "snippet long, text string")
+    assert 3 in {r.chunk for r in E.align_gold(contained, spark.createDataFrame(texts, "chunk long, text string")).collect()}
+
+
+def test_facts_are_taken_one_by_one(spark):
+    rng = np.random.default_rng(9)
+    seeds = rng.standard_normal((6, 8))
+    rows = [(int(u), i, [float(x) for x in seeds[rng.integers(0, 6)] + 0.3 * rng.standard_normal(8)]) for i, u in enumerate(rng.integers(0, 3, 300))]
+    want = []
+    for u in range(3):
+        kept = []
+        for _, i, v in (r for r in rows if r[0] == u):
+            x = np.array(v) / np.linalg.norm(v)
+            if not kept or max(float(k @ x) for k in kept) <= 0.92:
+                kept.append(x)
+                want.append(i)
+    df = spark.createDataFrame(rows, "user int, fact long, vector array<double>")
+    assert sorted(r.fact for r in R.insert_facts(df).collect()) == sorted(want)
+    with pytest.raises(Exception, match="keeps more than"):
+        R.insert_facts(df, most=2).collect()
+
+
+def test_nearest_agrees_with_pairs(spark):
+    rng = np.random.default_rng(10)
+    corpus = [(i, [float(x) for x in rng.standard_normal(5).round(1)] if i % 7 else None) for i in range(500)] + [(900, [0.0] * 5), (901, [1.0, 2.0])]
+    queries = [(i, [float(x) for x in rng.standard_normal(5).round(1)]) for i in range(9)]
+    c, q = spark.createDataFrame(corpus, "chunk long, vector array<double>"), spark.createDataFrame(queries, "query int, query_vector array<double>")
+    fast = {(r.query, r.rank): (r.chunk, round(r.score, 9)) for r in R.vector_channel(q, c, 12).collect()}
+    slow = {(r.query, r.rank): (r.chunk, round(r.score, 9)) for r in R.vector_channel(q, c, 12, lambda d: d).collect()}
+    assert fast == slow and len(fast) == 108
