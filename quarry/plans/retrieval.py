@@ -155,7 +155,7 @@ def hopped_hits(spark, sf):
     second = v.where("rank = 2 and query % 2 = 0").select("query", F.col("chunk").alias("hop"))
 
     def search(asked):
-        own = asked.where("text <> 'first'").select("query", F.explode(F.sequence(F.col("text").cast("long") + 1, F.col("text").cast("long") + 2)).alias("chunk")).join(every, "chunk", "left_semi").select("query", "chunk")
+        own = asked.where("text <> 'first'").select("query", F.explode(F.sequence(F.col("text").try_cast("long") + 1, F.col("text").try_cast("long") + 2)).alias("chunk")).join(every, "chunk", "left_semi").select("query", "chunk")
         return firsts.join(asked.where("text = 'first'").select("query"), "query", "left_semi").select("query", "chunk").unionByName(own)
 
     follow = lambda asked, hits: second.select("query", F.col("hop").cast("string").alias("text"))
