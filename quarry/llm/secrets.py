@@ -12,6 +12,7 @@ import base64
 import binascii
 import bisect
 import bz2
+import functools
 import hashlib
 import itertools
 import re
@@ -19,6 +20,7 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +37,11 @@ ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa
 ENCODED = re.compile(r"%[0-9A-Fa-f]{2}|\\[uUx][{0-9A-Fa-f]|&#[xX0-9]")
 #: The shortest secret, token=abcdef, has 16 characters in base64.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Parts of a run between the signs that also join words.
+PIECES = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 #: Base64 that a line length wraps; line ends may be spelled out.
-WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:(?:\r?\n[\x20\t]*|(?:\\r)?\\n)[A-Za-z0-9+/_-]+)+={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:(?:\r?\n[\x20\t]*|(?:\\r)?\\n)[A-Za-z0-9+/_-]++)+={0,2}")
 LINE_END = re.compile(r"\r?\n[\x20\t]*|(?:\\r)?\\n")
 #: What stands for bytes that are not UTF-8.
 LONE = re.compile("[\udc80-\udcff]")
@@ -238,12 +242,22 @@ def readable(raw: bytes) -> Iterator[tuple[str, Place]]:
         if not READABLE.search(text):
             continue
 
-        def place(a: int, b: int, kept=kept, text=text) -> tuple[int, int]:
-            if len(text) != len(kept):
-                a, b = (len(text[:x].encode("utf-8", "surrogateescape")) for x in (a, b))
-            if len(kept) != len(raw):
-                whole = [i for i, c in enumerate(raw) if c]
-                a, b = whole[a], whole[b - 1] + 1
+        @functools.cache
+        def bytes_before(kept=kept, text=text) -> np.ndarray:
+            code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            width = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+            width[(code >= 0xDC80) & (code <= 0xDCFF)] = 1
+            return np.concatenate([[0], np.cumsum(width)])
+
+        @functools.cache
+        def not_zero() -> np.ndarray:
+            return np.flatnonzero(np.frombuffer(raw, np.uint8))
+
+        def place(a: int, b: int, kept=kept, text=text, same=len(text) == len(kept), all_kept=len(kept) == len(raw), before=bytes_before) -> tuple[int, int]:
+            if not same:
+                a, b = (0, len(kept)) if (a, b) == (0, len(text)) else (int(before()[a]), int(before()[b]))
+            if not all_kept:
+                a, b = int(not_zero()[a]), int(not_zero()[b - 1]) + 1
             return a, b
 
         yield LONE.sub("\ufffd", text), place
@@ -294,37 +308,109 @@ def unwrapped(passage: str) -> Iterator[tuple[str, Runs]]:
         i = j
 
 
-def packed_runs(layer: str) -> Iterator[tuple[str, bytes, list[int]]]:
-    """Compressed bytes that a layer spells out: the notation's name, the bytes, and the places where each starts (and the last ends)."""
+class Spelled:
+    """The bytes that a layer spells from one place on in a notation, read as far as they are asked for."""
+
+    def __init__(self, layer: str, at: int, token: re.Pattern, plain: bool) -> None:
+        self.layer, self.at, self.token, self.plain, self.ended = layer, at, token, plain, False
+        self.raw = bytearray()
+        self.starts = array("q", [at])
+
+    def place(self, n: int) -> int:
+        """Where the n-th byte starts."""
+        return self.at + n if self.plain else self.starts[n]
+
+    def nth(self, place: int) -> int | None:
+        """Which byte starts at a place; None if none of those that were read does."""
+        n = place - self.at if self.plain else bisect.bisect_left(self.starts, place)
+        return n if n <= len(self.raw) and self.place(n) == place else None
+
+    def read(self, most: int) -> None:
+        """Read on until there are `most` bytes, or no more."""
+        if self.plain:
+            piece = "" if self.ended else self.layer[self.at + len(self.raw) : self.at + most]
+            try:
+                self.raw += piece.encode("latin-1")
+            except UnicodeEncodeError as e:
+                self.raw += piece[: e.start].encode("latin-1")
+            self.ended = len(self.raw) < most
+            return
+        at = self.starts[-1]
+        while len(self.raw) < most and not self.ended:
+            m = self.token.match(self.layer, at)
+            code = value(m) if m else 256
+            if code > 255:
+                self.ended = True
+                break
+            self.raw.append(code)
+            at = m.end()
+            self.starts.append(at)
+
+
+def value(m: re.Match) -> int:
+    """The byte that a token of a notation stands for."""
+    k = m.lastgroup
+    v = m[k]
+    return ord(v) if k == "char" else 32 if k == "plus" else int(v) if k == "dec" else C_ESCAPES[v] if k == "c" else NAMED[v] if k == "named" else int(v, 16)
+
+
+def member_end(spelled: Spelled, at: int) -> int:
+    """Where the gzip, zlib or bzip2 member that starts at byte `at` ends; 0 if there is none.
+
+    A member has to end as its format says. One that breaks off counts up to its break if its start can hardly be chance
+    (gzip, or a first block of bzip2) and what it gives holds readable text.
+    """
+    spelled.read(at + 10)
+    head = bytes(spelled.raw[at : at + 10])
+    if not compressed(head):
+        return 0
+    sure = head[:2] == b"\x1f\x8b" or head[4:] == b"1AY&SY"
+    packed = head[:3] == b"BZh"
+    if packed and not sure and head[4:] != b"\x17\x72\x45\x38\x50\x90":
+        return 0
+    d = bz2.BZ2Decompressor() if packed else zlib.decompressobj(47)
+    read, size = False, 64
+    while True:
+        spelled.read(at + size)
+        piece = bytes(spelled.raw[at : at + size])
+        before = None if packed or not sure else d.copy()
+        try:
+            got = d.decompress(piece, PIECE)
+            read = read or bool(READABLE.search(got.decode("latin-1")))
+            while not d.eof and (not d.needs_input if packed else d.unconsumed_tail):
+                got = d.decompress(b"" if packed else d.unconsumed_tail, PIECE)
+                read = read or bool(READABLE.search(got.decode("latin-1")))
+        except (zlib.error, OSError, EOFError):
+            n = 0
+            while before and n < len(piece):
+                try:
+                    read = bool(READABLE.search(before.decompress(piece[n : n + 1]).decode("latin-1"))) or read
+                except zlib.error:
+                    break
+                n += 1
+            return at + (n if before else len(piece)) if sure and read else 0
+        if d.eof:
+            return at + len(piece) - len(d.unused_data)
+        at += len(piece)
+        if len(piece) < size:
+            return at if sure and read else 0
+        size = min(2 * size, 1 << 16)
+
+
+def packed_runs(layer: str) -> Iterator[tuple[str, bytes, tuple[int, int]]]:
+    """Compressed members that a layer spells out: the notation's name, a member's bytes, and where its characters start and end."""
     for name, mark, start, token in NOTATIONS:
         if mark not in layer:
             continue
-        at = 0
+        at, held = 0, None
         while m := start.search(layer, at):
             at = m.start() + 1
-            raw, places = spelled(layer, m.start(), token, 64)
-            try:
-                (bz2.BZ2Decompressor() if raw[:3] == b"BZh" else zlib.decompressobj(47)).decompress(raw)
-            except (zlib.error, OSError):
-                continue
-            if compressed(raw):
-                raw, places = spelled(layer, m.start(), token, len(layer))
-                yield name, raw, places
-                at = places[-1]
-
-
-def spelled(layer: str, at: int, token: re.Pattern, most: int) -> tuple[bytes, list[int]]:
-    out, places = bytearray(), [at]
-    while len(out) < most and (m := token.match(layer, at)):
-        k = m.lastgroup
-        v = m[k]
-        code = ord(v) if k == "char" else 32 if k == "plus" else int(v) if k == "dec" else C_ESCAPES[v] if k == "c" else NAMED[v] if k == "named" else int(v, 16)
-        if code > 255:
-            break
-        out.append(code)
-        at = m.end()
-        places.append(at)
-    return bytes(out), places
+            n = held.nth(m.start()) if held else None
+            if n is None:
+                held, n = Spelled(layer, m.start(), token, not mark), 0
+            if end := member_end(held, n):
+                at = held.place(end)
+                yield name, bytes(held.raw[n:end]), (m.start(), at)
 
 
 def shifted(at: int) -> Place:
@@ -374,27 +460,27 @@ def scan(text: str) -> list[tuple[str, int, int, str]]:
                 """Open a run of base64, four characters to three bytes (inside: where the run's characters are in the layer)."""
                 return open_bytes(from_base64(run), lambda a, b: inside(a // 3 * 4, min(len(run), -(-b // 3) * 4)), "base64")
 
+            def any_alignment(run: str, at: int, in_base64=in_base64) -> bool:
+                """Open a run; where that gives no plain text, also without its first characters, which may be letters in front of it."""
+                return in_base64(run, shifted(at)) or any([in_base64(run[k:], shifted(at + k)) for k in (1, 2, 3)])
+
             for kind, a, b in base_matches(layer):
                 found.setdefault((kind, *place(a, b)), path)
             if ENCODED.search(layer):
                 for name, pattern, decode in (("url", PERCENT, percent), ("unicode", ESCAPE, escapes)):
                     if got := unescape(layer, pattern, decode):
                         push(got[0], got[1].place, name)
-            for name, raw, places in packed_runs(layer):
-                chunks, left = unpacked(raw)
-                for _ in chunks:
-                    pass
-                end = len(raw) - (left[0] if left else 0)
-                open_bytes(raw[:end] if end else raw, lambda a, b, places=places, end=end: (places[0], places[end or -1]), name)
+            for name, raw, passage in packed_runs(layer):
+                open_bytes(raw, lambda a, b, passage=passage: passage, name)
             for m in WRAPPED.finditer(layer):
                 for run, runs in unwrapped(m[0]):
                     in_base64(run, lambda a, b, at=m.start(), runs=runs: shifted(at)(*runs.place(a, b)))
             for m in BASE64.finditer(layer):
-                if in_base64(m[0], shifted(m.start())):
+                if any_alignment(m[0], m.start()):
                     continue
-                for p in re.finditer(r"[A-Za-z0-9]{16,}={0,2}", m[0]):
+                for p in PIECES.finditer(m[0]):
                     if p[0] != m[0]:
-                        in_base64(p[0], shifted(m.start() + p.start()))
+                        any_alignment(p[0], m.start() + p.start())
         work = after
     return sorted(((k, a, b, path) for (k, a, b), path in found.items()), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
@@ -433,7 +519,7 @@ def mask_secrets(df: DataFrame, text: str = "text", mask: str = "[SECRET]") -> D
     """df with every secret of `text` (nested ones by the passage that spells them) replaced by a mask; null texts stay null.
 
     Overlapping secrets get one mask. Each row is masked by itself, so repeated rows, ties and other columns don't matter,
-    an empty table stays empty, and a long text is one row's work.
+    an empty table stays empty, and a long text is one row's work, in proportion to its length and what it decodes to.
     """
 
     @F.arrow_udf("string")

@@ -205,9 +205,12 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """`path` and `content` of every archive file below path."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
+def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """`path` and `content` of every archive file below path whose name fits the pattern, except those that Spark counts as hidden (`_`, `.`).
+
+    A file is one value, so archives of 2 GB and more have to be split at their members before.
+    """
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
 def rolls(longest: int) -> Iterator[tuple[int, int, int]]:

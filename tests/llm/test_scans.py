@@ -127,6 +127,49 @@ def test_large_layers_are_scanned_in_windows(monkeypatch):
         assert found == ("assign", 4, 4 + len(hidden), "base64")
 
 
+@pytest.mark.parametrize("kind", ["base64", "wrapped", "hex", "letters", "escapes", "marks"])
+def test_time_grows_with_the_text(kind):
+    import random
+    import time
+
+    def text(n):
+        draw = random.Random(n)
+        if kind in ("base64", "wrapped"):
+            raw = draw.randbytes(n * 3 // 4)
+            return (base64.b64encode if kind == "base64" else base64.encodebytes)(raw).decode()
+        return {"hex": lambda: draw.randbytes(n // 2).hex(), "letters": lambda: "a" * n, "escapes": lambda: "%41\\u0041 " * (n // 10), "marks": lambda: "x\x9cBZh1x^ " * (n // 9)}[kind]()
+
+    took = []
+    for n in (250_000, 1_000_000):
+        start = time.process_time()
+        secrets.scan(text(n) + " " + base64.b64encode(SECRET.encode()).decode())
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * took[0] + 2 and took[1] < 30, took
+
+
+def test_members_that_only_seem_to_start_are_not_opened():
+    assert secrets.scan(("x\x9c" + "K" * 60) * 2000) == []
+    # a real member is placed at its own bytes
+    packed = zlib.compress(SECRET.encode()).decode("latin-1")
+    text = f"see x\x9cKKKK {packed} and gzip words"
+    assert [(k, text[a:b]) for k, a, b, path in secrets.scan(text) if path] == [("assign", packed)]
+    broken = "".join(f"\\x{b:02x}" for b in gzip.compress(SECRET.encode() * 3 + REPEATED)[:-100])
+    assert any(path and k == "assign" for k, *_, path in secrets.scan(f"see {broken} now"))
+
+
+@pytest.mark.parametrize("front", ["", "a", "ab", "abc", "key_", "-x9", "Zm9vYmFyZm9vYmFyZm9vYg"])
+def test_base64_behind_letters_is_found(front):
+    text = f"data {front}{base64.b64encode(SECRET.encode()).decode()} end"
+    assert any(k == "assign" and path for k, *_, path in secrets.scan(text))
+    assert not any(path for *_, path in secrets.scan(secrets.masked(text, "[SECRET]")))
+
+
+def test_places_in_long_layers_of_many_secrets():
+    many = "é token=abcdef123 " * 20_000
+    found = [s for s in secrets.scan(base64.b64encode(many.encode()).decode()) if s[3]]
+    assert len(found) >= 20_000 and found[1][1] - found[0][1] in (24, 28)
+
+
 def test_partly_encoded_secret_maps_to_its_source():
     text = "see pass%77ord%3Dabcdef123 now"
     (found,) = secrets.scan(text)
@@ -267,3 +310,18 @@ def test_one_gzip_member_for_each_record():
         list(warc.parse_arc(data[:-20]))
     archive = [warc.warc_bytes(warc.warc_headers(r).items(), r.block) + b"\r\n\r\n" for r in records]
     assert [b for _, b in warc.parse_warc(b"".join(map(gzip.compress, archive)))] == [r.block for r in records]
+
+
+def test_archives_of_any_name_are_read(spark, tmp_path):
+    pages = [("http://a.org/", b"<p>one</p>"), ("http://b.org/x", b"<p>two</p>"), ("http://c.org/", b"<p>one</p>")]
+    record = lambda url, body: b"%s 1.2.3.4 20010101000000 text/html %d\n" % (url.encode(), len(b := b"HTTP/1.0 200 OK\r\n\r\n" + body)) + b + b"\n"
+    (tmp_path / "in").mkdir()
+    head = warc.arc_version_block(1, "crawl.arc", "20010101000000")
+    (tmp_path / "in/crawl-01.arc.gz").write_bytes(gzip.compress(head) + b"".join(gzip.compress(record(u, b)) for u, b in pages[:2]))
+    (tmp_path / "in/deep").mkdir()
+    (tmp_path / "in/deep/other.arc").write_bytes(head + record(*pages[2]))
+    found = warc.files(spark, str(tmp_path / "in"))
+    assert found.count() == 2 and warc.files(spark, str(tmp_path / "in"), "*.arc").count() == 1
+    warc.write_warc(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    back = warc.read_warc(spark, str(tmp_path / "out")).collect()
+    assert sorted(r.uri for r in back) == sorted(u for u, _ in pages) and len({r.payload_digest for r in back}) == 2
