@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import upkeep as U
 from quarry.registry import query, table
-from quarry.sources import files
+from quarry.sources import documents, files
 
 
 @query("SELECT n_regionkey AS region, '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || '\\|x |', chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY 1")
@@ -28,6 +28,59 @@ def text_files(spark, sf):
     return read.select(F.regexp_extract("path", "n_regionkey=(\\d+)", 1).cast("int").alias("region"), "text")
 
 
+def stored_documents(spark, name, rows):
+    """Rows of path and content written and read again in the format of documents; returns the reader's frame."""
+    documents.register(spark)
+    folder = files.shared_folder(spark, name)
+    rows.write.format("documents").mode("append").save(folder)
+    return lambda **options: spark.read.format("documents").options(**options).load(folder)
+
+
+def page_files(spark, sf):
+    return table(spark, sf, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("content"))
+
+
+def number_of(path):
+    return F.regexp_extract(path, r"(\d+)\.[a-z]+$", 1).cast("long")
+
+
+@query("SELECT page_id, octet_length(encode(coalesce(html, ''))) AS size, sha256(coalesce(html, '')) AS sha FROM pages WHERE page_id % 3 = 0 AND octet_length(encode(coalesce(html, ''))) > 100")
+def crawl_documents(spark, sf):
+    """A crawl in folders by host: the pages under one suffix and above a size, which the listing finds without opening a file."""
+    host = F.coalesce(F.nullif(T.url_host(F.col("url")), F.lit("")), F.lit("none"))
+    suffix = F.when(F.col("page_id") % 3 == 0, ".html").otherwise(".txt")
+    read = stored_documents(spark, "crawl", page_files(spark, sf).select(F.concat(host, F.lit("/"), F.col("page_id").cast("string"), suffix).alias("path"), "content"))
+    return read().where("suffix = 'html' AND size > 100").select(number_of("path").alias("page_id"), "size", F.sha2("content", 256).alias("sha"))
+
+
+@query("SELECT page_id, octet_length(encode(coalesce(html, ''))) AS size, sha256(coalesce(html, '')) AS sha, page_id // 100 AS archive FROM pages")
+def archived_documents(spark, sf):
+    """Pages in zip archives of a hundred, each member a row."""
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    def packed(rows: pa.Table) -> pa.Table:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for k, content in zip(rows["page_id"].to_pylist(), rows["content"].to_pylist(), strict=True):
+                z.writestr(f"in/{k}.html", content)
+        return pa.table({"path": [f"pages-{rows['archive'][0].as_py()}.zip"], "content": [out.getvalue()]})
+
+    archives = page_files(spark, sf).select("page_id", "content", F.expr("page_id div 100").alias("archive")).groupBy("archive").applyInArrow(packed, "path string, content binary")
+    read = stored_documents(spark, "archives", archives)
+    return read(partBytes="1000000").select(number_of("path").alias("page_id"), "size", F.sha2("content", 256).alias("sha"), F.regexp_extract("path", r"pages-(\d+)\.zip!", 1).cast("long").alias("archive"))
+
+
+@query("WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS size FROM documents) SELECT doc_id, size, part, least(1000, size - 1000 * part) AS length FROM (SELECT *, unnest(range(greatest((size + 999) // 1000, 1))) AS part FROM d)")
+def documents_in_parts(spark, sf):
+    """Files above a size as parts of it, each read by itself."""
+    d = table(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    read = stored_documents(spark, "parts", d)
+    return read(partBytes="1000").select(number_of("path").alias("doc_id"), "size", F.col("part").cast("long").alias("part"), F.octet_length("content").cast("long").alias("length"))
+
+
 @query("SELECT item_id::VARCHAR AS id, text AS question, item_id % 2 = 0 AS answerable FROM benchmark")
 def evaluation_sets(spark, sf):
     path = files.shared_folder(spark, "questions")
