@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from quarry import models
 from quarry.functions import text as T
 from quarry.operators import lexical as L
+from quarry.operators import postings as P
 from quarry.operators import ranking as R
 from quarry.registry import query, table
+from quarry.sources.files import shared_folder
 
 
 def vectors(spark, sf):
@@ -65,6 +67,32 @@ def bm25_topk(spark, sf):
     return by_keyword(spark, sf).withColumn("score", F.round("score", 6))
 
 
+def stored_index(spark, sf):
+    docs = table(spark, sf, "documents")
+    return P.write_index(docs, shared_folder(spark, "postings"), "doc_id", bucket_chunks=256)
+
+
+@query(f"WITH {V_SQL}, {K_SQL} SELECT query, chunk, round(score, 6) AS score, matched, rank FROM kt")
+def indexed_topk(spark, sf):
+    """The same rows as bm25_topk from a stored index, buckets that can't reach the k-th score left out."""
+    found, _ = P.indexed_search(stored_index(spark, sf), questions(spark, sf).select("query", "text"), R.KEYWORD_TOP)
+    return found.withColumn("score", F.round("score", 6))
+
+
+PHRASE_SQL = r"""WITH q AS (SELECT item_id AS phrase, list_slice(regexp_extract_all(lower(text), '[a-z0-9]+|[\x{4e00}-\x{9fff}]'), 3, 5) AS p FROM benchmark),
+d AS (SELECT doc_id AS chunk, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+|[\x{4e00}-\x{9fff}]') AS w FROM documents),
+t AS (SELECT chunk, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) AS g FROM d)
+SELECT phrase, chunk, count(*) AS times FROM q JOIN t ON g = array_to_string(p, ' ') WHERE len(p) = 3 GROUP BY ALL"""
+
+
+@query(PHRASE_SQL)
+def phrase_positions(spark, sf):
+    """Three words of each benchmark item as a phrase, found by positions."""
+    w = F.slice(L.words(F.col("text")), 3, 3)
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("phrase"), w.alias("w")).where("size(w) = 3")
+    return P.phrase_hits(stored_index(spark, sf), q.select("phrase", F.array_join("w", " ").alias("text")))
+
+
 @query(f"WITH {V_SQL}, {K_SQL}, {KG_SQL} SELECT query, chunk, rank FROM kg")
 def gate_keyword(spark, sf):
     return R.keyword_gate(by_keyword(spark, sf)).select("query", "chunk", "rank")
@@ -279,8 +307,9 @@ def fact_insert(spark, sf):
 def section_search(spark, sf):
     """Pages as sections of their host: the best ten for each benchmark item's words, met by shared words."""
     pages = table(spark, sf, "pages").select("page_id", T.url_slug(F.col("url")).alias("title"), T.page_text(F.col("html")).alias("body"))
-    scored = L.bm25(L.sorted_postings(pages, "page_id", "body"), L.query_terms(table(spark, sf, "benchmark"), "item_id"), L.corpus_size(pages, "body"))
-    titled = L.bm25(L.sorted_postings(pages, "page_id", "title"), L.query_terms(table(spark, sf, "benchmark"), "item_id"), L.corpus_size(pages, "title"))
+    terms = L.query_terms(table(spark, sf, "benchmark"), "item_id")
+    scored = L.bm25(L.sorted_postings(pages, "page_id", "body", terms), terms, L.corpus_size(pages, "body"))
+    titled = L.bm25(L.sorted_postings(pages, "page_id", "title", terms), terms, L.corpus_size(pages, "title"))
     return R.top(L.best_fields({"chunk_text": scored, "section_path": titled}), 10, F.round("score", 9).desc(), F.col("chunk")).select("query", "chunk", "rank")
 
 
