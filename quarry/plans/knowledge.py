@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import cosine
+from quarry.operators import fuzzy
 from quarry.operators import lexical as L
 from quarry.operators import ranking as R
 from quarry.operators import routing as G
@@ -129,3 +130,25 @@ def route_caps(spark, sf):
 def intents(spark, sf):
     d = F.array(F.struct(F.lit("knowledge").alias("label"), F.when(F.col("turn") % 2 == 0, 0.3).otherwise(0.6).alias("p")), F.struct(F.lit("chat").alias("label"), F.when(F.col("turn") % 2 == 0, 0.7).otherwise(0.5).alias("p")))
     return table(spark, sf, "conversations").select("conv_id", "turn", G.resolve_intent(d, F.lit("other")).alias("intent"))
+
+
+NAMES_SQL = """WITH n AS (SELECT DISTINCT lower(p_name || ' ' || p_brand) AS name FROM part), q AS (SELECT DISTINCT lower(p_name || ' brand#' || (p_size % 30)) AS query FROM part)"""
+
+
+def route_names(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select(F.concat("p_name", F.lit(" Brand#"), (F.col("p_size") % 30).cast("string")).alias("text")), p.select(F.concat_ws(" ", "p_name", "p_brand").alias("name"))
+
+
+@query(f"{NAMES_SQL} SELECT query, name, levenshtein(query, name)::INTEGER AS distance FROM q, n WHERE levenshtein(query, name) <= 2")
+def fuzzy_routes(spark, sf):
+    """All asked names against all routes, up to two edits apart."""
+    return fuzzy.fuzzy_matches(*route_names(spark, sf))
+
+
+@query("WITH n AS (SELECT DISTINCT lower(p_name || ' ' || p_brand) AS name FROM part), q AS (SELECT DISTINCT trim(right(lower(p_name), 6) || ' b') AS query FROM part UNION SELECT DISTINCT trim(left(lower(p_name), 5)) FROM part) SELECT query, name, starts_with(name, query) AS prefix FROM q, n WHERE contains(name, query)")
+def contained_routes(spark, sf):
+    """Pieces of names and the routes that hold them."""
+    p = table(spark, sf, "part")
+    pieces = p.select(F.concat(F.right("p_name", F.lit(6)), F.lit(" B")).alias("text")).unionByName(p.select(F.left("p_name", F.lit(5)).alias("text")))
+    return fuzzy.contained_matches(pieces, route_names(spark, sf)[1])

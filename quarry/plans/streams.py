@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from quarry.registry import query, table
+from quarry.sources.files import shared_folder
+from quarry.streaming import stages as S
 from quarry.streaming import state as Z
 
 
@@ -89,3 +91,39 @@ def memory_high_water(spark, sf):
     c = table(spark, sf, "conversations")
     marks = c.where("conv_id % 2 = 0").select("conv_id", F.lit(1).alias("covered")).distinct()
     return Z.uncovered(c, marks).select("conv_id", "turn")
+
+
+def stages():
+    return [
+        S.Stage("parse", {"k": F.get_json_object("props", "$.k").try_cast("long")}, F.when(F.col("k").isNull(), "no k")),
+        S.Stage("check", error=F.when(F.col("k") % 10 == 3, F.concat(F.lit("bad k "), F.col("k").cast("string"))), decision=F.when(F.col("event_type") == "view", S.TERMINATE).when(F.col("event_type") == "click", S.SKIP)),
+        S.Stage("price", {"value": F.round(F.col("value") * 2, 2)}, F.when(F.col("value") > 900, "too dear")),
+    ]
+
+
+@query("""WITH p AS (SELECT event_id, event_type, value, (props::JSON->>'k')::BIGINT AS k FROM events),
+s AS (SELECT *, CASE WHEN k IS NULL THEN 'parse' WHEN event_type = 'view' OR (event_type <> 'click' AND k % 10 = 3) THEN 'check' WHEN round(value * 2, 2) > 900 THEN 'price' END AS stage FROM p)
+SELECT event_id, stage, CASE WHEN stage IS NULL THEN 'done' WHEN stage = 'check' AND event_type = 'view' THEN 'terminated' ELSE 'dead' END AS state, k, CASE WHEN stage IS NULL THEN round(value * 2, 2) ELSE value END AS value,
+CASE WHEN stage = 'parse' THEN 'no k' WHEN stage = 'check' AND event_type <> 'view' THEN 'bad k ' || k WHEN stage = 'price' THEN 'too dear' END AS error FROM s""")
+def dead_letters(spark, sf):
+    """Events of a stream through three stages; each batch is written twice, as after a restart, and rows that fail land in a table of their own once."""
+    source, out = shared_folder(spark, "events"), shared_folder(spark, "staged")
+    table(spark, sf, "events").repartition(3, "event_id").write.parquet(source)
+    write = S.write_batches(stages(), f"{out}/good", f"{out}/dead")
+
+    def twice(batch, number):
+        write(batch, number)
+        write(batch, number)
+
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", "2").parquet(source)
+    stream.writeStream.foreachBatch(twice).option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).start().awaitTermination()
+    good, dead = (spark.read.parquet(f"{out}/{x}") for x in ("good", "dead"))
+    return good.unionByName(dead).select("event_id", "stage", "state", "k", "value", "error")
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'ask' WHEN role = 'assistant' THEN 'answer' ELSE 'other' END AS branch, CASE WHEN role = 'user' THEN length(text) WHEN role = 'assistant' THEN turn * 2 ELSE -1 END::BIGINT AS result FROM conversations")
+def mode_dispatch(spark, sf):
+    """Turns of conversations through the branch of their role, each turn in exactly one."""
+    c = table(spark, sf, "conversations").withColumn("mode", F.when(F.col("role") == "user", "ask").when(F.col("role") == "assistant", "answer").otherwise(F.col("role")))
+    result = lambda v: lambda df: df.select("conv_id", "turn", v.cast("long").alias("result"))
+    return S.dispatch(c, {"ask": result(F.length("text")), "answer": result(F.col("turn") * 2), "other": result(F.lit(-1))}, "other")

@@ -146,13 +146,25 @@ def crawl(seeds: DataFrame, pages: DataFrame, depth: int = 2, disallow: DataFram
     return found if most is None else found.orderBy("depth", "url").limit(most)
 
 
-def sitemap_urls(maps: DataFrame, roots: DataFrame, most_depth: int = 5) -> DataFrame:
-    """Distinct page urls of sitemaps (url, xml), following maps of maps; each map is read once, so cycles end."""
+def sitemap_urls(maps: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct page urls of sitemaps (url, xml), following maps of maps of any depth; each map is read once, so cycles end.
+
+    A frontier at a time, written to the shared folder, until no new map turns up.
+    """
+    spark = maps.sparkSession
+    folder = shared_folder(spark, "sitemaps")
     locs = maps.select("url", F.contains("xml", F.lit("<sitemapindex")).alias("index"), F.explode(F.regexp_extract_all("xml", F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))).alias("loc"))
-    known = roots.select("url").distinct()
-    for _ in range(most_depth):
-        known = known.unionByName(locs.where("index").join(known, "url", "left_semi").select(F.col("loc").alias("url")).distinct()).distinct()
-    return locs.where("not index").join(known, "url", "left_semi").select(F.col("loc").alias("url")).distinct()
+    known, fresh, depth = None, roots.select("url").distinct(), 0
+    while True:
+        fresh.write.parquet(f"{folder}/{depth}")
+        last = spark.read.parquet(f"{folder}/{depth}")
+        if last.isEmpty():
+            break
+        known = last if known is None else known.unionByName(last)
+        fresh = locs.where("index").join(last, "url", "left_semi").select(F.col("loc").alias("url")).distinct().join(known, "url", "left_anti")
+        depth += 1
+    found = locs.where("not index")
+    return (found.limit(0) if known is None else found.join(known, "url", "left_semi")).select(F.col("loc").alias("url")).distinct()
 
 
 def robots_rules(robots: DataFrame) -> DataFrame:
