@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quarry import models
 from quarry.functions import text as T
+from quarry.operators import cells as C
 from quarry.operators import lexical as L
 from quarry.operators import postings as P
 from quarry.operators import ranking as R
@@ -57,6 +58,14 @@ def vector_topk(spark, sf):
     return by_vector(spark, sf).withColumn("score", F.round("score", 6))
 
 
+@query(f"WITH {V_SQL} SELECT query, chunk, round(score, 6) AS score, rank FROM vt")
+def indexed_vectors(spark, sf):
+    """The same rows as vector_topk from stored cells, those too far away left out."""
+    index = C.write_cells(vectors(spark, sf).select("chunk", "vector"), shared_folder(spark, "cells"), 32, 64)
+    found, _ = C.nearest_by_cells(index, questions(spark, sf).select("query", "query_vector"))
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {V_SQL}, {VG_SQL} SELECT query, chunk, round(score, 6) AS score, rank FROM vg")
 def gate_vector(spark, sf):
     return R.vector_gate(by_vector(spark, sf)).withColumn("score", F.round("score", 6))
