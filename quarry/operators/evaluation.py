@@ -129,11 +129,6 @@ def faithfulness(claims: DataFrame) -> DataFrame:
     return claims.groupBy("query").agg((F.sum(T.probability_weight(F.col("p"))) / F.count("p")).alias("faithfulness"))
 
 
-def expected_level(levels: Column) -> Column:
-    """Probability-weighted mean of array<struct<level, p>>; NULL if nothing has weight."""
-    total = lambda f: F.aggregate(levels, F.lit(0.0), lambda s, x: s + f(x))
-    return F.try_divide(total(lambda x: x["level"] * x["p"]), total(lambda x: x["p"]))
-
 
 #: Values of a judge's levels of correctness (fixed values); unknown levels count as the middle one.
 CORRECTNESS = {"完全不一致": 0.0, "大部分不一致": 0.25, "部分一致": 0.50, "基本一致": 0.75, "完全一致": 1.0}

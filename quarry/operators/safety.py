@@ -113,11 +113,6 @@ def injection_score(c: Column) -> Column:
     return F.greatest(*[F.when(any_case(t, p), w).otherwise(0.0) for _, p, w in INJECTION])
 
 
-def injection_categories(c: Column) -> Column:
-    """Distinct categories of the rules that match, in the rules' order."""
-    t = F.coalesce(c, F.lit(""))
-    return F.array_distinct(F.filter(F.array(*[F.when(any_case(t, p), k) for k, p, _ in INJECTION]), lambda k: k.isNotNull()))
-
 
 def injection_level(score: Column) -> Column:
     return F.when(score >= 9, "critical").when(score >= 7, "high").when(score > 0, "suspicious").otherwise("none")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarry import models
+from quarry.functions import tables
 from quarry.functions import text as T
 from quarry.operators import cells as C
 from quarry.operators import lexical as L
@@ -124,6 +125,15 @@ def rrf_fuse(spark, sf):
     return fused(spark, sf)
 
 
+@query(HYBRID + "SELECT * FROM ft")
+def rag_search(spark, sf):
+    """Both channels' gated hits, fused by the table function from SQL."""
+    tables.register(spark)
+    hits = lambda df, channel: df.select("query", "chunk", F.lit(channel).alias("channel"), F.col("rank").cast("long").alias("rank"))
+    both = hits(R.vector_gate(by_vector(spark, sf)), "vector").unionByName(hits(R.keyword_gate(by_keyword(spark, sf)), "keyword"))
+    return spark.sql("SELECT * FROM rag_search(TABLE(SELECT query, chunk, channel, rank FROM {hits}), 50)", hits=both)
+
+
 @query(HYBRID + "SELECT query, chunk, rrf_score, channel, rank, rank <= 16 AS is_selected, CASE WHEN rank <= 16 THEN rank END AS final_rank, CASE WHEN rank <= 16 THEN 'selected' ELSE 'beyond_top_k' END AS reason FROM ft")
 def hybrid_retrieval(spark, sf):
     """Two channels, gates, rank fusion and the final cut."""
