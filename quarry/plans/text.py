@@ -202,3 +202,57 @@ def query_filters(spark, sf):
     k = F.col("o_orderkey")
     q = F.concat(F.year("o_orderdate").cast("string"), F.lit(" 年的第 "), (k % 30).cast("string"), F.lit(" 条和附录 B"), F.when(k % 2 == 0, "，见操作手册与faq").otherwise(""))
     return table(spark, sf, "orders").where(F.year("o_orderdate") >= 2000).select(k, T.query_filters(q).alias("f")).select("o_orderkey", "f.years", "f.sections", "f.names")
+
+
+@query(r"""SELECT conv_id, turn, lower(regexp_replace(coalesce(text, ''), '[\s>`*#_\-，,。；;：:（）()''\[\]]+', '', 'g')) AS form FROM conversations""")
+def fallback_forms(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.normalize_fallback(F.col("text")).alias("form"))
+
+
+@query("""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE source || '-' || doc_id END AS s FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(s, '^[0-9]+$') THEN try_cast(s AS BIGINT) ELSE (('0x' || left(md5(s), 16))::UBIGINT % 1000000000000000)::BIGINT END AS id FROM s""")
+def stable_ids(spark, sf):
+    """Names as numbers: digits as they are, else by their digest."""
+    name = F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).otherwise(F.concat("source", F.lit("-"), F.col("doc_id").cast("string")))
+    return table(spark, sf, "documents").select("doc_id", T.stable_id(name).alias("id"))
+
+
+#: What questions say in front of a turn's text, one for each rule and some that two rules meet.
+ASKED = [
+    "明天 怎么样", "去年 的 天气", "最新消息", "2024-01-05 的 report", "今天 是 周几", "上面 那个 呢", "compare a vs b", "你好!", "目录 在 哪里", "第3条 是 什么", "它 是 什么", "第 2 步 为什么 失败", "本月 和 历史 数据", "a? b? c?",
+    "回顾 本周 最新动态", "部署手册 第二章", "Hello", "现在 股价", "same as before; and then", "3月5日 之前",
+]
+
+
+def asked_turns(spark, sf):
+    phrase = F.get(F.array(*map(F.lit, ASKED)), (F.col("turn") + F.col("conv_id")).cast("int") % len(ASKED))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("conv_id") % 2 == 0, phrase).otherwise(F.concat(phrase, F.lit(" "), F.coalesce("text", F.lit("")))).alias("q"))
+
+
+def _listed(words):
+    return f"(len(list_filter([{', '.join(repr(w) for w in words)}], lambda w: contains(q, w))) > 0)"
+
+
+RULES_SQL = rf"""WITH a AS (SELECT conv_id, turn, [{', '.join(repr(p) for p in ASKED)}][((turn + conv_id) % {len(ASKED)})::INTEGER + 1] AS p, text FROM conversations),
+q0 AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN p ELSE p || ' ' || coalesce(text, '') END AS q FROM a),
+q AS (SELECT *, trim(q, ' ') AS t, {_listed(T.RELATIVE_TIME)} AS relative, {_listed(T.FRESH_DOMAINS)} AS domain, {_listed(T.CALENDAR)} AS calendar, {_listed(T.HISTORICAL)} AS historical, {_listed(T.EVENTS)} AS events,
+  regexp_matches(q, '(\d{{4}}[-/.年]\d{{1,2}}[-/.月]\d{{1,2}}日?)|(\d{{1,2}}月\d{{1,2}}日)') AS dated FROM q0),
+h AS (SELECT *, {' '.join(f"CASE WHEN {_listed(w.split())} THEN '{h}' ELSE" for h, w in T.HINTS)} '今天' {'END ' * len(T.HINTS)} AS hint,
+  t <> '' AND (len(regexp_extract_all(t, '[?？]')) >= 2 OR regexp_matches(t, '[；;]') OR len(list_filter(string_split(t, chr(10)), lambda x: trim(x, ' ') <> '')) >= 2 OR regexp_matches(t, '(^|\s)(\d+[)\.、]|[A-Za-z][)])') OR contains(t, '分别')) AS multi FROM q)
+SELECT conv_id, turn, relative OR domain OR calendar AS time, NOT historical AND NOT dated AND NOT calendar AND (domain OR events) AS fresh,
+CASE WHEN NOT (NOT (historical AND NOT relative AND NOT calendar) AND (relative OR domain OR calendar)) OR dated OR contains(t, '2024-01-15') OR historical THEN t ELSE t || ' 2024-01-15 ' || hint END AS dated_query,
+t <> '' AND length(t) <= 20 AND regexp_matches(t, '它|这个|那个|刚才|前面|上面|上述|这些|那些') AS short_follow_up,
+regexp_matches(lower(q), '对比|比较|区别|差异|分别|哪个更|versus|vs') OR (length(q) >= 50 AND regexp_matches(lower(q), '并且|以及|同时|另外|此外|而且|and')) AS decompose,
+regexp_matches(lower(t), '^(你好|您好|嗨|hi|hello|hey|谢谢|thanks|thank you|再见|bye)[\s!！.。~]*$') OR regexp_matches(lower(t), '你(是谁|能做什么|会什么|有什么功能)|what can you do|who are you') AS open_chat,
+CASE WHEN regexp_matches(q, '上一[章节条步]|下一[章节条步]|目录|大纲|结构|有哪些章节') AND NOT regexp_matches(q, '为什么|原因|分析|对比|区别|如何') AND NOT multi THEN 'GRAPH_ONLY'
+WHEN regexp_matches(q, '第\s*[0-9一二三四五六七八九十百]+\s*[步条项点]|步骤\s*[0-9一二三四五六七八九十]+') THEN 'GRAPH_THEN_EVIDENCE' ELSE 'RETRIEVAL' END AS mode FROM h"""
+
+
+@query(RULES_SQL)
+def question_rules(spark, sf):
+    """The rules of time, follow-ups, decomposition, greetings and navigation over questions that meet each of them."""
+    q = F.col("q")
+    return asked_turns(spark, sf).select(
+        "conv_id", "turn", T.is_time_sensitive(q).alias("time"), T.needs_fresh_search(q).alias("fresh"), T.dated_query(q, F.lit("2024-01-15")).alias("dated_query"), T.is_short_follow_up(q).alias("short_follow_up"),
+        T.may_decompose(q).alias("decompose"), T.is_open_chat(q).alias("open_chat"), T.navigation_mode(q, F.lit(True)).alias("mode"),
+    )
