@@ -139,8 +139,31 @@ def guardrail(risks: Column, injection: Column, block: float = 0.65, clear: floa
 TOOL_RISK = {"search": "low", "retrieve": "low", "calculator": "low", "web_search": "medium", "code_executor": "high", "file_write": "high", "shell": "critical"}
 
 
+#: Words in the arguments of a high-risk tool that ask for approval (fixed values).
+DESTRUCTIVE = ["DELETE", "DROP", "TRUNCATE", "ALTER", "GRANT", "REVOKE"]
+
+
+def tool_risk_level(tool: Column) -> Column:
+    """A tool's risk; unknown and null tools are high."""
+    return reduce(lambda w, kv: w.when(tool == kv[0], kv[1]), TOOL_RISK.items(), F.when(F.lit(False), "")).otherwise("high")
+
+
+def approval(tool: Column, arguments: Column, policy: Column | None = None) -> Column:
+    """struct<risk, required, word>: whether a call needs a person's approval, and the first destructive word of its arguments.
+
+    Critical tools always need it, high ones if their arguments (text; null is none) hold such a word in either case, others
+    never. A policy (boolean) that says so asks for it first, and a null one counts as failed, which asks too.
+    """
+    risk = tool_risk_level(tool)
+    text = F.upper(F.coalesce(arguments, F.lit("")))
+    word = F.get(F.filter(F.array(*map(F.lit, DESTRUCTIVE)), lambda w: F.contains(text, w)), F.lit(0))
+    required = (risk == "critical") | ((risk == "high") & word.isNotNull())
+    required = required if policy is None else F.coalesce(policy, F.lit(True)) | required
+    return F.struct(risk.alias("risk"), required.alias("required"), F.when(risk == "high", word).alias("word"))
+
+
 def tool_decision(tool: Column, approved: Column) -> Column:
-    risk = reduce(lambda w, kv: w.when(tool == kv[0], kv[1]), TOOL_RISK.items(), F.when(F.lit(False), "")).otherwise("high")
+    risk = tool_risk_level(tool)
     return F.struct(risk.alias("risk"), F.when(risk == "critical", "deny").when((risk == "high") & ~approved, "confirm").otherwise("allow").alias("decision"))
 
 

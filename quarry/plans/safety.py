@@ -153,6 +153,24 @@ def tool_risk(spark, sf):
     return e.select("event_id", S.tool_decision(tool, F.coalesce(F.col("value") >= 50, F.lit(False))).alias("d")).select("event_id", "d.risk", "d.decision")
 
 
+A_SQL = """WITH a AS (SELECT event_id, value, CASE event_type WHEN 'view' THEN 'search' WHEN 'error' THEN 'shell' WHEN 'click' THEN 'file_write' WHEN 'signup' THEN 'web_search' ELSE 'other_tool' END AS tool,
+'{"sql": "' || ['select 1', 'drop table t', 'Delete from t', 'grant all', 'update t', 'ALTER x; truncate y'][(event_id % 6)::INTEGER + 1] || '", "p": ' || coalesce(props, 'null') || '}' AS args FROM events),
+w AS (SELECT *, CASE tool WHEN 'search' THEN 'low' WHEN 'web_search' THEN 'medium' WHEN 'shell' THEN 'critical' ELSE 'high' END AS risk,
+list_filter(['DELETE', 'DROP', 'TRUNCATE', 'ALTER', 'GRANT', 'REVOKE'], lambda w: contains(upper(args), w))[1] AS word, CASE WHEN value > 400 THEN true WHEN value < 1 THEN NULL ELSE false END AS policy FROM a)
+SELECT event_id, risk, coalesce(policy, true) OR risk = 'critical' OR (risk = 'high' AND word IS NOT NULL) AS required, CASE WHEN risk = 'high' THEN word END AS word FROM w"""
+
+
+@query(A_SQL)
+def tool_approvals(spark, sf):
+    """Calls of tools with arguments, a policy beside them that some calls fail."""
+    kind, v = F.col("event_type"), F.col("value")
+    tool = F.when(kind == "view", "search").when(kind == "error", "shell").when(kind == "click", "file_write").when(kind == "signup", "web_search").otherwise("other_tool")
+    said = F.get(F.array(*map(F.lit, ["select 1", "drop table t", "Delete from t", "grant all", "update t", "ALTER x; truncate y"])), (F.col("event_id") % 6).cast("int"))
+    args = F.concat(F.lit('{"sql": "'), said, F.lit('", "p": '), F.coalesce("props", F.lit("null")), F.lit("}"))
+    policy = F.when(v > 400, True).when(v < 1, F.lit(None).cast("boolean")).otherwise(False)
+    return table(spark, sf, "events").select("event_id", S.approval(tool, args, policy).alias("a")).select("event_id", "a.risk", "a.required", "a.word")
+
+
 @query("""SELECT doc_id, CASE WHEN toxic >= 1 THEN 'toxic' END AS threat, quality IS NULL OR (toxic * 0.9 BETWEEN 0.36 AND 0.64) AS uncertain FROM labels""")
 def guardrails(spark, sf):
     risks = F.array(F.struct(F.lit("toxic").alias("category"), (F.col("toxic") * 0.9).alias("p")), F.struct(F.lit("quality").alias("category"), F.when(F.col("quality").isNotNull(), 0.1).alias("p")))
