@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators import trees
+
 #: Statuses of spans (fixed values), worst first. `max` over the strings would hide errors behind "ok".
 ERROR_STATUS = "error"
 #: Price per million tokens of a model that no table knows (fixed values), and what a cached prompt token costs of it.
@@ -213,24 +215,14 @@ def term_counts(df: DataFrame, term: str, size: int = 10_000) -> DataFrame:
     return df.where(F.col(term).isNotNull()).groupBy(term).agg(F.count("*").alias("n")).orderBy(F.desc("n"), term).limit(size)
 
 
-def waterfall(spans: DataFrame, most_depth: int = 64) -> DataFrame:
+def waterfall(spans: DataFrame) -> DataFrame:
     """spans (trace, span, parent, start) with depth and path, roots first: what a trace's detail shows. Spans whose parent is missing are roots.
 
-    One join a level; spans on a cycle, or deeper than most_depth, raise an error.
+    Ways up are doubled, so a trace of any depth takes as many joins as its depth has binary digits; spans on a cycle raise
+    an error. Spans whose trace or number is null are left out.
     """
-    known = spans.select("trace", F.col("span").alias("parent"), F.lit(True).alias("_known"))
-    marked = spans.join(known, ["trace", "parent"], "left")
     own = F.concat_ws("/", F.date_format("start", "yyyyMMddHHmmssSSSSSS"), F.col("span").cast("string"))
-    level = marked.where("_known is null").select("trace", "span", F.lit(0).alias("depth"), own.alias("path"))
-    found, links = level, marked.where("_known").select("trace", "parent", F.col("span").alias("child"), own.alias("own"))
-    for d in range(1, most_depth + 2):
-        level = level.join(links, (level["trace"] == links["trace"]) & (level["span"] == links["parent"])).select(level["trace"], F.col("child").alias("span"), F.lit(d).alias("depth"), F.concat_ws(" ", "path", "own").alias("path"))
-        if level.isEmpty():
-            break
-        if d > most_depth:
-            raise ValueError(f"spans deeper than {most_depth} levels")
-        found = found.unionByName(level)
-    return spans.join(found, ["trace", "span"])
+    return spans.join(trees.paths(spans, own, "trace", "span", "parent"), ["trace", "span"])
 
 
 def soft_delete(df: DataFrame, gone: Column) -> DataFrame:

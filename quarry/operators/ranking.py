@@ -126,13 +126,15 @@ def scope_predicate(
 def validated_prefixes(hints: DataFrame, paths: DataFrame) -> DataFrame:
     """hints (query, prefix) that some row of paths (path) starts with, in any case; the others would filter everything away.
 
-    Paths meet hints by their first characters, at the hints' lengths, so this is an equality join.
+    Paths meet hints by their first characters, at the hints' lengths (all lengths up to the longest hint's, where these are
+    more than 200), so this is an equality join.
     """
-    sized = hints.withColumn("n", F.length("prefix"))
+    sized = hints.where(F.col("prefix").isNotNull()).withColumn("n", F.length("prefix"))
     lengths = [r.n for r in sized.select("n").distinct().limit(201).collect()]
+    at = F.array(*map(F.lit, lengths or [0]))
     if len(lengths) > 200:
-        raise ValueError("hints of more than 200 lengths")
-    heads = paths.select(F.explode(F.array(*[F.lower(F.substring("path", 1, n)) for n in lengths or [0]])).alias("head")).distinct()
+        at = F.sequence(F.lit(0), F.least(F.length("path"), F.lit(sized.agg(F.max("n")).first()[0])))
+    heads = paths.where(F.col("path").isNotNull()).select(F.explode(F.transform(at, lambda n: F.lower(F.substring("path", F.lit(1), n)))).alias("head")).distinct()
     return sized.join(heads, F.lower("prefix") == F.col("head"), "left_semi").drop("n")
 
 

@@ -7,12 +7,16 @@ nesting, overlaps, merges) runs as one pass over a document at a time; a documen
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quarry.functions import text as T
+from quarry.operators import trees
 
 # --- lines and signals ------------------------------------------------------------------------------------------------
 
@@ -118,7 +122,7 @@ def ambiguous(signals: DataFrame, low: float = 0.45, high: float = 0.80, most: i
 
 NODES = (
     "doc {doc}, node_no int, node_type string, parent_no int, prev_no int, next_no int, depth int, node_code string, title string, "
-    "section_path string, canonical_path string, content string, item_index int"
+    "section_path string, canonical_path string, content string, item_index int, enter int, leave int"
 )
 
 
@@ -169,79 +173,111 @@ def below_root(parents: list[int | None]) -> list[int]:
     return order
 
 
-def build_tree(signals: DataFrame) -> DataFrame:
+def interval_ends(children: dict[int, list[int]], n: int) -> tuple[list[int], list[int]]:
+    """enter and leave of the nodes of a tree below 0 (see trees.numbered)."""
+    enter, leave, left, stack = [0] * n, [0] * n, n, [(0, False)]
+    while stack:
+        at, done = stack.pop()
+        if done:
+            leave[at] = left
+            continue
+        enter[at] = left
+        left -= 1
+        stack.append((at, True))
+        stack += [(c, False) for c in reversed(children.get(at, []))]
+    return enter, leave
+
+
+def grown(lines: Iterable[tuple]) -> list[dict]:
+    """The node rows (but doc) of one document's lines (kind, line, code, title, level, indent), in their order."""
+    nodes = []
+    stack: list[tuple[int, int]] = [(0, 0)]
+    items: list[tuple[int, int]] = []
+    counts: dict[int, int] = {}
+
+    def add(node_type: str, parent: int | None, code: str, title: str, index: int | None) -> int:
+        nodes.append({"node_no": len(nodes), "node_type": node_type, "parent_no": parent, "prev_no": None, "next_no": None, "depth": 0, "node_code": code or "", "title": title or "", "section_path": "", "canonical_path": "", "content": [], "item_index": index})
+        return len(nodes) - 1
+
+    add("document", None, "", "", None)
+    for kind, line, code, title, level, indent in lines:
+        if kind == "noise":
+            continue
+        if kind == "blank":
+            items = []
+            continue
+        if level is not None and kind not in LIST_KINDS:
+            while stack[-1][0] >= level and len(stack) > 1:
+                stack.pop()
+            stack.append((level, add("section", stack[-1][1], code, title, None)))
+            items = []
+            continue
+        section = stack[-1][1]
+        nodes[section]["content"].append(line)
+        if kind in LIST_KINDS:
+            while items and items[-1][0] >= indent:
+                items.pop()
+            parent = items[-1][1] if items else section
+            counts[parent] = counts.get(parent, 0) + 1
+            no = add("step" if kind == "step" else "list_item", parent, code, line, counts[parent])
+            nodes[no]["content"].append(line)
+            items.append((indent, no))
+        elif items:
+            nodes[items[-1][1]]["content"].append(line)
+    repair = repaired_parents([(n["node_type"], n["node_code"], n["parent_no"]) for n in nodes])
+    order = below_root(repair)
+    children: dict[int, list[int]] = {}
+    for k in order:
+        n, above = nodes[k], nodes[repair[k]]
+        n["parent_no"], n["depth"] = repair[k], above["depth"] + 1
+        children.setdefault(repair[k], []).append(k)
+        name = f"{n['node_code']} {n['title']}".strip()
+        n["section_path"] = " > ".join(filter(None, [above["section_path"], name]))
+        slug = "".join(c if c.isalnum() or c in "._-" else "-" for c in name.lower()).strip("-") or "node"
+        n["canonical_path"] = f"{above['canonical_path']}/{slug}"
+    for own in children.values():
+        own.sort()
+        for a, b in zip(own, own[1:], strict=False):
+            nodes[a]["next_no"], nodes[b]["prev_no"] = b, a
+    for n, enter, leave in zip(nodes, *interval_ends(children, len(nodes)), strict=True):
+        n["content"], n["enter"], n["leave"] = "\n".join(n["content"]), enter, leave
+    return nodes
+
+
+def build_tree(signals: DataFrame, together: bool = False) -> DataFrame:
     """The node rows of each document from its classified lines.
 
     A heading closes deeper levels; list items nest by indent; a blank line ends a list; a list line's text belongs to its
     item and to the section. A lone first heading equal to the document's title stays the root's child. Then sections with
-    numeric codes go below the section of their prefix (see repaired_parents); depths, paths and siblings follow.
+    numeric codes go below the section of their prefix (see repaired_parents); depths, paths, siblings and intervals (enter,
+    leave: see trees.numbered) follow. A task walks its lines once and holds one document. together: each document's lines are
+    in one partition already, as classify_lines leaves them, so they need no shuffle.
     """
-    kind = signals.schema["doc"].dataType.simpleString()
-
-    def grow(lines: pd.DataFrame) -> pd.DataFrame:
-        lines = lines.sort_values("line_no")
-        nodes = [{"node_no": 0, "node_type": "document", "parent_no": None, "depth": 0, "node_code": "", "title": "", "body": [], "item_index": None}]
-        stack: list[tuple[int, int]] = [(0, 0)]
-        items: list[tuple[int, int]] = []
-        counts: dict[int, int] = {}
-
-        def add(node_type: str, parent: int, code: str, title: str, index: int | None) -> int:
-            nodes.append({"node_no": len(nodes), "node_type": node_type, "parent_no": parent, "depth": nodes[parent]["depth"] + 1, "node_code": code or "", "title": title or "", "body": [], "item_index": index})
-            return len(nodes) - 1
-
-        for kind_, line, code, title, level, indent in zip(lines.kind, lines.line, lines.code, lines.title, lines.level, lines.indent, strict=True):
-            if kind_ == "noise":
-                continue
-            if kind_ == "blank":
-                items = []
-                continue
-            if level == level and level is not None and kind_ not in LIST_KINDS:
-                while stack[-1][0] >= level and len(stack) > 1:
-                    stack.pop()
-                stack.append((int(level), add("section", stack[-1][1], code, title, None)))
-                items = []
-                continue
-            section = stack[-1][1]
-            nodes[section]["body"].append(line)
-            if kind_ in LIST_KINDS:
-                while items and items[-1][0] >= indent:
-                    items.pop()
-                parent = items[-1][1] if items else section
-                counts[parent] = counts.get(parent, 0) + 1
-                no = add("step" if kind_ == "step" else "list_item", parent, code, line, counts[parent])
-                nodes[no]["body"].append(line)
-                items.append((int(indent), no))
-            elif items:
-                nodes[items[-1][1]]["body"].append(line)
-        repair = repaired_parents([(n["node_type"], n["node_code"], n["parent_no"]) for n in nodes])
-        for n, parent in zip(nodes, repair, strict=True):
-            n["parent_no"] = parent
-        for n in below_root(repair):
-            nodes[n]["depth"] = nodes[repair[n]]["depth"] + 1
-        children: dict[int, list[int]] = {}
-        for n in (nodes[k] for k in below_root(repair)):
-            children.setdefault(n["parent_no"], []).append(n["node_no"])
-            above = nodes[n["parent_no"]]
-            name = f"{n['node_code']} {n['title']}".strip()
-            n["section_path"] = " > ".join(filter(None, [above.get("section_path", ""), name]))
-            slug = "".join(c if c.isalnum() or c in "._-" else "-" for c in name.lower()).strip("-") or "node"
-            n["canonical_path"] = f"{above.get('canonical_path', '')}/{slug}"
-        for own in map(sorted, children.values()):
-            for a, b in zip(own, own[1:], strict=False):
-                nodes[a]["next_no"], nodes[b]["prev_no"] = b, a
-        out = pd.DataFrame(nodes)
-        out["content"] = ["\n".join(n["body"]) for n in nodes]
-        out["doc"] = lines.doc.iloc[0]
-        for c in ("prev_no", "next_no", "section_path", "canonical_path"):
-            if c not in out:
-                out[c] = None
-        out[["section_path", "canonical_path"]] = out[["section_path", "canonical_path"]].fillna("")
-        for c in ("parent_no", "prev_no", "next_no", "item_index"):
-            out[c] = out[c].astype("Int32")
-        return out[["doc", "node_no", "node_type", "parent_no", "prev_no", "next_no", "depth", "node_code", "title", "section_path", "canonical_path", "content", "item_index"]]
-
-    rows = signals.select("doc", "line_no", "kind", "line", "code", "title", "level", "indent")
-    return rows.groupBy("doc").applyInPandas(grow, NODES.format(doc=kind))
+    kind = signals.schema["doc"].dataType
+    schema = NODES.format(doc=kind.simpleString())
+    names = ["kind", "line", "code", "title", "level", "indent"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, rows = None, [], []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for doc, line in zip(columns[0], zip(*columns[1:], strict=True), strict=True):
+                if held and doc != now:
+                    rows += [{"doc": now, **n} for n in grown(held)]
+                    held = []
+                    if len(rows) >= 5000:
+                        yield pa.RecordBatch.from_pylist(rows, fields)
+                        rows = []
+                now = doc
+                held.append(line)
+        if held:
+            rows += [{"doc": now, **n} for n in grown(held)]
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, fields)
+
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+    dealt = signals if together else signals.repartition("doc")
+    return dealt.sortWithinPartitions("doc", "line_no").select("doc", *names).mapInArrow(walk, schema)
 
 
 def edges(nodes: DataFrame) -> DataFrame:
@@ -251,21 +287,14 @@ def edges(nodes: DataFrame) -> DataFrame:
     return down.unionByName(nodes.where("next_no is not null").select("doc", F.col("node_no").alias("source"), F.col("next_no").alias("target"), F.lit("NEXT").alias("type")))
 
 
-def subtree(nodes: DataFrame, roots: DataFrame, most_depth: int = 1000) -> DataFrame:
-    """doc, root, node_no, distance: everything below the roots (doc, root), by one join a level until none is left.
+def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc, root, node_no, distance: the roots (doc, root) and everything below them, at any depth, by a range join.
 
-    Each level is checkpointed where a folder for that is set, so lineage stays short. A tree that is deeper than most_depth
-    (or has a cycle) raises an error.
+    The nodes of build_tree carry their intervals; others (doc, node_no, parent_no) are numbered first. Roots that are no
+    nodes give nothing; a cycle raises an error.
     """
-    level = roots.select("doc", "root", F.col("root").alias("node_no"), F.lit(0).alias("distance"))
-    found = level
-    links = nodes.where("parent_no is not null").select("doc", F.col("parent_no").alias("node_no"), F.col("node_no").alias("child"))
-    for d in range(1, most_depth + 2):
-        level = settled(level.select("doc", "root", "node_no").join(links, ["doc", "node_no"]).select("doc", "root", F.col("child").alias("node_no"), F.lit(d).alias("distance")))
-        if level.isEmpty():
-            return found
-        found = found.unionByName(level)
-    raise ValueError(f"a tree deeper than {most_depth} levels, or a cycle")
+    labelled = nodes.withColumn("level", F.col("depth")) if {"enter", "leave", "depth"} <= set(nodes.columns) else trees.numbered(nodes)
+    return trees.below(labelled, roots)
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -410,29 +439,14 @@ def merge_semantic(chunks: DataFrame, least: float = 0.75, most_tokens: int = 10
     """Neighbouring chunks of one parent joined while they stay alike and within the length.
 
     chunks: doc, parent, chunk_no, text and, unless `lexical` is given, vector. Likeness is the cosine with the merged
-    chunks' length-weighted centroid, or the Jaccard index of their words from `lexical` (0.18 is usual).
+    chunks' length-weighted centroid, or the Jaccard index of their words from `lexical` (0.18 is usual). A parent's chunks pass
+    in their order with one merged chunk in hand; a null text counts as empty.
     """
     import numpy as np
 
-    kind = chunks.schema["doc"].dataType.simpleString()
-    parent = chunks.schema["parent"].dataType.simpleString()
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for row in group.sort_values("chunk_no").to_dict("records"):
-            n = len(row["text"])
-            if lexical is None:
-                state = np.asarray(row["vector"], dtype=float)
-            else:
-                state = set(row["text"].lower().split())
-            last = out[-1] if out else None
-            if last is not None and last["n"] + n <= most_tokens and alike(last["state"], state) >= (least if lexical is None else lexical):
-                last["text"] += "\n" + row["text"]
-                last["state"] = (last["state"] * last["n"] + state * n) / max(1, last["n"] + n) if lexical is None else last["state"] | state
-                last["n"] += n
-                continue
-            out.append({"doc": row["doc"], "parent": row["parent"], "text": row["text"], "n": n, "state": state})
-        return pd.DataFrame({"doc": [r["doc"] for r in out], "parent": [r["parent"] for r in out], "chunk_no": range(1, len(out) + 1), "text": [r["text"] for r in out]})
+    doc, parent = (chunks.schema[c].dataType.simpleString() for c in ("doc", "parent"))
+    schema = StructType.fromDDL(f"doc {doc}, parent {parent}, chunk_no int, text string")
+    arrow = to_arrow_schema(schema)
 
     def alike(a, b) -> float:
         if lexical is not None:
@@ -440,25 +454,31 @@ def merge_semantic(chunks: DataFrame, least: float = 0.75, most_tokens: int = 10
         scale = float(np.linalg.norm(a) * np.linalg.norm(b))
         return float(a @ b) / scale if len(a) == len(b) and scale else 0.0
 
-    return chunks.groupBy("doc", "parent").applyInPandas(merge, f"doc {kind}, parent {parent}, chunk_no int, text string")
-
-
-def paragraph_segments(c: Column, size: int = 4000) -> Column:
-    """Paragraphs packed into segments for a model's chunker; a fold in the row."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def add(acc: Column, p: Column) -> Column:
-        over = (acc["open"] != "") & (F.length(acc["open"]) + F.length(p) + 2 > size)
-        joined = F.when(acc["open"] == "", p).otherwise(F.concat(acc["open"], F.lit("\n\n"), p))
-        return F.struct(F.when(over, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), F.when(over, p).otherwise(joined).alias("open"))
-
-    return F.aggregate(T.paragraphs(c), start, add, lambda a: F.when(a["open"] != "", F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
-
-
-def context_window(chunks: DataFrame, size: int = 200) -> DataFrame:
-    """Each chunk with the end of the one before and the start of the one after."""
-    w = Window.partitionBy("doc").orderBy("chunk_no")
-    return chunks.withColumn("before", F.right(F.coalesce(F.lag("text").over(w), F.lit("")), F.lit(size))).withColumn("after", F.substring(F.coalesce(F.lead("text").over(w), F.lit("")), 1, size))
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            done = []
+            for doc, parent, text, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = len(text)
+                state = np.asarray(vector, dtype=float) if lexical is None else set(text.lower().split())
+                same = last is not None and (doc, parent) == now
+                if same and last["n"] + n <= most_tokens and alike(last["state"], state) >= (least if lexical is None else lexical):
+                    last["text"] += "\n" + text
+                    last["state"] = (last["state"] * last["n"] + state * n) / max(1, last["n"] + n) if lexical is None else last["state"] | state
+                    last["n"] += n
+                    continue
+                if last is not None:
+                    done.append((*now, last["no"], last["text"]))
+                last = {"no": last["no"] + 1 if same else 1, "text": text, "n": n, "state": state}
+                now = (doc, parent)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), arrow.types, strict=True)], schema=arrow)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((*now, last["no"], last["text"]), arrow.types, strict=True)], schema=arrow)
+
+    held = F.col("vector") if lexical is None else F.lit(None).cast("array<double>")
+    dealt = chunks.repartition("doc", "parent").sortWithinPartitions("doc", "parent", "chunk_no")
+    return dealt.select("doc", "parent", F.coalesce("text", F.lit("")).alias("text"), held.alias("vector")).mapInArrow(walk, schema)
 
 
 def recommend_strategy(headings: Column, level: Column, length: Column, n_paragraphs: Column) -> Column:
@@ -468,7 +488,7 @@ def recommend_strategy(headings: Column, level: Column, length: Column, n_paragr
 
 def chunk_pipeline(docs: DataFrame, size: int = 512, overlap: int = 128, lexical: float = 0.18) -> DataFrame:
     """Sections as parents, packed sentences as children with overlaps, likely ones merged: doc, parent, chunk_no, text."""
-    nodes = build_tree(classify_lines(logical_lines(docs)))
+    nodes = build_tree(classify_lines(logical_lines(docs)), together=True)
     parents = structure_chunks(nodes, 1)
     parts = F.filter(T.pack_sentences(T.sentences(F.col("text")), size), lambda x: F.length(x) > 0)
     children = parents.select("doc", F.col("node_no").alias("parent"), F.posexplode(parts).alias("chunk_no", "text"))

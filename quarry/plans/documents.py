@@ -14,7 +14,7 @@ def page_documents(spark, sf):
 
 
 def tree(spark, sf):
-    return D.build_tree(D.classify_lines(D.logical_lines(page_documents(spark, sf))))
+    return D.build_tree(D.classify_lines(D.logical_lines(page_documents(spark, sf))), together=True)
 
 
 @query("SELECT doc_id AS doc, line, count(*) AS freq FROM (SELECT doc_id, unnest(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10))) AS raw, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS line FROM documents) WHERE line <> '' GROUP BY ALL")

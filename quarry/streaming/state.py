@@ -139,12 +139,15 @@ def windowed_counters(events: DataFrame, ts: str, kind: str, value: str, size: s
 
 
 def route_events(events: DataFrame, subscriptions: DataFrame, name: str = "event_type") -> DataFrame:
-    """(event columns, subscriber): exact names, `*`, and `prefix.*`. subscriptions: subscriber, pattern; a short list (1000 at most)."""
-    if subscriptions.limit(1001).count() > 1000:
-        raise ValueError("more than 1000 subscriptions")
-    n, p = F.col(name), F.col("pattern")
-    fits = (p == "*") | (p == n) | (F.endswith(p, F.lit(".*")) & F.startswith(n, F.substr(p, F.lit(1), F.length(p) - 1)))
-    return events.join(F.broadcast(subscriptions), fits)
+    """(event columns, pattern, subscriber): exact names, `*`, and `prefix.*`. subscriptions: subscriber, pattern, any number of them.
+
+    A name's patterns are few (itself, `*`, and one behind each of its dots), so both sides meet by equality; an event goes
+    once to each subscription that fits it. Null names fit none; null patterns fit nothing.
+    """
+    parts = F.split(F.col(name), r"\.", -1)
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat(F.array_join(F.slice(parts, F.lit(1), k - 1), "."), F.when(k > 1, F.lit(".*")).otherwise(F.lit("*"))))
+    fits = F.when(F.col(name).isNotNull(), F.array_distinct(F.concat(F.array(F.col(name)), prefixes)))
+    return events.withColumn("pattern", F.explode(fits)).join(subscriptions, "pattern")
 
 
 def replay(log: DataFrame, stream: str, offset: Column, last: int = 500, order: str = "event_id", alive: Column | None = None) -> DataFrame:

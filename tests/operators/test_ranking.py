@@ -164,3 +164,12 @@ def test_nearest_agrees_with_pairs(spark):
     fast = {(r.query, r.rank): (r.chunk, round(r.score, 9)) for r in R.vector_channel(q, c, 12).collect()}
     slow = {(r.query, r.rank): (r.chunk, round(r.score, 9)) for r in R.vector_channel(q, c, 12, lambda d: d).collect()}
     assert fast == slow and len(fast) == 108
+
+
+def test_prefixes_of_many_lengths(spark):
+    paths = [("a" * 300 + "/x",), ("B/c",), ("",), (None,)]
+    p = spark.createDataFrame(paths, "path string")
+    many = [(i, "A" * i) for i in range(310)] + [(400, "b/C"), (401, "c"), (402, None)]
+    for rows in (many, many[-4:], [(1, "A" * 301)], []):
+        want = {q for q, x in rows if x is not None and any(t is not None and t.lower().startswith(x.lower()) for (t,) in paths)}
+        assert {r.query for r in R.validated_prefixes(spark.createDataFrame(rows, "query int, prefix string"), p).collect()} == want

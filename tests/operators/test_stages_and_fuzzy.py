@@ -91,3 +91,18 @@ def test_sitemaps_of_any_depth(spark):
     df = spark.createDataFrame(maps, "url string, xml string")
     assert {r.url for r in files.sitemap_urls(df, df.where("url = 'm0'").select("url")).collect()} == {"p1", "p2"}
     assert files.sitemap_urls(df, df.limit(0).select("url")).count() == 0
+
+
+def test_events_meet_any_number_of_patterns_by_equality(spark):
+    from quarry.streaming.state import route_events
+
+    names = ["a", "a.b", "a.b.c", "b", "*", "a.*", ".x", "", None]
+    patterns = ["*", "a", "a.*", "a.b.*", "b.*", ".*", "", None] + [f"n{i}.*" for i in range(1100)]
+    events = spark.createDataFrame(list(enumerate(names)), "event_id int, event_type string")
+    subs = spark.createDataFrame([(i, p) for i, p in enumerate(patterns)] + [(5000, "a.*")], "subscriber int, pattern string")
+
+    def fits(n, p):
+        return n is not None and p is not None and (p in ("*", n) or p.endswith(".*") and n.startswith(p[:-1]))
+
+    want = sorted((e, s) for e, n in enumerate(names) for s, p in [*enumerate(patterns), (5000, "a.*")] if fits(n, p))
+    assert sorted((r.event_id, r.subscriber) for r in route_events(events, subs).collect()) == want
