@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarry.registry import query, table
+from quarry.sources import changes
 from quarry.sources.files import shared_folder
 from quarry.streaming import stages as S
 from quarry.streaming import state as Z
@@ -86,6 +87,24 @@ def incremental_sync(spark, sf):
     return Z.since(table(spark, sf, "events"), F.lit("2024-01-15").cast("timestamp"), "ts").select("event_id")
 
 
+@query("SELECT event_id, ts, value, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 1 ELSE 2 END AS run FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def incremental_source(spark, sf):
+    """Events of a table that grows, by a stream that is stopped and started again: each row once, in the run that it was new to; the last day is held back for rows that come late."""
+    changes.register(spark)
+    source, out = shared_folder(spark, "growing"), shared_folder(spark, "synced")
+    e, day = table(spark, sf, "events"), F.lit("2024-01-15").cast("timestamp")
+    late = 86_400_000_000
+    for run, rows in enumerate([e.where(F.col("ts") < day), e.where(F.col("ts") >= day)], 1):
+        rows.write.mode("append").parquet(source)
+        stream = spark.readStream.format("changes").options(path=source, column="ts", lateness=str(late if run == 2 else 0)).schema(e.schema).load()
+
+        def keep(batch, number, run=run):
+            batch.withColumn("run", F.lit(run)).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("event_id", "ts", "value", "run")
+
+
 @query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n > 4 AND turn > CASE WHEN conv_id % 2 = 0 THEN 1 ELSE -1 END")
 def memory_high_water(spark, sf):
     c = table(spark, sf, "conversations")
