@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quarry.registry import query, table
 from quarry.sources import changes
 from quarry.sources.files import shared_folder
+from quarry.streaming import memory
 from quarry.streaming import stages as S
 from quarry.streaming import state as Z
 
@@ -112,6 +113,28 @@ def memory_high_water(spark, sf):
     return Z.uncovered(c, marks).select("conv_id", "turn")
 
 
+@query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n > 4 AND turn > CASE WHEN conv_id % 2 = 0 THEN 1 ELSE -1 END")
+def memory_stream(spark, sf):
+    """The turns that the high-water mark takes, out of the state of a stream of files that is stopped half-way and started again."""
+    source, out = shared_folder(spark, "turns"), shared_folder(spark, "memory")
+    c = table(spark, sf, "conversations").withColumn("covered", F.when(F.col("conv_id") % 2 == 0, 1))
+    half = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(2))
+    merge = memory.summary_batches(f"{out}/summaries", c.schema["conv_id"].dataType.simpleString())
+
+    def keep(batch, number):
+        batch.persist()
+        merge(batch, number)
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        batch.unpersist()
+
+    with memory.with_store(spark):
+        for k in (0, 1):
+            c.where(half == k).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(c.schema).parquet(source)
+            memory.leaving(stream).writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}/offsets").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("conv_id", "turn", "role", "text")
+
+
 def stages():
     return [
         S.Stage("parse", {"k": F.get_json_object("props", "$.k").try_cast("long")}, F.when(F.col("k").isNull(), "no k")),
