@@ -57,11 +57,10 @@ def line_frequency(lines: DataFrame) -> DataFrame:
 
 def with_neighbours(lines: DataFrame) -> DataFrame:
     """prev and next: the nearest non-blank lines; blank_before, blank_after."""
-    w = Window.partitionBy("doc").orderBy("line_no")
-    known = F.when(F.col("line") != "", F.col("line"))
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    return lines.select(
-        "*", F.last(known, True).over(before).alias("prev"), F.first(known, True).over(after).alias("next"),
+    w, over = Window.partitionBy("doc").orderBy("line_no"), "IGNORE NULLS OVER (PARTITION BY doc ORDER BY line_no)"
+    # offsets pass nulls over in one walk, where a frame to the end would be walked anew for each line
+    return lines.withColumn("_known", F.when(F.col("line") != "", F.col("line"))).select(
+        *lines.columns, F.expr(f"lag(_known) {over}").alias("prev"), F.expr(f"lead(_known) {over}").alias("next"),
         (F.coalesce(F.lag("line").over(w), F.lit("")) == "").alias("blank_before"), (F.coalesce(F.lead("line").over(w), F.lit("")) == "").alias("blank_after"),
     )
 
@@ -481,6 +480,24 @@ def merge_semantic(chunks: DataFrame, least: float = 0.75, most_tokens: int = 10
     return dealt.select("doc", "parent", F.coalesce("text", F.lit("")).alias("text"), held.alias("vector")).mapInArrow(walk, schema)
 
 
+def paragraph_segments(c: Column, size: int = 4000) -> Column:
+    """Paragraphs packed into segments for a model's chunker; a fold in the row."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def add(acc: Column, p: Column) -> Column:
+        over = (acc["open"] != "") & (F.length(acc["open"]) + F.length(p) + 2 > size)
+        joined = F.when(acc["open"] == "", p).otherwise(F.concat(acc["open"], F.lit("\n\n"), p))
+        return F.struct(F.when(over, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), F.when(over, p).otherwise(joined).alias("open"))
+
+    return F.aggregate(T.paragraphs(c), start, add, lambda a: F.when(a["open"] != "", F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
+
+
+def context_window(chunks: DataFrame, size: int = 200) -> DataFrame:
+    """Each chunk with the end of the one before and the start of the one after."""
+    w = Window.partitionBy("doc").orderBy("chunk_no")
+    return chunks.withColumn("before", F.right(F.coalesce(F.lag("text").over(w), F.lit("")), F.lit(size))).withColumn("after", F.substring(F.coalesce(F.lead("text").over(w), F.lit("")), 1, size))
+
+
 def recommend_strategy(headings: Column, level: Column, length: Column, n_paragraphs: Column) -> Column:
     """Chunking strategies of a document, the first one for the parents."""
     return F.when((level >= 2) & (headings >= 3), F.array(F.lit("structure"), F.lit("recursive"))).when((n_paragraphs >= 5) & (length >= 2000), F.array(F.lit("recursive"), F.lit("semantic"))).otherwise(F.array(F.lit("recursive")))
