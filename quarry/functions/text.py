@@ -342,20 +342,52 @@ def query_terms(c: Column, most: int = 40) -> Column:
     return F.slice(F.array_distinct(F.flatten(F.transform(segments, grams))), 1, most)
 
 
+#: Runs that keyword terms take whole.
+LATIN = r"[a-zA-Z0-9_\-]+"
+
+
+def without_noise(c: Column) -> Column:
+    """A question with blanks for its connectives and noise phrases."""
+    return reduce(lambda t, w: F.replace(t, F.lit(w), F.lit(" ")), [*CONNECTIVES, *NOISE_PHRASES], F.coalesce(c, F.lit("")))
+
+
+def _parts(s: Column, low: int = 2, high: int = 4) -> Column:
+    """Substrings of low to high characters."""
+    return F.flatten(F.transform(F.sequence(F.lit(low), F.least(F.lit(high), F.length(s))), lambda n: F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substr(s, i, n))))
+
+
+def _parts_of_all(a: Column) -> Column:
+    return F.flatten(F.transform(F.filter(a, lambda s: F.length(s) >= 2), lambda s: _parts(s)))
+
+
+def _longest(terms: Column, most: int) -> Column:
+    ordered = F.array_sort(F.array_distinct(terms), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    return F.slice(ordered, 1, most)
+
+
 def keyword_terms(c: Column, most: int = 8) -> Column:
     """The longest keyword terms of a question, ties in alphabetical order.
 
-    Connectives and noise phrases go; Latin and digit runs stay whole; CJK runs give bigrams (no word segmenter here); all get
+    Connectives and noise phrases go; Latin and digit runs stay whole; CJK runs give bigrams (operators.segmentation cuts them into words); all get
     their head, tail and inner n-grams up to four characters.
     """
-    text = reduce(lambda t, w: F.replace(t, F.lit(w), F.lit(" ")), [*CONNECTIVES, *NOISE_PHRASES], F.coalesce(c, F.lit("")))
-    latin = F.regexp_extract_all(text, F.lit("([a-zA-Z0-9_\\-]+)"), F.lit(1))
+    text = without_noise(c)
+    latin = F.regexp_extract_all(text, F.lit(f"({LATIN})"), F.lit(1))
     cjk = F.regexp_extract_all(text, F.lit("([\\u4e00-\\u9fff]{2,})"), F.lit(1))
-    pieces = lambda s, low, high: F.flatten(F.transform(F.sequence(F.lit(low), F.least(F.lit(high), F.length(s))), lambda n: F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substr(s, i, n))))
-    long = lambda a: F.filter(a, lambda s: F.length(s) >= 2)
-    terms = F.array_distinct(F.concat(latin, F.flatten(F.transform(long(latin), lambda s: pieces(s, 2, 4))), F.flatten(F.transform(cjk, lambda s: pieces(s, 2, 4)))))
-    ordered = F.array_sort(terms, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    return F.slice(ordered, 1, most)
+    return _longest(F.concat(latin, _parts_of_all(latin), F.flatten(F.transform(cjk, lambda s: _parts(s)))), most)
+
+
+def terms_of_words(text: Column, words: Column, most: int = 8) -> Column:
+    """The longest of a cleaned question's terms: its Latin runs, its words, two and three words in a row (with blanks if one has
+    a Latin letter), and the parts of two to four characters of runs and words. Ties in alphabetical order."""
+    latin = F.regexp_extract_all(text, F.lit(f"({LATIN})"), F.lit(1))
+
+    def in_a_row(n: int) -> Column:
+        some = lambda i: F.slice(words, i, n)
+        joined = lambda i: F.when(F.exists(some(i), lambda w: F.rlike(w, F.lit("[a-zA-Z]"))), F.array_join(some(i), " ")).otherwise(F.array_join(some(i), ""))
+        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), joined)).otherwise(F.array().cast("array<string>"))
+
+    return _longest(F.concat(latin, words, in_a_row(2), in_a_row(3), _parts_of_all(F.concat(words, latin))), most)
 
 
 def meaningful_terms(c: Column, most: int = 6) -> Column:

@@ -9,6 +9,7 @@ from quarry.operators import cells as C
 from quarry.operators import lexical as L
 from quarry.operators import postings as P
 from quarry.operators import ranking as R
+from quarry.operators import segmentation as S
 from quarry.registry import query, table
 from quarry.sources.files import shared_folder
 
@@ -332,6 +333,28 @@ def section_search(spark, sf):
     return R.top(L.best_fields({"chunk_text": scored, "section_path": titled}), 10, F.round("score", 9).desc(), F.col("chunk")).select("query", "chunk", "rank")
 
 
+#: Letters of lower-case Latin and of Chinese texts.
+LETTERS = "[a-z\\u00df-\\u024f\\u4e00-\\u9fff]+"
+
+
+def word_pieces(spark, sf):
+    return S.fit_words(table(spark, sf, "documents").select(F.lower("text").alias("text")), pattern=LETTERS)
+
+
+@query()
+def word_model(spark, sf):
+    """Pieces of up to four letters of all documents, as an expectation maximisation weighs them."""
+    return spark.createDataFrame(word_pieces(spark, sf).rows(), "word string, expected long, log_p double")
+
+
+@query()
+def turn_words(spark, sf):
+    """Each turn of the conversations cut by the documents' word model, and its keyword terms."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.lower("text").alias("text"))
+    cut = S.cut_words(turns, word_pieces(spark, sf), pattern=LETTERS)
+    return cut.select("conv_id", "turn", "words", T.terms_of_words(T.without_noise(F.col("text")), F.col("words")).alias("terms"))
+
+
 @query()
 def query_augmentation(spark, sf):
     """Keyword terms, exact tokens and adaptive weights of each turn, capped and without repeats."""
