@@ -248,9 +248,9 @@ def paired(a: DataFrame, b: DataFrame, metric: str) -> DataFrame:
     return a.select("question_id", F.col(metric).alias("x")).join(b.select("question_id", F.col(metric).alias("y")), "question_id").where("x is not null and y is not null")
 
 
-def mcnemar(pairs: DataFrame, x: Column, y: Column) -> DataFrame:
-    """b (only the first right), c (only the second), and the exact two-sided p-value; 1 without discordant pairs."""
-    counts = pairs.agg(F.count_if(x & ~y).alias("b"), F.count_if(~x & y).alias("c"))
+def mcnemar(pairs: DataFrame, x: Column, y: Column, *key: str) -> DataFrame:
+    """key, b (only the first right), c (only the second), and the exact two-sided p-value; 1 without discordant pairs."""
+    counts = pairs.groupBy(*key).agg(F.count_if(x & ~y).alias("b"), F.count_if(~x & y).alias("c"))
 
     @F.pandas_udf("double")
     def exact(b: pd.Series, c: pd.Series) -> pd.Series:

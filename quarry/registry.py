@@ -28,5 +28,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _module in ("analytics", "text", "retrieval", "evaluation", "safety", "documents", "knowledge", "upkeep", "streams", "memory", "sources"):
+for _module in ("analytics", "text", "retrieval", "evaluation", "safety", "documents", "knowledge", "upkeep", "streams", "memory", "sources", "runs"):
     importlib.import_module(f"quarry.plans.{_module}")
