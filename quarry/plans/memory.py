@@ -56,11 +56,11 @@ def merged_summaries(spark, sf):
     return M.merge_summaries(known, e)
 
 
-@query(E_SQL + """, j AS (SELECT conv_id, '用户：' || string_agg(q, chr(10) || '用户：' ORDER BY turn) AS s FROM x WHERE back <= 4 GROUP BY 1), k AS (SELECT conv_id, length('【最近相关对话】') + 1 + length(s) > 1000 AS cut, array_to_string(list_filter(list_transform(string_split(s, chr(10)), lambda v: trim(v)), lambda v: starts_with(v, '用户：')), chr(10)) AS s FROM j), c AS (SELECT conv_id, CASE WHEN cut THEN '' ELSE s END AS s, length(s) AS n FROM k)
-SELECT conv_id, CASE WHEN conv_id % 3 = 1 THEN '' WHEN n > 974 THEN '对话承接上下文（仅用于理解指代，不作为事实证据）：' || chr(10) || '…' || right(s, 973) ELSE '对话承接上下文（仅用于理解指代，不作为事实证据）：' || chr(10) || s END AS history FROM c WHERE s <> ''""")
+@query(E_SQL + """, j AS (SELECT conv_id, '用户：' || string_agg(q, chr(10) || '用户：' ORDER BY turn) AS s FROM x WHERE back <= 4 GROUP BY 1), f AS (SELECT conv_id, '【最近相关对话】' || chr(10) || s AS s FROM j), k AS (SELECT conv_id, CASE WHEN length(s) > 1000 THEN '…' || right(s, 999) ELSE s END AS s FROM f), c AS (SELECT conv_id, array_to_string(list_filter(list_transform(string_split(s, chr(10)), lambda v: trim(v)), lambda v: starts_with(v, '用户：')), chr(10)) AS s FROM k), n AS (SELECT *, length(s) AS n FROM c)
+SELECT conv_id, CASE WHEN conv_id % 3 = 1 OR s = '' THEN '' WHEN n > 974 THEN '对话承接上下文（仅用于理解指代，不作为事实证据）：' || chr(10) || '…' || right(s, 973) ELSE '对话承接上下文（仅用于理解指代，不作为事实证据）：' || chr(10) || s END AS history FROM n""")
 def answer_histories(spark, sf):
-    """Questions that refer back see the earlier ones; long ones of their own don't. Conversations whose transcript is cut are left to the tests."""
-    whole = M.transcripts(A.last_turns(exchanges(spark, sf), "conv_id", "turn", 4), kind="answer").where(F.startswith("transcript", F.lit("【")))
+    """Questions that refer back see the earlier ones; long ones of their own don't."""
+    whole = M.transcripts(A.last_turns(exchanges(spark, sf), "conv_id", "turn", 4), kind="answer")
     k = F.col("conv_id") % 3
     question = F.when(k == 0, "请继续说明上面第二条的内容并给出例子好吗谢谢").when(k == 1, "这里是一个完整而独立的新提问与先前的谈话内容毫无关联请直接回答它").otherwise("Why so?")
     return whole.select("conv_id", M.answer_history(question, F.col("transcript")).alias("history"))

@@ -253,7 +253,7 @@ def keyword_channel(spark, sf):
     d = table(spark, sf, "documents")
     k = (F.col("doc_id") % 20 + 1).cast("string")
     chunks = d.select(F.col("doc_id").alias("chunk"), F.concat(F.lit("制度 > 第"), k, F.lit("条")).alias("section_path"), F.col("source").alias("document_name"), F.col("lang").alias("scope_name"), F.col("text").alias("chunk_text"))
-    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.concat(F.substring("text", 1, 80), F.lit(" 第"), (F.col("item_id") % 20 + 1).cast("string"), F.lit("条")).alias("text"), F.array(F.substring("text", 81, 20)).alias("hints"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.concat("text", F.lit(" 第"), (F.col("item_id") % 20 + 1).cast("string"), F.lit("条")).alias("text"), F.array(F.substring("text", 81, 20)).alias("hints"))
     return L.keyword_channel(asked, chunks, 20).select("query", "chunk", F.round("score", 6).alias("score"), "rank")
 
 
@@ -284,12 +284,14 @@ def keyword_fallback(spark, sf):
     return L.keyword_with_fallback(found, table(spark, sf, "customer").select(F.col("c_custkey").alias("query"), F.lit(-1).cast("long").alias("chunk")))
 
 
-@query("""SELECT vec_id, list_transform(v, lambda x: round(exp(x) / list_sum(list_transform(v, lambda y: exp(y))), 9)) AS p, round(1 - list_cosine_similarity(v, w), 9) AS distance FROM (SELECT vec_id, embedding[1:4]::DOUBLE[] AS v, embedding[5:8]::DOUBLE[] AS w FROM embeddings)""")
+@query("""SELECT vec_id, list_transform(v, lambda x: round(exp(x) / list_sum(list_transform(v, lambda y: exp(y))), 9)) AS p, round(1 - list_cosine_similarity(v, w), 9) AS distance FROM (SELECT vec_id, embedding[1:len(embedding) // 2]::DOUBLE[] AS v, embedding[len(embedding) // 2 + 1:]::DOUBLE[] AS w FROM embeddings)""")
 def judge_probabilities(spark, sf):
-    """Softmax of four logits, and the distance of two vectors."""
+    """Softmax of the first half of each vector as logits, and the distance of its halves."""
     from quarry.functions import vectors as V
 
-    v, w = F.slice(F.col("embedding").cast("array<double>"), 1, 4), F.slice(F.col("embedding").cast("array<double>"), 5, 4)
+    e = F.col("embedding").cast("array<double>")
+    half = F.floor(F.size(e) / 2).cast("int")
+    v, w = F.slice(e, F.lit(1), half), F.slice(e, half + 1, F.size(e) - half)
     return table(spark, sf, "embeddings").select("vec_id", F.transform(V.softmax(v), lambda x: F.round(x, 9)).alias("p"), F.round(V.cosine_distance(v, w), 9).alias("distance"))
 
 

@@ -104,11 +104,11 @@ def first_rows(spark, sf):
     return files.per_file_rows(rows, 3).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("SELECT doc_id, source, CASE WHEN source IN (SELECT source FROM documents GROUP BY 1 HAVING count(*) % 2 = 0) THEN 'new' ELSE 'old' END AS version FROM documents WHERE source IS NOT NULL")
+@query("SELECT doc_id, source, CASE WHEN source IN (SELECT source FROM documents GROUP BY 1 HAVING count(*) % 2 = 0) THEN 'new' ELSE 'old' END AS version FROM documents")
 def rewritten_partitions(spark, sf):
     """A store by source, of which only the sources that come anew are overwritten."""
     path = files.shared_folder(spark, "by-source")
-    d = table(spark, sf, "documents").where("source is not null").select("doc_id", "source")
+    d = table(spark, sf, "documents").select("doc_id", "source")
     files.write_by_document(d.withColumn("version", F.lit("old")), path)
     again = d.groupBy("source").count().where("count % 2 = 0").select("source")
     files.write_by_document(d.join(again, "source", "left_semi").withColumn("version", F.lit("new")), path)
@@ -142,13 +142,13 @@ def robots_prefixes(spark, sf):
     return files.robots_rules(text.select(F.concat(F.lit("h"), F.col("n_regionkey").cast("string")).alias("host"), "text"))
 
 
-W_SQL = "w AS (SELECT doc_id AS chunk, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents WHERE doc_id % 2 = 0 AND NOT regexp_matches(coalesce(text, ''), '[\\x{4e00}-\\x{9fff}]'))"
+W_SQL = "w AS (SELECT doc_id AS chunk, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+|[\\x{4e00}-\\x{9fff}]') AS w FROM documents WHERE doc_id % 2 = 0)"
 
 
 @query(f"WITH {W_SQL}, t AS (SELECT chunk, len(w) AS dl, unnest(w) AS term FROM w) SELECT chunk, term, dl, count(*) AS tf FROM t GROUP BY ALL")
 def child_postings(spark, sf):
     """Postings of child chunks (every second document)."""
-    c = table(spark, sf, "documents").where(~F.regexp(F.coalesce("text", F.lit("")), F.lit("[\\u4e00-\\u9fff]")))
+    c = table(spark, sf, "documents")
     return U.child_postings(c.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.when(F.col("doc_id") % 2 == 0, "child").otherwise("parent").alias("chunk_type")))
 
 

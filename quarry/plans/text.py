@@ -173,35 +173,36 @@ def model_replies(spark, sf):
     )
 
 
-@query("""WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations WHERE text IS NOT NULL GROUP BY 1), s AS (SELECT conv_id, t, list_transform(range(1, len(t) + 1), lambda i: list_sum(list_transform(t[1:i], lambda x: length(x)))) AS n FROM c)
+@query("""WITH c AS (SELECT conv_id, list(coalesce(text, '') ORDER BY turn) AS t FROM conversations GROUP BY 1), s AS (SELECT conv_id, t, list_transform(range(1, len(t) + 1), lambda i: list_sum(list_transform(t[1:i], lambda x: length(x)))) AS n FROM c)
 SELECT conv_id, len(list_filter(n, lambda x: x <= 500)) AS whole FROM s""")
 def bounded_contexts(spark, sf):
     """Whole turns from the front while they fit: the first that doesn't ends it."""
-    c = table(spark, sf, "conversations").where("text is not null").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("t"))
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("t"))
     return c.select("conv_id", F.size(T.bounded_context(F.col("t"), 500)).alias("whole"))
 
 
-@query("""WITH a AS (SELECT doc_id, text, length(text) AS n, CASE WHEN length(text) > 300 THEN greatest(1, 201 - 45) ELSE 1 END AS lead, substr(text, 201, 10) AS anchor FROM documents WHERE text IS NOT NULL),
+@query("""WITH a AS (SELECT doc_id, text, length(text) AS n, CASE WHEN length(text) > 300 THEN greatest(1, 201 - 45) ELSE 1 END AS lead, substr(text, 201, 10) AS anchor FROM documents),
 b AS (SELECT *, CASE WHEN anchor <> '' THEN strpos(text, anchor) ELSE 0 END AS pos FROM a), c AS (SELECT *, least(CASE WHEN pos > 0 THEN greatest(1, pos - (100 - length(anchor)) // 2) ELSE 1 END, greatest(1, n - 99)) AS start FROM b)
 SELECT doc_id, CASE WHEN n <= 100 THEN text ELSE CASE WHEN start > 1 THEN '…' ELSE '' END || substr(text, start, 100) || CASE WHEN start + 99 < n THEN '…' ELSE '' END END AS snippet FROM c""")
 def soft_windows(spark, sf):
-    d = table(spark, sf, "documents").where("text is not null")
+    d = table(spark, sf, "documents")
     return d.select("doc_id", T.soft_window(F.col("text"), F.substring("text", 201, 10), 100).alias("snippet"))
 
 
-@query("""WITH s AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(left(text, 60), '[\\s、，,；;：:（）()\\-]+'), lambda x: length(x) >= 2) AS s FROM conversations),
-g AS (SELECT conv_id, turn, flatten(list_transform(s, lambda x: list_concat([x], CASE WHEN length(x) >= 4 THEN flatten(list_transform(range(2, least(6, length(x)) + 1), lambda n: list_transform(range(1, length(x) - n + 2), lambda i: substr(x, i, n)))) ELSE [] END))) AS g FROM s)
-SELECT conv_id, turn, list_filter(g, lambda x, i: list_position(g, x) = i)[1:40] AS terms FROM g""")
+@query("""WITH s AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s、，,；;：:（）()\\-的和及与或]+'), lambda x: length(x) >= 2) AS s FROM conversations),
+g AS (SELECT conv_id, turn, flatten(list_transform(s, lambda x: list_concat([x], CASE WHEN length(x) >= 4 THEN flatten(list_transform(range(2, least(6, length(x)) + 1), lambda n: list_transform(range(1, length(x) - n + 2), lambda i: substr(x, i, n)))) ELSE [] END))) AS g FROM s),
+u AS (SELECT conv_id, turn, unnest(g) AS t, unnest(range(len(g))) AS i FROM g), f AS (SELECT conv_id, turn, t, min(i) AS i FROM u GROUP BY ALL)
+SELECT conv_id, turn, coalesce(list(t ORDER BY f.i) FILTER (t IS NOT NULL), [])[1:40] AS terms FROM conversations LEFT JOIN f USING (conv_id, turn) GROUP BY conv_id, turn""")
 def route_terms(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", T.query_terms(F.substring("text", 1, 60)).alias("terms"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.query_terms(F.col("text")).alias("terms"))
 
 
-@query("""SELECT o_orderkey, [year(o_orderdate)::VARCHAR] AS years, ['第' || o_orderkey % 30 || '条', '附录B'] AS sections, CASE WHEN o_orderkey % 2 = 0 THEN ['操作手册', 'FAQ', '手册'] ELSE [] END AS names FROM orders WHERE year(o_orderdate) >= 2000""")
+@query("""SELECT o_orderkey, CASE WHEN year(o_orderdate) >= 2000 THEN [year(o_orderdate)::VARCHAR] ELSE [] END AS years, ['第' || o_orderkey % 30 || '条', '附录B'] AS sections, CASE WHEN o_orderkey % 2 = 0 THEN ['操作手册', 'FAQ', '手册'] ELSE [] END AS names FROM orders""")
 def query_filters(spark, sf):
-    """Years, sections and kinds of documents that a question names."""
+    """Years (of this century), sections and kinds of documents that a question names."""
     k = F.col("o_orderkey")
     q = F.concat(F.year("o_orderdate").cast("string"), F.lit(" 年的第 "), (k % 30).cast("string"), F.lit(" 条和附录 B"), F.when(k % 2 == 0, "，见操作手册与faq").otherwise(""))
-    return table(spark, sf, "orders").where(F.year("o_orderdate") >= 2000).select(k, T.query_filters(q).alias("f")).select("o_orderkey", "f.years", "f.sections", "f.names")
+    return table(spark, sf, "orders").select(k, T.query_filters(q).alias("f")).select("o_orderkey", "f.years", "f.sections", "f.names")
 
 
 @query(r"""SELECT conv_id, turn, lower(regexp_replace(coalesce(text, ''), '[\s>`*#_\-，,。；;：:（）()''\[\]]+', '', 'g')) AS form FROM conversations""")
