@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.functions.vectors import cosine
+from quarry.sources import files
 
 #: Defaults (fixed values): rank constant, channel and final cuts, gate ratios.
 RRF_K, VECTOR_TOP, KEYWORD_TOP, CANDIDATES, FINAL_K = 30, 50, 100, 50, 16
@@ -372,31 +373,85 @@ def evict_beyond(facts: DataFrame, n: int, oldest: bool = False) -> DataFrame:
     return top(facts, n, *order, key=("user",), name="_n").drop("_n")
 
 
-def insert_facts(facts: DataFrame, most_similar: float = 0.92, most: int = 100_000) -> DataFrame:
+def insert_facts(facts: DataFrame, most_similar: float = 0.92, most: int = 20_000) -> DataFrame:
     """Facts taken one by one in their order, without those that are as similar to an earlier kept one of their user.
 
-    facts: user, fact, vector. A user's facts are one task's work, read as a stream: only the kept ones are held, in one
-    growing matrix, and they are at most `most` (see evict_beyond); more raise an error rather than being left out.
+    facts: user, fact, vector (and more columns, which stay). Vectors of another size than the user's first one, null and zero
+    ones are similar to nothing. Facts under one id come in the order of their vectors' hashes. A null user is a user.
+
+    A user's facts are read as a stream, and only the kept ones are held, in one growing matrix. Where a user has more than
+    `most` facts, the first `most` of those left over (and any of the last one's id and vector) are settled so; what they keep is then held against the user's other facts,
+    dealt out by a salt in groups of about 4 times `most`, and the rest goes into another round. So no task holds more vectors
+    than that, however many facts a user has; rounds are written to the shared folder. The result is the same for any `most`.
     """
-    order = [f.name for f in facts.schema]
-    u, v = order.index("user"), order.index("vector")
+    names = facts.columns
+    order = [F.col("fact"), F.xxhash64("vector")]
+    place = F.struct(F.col("fact").alias("f"), F.xxhash64("vector").alias("h"))
+    size = F.size(F.coalesce("vector", F.array().cast(facts.schema["vector"].dataType)))
+    users = facts.groupBy("user").agg(F.count("*").alias("_n"), F.min_by(size, place).alias("_dim"))
+    large = users.where(F.col("_n") > most)
+    if large.isEmpty():
+        return _first_of_kind(facts, order, most_similar)
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        path = files.shared_folder(facts.sparkSession, name)
+        df.write.parquet(path)
+        return facts.sparkSession.read.schema(df.schema).parquet(path)
+
+    def among(df: DataFrame, few: DataFrame, how: str) -> DataFrame:
+        keys = few.select(F.col("user").alias("_u"))
+        return df.join(keys, F.col("user").eqNullSafe(F.col("_u")), how)
+
+    n_of = large.select(F.col("user").alias("_u"), F.ceil(F.col("_n") / (4 * most)).alias("_salts"), F.col("_dim"))
+    small = among(facts, large, "left_anti")
+    open_ = facts.join(n_of, F.col("user").eqNullSafe(F.col("_u"))).drop("_u")
+    other = F.col("vector").isNull() | (F.size("vector") != F.col("_dim"))
+    kept = [_first_of_kind(small, order, most_similar), written(open_.where(other).select(*names), "facts-kept")]
+    open_ = written(open_.where(~other), "facts")
+    while not open_.isEmpty():
+        ends = top(open_, most, *order, key=("user",), name="_at").groupBy(F.col("user").alias("_u")).agg(F.max(place).alias("_end"))
+        parted = open_.join(ends, F.col("user").eqNullSafe(F.col("_u"))).withColumn("_head", place <= F.col("_end")).drop("_u", "_end")
+        took = written(_first_of_kind(parted.where("_head").drop("_head"), order, most_similar), "facts-kept")
+        kept.append(took.select(*names))
+        rest = parted.where("not _head").drop("_head")
+        seen = took.withColumn("_salt", F.explode(F.sequence(F.lit(0), (F.col("_salts") - 1).cast("int")))).select("user", "_salt", "vector")
+        dealt = rest.withColumn("_salt", F.pmod(F.xxhash64("fact", "vector"), "_salts").cast("int"))
+        open_ = written(dealt.groupBy("user", "_salt").cogroup(seen.groupBy("user", "_salt")).applyInArrow(_unlike(most_similar), dealt.schema).drop("_salt"), "facts")
+    return reduce(DataFrame.unionByName, kept)
+
+
+def _first_of_kind(facts: DataFrame, order: Sequence[Column], most_similar: float) -> DataFrame:
+    """Each user's facts in order without those that are like an earlier kept one, which one task holds."""
+    names = facts.columns
+    u, v = names.index("user"), names.index("vector")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        user, held, n = None, np.empty((0, 0)), 0
+        user, held, n, started = None, np.empty((0, 0)), 0, False
         for batch in batches:
             users, vectors, on = batch.column(u).to_pylist(), batch.column(v).to_pylist(), []
             for name, vector in zip(users, vectors, strict=True):
-                if name != user:
-                    user, held, n = name, np.empty((64, len(vector or []))), 0
+                if name != user or not started:
+                    user, held, n, started = name, np.empty((64, len(vector or []))), 0, True
                 x = unit_rows([vector], held.shape[1])[0]
                 on.append(not n or float((held[:n] @ x).max()) <= most_similar)
                 if on[-1]:
-                    if n == most:
-                        raise ValueError(f"user {user!r} keeps more than {most} facts; evict some first")
                     if n == len(held):
                         held = np.concatenate([held, np.empty_like(held)])
                     held[n] = x
                     n += 1
             yield batch.filter(pa.array(on, pa.bool_()))
 
-    return facts.repartition("user").sortWithinPartitions("user", "fact").mapInArrow(keep, facts.schema)
+    return facts.repartition("user").sortWithinPartitions("user", *order).mapInArrow(keep, facts.schema)
+
+
+def _unlike(most_similar: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For a group of facts and of kept ones: the facts that are like none of the kept, 1024 at a time."""
+
+    def run(rows: pa.Table, seen: pa.Table) -> pa.Table:
+        vectors = rows.column("vector").to_pylist()
+        dim = len(vectors[0]) if vectors else 0
+        held = unit_rows(seen.column("vector").to_pylist(), dim)
+        on = [(unit_rows(vectors[k : k + 1024], dim) @ held.T).max(axis=1, initial=-1.0) <= most_similar for k in range(0, len(vectors), 1024)]
+        return rows.filter(pa.array(np.concatenate(on), pa.bool_())) if on else rows
+
+    return run

@@ -152,8 +152,20 @@ def test_facts_are_taken_one_by_one(spark):
                 want.append(i)
     df = spark.createDataFrame(rows, "user int, fact long, vector array<double>")
     assert sorted(r.fact for r in R.insert_facts(df).collect()) == sorted(want)
-    with pytest.raises(Exception, match="keeps more than"):
-        R.insert_facts(df, most=2).collect()
+    for most in (7, 60):
+        assert sorted(r.fact for r in R.insert_facts(df, most=most).collect()) == sorted(want)
+
+
+def test_facts_in_rounds_keep_odd_rows(spark):
+    v = [1.0, 0.0, 0.0]
+    odd = [(None, 1, v), (None, 2, v), (None, 3, None), (7, 1, v), (7, 1, v), (7, 2, [2.0, 0.0, 0.0]), (7, 3, None), (7, 4, [1.0, 0.0]), (7, 5, [0.0, 0.0, 0.0]), (7, 6, [0.0, 1.0, 0.0]), (7, 6, [0.0, 3.0, 0.0]), (8, 1, v)]
+    df = spark.createDataFrame(odd, "user int, fact long, vector array<double>").withColumn("extra", R.F.lit("x"))
+    want = [(None, 1), (None, 3), (7, 1), (7, 3), (7, 4), (7, 5), (7, 6), (8, 1)]
+    for most in (1, 3, 100):
+        got = R.insert_facts(df, most=most)
+        assert got.columns == df.columns
+        assert sorted(((r.user, r.fact) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert R.insert_facts(df.limit(0)).count() == 0
 
 
 def test_nearest_agrees_with_pairs(spark):
