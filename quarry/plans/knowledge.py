@@ -41,10 +41,16 @@ def route_confidence(spark, sf):
     return c.select("query", F.round("confidence", 3).alias("confidence"), "status")
 
 
-@query(f"WITH {S_SQL}, c AS (SELECT query, max(score) FILTER (rank = 1) AS best, max(score) FILTER (rank = 2) AS second FROM b GROUP BY 1) SELECT query, best / greatest(10, best + second + 5) < 0.4 OR best - second <= 3 AS clarify FROM c")
+@query(f"""WITH {S_SQL}, c AS (SELECT query, max(score) FILTER (rank = 1) AS best, max(score) FILTER (rank = 2) AS second, max(code) FILTER (rank = 1) AS c1, max(code) FILTER (rank = 2) AS c2 FROM b GROUP BY 1),
+d AS (SELECT *, best / greatest(10, best + second + 5) AS conf FROM c) SELECT query, CASE WHEN query // 100 % 2 = 0 THEN conf < 0.25 ELSE conf < 0.4 END OR (best - second <= 3 AND coalesce(c1 % 2 <> c2 % 2, true)) AS clarify FROM d""")
 def clarify_decisions(spark, sf):
-    c = G.confidence(routes(spark, sf))
-    return c.select("query", G.must_clarify(F.col("best") / F.greatest(F.lit(10.0), F.col("best") + F.col("second") + 5), F.lit(False), F.col("best") - F.col("second"), F.lit(False)).alias("clarify"))
+    """Every other question gives a name; the two leaders' scopes are their codes' parities."""
+    r = routes(spark, sf)
+    code = lambda n: F.max(F.when(F.col("rank") == n, F.col("code"))).alias(f"c{n}")
+    c = G.confidence(r).join(r.groupBy("query").agg(code(1), code(2)), "query")
+    named, same = F.floor(F.col("query") / 100) % 2 == 0, F.coalesce(F.col("c1") % 2 == F.col("c2") % 2, F.lit(False))
+    score = F.col("best") / F.greatest(F.lit(10.0), F.col("best") + F.col("second") + 5)
+    return c.select("query", G.must_clarify(score, named, F.col("best") - F.col("second"), same).alias("clarify"))
 
 
 @query(f"WITH {S_SQL}, f AS (SELECT query, list(code ORDER BY rank) AS codes, list(round(score, 3) ORDER BY rank) AS scores FROM b WHERE rank <= 5 GROUP BY 1) SELECT query, codes, scores, CASE query // 100 % 3 WHEN 0 THEN true WHEN 1 THEN false END AS hit FROM f")
@@ -57,10 +63,13 @@ def route_traces(spark, sf):
     return rows.select("query", F.col("r")["code"].alias("codes"), F.transform(F.col("r")["score"], lambda x: F.round(x, 3)).alias("scores"), "hit")
 
 
-@query("""SELECT p_partkey, (CASE WHEN lower(p_brand) = 'brand#11' THEN 2 ELSE 0 END + CASE WHEN starts_with(lower(p_brand), 'brand#11') THEN 1.5 ELSE 0 END + CASE WHEN contains('brand#11', lower(p_brand)) OR contains(lower(p_brand), 'brand#11') THEN 1 ELSE 0 END
-+ CASE WHEN levenshtein('brand#11', lower(p_brand)) <= 2 THEN 0.5 ELSE 0 END)::DOUBLE AS score FROM part""")
+@query("""WITH p AS (SELECT p_partkey, lower(CASE WHEN p_size % 3 = 0 THEN ' brand#' || p_size % 30 || ' ' WHEN p_size % 3 = 1 THEN 'brand' ELSE p_name || ' ' || p_brand END) AS raw, lower(p_brand) AS n, lower(p_type) AS w FROM part), q AS (SELECT *, trim(raw) AS q FROM p)
+SELECT p_partkey, (CASE WHEN q = n THEN 2 ELSE 0 END + CASE WHEN starts_with(n, q) THEN 1.5 ELSE 0 END + CASE WHEN contains(q, n) OR contains(n, q) THEN 1 ELSE 0 END + CASE WHEN levenshtein(q, n) <= 2 THEN 0.5 ELSE 0 END + CASE WHEN contains(q, 'cold') THEN 0.8 ELSE 0 END + CASE WHEN contains(q, w) THEN 0.8 ELSE 0 END)::DOUBLE AS score FROM q""")
 def lexical_routes(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", L.route_lexical(F.lit("Brand#11"), F.col("p_brand")).alias("score"))
+    """Each part's brand for a question that says a brand, the start of all brands, or the part's name and brand; two listed words."""
+    k = F.col("p_size") % 3
+    asked = F.when(k == 0, F.concat(F.lit(" Brand#"), (F.col("p_size") % 30).cast("string"), F.lit(" "))).when(k == 1, "brand").otherwise(F.concat_ws(" ", "p_name", "p_brand"))
+    return table(spark, sf, "part").select("p_partkey", L.route_lexical(asked, F.col("p_brand"), [F.lit("cold"), F.col("p_type")]).alias("score"))
 
 
 @query("""WITH w AS (SELECT p_partkey AS code, unnest(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+'))) AS term FROM part), q AS (SELECT n_nationkey AS query, unnest(list_distinct(regexp_extract_all(lower(n_name), '[a-z0-9]+') || ['widget', 'cold'])) AS term FROM nation),
@@ -126,10 +135,15 @@ def route_caps(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'open' ELSE 'knowledge' END AS intent FROM conversations")
+@query("""WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) % 101 / 100 AS p, CASE WHEN turn % 3 = 0 THEN 'chitchat' ELSE 'Knowledge' END AS first, CASE WHEN turn % 3 = 0 THEN 'data' ELSE 'CHAT' END AS second, CASE WHEN conv_id % 2 = 0 THEN 'Open' ELSE 'other' END AS rule FROM conversations),
+l AS (SELECT conv_id, turn, lower(CASE WHEN p >= 0.55 AND p - (1 - p) >= 0.15 THEN first WHEN 1 - p >= 0.55 AND 1 - p - p >= 0.15 THEN second ELSE rule END) AS label FROM t)
+SELECT conv_id, turn, CASE WHEN label IN ('capability', 'chitchat', 'chat', 'open') THEN 'open' ELSE 'knowledge' END AS intent FROM l""")
 def intents(spark, sf):
-    d = F.array(F.struct(F.lit("knowledge").alias("label"), F.when(F.col("turn") % 2 == 0, 0.3).otherwise(0.6).alias("p")), F.struct(F.lit("chat").alias("label"), F.when(F.col("turn") % 2 == 0, 0.7).otherwise(0.5).alias("p")))
-    return table(spark, sf, "conversations").select("conv_id", "turn", G.resolve_intent(d, F.lit("other")).alias("intent"))
+    """Each turn's intent: two labels share a probability that its text's length gives; where neither is clear, a rule decides."""
+    p = F.length(F.coalesce("text", F.lit(""))) % 101 / 100
+    k = F.col("turn") % 3 == 0
+    d = F.array(F.struct(F.when(k, "chitchat").otherwise("Knowledge").alias("label"), p.alias("p")), F.struct(F.when(k, "data").otherwise("CHAT").alias("label"), (1 - p).alias("p")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", G.resolve_intent(d, F.when(F.col("conv_id") % 2 == 0, "Open").otherwise("other")).alias("intent"))
 
 
 NAMES_SQL = """WITH n AS (SELECT DISTINCT lower(p_name || ' ' || p_brand) AS name FROM part), q AS (SELECT DISTINCT lower(p_name || ' brand#' || (p_size % 30)) AS query FROM part)"""
