@@ -6,9 +6,9 @@ A byte goes if a string of `length` bytes around it also starts earlier in the c
    shift below 73 that takes both to sampled ones. So two equal strings share a sampled suffix, at the same shift, and
    agree in the bytes before it. A sieve by hashes of 28 bytes finds the samples that can tie with another one at all.
 2. Suffix buckets. The suffixes of tied samples are dealt into buckets of the suffix order, by splitters sampled from
-   the texts, and each bucket is sorted by itself, by bytes. Neighbours' common prefixes give the ranks of the samples at
-   every depth, and these settle the long ties: two strings with the shift d are equal if the samples' ranks tie at depth
-   length - d and the d bytes before the samples, which break ties of the order, are the same.
+   the texts, and each bucket is sorted by itself, by the next `length` bytes. Neighbours' common prefixes settle the long ties
+   within the bucket: two strings with the shift d are equal if their samples agree in length - d bytes and the d bytes
+   before the samples are the same. As strings have `length` bytes, no ranks of samples in the whole corpus are stored for it.
 3. Hot suffixes. A bucket must hold all suffixes that tie at 28 bytes. Where the sieve counts more than `most` of them,
    their strings are grouped by Spark instead, each by its own bytes, combined before they are shuffled.
 
