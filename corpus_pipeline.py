@@ -26,7 +26,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates (Jaccard similarity of five-word shingle sets from 0.8 on) the document with the smallest id."""
+    """Of each class of near-duplicates (Jaccard similarity of five-word shingle sets from 0.8 on) the document with the smallest id. SimHash fingerprints link first, each link is confirmed."""
     return simhash.drop_near_copies(docs)
 
 

@@ -7,9 +7,9 @@ then equal too, so the pair shares a key made of one segment and half of the nex
 share a key are tested inside their group, vectorised: chain by chain from the key's segment on, each against its budget,
 and what is left by the whole distance (the chain of all segments). Only a spanning forest of the links leaves a task.
 
-near_classes and drop_near_copies don't take fingerprints: they join the texts' sets of shingles by exact Jaccard similarity.
-Fingerprints can't give right results there, for at a similarity of 0.8 they differ in about 10 of 64 bits, and in
-8 to 12 as easily.
+near_classes and drop_near_copies link texts by the same fingerprints and confirm each link by the exact Jaccard similarity
+of the sets of shingles. At a similarity of 0.8 fingerprints differ in about 10 of 64 bits, and in 8 to 12 as easily, so
+texts that may be similar and that confirmed links don't join are compared exactly too.
 """
 
 from __future__ import annotations
@@ -307,6 +307,28 @@ def set_links(texts: DataFrame, size: int, similarity: float) -> DataFrame:
     return texts.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell").mapInArrow(run, "a long, b long")
 
 
+def compared(texts: DataFrame, group: list[str], size: int, similarity: float, cap: int) -> DataFrame:
+    """Links (a, b) of the texts (node, t) of a group, by exact similarity; groups of more than `cap` bytes are split."""
+    cells = split_hot(texts.select("node", "t", F.struct(*group).alias("cluster")), ["cluster"], "node", cap, F.octet_length("t") + 64)
+    return set_links(cells.select("cluster", "cell", "node", "t"), size, similarity)
+
+
+def confirmed_links(texts: DataFrame, size: int, similarity: float, cap: int, tau: int = 4) -> DataFrame:
+    """Links (a, b) that join all similar texts (node, t) of a cluster.
+
+    Fingerprints that differ in at most tau bits come first (see print_classes): texts that they join are confirmed by exact
+    similarity. A cluster whose texts are then all of one class needs no more; all texts of the others are compared exactly.
+    """
+    texts = written(texts, "candidates")
+    prints = print_classes(texts, size, tau, "t", "node").select("node", F.col("component").alias("print"))
+    shared = prints.groupBy("print").count().where("count > 1").select("print")
+    confirmed = written(compared(texts.join(prints.join(shared, "print"), "node"), ["cluster", "print"], size, similarity, cap), "confirmed")
+    classes = texts.select("node", "cluster").join(components(confirmed), "node", "left")
+    apart = classes.groupBy("cluster").agg(F.min(F.coalesce("component", "node")).alias("least"), F.max(F.coalesce("component", "node")).alias("most")).where("least < most")
+    rest = compared(texts.join(apart.select("cluster"), "cluster", "left_semi"), ["cluster"], size, similarity, cap)
+    return written(confirmed.unionByName(rest), "links")
+
+
 def _classed(df: DataFrame, size: int, similarity: float, text: str, key: str, cap: int) -> tuple[DataFrame, DataFrame]:
     """df with numbered rows (_row), and for each _row that links with others its key and the smallest key of its class (null: the class has none)."""
     rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
@@ -317,8 +339,7 @@ def _classed(df: DataFrame, size: int, similarity: float, text: str, key: str, c
     hubs = tokens.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
     clusters = components(tokens.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     texts = rows.select(F.col("_row").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(clusters, "node").withColumnRenamed("component", "cluster")
-    cells = split_hot(texts, ["cluster"], "node", cap, F.octet_length("t") + 64)
-    links = written(set_links(cells.select("cluster", "cell", "node", "t"), size, similarity), "links")
+    links = confirmed_links(texts, size, similarity, cap)
     keys = rows.select("_row", F.col(key).alias("k"))
     labels = noded.select("_row", "node").join(components(links), "node", "left").select("_row", F.coalesce("component", "node").alias("c")).join(keys, "_row")
     labels = written(labels, "labels")
@@ -329,7 +350,7 @@ def near_classes(df: DataFrame, size: int = 5, similarity: float = 0.8, text: st
     """`key` and component: the smallest key that near-duplicate links reach, one row for each row of df.
 
     Texts are linked when the Jaccard similarity of their sets of distinct shingles is at least `similarity`, shingles being
-    taken by their 64-bit hashes. No pair is missed: similar texts share one of their rarest shingles (see marked), texts that
+    taken by their 64-bit hashes; fingerprints link first (see confirmed_links). No pair is missed: similar texts share one of their rarest shingles (see marked), texts that
     do form clusters, and inside a cluster all overlaps are exact. Clusters of more than `cap` bytes are split (see
     split_hot). A text with fewer words is one shingle; null, empty and blank texts have none and form one class. Texts with
     equal sets are one node. Null keys never win against others; a class of null keys only has a null component.

@@ -164,6 +164,27 @@ def test_near_classes_are_exact(spark, small):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k, c in want.items() if k == c)
 
 
+def test_near_copies_by_fingerprints_first(spark, monkeypatch):
+    """The pipeline's stage links by fingerprints, confirms exactly, and compares only the clusters that this leaves apart."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:299], "end"])), (3, "no other text is like this one"), (4, " ".join(f"x{i}" for i in range(13))), (5, " ".join(f"x{i}" for i in range(12)) + " y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bits = [simhash.fingerprint(simhash.shingle_hashes(t, 5)) for _, t in rows]
+    assert (bits[0] ^ bits[1]).bit_count() <= 4 < (bits[3] ^ bits[4]).bit_count()
+    compared, links = [], simhash.set_links
+
+    def recorded(texts, size, similarity):
+        compared.append(sorted(r.t for r in texts.select("t").collect()))
+        return links(texts, size, similarity)
+
+    monkeypatch.setattr(simhash, "set_links", recorded)
+    assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, df, "").collect()) == [1, 3, 4]
+    text = dict(rows)
+    assert compared == [sorted([text[1], text[2]]), sorted([text[4], text[5]])]
+
+
 def test_near_copies_without_key(spark):
     df = spark.createDataFrame([(None, "a text of its own without any key"), (1, "b c d e f"), (None, "B c d e f")], "doc_id long, text string")
     assert sorted(r.text for r in simhash.drop_near_copies(df).collect()) == ["a text of its own without any key", "b c d e f"]
