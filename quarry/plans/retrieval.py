@@ -28,10 +28,8 @@ def by_vector(spark, sf):
 
 
 def by_keyword(spark, sf):
-    docs = table(spark, sf, "documents")
-    terms = L.query_terms(questions(spark, sf))
-    scored = L.bm25(L.sorted_postings(docs, "doc_id", "text", terms), terms, L.corpus_size(docs, "text"))
-    return R.top(scored, R.KEYWORD_TOP, F.round("score", 9).desc(), F.col("chunk"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk"), "text")
+    return L.bm25_best(questions(spark, sf).select("query", "text"), docs, {"text": 1.0}, R.KEYWORD_TOP)
 
 
 V_SQL = """q AS (SELECT item_id AS query, text, embedding::DOUBLE[] AS qv FROM benchmark JOIN embeddings ON vec_id = item_id),
@@ -328,11 +326,9 @@ def fact_insert(spark, sf):
 @query()
 def section_search(spark, sf):
     """Pages as sections of their host: the best ten for each benchmark item's words, met by shared words."""
-    pages = table(spark, sf, "pages").select("page_id", T.url_slug(F.col("url")).alias("title"), T.page_text(F.col("html")).alias("body"))
-    terms = L.query_terms(table(spark, sf, "benchmark"), "item_id")
-    scored = L.bm25(L.sorted_postings(pages, "page_id", "body", terms), terms, L.corpus_size(pages, "body"))
-    titled = L.bm25(L.sorted_postings(pages, "page_id", "title", terms), terms, L.corpus_size(pages, "title"))
-    return R.top(L.best_fields({"chunk_text": scored, "section_path": titled}), 10, F.round("score", 9).desc(), F.col("chunk")).select("query", "chunk", "rank")
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("chunk"), T.url_slug(F.col("url")).alias("section_path"), T.page_text(F.col("html")).alias("chunk_text"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return L.bm25_best(asked, pages, {f: L.FIELDS[f] for f in ("chunk_text", "section_path")}, 10).select("query", "chunk", "rank")
 
 
 #: Letters of lower-case Latin and of Chinese texts.
