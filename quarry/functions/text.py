@@ -123,7 +123,12 @@ def _pairs(s: Column) -> Column:
 
 def bigrams(c: Column) -> Column:
     """Distinct character pairs of the CJK and ASCII word characters, lower case; none below two characters."""
-    return _pairs(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), "[^\\u4e00-\\u9fffA-Za-z0-9_]", "")))
+    return _pairs(pair_form(c))
+
+
+def pair_form(c: Column) -> Column:
+    """The characters that bigrams pairs."""
+    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), "[^\\u4e00-\\u9fffA-Za-z0-9_]", ""))
 
 
 def gold_bigrams(c: Column) -> Column:

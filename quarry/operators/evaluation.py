@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.functions import text as T
 
@@ -49,23 +50,51 @@ def average_precision(judged: DataFrame) -> DataFrame:
     return at.groupBy("query").agg(F.coalesce(F.avg("_p"), F.lit(0.0)).alias("precision"))
 
 
-def overlap_pairs(snippets: DataFrame, texts: DataFrame, least: float, grams: Callable[[Column], Column] = T.bigrams) -> DataFrame:
+def overlap_pairs(snippets: DataFrame, texts: DataFrame, least: float, form: Callable[[Column], Column] = T.pair_form, single: bool = False) -> DataFrame:
     """snippet, chunk, ratio: texts that hold at least that share of a snippet's character pairs.
 
     snippets (snippet, text) are a stated query set: they meet all texts (chunk, text) in blocks that are small enough to
-    broadcast. Character pairs are too common for an equality join on them to leave anything out.
+    send. Character pairs are too common for an equality join on them to leave anything out; those shared by a batch of texts
+    and all snippets are counted by a matrix product.
     """
     from quarry.operators.ranking import query_blocks
 
-    s = snippets.select("snippet", grams(F.col("text")).alias("b")).where(F.size("b") > 0)
-    t = texts.select("chunk", grams(F.col("text")).alias("c"))
-    parts = [t.crossJoin(F.broadcast(p)).select("snippet", "chunk", (F.size(F.array_intersect("b", "c")) / F.size("b")).alias("ratio")).where(F.col("ratio") >= least) for p in query_blocks(s, "snippet")]
-    return reduce(DataFrame.unionByName, parts)
+    s = snippets.select("snippet", F.coalesce(form(F.col("text")), F.lit("")).alias("b"))
+    t = texts.select("chunk", F.coalesce(form(F.col("text")), F.lit("")).alias("c"))
+    return reduce(DataFrame.unionByName, [_block_overlaps(p, t, least, single) for p in query_blocks(s, "snippet")])
+
+
+def _block_overlaps(snippets: DataFrame, texts: DataFrame, least: float, single: bool) -> DataFrame:
+    """snippet, chunk, ratio of one block of snippets (snippet, b) and all texts (chunk, c), both in the form whose pairs count. single: a shorter form stands for itself."""
+
+    def pairs(s: str) -> set[str]:
+        return {s} if single and len(s) < 2 else {a + b for a, b in set(zip(s, s[1:], strict=False))}
+
+    asked = [(r["snippet"], own) for r in snippets.collect() if (own := pairs(r["b"]))]
+    at = {g: i for i, g in enumerate({g for _, own in asked for g in own})}
+    wants = np.zeros((len(at), len(asked)), np.float32)
+    for i, (_, own) in enumerate(asked):
+        wants[[at[g] for g in own], i] = 1
+    sizes = wants.sum(0).astype(np.float64)
+    of_snippet, of_chunk = (to_arrow_type(d.schema[0].dataType) for d in (snippets, texts))
+    names = pa.array([k for k, _ in asked], of_snippet)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(a, 500) for a in range(0, batch.num_rows, 500)):
+                held = np.zeros((part.num_rows, len(at)), np.float32)
+                for i, text in enumerate(part.column(1)):
+                    held[i, [k for k in map(at.get, pairs(text.as_py())) if k is not None]] = 1
+                ratio = (held @ wants).astype(np.float64) / sizes
+                i, j = np.nonzero(ratio >= least)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), part.column(0).take(pa.array(i)), pa.array(ratio[i, j])], names=["snippet", "chunk", "ratio"])
+
+    return texts.mapInArrow(run, f"snippet {snippets.schema[0].dataType.simpleString()}, chunk {texts.schema[0].dataType.simpleString()}, ratio double")
 
 
 def align_gold(snippets: DataFrame, chunks: DataFrame, least: float = 0.92) -> DataFrame:
     """snippet, chunk, ratio: chunks that hold at least 92 % of a snippet's pairs in its matched form; a contained one has ratio 1."""
-    return overlap_pairs(snippets, chunks, least, T.gold_bigrams)
+    return overlap_pairs(snippets, chunks, least, T.normalize_for_match, single=True)
 
 
 def prefilter(candidates: DataFrame, k: int = 25) -> DataFrame:
