@@ -83,3 +83,21 @@ def test_empty_index(spark, tmp_path):
     index = P.write_index(df, str(tmp_path / "i"))
     hits, counts = P.indexed_search(index, spark.createDataFrame(QUERIES, "query long, text string"))
     assert hits.count() == counts.count() == 0 and (index.chunks, index.tokens, index.buckets) == (0, 0, 1)
+
+
+def test_neither_words_nor_hits_are_shuffled(spark, small):
+    """Each word was a row of two shuffles, and each hit of a query one more: plans held Generate below an Exchange."""
+    from quarry.registry import QUERIES
+
+    for name in ("indexed_topk",):
+        assert "Generate" not in QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_texts_make_smaller_buckets(spark, tmp_path, monkeypatch):
+    """Buckets went by their number of chunks only; keys may be strings, copies are ties in their order."""
+    monkeypatch.setattr(P, "BUCKET_WORDS", 50)
+    docs = [(f"k{i:02d}", f"a b c{i % 3} d") for i in range(40)]
+    index = P.write_index(spark.createDataFrame(docs, "chunk string, text string"), str(tmp_path / "i"), bucket_chunks=1000)
+    assert index.buckets == 4
+    hits, _ = P.indexed_search(index, spark.createDataFrame([("q", "c1 a")], "query string, text string"), 5)
+    assert [r.chunk for r in hits.orderBy("rank").collect()] == ["k01", "k04", "k07", "k10", "k13"]
