@@ -227,13 +227,32 @@ def phrase_hits(index: Index, phrases: DataFrame) -> DataFrame:
     """phrase, chunk, times: where all words of a phrase stand one behind the other, by their positions.
 
     phrases: phrase, text; up to 1024. Each word's places are moved back by its place in the phrase; a place that all words
-    share starts the phrase. Phrases without words have no hits.
+    share starts the phrase. The words' blocks are dealt out by bucket and met there. Phrases without words have no hits.
     """
     if phrases.count() > QUERY_BLOCK:
         raise ValueError(f"up to {QUERY_BLOCK} phrases at a time")
-    w = phrases.select("phrase", words(F.col("text")).alias("w")).where("size(w) > 0")
-    asked = w.select("phrase", F.size("w").alias("n"), F.posexplode("w").alias("at", "term"))
-    places = index.blocks.select("term", "postings").join(F.broadcast(asked), "term").select("phrase", "n", "at", F.explode("postings").alias("p"))
-    starts = places.select("phrase", "n", F.col("p.chunk").alias("chunk"), F.explode("p.positions").alias("spot"), "at").select("phrase", "n", "chunk", (F.col("spot") - F.col("at")).alias("start"))
-    whole = starts.groupBy("phrase", "n", "chunk", "start").agg(F.count("*").alias("held")).where("held = n")
-    return whole.groupBy("phrase", "chunk").agg(F.count("*").alias("times"))
+    asked = [(r["phrase"], r["w"]) for r in phrases.select("phrase", words(F.col("text")).alias("w")).where("size(w) > 0").collect()]
+    kinds = {"phrase": phrases.schema["phrase"].dataType, "chunk": index.blocks.schema["postings"].dataType.elementType["chunk"].dataType}
+    of_phrase, of_chunk = to_arrow_type(kinds["phrase"]), to_arrow_type(kinds["chunk"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket in by_bucket(batches):
+            terms = {t: i for i, t in enumerate(bucket.column("term").to_pylist())}
+            n, values = listed(bucket.column("chunks"))
+            times, spots = listed(pa.chunked_array([listed(bucket.column("positions"))[1]]))
+            coded = values.dictionary_encode()
+            # a place is a chunk's number and a word's, in one; of the term i they begin at ends[i]
+            places = (np.repeat(coded.indices.to_numpy().astype(np.int64), times) << 32) + spots.to_numpy()
+            ends = np.concatenate([[0], np.cumsum(times)])[np.concatenate([[0], np.cumsum(n)])]
+            for phrase, w in asked:
+                if not all(x in terms for x in w):
+                    continue
+                starts = sorted((places[ends[terms[x]] : ends[terms[x] + 1]] - i for i, x in enumerate(w)), key=len)
+                whole = reduce(lambda a, b: a[np.isin(a, b, assume_unique=True)], starts)
+                if len(whole):
+                    chunks, found = np.unique(whole >> 32, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([phrase] * len(found), of_phrase), coded.dictionary.take(pa.array(chunks)).cast(of_chunk), pa.array(found, pa.int64())], names=["phrase", "chunk", "times"])
+
+    sought = index.blocks.sparkSession.createDataFrame([(x,) for x in {x for _, w in asked for x in w}], "term string")
+    blocks = index.blocks.join(F.broadcast(sought), "term", "left_semi").select("bucket", "term", F.col("postings.chunk").alias("chunks"), F.col("postings.positions").alias("positions"))
+    return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, f"phrase {kinds['phrase'].simpleString()}, chunk {kinds['chunk'].simpleString()}, times long")
