@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 from quarry.models import words
 from quarry.operators.lexical import HELD_WEIGHTS, K1, WORD, B, corpus_size, minimum_match, query_terms
 from quarry.operators.ranking import QUERY_BLOCK, query_blocks, top
-from quarry.sources.files import shared_folder
+from quarry.sources.files import kept
 
 #: Chunks of a bucket, and words at which buckets hold fewer chunks.
 BUCKET_CHUNKS, BUCKET_WORDS = 4096, 4_000_000
@@ -110,13 +110,6 @@ def bounds(index: Index, asked: DataFrame) -> DataFrame:
     return heads.groupBy("query", "bucket").agg(F.sum(F.col("idf") * F.col("best")).alias("bound"), F.count("*").alias("blocks"))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder, so that it is worked out once."""
-    path = shared_folder(df.sparkSession, "search")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of one bucket after the other, from rows sorted by bucket."""
     held, own = [], None
@@ -213,8 +206,8 @@ def indexed_search(index: Index, queries: DataFrame, k: int = 100, first: int |
     for block in query_blocks(queries):
         asked = asked_terms(index, query_terms(block))
         asked = block.sparkSession.createDataFrame(asked.collect(), asked.schema)
-        limits = kept(bounds(index, asked).withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "bucket"))))
-        start = kept(top(best_scored(index, asked, limits.where(F.col("nth") <= first), k), k, *order))
+        limits = kept(bounds(index, asked).withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "bucket"))), "search")
+        start = kept(top(best_scored(index, asked, limits.where(F.col("nth") <= first), k), k, *order), "search")
         floor = start.where(F.col("rank") == k).select("query", F.col("score").alias("floor"))
         more = limits.where(F.col("nth") > first).join(floor, "query", "left").where("floor IS NULL OR bound >= floor - 1e-8")
         hits.append(top(start.drop("rank").unionByName(best_scored(index, asked, more, k)), k, *order))

@@ -33,6 +33,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a new shared folder, so that it is worked out once."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_index(spark: SparkSession, path: str, schema: str, columns: Sequence[str] | None = None) -> DataFrame:
     """All rows of a stored index, with a declared schema; of the columns asked for only."""
     rows = spark.read.schema(schema).parquet(path)
