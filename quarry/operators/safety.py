@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import lru_cache, reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -231,32 +233,85 @@ def uncited(c: Column) -> Column:
     return plain_numbers(F.regexp_replace(F.coalesce(c, F.lit("")), r"\[(\d{1,3})\]", " "))
 
 
-def in_yuan(value: Column, unit: Column) -> Column:
-    return F.when(unit == "万元", value * 10_000).otherwise(value)
+def in_python(pattern: str) -> re.Pattern:
+    """A Java pattern for Python: white space and digits as the flags say."""
+    wide = pattern.startswith("(?U)")
+    space, digits = (r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", r"\d") if wide else (r"[ \t-\r]", "[0-9]")
+    return re.compile(pattern.removeprefix("(?U)").replace(r"\s", space).replace(r"\d", digits))
 
 
-def cn_quantities(t: Column) -> Column:
-    from quarry.functions import text as T
+WIDE = str.maketrans("０１２３４５６７８９．", "0123456789.")
+CITED, SEPARATORS = re.compile(r"\[[0-9]{1,3}\]"), re.compile(r"(?<=[0-9])[,，](?=[0-9]{3}(?![0-9]))")
+QUANTITIES, CN_QUANTITIES, MASKED, NUMBERS = map(in_python, (QUANTITY, CN_QUANTITY, PROTECTED, NUMBER))
+CN_DIGITS, CN_UNITS = {**{c: i for i, c in enumerate("一二三四五六七八九", 1)}, "两": 2}, {"十": 10, "百": 100, "千": 1000}
+
+
+def cn_value(numeral: str) -> float | None:
+    """As text.cn_to_number, for the characters of CN_QUANTITY."""
+    total = pending = 0
+    for x in numeral:
+        if x in CN_UNITS:
+            total, pending = total + (pending or 1) * CN_UNITS[x], 0
+        else:
+            pending = CN_DIGITS[x]
+    return float(total + pending) or None
+
+
+def without_citations(t: str | None) -> str:
+    return SEPARATORS.sub("", CITED.sub(" ", t or "").translate(WIDE))
+
+
+def cn_amounts(t: str) -> list[tuple[float, str]]:
+    found = ((cn_value(n), u) for n, u in CN_QUANTITIES.findall(t))
+    return [(v * 10_000 if u == "万元" else v, u) for v, u in found if v is not None]
+
+
+def amounts(t: str | None) -> list[tuple[float, str]]:
+    t = without_citations(t)
+    return [(float(n) * 10_000 if u == "万元" else float(n), u) for n, u in QUANTITIES.findall(t)] + cn_amounts(t)
 
-    numbers, units = (F.regexp_extract_all(t, F.lit(CN_QUANTITY), F.lit(k)) for k in (1, 2))
-    pairs = F.zip_with(numbers, units, lambda n, u: F.struct(in_yuan(T.cn_to_number(n), u).alias("value"), u.alias("unit")))
-    return F.filter(pairs, lambda q: q["value"].isNotNull())
+
+@lru_cache(4096)
+def all_values(t: str | None) -> list[float]:
+    t = without_citations(t)
+    out = {v for v, _ in cn_amounts(t)}
+    for n, after in NUMBERS.findall(MASKED.sub(" ", t)):
+        out.add(float(n))
+        if "万元" in after:
+            out.add(float(n) * 10_000)
+    return sorted(out)
 
 
 def quantities(c: Column) -> Column:
     """array<struct<value, unit>> of the numbers with units in a text, 万元 as 元's value; Chinese numerals after the others."""
-    t = uncited(c)
-    numbers, units = (F.regexp_extract_all(t, F.lit(QUANTITY), F.lit(k)) for k in (1, 2))
-    return F.concat(F.zip_with(numbers, units, lambda n, u: F.struct(in_yuan(n.cast("double"), u).alias("value"), u.alias("unit"))), cn_quantities(t))
+
+    @F.arrow_udf("array<struct<value:double,unit:string>>")
+    def read(texts: pa.Array) -> pa.Array:
+        rows = [[{"value": v, "unit": u} for v, u in amounts(t)] for t in texts.to_pylist()]
+        return pa.array(rows, pa.list_(pa.struct([("value", pa.float64()), ("unit", pa.string())])))
+
+    return read(c)
 
 
 def token_values(c: Column) -> Column:
     """All distinct values of a text in ascending order, with or without units; grades, classes and clause numbers don't count."""
-    t = uncited(c)
-    masked = F.regexp_replace(t, PROTECTED, " ")
-    numbers, after = (F.regexp_extract_all(masked, F.lit(NUMBER), F.lit(k)) for k in (1, 2))
-    own = F.flatten(F.zip_with(numbers, after, lambda n, a: F.filter(F.array(n.cast("double"), F.when(F.contains(a, F.lit("万元")), n.cast("double") * 10_000)), lambda x: x.isNotNull())))
-    return F.array_sort(F.array_distinct(F.concat(own, F.transform(cn_quantities(t), lambda q: q["value"]))))
+
+    @F.arrow_udf("array<double>")
+    def read(texts: pa.Array) -> pa.Array:
+        return pa.array([all_values(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
+
+    return read(c)
+
+
+def missing_values(fragment: Column, texts: Column) -> Column:
+    """Values of a fragment that none of its texts holds, in ascending order."""
+
+    @F.arrow_udf("array<double>")
+    def read(fragments: pa.Array, cited: pa.Array) -> pa.Array:
+        rows = zip(fragments.to_pylist(), cited.to_pylist(), strict=True)
+        return pa.array([[v for v in own if v not in held] for own, held in ((all_values(f), {v for t in ts or [] for v in all_values(t)}) for f, ts in rows)], pa.list_(pa.float64()))
+
+    return read(fragment, texts)
 
 
 def denied(sentence: Column, mention: Column) -> Column:
@@ -335,8 +390,8 @@ def number_mismatches(fragments: DataFrame, evidence: DataFrame, most: int = 8)
     """answer_id, fragment_no, value, refs: values of a fragment that none of its cited texts holds; the first `most` of an answer."""
     from quarry.operators.ranking import top
 
-    wanted = F.array_except(token_values(F.col("fragment")), F.flatten(F.transform("texts", token_values)))
-    rows = cited_texts(fragments, evidence).select("answer_id", "fragment_no", F.explode(wanted).alias("value"), "refs")
+    found = cited_texts(fragments, evidence).select("answer_id", "fragment_no", missing_values(F.col("fragment"), F.col("texts")).alias("missing"), "refs")
+    rows = found.select("answer_id", "fragment_no", F.explode("missing").alias("value"), "refs")
     return top(rows, most, F.col("fragment_no"), F.col("value"), key=("answer_id",)).select("answer_id", "fragment_no", "value", "refs")
 
 

@@ -138,7 +138,8 @@ def quantity_values(spark, sf):
     """Amounts with thousands' separators and full-width digits, numerals, clause numbers and bare numbers."""
     c = table(spark, sf, "lineitem")
     text = F.concat(F.lit("第"), F.col("l_linenumber").cast("string"), F.lit("条[3]："), F.format_number("l_partkey", 0), F.lit("万元，"), F.translate(F.col("l_quantity").cast("int").cast("string"), "0123456789", "０１２３４５６７８９"), F.lit("天，十二个月，编号"), F.col("l_suppkey").cast("string"))
-    return c.select("l_orderkey", "l_linenumber", S.quantities(text)["value"].alias("amounts"), F.array_join(S.quantities(text)["unit"], "").alias("units"), S.token_values(text).alias("numbers"))
+    read = c.select("l_orderkey", "l_linenumber", S.quantities(text).alias("q"), S.token_values(text).alias("numbers"))
+    return read.select("l_orderkey", "l_linenumber", F.col("q.value").alias("amounts"), F.array_join("q.unit", "").alias("units"), "numbers")
 
 
 @query("""SELECT doc_id, CASE WHEN length(c) >= 1180 THEN c WHEN c = '' THEN p ELSE c || chr(10) || p END AS evidence FROM (SELECT doc_id, left(coalesce(text, ''), 1200) AS c, left(coalesce(source, ''), 1200 - length(left(coalesce(text, ''), 1200))) AS p FROM documents)""")
