@@ -596,15 +596,25 @@ def profile_summary(name: Column, titles: Column, c: Column) -> Column:
 
 def profile(c: Column, name: Column) -> Column:
     """Type, scope, category, topics, example questions and summary of a document."""
-    titles, items = section_titles(c), has_items(c)
-    combined = F.concat_ws(" ", name, c, F.array_join(titles, " "))
-    kind, topics = document_type(combined, items), core_topics(titles, name)
-    code = scope_code(combined)
-    return F.struct(
-        kind.alias("document_type"), code.alias("scope_code"), scope_name(code).alias("scope_name"), business_category(kind, c).alias("business_category"),
-        topics.alias("core_topics"), example_questions(kind, topics).alias("example_questions"), profile_summary(name, titles, c).alias("summary"),
-        F.array_join(F.slice(F.array_distinct(F.concat(F.array(code, kind), F.slice(topics, 1, 4))), 1, 8), ",").alias("tags"), items.alias("supports_items"),
-    )
+    # each text is read once: what is used more than once is bound to a name
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def named(titles: Column) -> Column:
+        combined = F.lower(F.concat_ws(" ", name, c, F.array_join(titles, " ")))
+        return once(F.struct(combined.alias("combined"), has_items(c).alias("items")), lambda x: judged(titles, x["combined"], x["items"]))
+
+    def judged(titles: Column, combined: Column, items: Column) -> Column:
+        found = F.struct(document_type(combined, items).alias("kind"), scope_code(combined).alias("code"), core_topics(titles, name).alias("topics"))
+        return once(found, lambda x: told(titles, items, x["kind"], x["code"], x["topics"]))
+
+    def told(titles: Column, items: Column, kind: Column, code: Column, topics: Column) -> Column:
+        return F.struct(
+            kind.alias("document_type"), code.alias("scope_code"), scope_name(code).alias("scope_name"), business_category(kind, c).alias("business_category"),
+            topics.alias("core_topics"), example_questions(kind, topics).alias("example_questions"), profile_summary(name, titles, c).alias("summary"),
+            F.array_join(F.slice(F.array_distinct(F.concat(F.array(code, kind), F.slice(topics, 1, 4))), 1, 8), ",").alias("tags"), items.alias("supports_items"),
+        )
+
+    return once(section_titles(c), named)
 
 
 # --- links and urls ---------------------------------------------------------------------------------------------------
